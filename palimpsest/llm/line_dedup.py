@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, repeat_filter
 
@@ -57,69 +58,73 @@ def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
     return counted.where(F.col("n_docs") >= min_docs).select("digest", "n_docs", "first.doc_id", "first.line")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, broadcast_rows: int = 500_000) -> DataFrame:
-    """Drops lines whose key is in min_docs documents at least; keep_first: all but the first occurrence.
+def dedup_rows(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, broadcast_rows: int = 500_000) -> DataFrame:
+    """docs with n_lines, n_dropped and a text without lines whose key is in min_docs documents at least.
 
-    Reads doc_id, text; gives (doc_id, n_lines, n_dropped, kept_text), a row for each input row. A key is the line
-    stripped of ASCII white space and with A-Z lower-cased; empty keys (below min_chars code points) always stay. Null or empty
-    text: one empty line. Repeated rows count as documents of their own; the first occurrence is that of the smallest
-    (doc_id, line). Up to broadcast_rows repeated lines (24 bytes each) go to every task; more are joined by digest
-    and document instead, with the same result.
+    Reads doc_id, text; other columns stay, n_chars, where there is one, as the new text's. keep_first: lines stay in
+    their first occurrence, that of the smallest (doc_id, line). A key is the line stripped of ASCII white space and with A-Z
+    lower-cased; empty keys (below min_chars code points) always stay. Null or empty text: one empty line. Rows without
+    doc_id are left out; repeated rows count as documents of their own. Up to broadcast_rows repeated lines (24
+    bytes each) go to every task; more are joined by digest and document instead, with the same result.
     """
     spark = docs.sparkSession
-    docs = common.texts(docs)
+    docs = docs.where("doc_id is not null").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce("text", F.lit(""))})
+    lean = docs.select("doc_id", "text")
     root = common.shared_folder(spark)
-    repeated = common.written(repeated_lines(docs, min_docs, min_chars), root)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_text", pa.string())])
-    ddl = "doc_id long, n_lines long, n_dropped long, kept_text string"
-    if repeated.count() <= broadcast_rows:
+    repeated = common.written(repeated_lines(lean, min_docs, min_chars), root)
+    names = docs.columns
+    schema = T.StructType([*docs.schema.fields]).add("n_lines", "long").add("n_dropped", "long")
+    few = repeated.count() <= broadcast_rows
+    if few:
         held = spark.sparkContext.broadcast({bytes(d): (i, n) for d, _, i, n in repeated.collect()})
         common.drop_folder(spark, root)
+    else:
+        drop = common.map_batches(lean, _keyed(min_chars), KEYED, "digest binary, doc_id long, line int").distinct()
+        drop = drop.join(repeated.select("digest", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line")), "digest")
+        if keep_first:
+            drop = drop.where("doc_id <> first_doc or line <> first_line")
+        docs = docs.join(drop.groupBy("doc_id").agg(F.collect_list("line").alias("_drop")), "doc_id", "left").select(*names, "_drop")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, at = held.value if few else {}, {n: k for k, n in enumerate(names)}
+        for batch in batches:
+            texts, n_lines, n_dropped = [], [], []
+            gone = [None] * batch.num_rows if few else batch.column(len(names)).to_pylist()
+            for i, t, drop in zip(batch.column(at["doc_id"]).to_pylist(), batch.column(at["text"]).to_pylist(), gone, strict=True):
+                lines = t.split("\n")
+                if few:
+                    kept = [x for n, x in enumerate(lines) if not _goes(where, line_key(x), (i, n), min_chars, keep_first)]
+                else:
+                    drop = set(drop or ())
+                    kept = [x for n, x in enumerate(lines) if n not in drop]
+                texts.append("\n".join(kept))
+                n_lines.append(len(lines))
+                n_dropped.append(len(lines) - len(kept))
+            new = {"text": pa.array(texts, pa.string())} | ({"n_chars": pa.array([*map(len, texts)], pa.int64())} if "n_chars" in at else {})
+            yield pa.RecordBatch.from_arrays([*(new.get(n, batch.column(k)) for n, k in at.items()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
-        def cut(batch: pa.RecordBatch) -> dict:
-            where, known = held.value, {}
-            out = {n: [] for n in schema.names}
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines, kept = t.split("\n"), []
-                for n, line in enumerate(lines):
-                    key = line_key(line)
-                    first = known.get(key, 0)
-                    if first == 0:
-                        first = where.get(digest(key)) if len(key) >= min_chars else None
-                        known[key] = first
-                    if first is None or keep_first and first == (i, n):
-                        kept.append(line)
-                _put(out, i, lines, kept)
-            return out
-
-        return common.map_batches(docs, cut, schema, ddl)
-
-    keyed = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("line", pa.int32())])
+    return docs.mapInArrow(cut, schema)
 
-    def every(batch: pa.RecordBatch) -> dict:
-        rows = [(digest(k), i, n) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for n, x in enumerate(t.split("\n")) if len(k := line_key(x)) >= min_chars]
-        return {n: [r[c] for r in rows] for c, n in enumerate(keyed.names)}
 
-    drop = common.map_batches(docs, every, keyed, "digest binary, doc_id long, line int").distinct()
-    drop = drop.join(repeated.select("digest", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line")), "digest")
-    if keep_first:
-        drop = drop.where("doc_id <> first_doc or line <> first_line")
-    both = docs.join(drop.groupBy("doc_id").agg(F.collect_list("line").alias("drop")), "doc_id", "left")
+def _goes(where: dict, key: str, place: tuple, min_chars: int, keep_first: bool) -> bool:
+    first = where.get(digest(key)) if len(key) >= min_chars else None
+    return first is not None and not (keep_first and first == place)
 
-    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = {n: [] for n in schema.names}
-            for i, t, gone in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "drop")), strict=True):
-                lines, gone = t.split("\n"), set(gone or ())
-                _put(out, i, lines, [x for n, x in enumerate(lines) if n not in gone])
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return both.mapInArrow(without, ddl)
+KEYED = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("line", pa.int32())])
+
+
+def _keyed(min_chars: int):
+    def every(batch: pa.RecordBatch) -> dict:
+        rows = [(digest(k), i, n) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for n, x in enumerate(t.split("\n")) if len(k := line_key(x)) >= min_chars]
+        return {n: [r[c] for r in rows] for c, n in enumerate(KEYED.names)}
+
+    return every
 
 
-def _put(out: dict, doc_id: int, lines: list[str], kept: list[str]) -> None:
-    for name, value in zip(out, (doc_id, len(lines), len(lines) - len(kept), "\n".join(kept)), strict=True):
-        out[name].append(value)
+def dedup_lines(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept_text) of dedup_rows, with its options."""
+    return dedup_rows(docs.select("doc_id", "text"), **options).select("doc_id", "n_lines", "n_dropped", F.col("text").alias("kept_text"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
