@@ -1,5 +1,319 @@
-"""Queries of the engine's own operators, and the SQL that says the same."""
+"""Queries of the engine's own operators, and the SQL that says the same.
 
+There is no second version of any table: the revised side is made by fixed edits, written alike in both dialects.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text, urls, values
+from ..operators import align, classify, diff, evidence, noise, pages, report, sheets
+from ..sources import html
+from ..streaming import limits
+
+FLAGSHIP = "cell_changes"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = "cell_changes"
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    old = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", F.col("p_size").cast("int").alias("p_size"), F.round("p_retailprice", 2).cast("decimal(18,2)").alias("p_retailprice"))
+    k = F.col("p_partkey")
+    new = old.where(k % 11 != 0).withColumns({"p_retailprice": F.when(k % 7 == 0, F.col("p_retailprice") + 10).otherwise(F.col("p_retailprice")).cast("decimal(18,2)"), "p_name": F.when(k % 5 == 0, F.concat("p_name", F.lit(" new"))).otherwise(F.col("p_name")), "p_partkey": F.when(k % 13 == 0, k + 1000000).otherwise(k)})
+    return old, new
+
+
+COLUMNS = ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+PARTS = """old AS (SELECT p_partkey, p_name, p_brand, p_type, p_size::INT AS p_size, round(p_retailprice, 2)::DECIMAL(18,2) AS p_retailprice FROM part),
+new AS (SELECT CASE WHEN p_partkey % 13 = 0 THEN p_partkey + 1000000 ELSE p_partkey END AS p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_name || ' new' ELSE p_name END AS p_name,
+  p_brand, p_type, p_size, (CASE WHEN p_partkey % 7 = 0 THEN p_retailprice + 10 ELSE p_retailprice END)::DECIMAL(18,2) AS p_retailprice FROM old WHERE p_partkey % 11 <> 0),
+oc AS (""" + " UNION ALL ".join(f"SELECT p_partkey AS key, '{c}' AS col, {c}::VARCHAR AS value FROM old" for c in COLUMNS) + "),\nnc AS (" + " UNION ALL ".join(f"SELECT p_partkey AS key, '{c}' AS col, {c}::VARCHAR AS value FROM new" for c in COLUMNS) + """),
+feed AS (SELECT key, col, CASE WHEN o.value IS NULL THEN 'added' WHEN n.value IS NULL THEN 'removed' ELSE 'modified' END AS kind, o.value AS old_value, n.value AS new_value
+  FROM (SELECT * FROM oc WHERE value IS NOT NULL) o FULL JOIN (SELECT * FROM nc WHERE value IS NOT NULL) n USING (key, col) WHERE o.value IS DISTINCT FROM n.value)"""
+
+
+def part_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = parts(spark, sf_dir)
+    return diff.changes(diff.cells(old, "p_partkey", COLUMNS), diff.cells(new, "p_partkey", COLUMNS), ["key", "col"])
+
+
+@query(f"""WITH {PARTS} SELECT key, col, kind, old_value, new_value, CASE WHEN num THEN 'number' ELSE 'text' END AS category,
+  CASE WHEN num THEN 'NUMBER_CHANGED' ELSE 'TEXT_' || upper(kind) END AS change_type,
+  CASE WHEN num AND kind = 'modified' THEN '+' || regexp_replace(CASE WHEN d LIKE '%.%' THEN d ELSE d || '.' END, '\\.?0*$', '') END AS difference
+FROM (SELECT *, coalesce(TRY_CAST(old_value AS DECIMAL(28,4)), TRY_CAST(new_value AS DECIMAL(28,4))) IS NOT NULL AND (old_value IS NULL OR TRY_CAST(old_value AS DECIMAL(28,4)) IS NOT NULL)
+  AND (new_value IS NULL OR TRY_CAST(new_value AS DECIMAL(28,4)) IS NOT NULL) AS num, (TRY_CAST(new_value AS DECIMAL(28,4)) - TRY_CAST(old_value AS DECIMAL(28,4)))::VARCHAR AS d FROM feed)""")
+def cell_changes(spark, sf_dir):
+    out = diff.typed(part_feed(spark, sf_dir))
+    return out.select("key", "col", "kind", "old_value", "new_value", "category", "change_type", F.substring_index("delta", " (", 1).alias("difference"))
+
+
+@query(f"WITH {PARTS} SELECT col, count(*) AS n_changes, count(*) FILTER (kind = 'added') AS n_added, count(*) FILTER (kind = 'removed') AS n_removed, count(*) FILTER (kind = 'modified') AS n_modified FROM feed GROUP BY col")
+def change_counts(spark, sf_dir):
+    return diff.counts(part_feed(spark, sf_dir), "col")
+
+
+@query("""WITH x AS (SELECT o_orderkey, o_totalprice::DECIMAL(18,2) AS a, (CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 10 WHEN o_orderkey % 7 = 1 THEN o_totalprice - 25 ELSE o_totalprice END)::DECIMAL(18,2) AS b FROM orders)
+SELECT o_orderkey, (b - a)::DOUBLE AS difference, round((b - a)::DOUBLE / a::DOUBLE, 4) AS share FROM x WHERE a <> b""")
+def order_price_changes(spark, sf_dir):
+    k, p = F.col("o_orderkey"), F.col("o_totalprice")
+    x = table(spark, sf_dir, "orders").select(k, p.cast("decimal(18,2)").alias("a"), F.when(k % 7 == 0, p + 10).when(k % 7 == 1, p - 25).otherwise(p).cast("decimal(18,2)").alias("b")).where("a <> b")
+    return x.select("o_orderkey", (F.col("b") - F.col("a")).cast("double").alias("difference"), F.round((F.col("b") - F.col("a")).cast("double") / F.col("a").cast("double"), 4).alias("share"))
+
+
+def lines(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "line"))
+
+
+LINES = "lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS place FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"
+
+
+@query(f"""WITH {LINES}, o AS (SELECT doc_id, line, place, row_number() OVER (PARTITION BY doc_id, line ORDER BY place) AS rn FROM lines),
+n AS (SELECT doc_id, line, p AS place, row_number() OVER (PARTITION BY doc_id, line ORDER BY p) AS rn FROM (SELECT doc_id, line, CASE WHEN place = 0 THEN 1000000 ELSE place END AS p FROM lines WHERE place % 11 <> 10))
+SELECT doc_id, count(*) FILTER (o.place IS NOT NULL AND n.place IS NOT NULL AND o.place <> n.place) AS n_moved, count(*) FILTER (n.place IS NULL) AS n_removed, count(*) FILTER (o.place IS NULL) AS n_added
+FROM o FULL JOIN n USING (doc_id, line, rn) GROUP BY doc_id""")
+def moved_lines(spark, sf_dir):
+    old = lines(spark, sf_dir)
+    new = old.where("place % 11 <> 10").withColumn("place", F.when(F.col("place") == 0, 1000000).otherwise(F.col("place")))
+    n = lambda k: F.count_if(F.col("kind") == k).alias(f"n_{k}")
+    return diff.moves(old, new, "doc_id", "line", "place").groupBy("doc_id").agg(n("moved"), n("removed"), n("added"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split(lower(coalesce(text, '')), ' '), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split(lower(substr(coalesce(text, ''), 1, 400)), ' '), lambda x: x <> '')) AS b FROM documents)
+SELECT doc_id, round(coalesce(len(list_intersect(a, b)) / nullif(len(a) + len(b) - len(list_intersect(a, b)), 0), 0.0), 6) AS jaccard FROM w""")
+def page_overlap(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = F.filter(F.split(F.lower("text"), " "), lambda x: x != "")
+    return diff.set_overlap(d, d.withColumn("text", F.substring("text", 1, 400)), "doc_id", words)
+
+
+@query("""WITH n AS (SELECT l_returnflag || l_linestatus AS bag, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL), t AS (SELECT bag, sum(n) AS t FROM n GROUP BY bag)
+SELECT a.bag AS bag_a, b.bag AS bag_b, round(sum(least(a.n, b.n)) / (any_value(x.t) + any_value(y.t) - sum(least(a.n, b.n))), 6) AS overlap
+FROM n a JOIN n b ON a.l_partkey = b.l_partkey AND a.bag < b.bag JOIN t x ON x.bag = a.bag JOIN t y ON y.bag = b.bag GROUP BY a.bag, b.bag""")
+def bag_overlap(spark, sf_dir):
+    return diff.bag_overlap(table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("bag"), "l_partkey"), "bag", "l_partkey")
+
+
+TRACKING = ", ".join(f"'{x}'" for x in urls.TRACKING)
+
+
+@query(f"""WITH u AS (SELECT page_id, url, string_split(regexp_extract(url, '\\?([^#]*)', 1), '&') AS q FROM pages),
+k AS (SELECT *, list_filter(q, lambda p: p <> '' AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_') AND lower(split_part(p, '=', 1)) NOT IN ({TRACKING})) AS kept FROM u)
+SELECT page_id, CASE WHEN instr(url, '?') = 0 THEN url ELSE split_part(url, '?', 1) || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END || regexp_extract(url, '(#.*)$', 1) END AS clean FROM k""")
+def clean_urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.strip_tracking(F.col("url")).alias("clean"))
+
+
+@query("SELECT page_id, regexp_replace(split_part(url, '#', 1), '/+$', '') AS page_key FROM pages")
+def same_page_keys(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.page_key(F.col("url")).alias("page_key"))
+
+
+@query("""SELECT event_id, (user_id * 7919 + event_id * 104729) % 4294967296 AS address, a BETWEEN 167772160 AND 184549375 OR a BETWEEN 0 AND 16777215 OR a BETWEEN 1681915904 AND 1686110207 OR a BETWEEN 2130706432 AND 2147483647
+ OR a BETWEEN 2851995648 AND 2852061183 OR a BETWEEN 2886729728 AND 2887778303 OR a BETWEEN 3221225472 AND 3221225727 OR a BETWEEN 3221225984 AND 3221226239 OR a BETWEEN 3232235520 AND 3232301055 OR a BETWEEN 3323068416 AND 3323199487
+ OR a BETWEEN 3325256704 AND 3325256959 OR a BETWEEN 3405803776 AND 3405804031 OR a BETWEEN 3758096384 AND 4026531839 OR a BETWEEN 4026531840 AND 4294967295 AS closed
+FROM (SELECT *, (user_id * 7919 + event_id * 104729) % 4294967296 AS a FROM events)""")
+def closed_addresses(spark, sf_dir):
+    a = (F.col("user_id") * 7919 + F.col("event_id") * 104729) % 4294967296
+    dotted = F.concat_ws(".", *(F.floor(a / 256**k).cast("long") % 256 for k in (3, 2, 1, 0)))
+    return table(spark, sf_dir, "events").select("event_id", a.alias("address"), urls.closed_ipv4(dotted).alias("closed"))
+
+
+@query("""SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '(?is)<html[^>]*lang="([^"]*)"', 1) AS lang, len(html) - len(replace(html, '<p', '')) AS p_chars FROM pages""")
+def page_metadata(spark, sf_dir):
+    h = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.regexp_extract(h, r'(?is)<html[^>]*lang="([^"]*)"', 1).alias("lang"), (F.length(h) - F.length(F.replace(h, F.lit("<p")))).cast("long").alias("p_chars"))
+
+
+@query("""WITH s AS (SELECT list_filter(string_split(regexp_replace(split_part(split_part(url, '?', 1), '#', 1), '^https?://', ''), '/'), lambda x: x <> '') AS p FROM pages)
+SELECT array_to_string(p[1:k], '/') AS section, k::INT AS depth, count(*) AS n FROM (SELECT p, unnest(range(1, len(p) + 1)) AS k FROM s) GROUP BY ALL""")
+def section_totals(spark, sf_dir):
+    bare = F.regexp_replace(F.substring_index(F.substring_index("url", "?", 1), "#", 1), "^https?://", "")
+    return report.section_totals(table(spark, sf_dir, "pages"), F.filter(F.split(bare, "/"), lambda x: x != ""))
+
+
+@query("""SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL UNION ALL SELECT 'source', source, count(*) FROM documents JOIN labels USING (doc_id) GROUP BY ALL
+UNION ALL SELECT 'quality', quality::VARCHAR, count(*) FROM documents JOIN labels USING (doc_id) GROUP BY ALL UNION ALL SELECT 'toxic', toxic::VARCHAR, count(*) FROM documents JOIN labels USING (doc_id) GROUP BY ALL""")
+def facet_counts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    return report.facet_counts(d, ["lang", "source", "quality", "toxic"])
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de') AND contains(lower(text), 'the') AND contains(lower(text), 'ing')")
+def faceted_search(spark, sf_dir):
+    d = report.facet_filter(table(spark, sf_dir, "documents"), {"lang": ["en", "de"], "source": []})
+    return d.where(report.search(F.col("text"), "The ing")).select("doc_id", "lang")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'the')")
+def phrase_search(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where(report.phrase(F.col("text"), " the ")).select("conv_id", "turn")
+
+
+@query("""WITH b AS (SELECT bucket, count(*) AS n FROM (SELECT (1 + floor(value / 10))::INT AS bucket FROM events) WHERE bucket >= 1 GROUP BY bucket)
+SELECT g.bucket::INT AS bucket, coalesce(b.n, 0)::BIGINT AS n, round(coalesce(b.n, 0) / (SELECT max(n) FROM b), 6) AS intensity FROM (SELECT unnest(range(1, (SELECT max(bucket) FROM b) + 1)) AS bucket) g LEFT JOIN b USING (bucket)""")
+def dense_buckets(spark, sf_dir):
+    return report.dense_buckets(table(spark, sf_dir, "events"), F.floor(F.col("value") / 10) + 1)
+
+
+@query("""SELECT doc_id, array_to_string(list_slice(string_split(text, ' '), greatest(1, 5 - 3), 5 + 3), ' ') AS around FROM documents WHERE text IS NOT NULL""")
+def word_windows(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array_join(report.window_of(F.split("text", " "), F.lit(5), 3), " ").alias("around"))
+
+
+@query("""WITH m AS (SELECT doc_id, n_chars AS size, unnest([0, n_chars // 4, n_chars // 3, n_chars // 2, n_chars]) AS c FROM documents), d AS (SELECT DISTINCT doc_id, c FROM m),
+s AS (SELECT doc_id, c AS start, lead(c) OVER (PARTITION BY doc_id ORDER BY c) AS stop FROM d)
+SELECT s.doc_id, s.start::INT AS start, s.stop::INT AS stop, concat_ws(',', CASE WHEN s.start >= 0 AND s.stop <= n_chars // 3 THEN 'a' END, CASE WHEN s.start >= n_chars // 4 AND s.stop <= n_chars // 2 THEN 'b' END) AS ids FROM s JOIN documents USING (doc_id) WHERE stop IS NOT NULL""")
+def mark_segments(spark, sf_dir):
+    n = F.col("n_chars").cast("int")
+    q = lambda k: F.floor(n / k).cast("int")
+    mark = lambda a, b, i: F.struct(a.alias("start"), b.alias("stop"), F.lit(i).alias("id"))
+    marks = F.array(mark(F.lit(0), q(3), "a"), mark(q(4), q(2), "b"))
+    d = table(spark, sf_dir, "documents").where("n_chars is not null").select("doc_id", F.explode(report.segments(n, marks)).alias("x"))
+    return d.select("doc_id", "x.start", "x.stop", F.array_join("x.ids", ",").alias("ids"))
+
+
+@query("SELECT lang, doc_id, n_chars, rank FROM (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id)::INT AS rank FROM documents) WHERE rank <= 5")
+def longest_by_language(spark, sf_dir):
+    return report.top_per_group(table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars"), "lang", [F.desc("n_chars"), F.asc("doc_id")], 5)
+
+
+@query("SELECT event_id, user_id, place FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id)::INT AS place FROM events) WHERE place <= 20")
+def daily_budget(spark, sf_dir):
+    return limits.daily_budget(table(spark, sf_dir, "events"), "ts", "event_id", 20).select("event_id", "user_id", "place")
+
+
+@query("""SELECT e.event_id, max_by(p.value, p.ts) AS last_value FROM (SELECT * FROM events WHERE event_type <> 'purchase') e LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL) p ON p.user_id = e.user_id AND p.ts <= e.ts GROUP BY e.event_id""")
+def last_purchase(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", "event_type")
+    left, right = e.where("event_type <> 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'purchase'").select("user_id", "ts", "value")
+    return report.as_of(left.withColumn("value", F.lit(None).cast("double")), right, "user_id", "ts", "value").select("event_id", "last_value")
+
+
+SIGNALS = " UNION ALL ".join(f"SELECT item, '{t}' AS topic FROM t WHERE regexp_matches(low, '\\b({p})\\b')" for t, p in classify.TOPICS)
+
+
+@query(f"WITH t AS (SELECT doc_id AS item, lower(text) AS low FROM documents) SELECT topic, count(*) AS n FROM ({SIGNALS}) GROUP BY topic")
+def topic_counts(spark, sf_dir):
+    return classify.topics(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").groupBy("topic").agg(F.count("*").alias("n"))
+
+
+def _like(p: str) -> str:
+    return f"regexp_matches(low, '{p}')"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN {_like(classify.MONEY)} AND {_like(classify.WAS)} THEN 'original_price' WHEN {_like(classify.MONEY)} AND {_like(classify.SALE)} THEN 'sale_price' WHEN {_like(classify.MONEY)} AND {_like(classify.PERIOD)} THEN 'recurring_price'
+ WHEN {_like(classify.MONEY)} THEN 'price' WHEN {_like(classify.STOCK)} THEN 'availability' WHEN {_like(classify.PERIOD)} THEN 'billing' WHEN {_like(classify.PLAN)} THEN 'plan' ELSE 'other' END AS category,
+ len(regexp_split_to_array(trim(text), '\\s+')) <= 8 AND {_like(classify.CTA)} AS cta FROM (SELECT *, lower(text) AS low FROM conversations)""")
+def price_categories(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", classify.price_category(F.col("text")).alias("category"), classify.is_call_to_action(F.col("text")).alias("cta"))
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'relative_time' WHEN 1 THEN 'counter' WHEN 2 THEN 'copyright_year' WHEN 3 THEN 'clock' END AS reason FROM events""")
+def noise_reasons(spark, sf_dir):
+    k, pick = F.col("event_id"), lambda *x: F.element_at(F.array(*x), (F.col("event_id") % 5 + 1).cast("int"))
+    s = k.cast("string")
+    old = pick(F.concat(F.lit("posted 2 hours ago by "), s), F.lit("1,024 views"), F.concat(F.lit("Copyright 2023 shop "), s), F.lit("opens 09:30 daily"), F.concat(F.lit("limit "), s))
+    new = pick(F.concat(F.lit("posted 3 hours ago by "), s), F.lit("1,100 views"), F.concat(F.lit("Copyright 2024 shop "), s), F.lit("opens 10:00 daily"), F.concat(F.lit("limits "), s))
+    return table(spark, sf_dir, "events").select("event_id", noise.reason(old, new, F.lit("modified")).alias("reason"))
+
+
+@query(f"""WITH {LINES}, p AS (SELECT doc_id, place // 5 AS page, trim(regexp_replace(lower(regexp_replace(trim(regexp_replace(line, '\\s+', ' ', 'g')), '[0-9]+', '#', 'g')), '\\s+', ' ', 'g')) AS template FROM lines WHERE regexp_matches(line, '^[ -~]*$')),
+t AS (SELECT doc_id, count(DISTINCT page) AS pages FROM p GROUP BY doc_id), n AS (SELECT doc_id, template, count(DISTINCT page) AS n_pages FROM p WHERE template <> '' GROUP BY ALL)
+SELECT doc_id AS scope, template, n_pages FROM n JOIN t USING (doc_id) WHERE pages >= 3 AND n_pages >= greatest(3, floor(0.6 * pages))""")
+def running_heads(spark, sf_dir):
+    x = lines(spark, sf_dir).where(F.col("line").rlike("^[ -~]*$")).select(F.col("doc_id").alias("scope"), F.floor(F.col("place") / 5).alias("page"), F.col("line").alias("text"))
+    return pages.running_heads(x)
+
+
+@query("""SELECT s_suppkey, strftime(DATE '1899-12-30' + CASE WHEN s_suppkey < 60 THEN s_suppkey + 1 ELSE s_suppkey END::INT, '%Y-%m-%d') AS day,
+ CASE WHEN s_suppkey <= 26 THEN chr((64 + s_suppkey)::INT) WHEN s_suppkey <= 702 THEN chr((65 + ((s_suppkey - 27) // 26))::INT) || chr((65 + (s_suppkey - 1) % 26)::INT) ELSE chr((65 + ((s_suppkey - 703) // 676))::INT) || chr((65 + ((s_suppkey - 27) // 26) % 26)::INT) || chr((65 + (s_suppkey - 1) % 26)::INT) END AS letters, s_suppkey::BIGINT AS back FROM supplier WHERE s_suppkey >= 1""")
+def sheet_references(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").where("s_suppkey >= 1").select("s_suppkey", F.date_format(sheets.serial_date(F.col("s_suppkey")), "yyyy-MM-dd").alias("day"), sheets.column_letters(F.col("s_suppkey")).alias("letters"))
+    return s.withColumn("back", sheets.column_number(F.col("letters")).cast("long"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN (o_orderkey % 50) = 0 THEN NULL ELSE (o_orderkey % 50) || ' days later' END AS delta FROM orders""")
+def date_deltas(spark, sf_dir):
+    d, k = F.to_date("o_orderdate"), F.col("o_orderkey")
+    old = F.concat(F.lit("due "), F.date_format(d, "d MMMM yyyy"))
+    new = F.when(k % 3 == 0, old).otherwise(F.date_format(F.date_add(d, (k % 50).cast("int")), "yyyy-MM-dd"))
+    a, b = values.parse_date(old)["date"], values.parse_date(new)["date"]
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(a, "yyyy-MM-dd").alias("day"), values.date_delta(a, b).alias("delta"))
+
+
+@query("""WITH k AS (SELECT [p_retailprice::INT || '%', '$' || p_retailprice::INT, 'SKU-' || p_partkey, (1900 + p_partkey % 100)::VARCHAR, (p_partkey * 1000)::VARCHAR, p_name][1 + p_partkey % 6] AS t, p_partkey FROM part)
+SELECT p_partkey, ['percent', 'money', 'identifier', 'year', 'number', 'text'][1 + p_partkey % 6] AS kind FROM k""")
+def value_kinds(spark, sf_dir):
+    k, p = F.col("p_partkey"), F.round("p_retailprice").cast("int").cast("string")
+    t = F.element_at(F.array(F.concat(p, F.lit("%")), F.concat(F.lit("$"), p), F.concat(F.lit("SKU-"), k.cast("string")), (1900 + k % 100).cast("string"), (k * 1000).cast("string"), F.col("p_name")), (k % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", values.kind_of(t).alias("kind"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN len(text) <= 90 THEN text ELSE (CASE WHEN len(regexp_extract(text[1:89], '(?s)^(.*) ', 1)) > 54 THEN regexp_extract(text[1:89], '(?s)^(.*) ', 1) ELSE text[1:89] END) || '…' END AS short,
+ CASE WHEN len(text) <= 240 THEN text ELSE text[1:239] || '…' END AS excerpt FROM conversations""")
+def excerpts(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.shorten(F.col("text")).alias("short"), text.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query("""WITH b AS (SELECT CASE WHEN regexp_matches(x, '^[=+\\-@\\t\\r]') THEN '''' || x ELSE x END AS c, page_id FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '=' || url WHEN page_id % 3 = 1 THEN url || ',"q"' ELSE url END AS x FROM pages))
+SELECT page_id, CASE WHEN regexp_matches(c, '[",\\n\\r]') THEN '"' || replace(c, '"', '""') || '"' ELSE c END AS cell FROM b""")
+def csv_cells(spark, sf_dir):
+    x = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("="), "url")).when(F.col("page_id") % 3 == 1, F.concat("url", F.lit(',"q"'))).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", text.csv_cell(x).alias("cell"))
+
+
+@query("""SELECT rule, count(*) AS n FROM (SELECT 'unknown_unit' AS rule FROM customer WHERE c_custkey % 17 = 0 UNION ALL SELECT 'not_quoted' FROM customer WHERE c_custkey % 17 <> 0 AND c_custkey % 19 = 0) GROUP BY rule""")
+def evidence_issues(spark, sf_dir):
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    units = c.select(F.lit("new").alias("side"), k.alias("unit_id"), F.col("c_name").alias("text"))
+    claims = c.select(k.alias("change_id"), F.lit("new").alias("side"), F.when(k % 17 == 0, -k - 1).otherwise(k).alias("unit_id"), F.when(k % 19 == 0, F.lit("~nowhere~")).otherwise(F.substring("c_name", 2, 5)).alias("excerpt"))
+    return evidence.verify(claims, units).where("issue is not null").groupBy(F.col("issue").alias("rule")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CASE WHEN c_custkey % 11 = 0 THEN 'missing' WHEN c_acctbal IS NULL THEN 'same' WHEN c_custkey % 7 = 0 THEN 'worse' WHEN c_custkey % 7 = 1 THEN 'better' ELSE 'same' END AS verdict, count(*) AS n FROM customer GROUP BY ALL""")
+def ratchet(spark, sf_dir):
+    c, k = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), F.col("c_custkey")
+    now = c.where(k % 11 != 0).withColumn("c_acctbal", F.col("c_acctbal") + F.when(k % 7 == 0, -1.0).when(k % 7 == 1, 1.0).otherwise(0.0))
+    return evidence.ratchet(c, now, "c_custkey", ["c_acctbal"]).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query()
+def aligned_lines(spark, sf_dir):
+    """Sequence alignment of each document's lines with an edited version; tests hold it against the standard library."""
+    old = lines(spark, sf_dir).select(F.col("doc_id").alias("scope"), F.col("place").cast("long").alias("place"), F.col("line").alias("key"))
+    new = old.where("place % 11 <> 10").withColumn("key", F.when((F.col("place") + F.col("scope")) % 7 == 0, F.concat("key", F.lit(" indeed"))).otherwise(F.col("key")))
+    return align.align(old, new)
+
+
+@query()
+def html_units(spark, sf_dir):
+    return html.units(table(spark, sf_dir, "pages"))
+
+
+@query()
+def accepted_hits(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    return limits.limited(e, [(3, 3600.0), (10, 86400.0)])
+
+
+@query()
+def moved_formulas(spark, sf_dir):
+    k = F.col("s_suppkey")
+    f = F.concat(F.lit("SUM(A"), (k + 1).cast("string"), F.lit(':$B$2)+"A1"'))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", sheets.moved(f, F.lit(2), F.lit(1)).alias("formula"))
