@@ -131,7 +131,19 @@ def byte_level_piece(p: str) -> str:
 
 def white_space_free(text: str) -> list[str]:
     """For tokenizers that drop white space and never join tokens across it: ASCII white space parts the pieces."""
-    return [x.decode() for x in text.encode().split()]
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, not to tokenizers
+        return [x.decode() for x in text.encode().split()]
+    return text.split()
+
+
+def _unknown(ids: list) -> list[int]:
+    """Places of None."""
+    out, at = [], ids.index(None)
+    for _ in range(ids.count(None)):
+        at = ids.index(None, at)
+        out.append(at)
+        at += 1
+    return out
 
 
 class Coder:
@@ -157,7 +169,7 @@ class Coder:
         known = self.memo.get
         cut = [*map(self.split, texts)]
         ids = [[*map(known, pieces)] for pieces in cut]
-        gaps = [(i, [k for k, x in enumerate(own) if x is None]) for i, own in enumerate(ids) if None in own]
+        gaps = [(i, _unknown(own)) for i, own in enumerate(ids) if None in own]
         missing = [*{cut[i][k] for i, at in gaps for k in at}]
         older = self.older
         new = {p: older[p] for p in missing if p in older}
