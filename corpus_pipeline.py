@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm import common, kneser_ney, line_dedup, packing, pii, simhash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-SHINGLE, BITS = 5, 3  # words of a near-duplicate shingle; differing bits of 64, at which texts share well over 0.8 of their shingles
+SHINGLE, SIMILARITY = 5, 0.8  # words of a near-duplicate shingle; least part of their different shingles that near duplicates share
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, that of the smallest doc_id. Rows that repeat a doc_id and text are one document."""
-    groups = simhash.groups(docs, words=SHINGLE, bits=BITS)
+    groups = simhash.similar_groups(docs, words=SHINGLE, similarity=SIMILARITY)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 

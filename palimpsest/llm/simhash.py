@@ -5,6 +5,11 @@ for single positional bytes, which a 256th of all fingerprints share, but for se
 hold one of the sets. Within a list the shared positional bytes of each pair are tallied, pairs below 8 - bits are dropped, the
 rest verified. A list longer than LONG is refined by further positions until its fingerprints differ in few bits, whose
 combinations are then looked up, so no list is ever compared pair by pair at length.
+
+Texts that share 0.8 to 0.9 of their shingles differ in 4 to 14 of those bits, which guarantees no shared byte. `similar_groups`
+therefore adds to the fingerprint a sketch of further positional bytes, each the lowest byte of the least of the shingles' hashes
+under one multiplier, which two texts share as often as shingles; they go through the same index and tally, and every link found
+either way is confirmed on the texts.
 """
 
 from __future__ import annotations
@@ -21,14 +26,21 @@ from pyspark.sql import functions as F
 from . import common
 
 SEED, LONG = 42, 512
+SKETCH, BYTES, LISTS, SLACK, TILE = 128, 4, 12, 12, 16_384  # positional bytes; of a key; keys of a text; tally below the mean; rows held
+MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles_of(text: str, words: int) -> list[bytes]:
+    """Fewer words: the whole sequence; no word: none."""
+    w = text.encode().lower().split()
+    return [b" ".join(x) for x in zip(*(w[k:] for k in range(words)), strict=False)] if len(w) > words else [b" ".join(w)] if w else []
 
 
 def fingerprint(text: str, words: int = 3) -> int:
     """Of shingles of so many words, repeats included; a bit is 1 if over half of their hashes have it. No word: 0."""
-    w = text.encode().lower().split()
-    if not w:
+    shingles = shingles_of(text, words)
+    if not shingles:
         return 0
-    shingles = [b" ".join(x) for x in zip(*(w[k:] for k in range(words)), strict=False)] if len(w) > words else [b" ".join(w)]
     count, votes, digest = len(shingles), np.zeros(64, np.int64), xxhash.xxh64_intdigest
     for a in range(0, count, 1 << 16):
         h = np.array([digest(s, SEED) for s in shingles[a : a + (1 << 16)]], "<u8")
@@ -167,6 +179,115 @@ def groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def sketch(text: str, words: int) -> bytes:
+    """SKETCH positional bytes; all 255 without a word."""
+    shingles = shingles_of(text, words)
+    least = np.full(SKETCH, (1 << 64) - 1, np.uint64)
+    for a in range(0, len(shingles), 4096):
+        h = np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles[a : a + 4096]], np.uint64)
+        least = np.minimum(least, (h * MULTIPLIERS[:, None]).min(1))
+    return (least & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def heaviest_forest(x: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Index pairs of the rows of bytes x that share at least so many, enough to connect as all such pairs do, best pairs first.
+
+    Up to LONG rows compare pair by pair. Of more, the row nearest to the commonest bytes is compared with all of them, and those
+    it meets, itself included, lead no further.
+    """
+    links, left = [], np.arange(len(x))
+    while len(left) > LONG:
+        common_bytes = np.array([np.bincount(c, minlength=256).argmax() for c in x[left].T], np.uint8)
+        lead = left[(x[left] == common_bytes).sum(1).argmax()]
+        met = np.flatnonzero((x == x[lead]).sum(1) >= least)
+        links += [(min(lead, k), max(lead, k)) for k in met.tolist() if k != lead]
+        left = left[~np.isin(left, met)]
+    pairs = []
+    for k, a in enumerate(left[:-1]):
+        tally = (x[left[k + 1 :]] == x[a]).sum(1)
+        pairs += [(-tally[j], a, left[k + 1 + j]) for j in np.flatnonzero(tally >= least)]
+    tree = forest(len(x), iter([(np.array([a]), np.array([b])) for _, a, b in sorted(pairs)]))
+    return links + tree
+
+
+def similar_sketches(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a long, b long): pairs of reps of which the tally of shared sketch bytes says that they may have the similarity.
+
+    nodes: (sketch binary, rep long). Posting lists are those of LISTS keys of BYTES positional bytes; pairs of similarity 0.8 miss
+    all lists in one case of 500. A list is read in tiles of TILE rows, of which LONG go over to the next tile.
+    """
+    n, least = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(SKETCH * similarity) - SLACK
+    keys = F.array(*(F.struct(F.lit(k).cast("byte").alias("s"), F.expr(f"substring(sketch, {1 + k * BYTES}, {BYTES})").alias("key")) for k in range(LISTS)))
+    rows = nodes.select(F.explode(keys).alias("x"), "sketch", "rep").select("x.s", "x.key", "sketch", "rep")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs(rows: list[tuple[bytes, int]]) -> pa.RecordBatch:
+        x = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(-1, SKETCH)
+        found = heaviest_forest(x, least)
+        return pa.RecordBatch.from_pydict({"a": [rows[i][1] for i, _ in found], "b": [rows[j][1] for _, j in found]}, schema=schema)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for s, key, own, rep in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (s, key) != now or len(held) == TILE:
+                    if len(held) > 1:
+                        yield pairs(held)
+                    now, held = (s, key), held[:LONG] if (s, key) == now else []
+                held.append((own, rep))
+        if len(held) > 1:
+            yield pairs(held)
+
+    return rows.repartition(n, "s", "key").sortWithinPartitions("s", "key", "rep").mapInArrow(tally, "a long, b long")
+
+
+def confirmed(links: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links (a, b) whose texts share at least that part of their different shingles. Reads a text once for each link.
+    Each doc_id of docs once."""
+    t = docs.select("doc_id", "text")
+    both = links.join(t.toDF("a", "x"), "a").join(t.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def alike(x: str, y: str) -> bool:
+        p, q = set(shingles_of(x, words)), set(shingles_of(y, words))
+        return len(p & q) >= similarity * len(p | q) - 1e-9
+
+    def check(b: pa.RecordBatch) -> dict:
+        ok = pa.array([alike(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+        return {"a": b.column(0).filter(ok), "b": b.column(1).filter(ok)}
+
+    return common.map_batches(both, check, schema, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 3) -> DataFrame:
+    """(doc_id, fingerprint, component_id), a row for each row of docs; reads doc_id, text (null: empty).
+
+    Links are pairs of texts that share at least that part of their different shingles (Jaccard), looked for among fingerprints at
+    most `bits` apart and among sketches, and confirmed on the texts. Equal fingerprint and sketch: one document. Texts without a
+    word are alike. Of rows that repeat a doc_id with another text, one text is confirmed.
+    """
+    spark = docs.sparkSession
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary())])
+
+    def one(batch: pa.RecordBatch) -> dict:
+        texts = batch.column(1).to_pylist()
+        fp = [(x := fingerprint(t, words)) - (x >> 63 << 64) for t in texts]
+        return {"doc_id": batch.column(0), "fp": fp, "sketch": [sketch(t, words) for t in texts]}
+
+    fps = common.written(common.map_batches(common.texts(docs), one, schema, "doc_id long, fp long, sketch binary"), common.shared_folder(spark))
+    nodes = common.written(fps.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep")), common.shared_folder(spark))
+    heads = common.written(nodes.groupBy("fp").agg(F.min("rep").alias("rep")), common.shared_folder(spark))
+    same = nodes.join(heads.toDF("fp", "head"), "fp").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
+    links = same.union(near_fingerprints(heads, bits)).union(similar_sketches(nodes, similarity))
+    links = common.written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), common.shared_folder(spark))
+    ends = links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).distinct()
+    own = common.texts(docs).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = common.components(common.written(confirmed(links, common.written(own, common.shared_folder(spark)), words, similarity), common.shared_folder(spark)))
+    classes = nodes.join(found, nodes.rep == found.id, "left").select("fp", "sketch", F.coalesce("component_id", "rep").alias("component_id"))
+    out = fps.join(classes, ["fp", "sketch"])
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id."""
     return groups(common.documents(spark, sf_dir))

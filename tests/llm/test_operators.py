@@ -194,6 +194,35 @@ def test_simhash(docs, none, bits):
     assert simhash.groups(none).count() == 0
 
 
+def test_similar(docs, none, spark):
+    words = [R.choice(WORDS) + str(k) for k in range(150)]
+    edited = [(400 + k, " ".join(words[:k * 7] + ["new"] * (k > 0) + words[k * 7 + k // 3 :])) for k in range(20)]
+    edited += [(500 + k, " ".join(["X"] * k + words)) for k in range(0, 60, 3)]
+    df = docs.select("doc_id", "text", "key").union(spark.createDataFrame([(i, t, 0) for i, t in edited], "doc_id long, text string, key int"))
+    all_texts = TEXTS + edited
+    sets = [set(simhash.shingles_of(t, 5)) for _, t in all_texts]
+    label = list(range(len(sets)))
+    for a, x in enumerate(sets):
+        for b in range(a):
+            if len(x & sets[b]) * 5 >= len(x | sets[b]) * 4 and label[a] != label[b]:
+                label = [min(label[a], label[b]) if y in (label[a], label[b]) else y for y in label]
+    want = sorted((i, all_texts[label[k]][0]) for k, (i, _) in enumerate(all_texts))
+    assert rows(simhash.similar_groups(df), "doc_id", "component_id") == want
+    assert simhash.similar_groups(none).count() == 0
+
+
+def test_long_sketch_lists(monkeypatch):
+    monkeypatch.setattr(simhash, "LONG", 8)
+    r = np.random.default_rng(5)
+    x = r.integers(0, 256, (3, simhash.SKETCH), np.uint8)[np.arange(90) % 3]
+    x = np.where(r.random(x.shape) < 0.1, 0, x).astype(np.uint8)
+    label = list(range(len(x)))
+    for i, j in simhash.heaviest_forest(x, 90):
+        assert (x[i] == x[j]).sum() >= 90
+        label = [label[i] if y == label[j] else y for y in label]
+    assert len(set(label)) == 3
+
+
 def test_long_posting_lists(monkeypatch):
     monkeypatch.setattr(simhash, "LONG", 8)
     r = np.random.default_rng(3)
