@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import formats
-from ..operators import classify, layout, structure
+from ..operators import classify, exports, layout, marks, structure
 from ..sources import office
 from .registry import LINES, lines, query, table
 
@@ -165,3 +165,42 @@ def workbook_cells(spark, sf_dir):
 
     files = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").mapInArrow(made, "path string, content binary")
     return office.read_workbooks(files).select("path", "sheet", "ref", "kind", "value")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'was $' || (p_size + 9) || ' now $' || p_size || ' today' WHEN 1 THEN 'MRP $' || (p_size + 9) || ' $' || p_size WHEN 2 THEN '$' || p_size || ' off list price' ELSE 'x $' || p_size || ' y' END AS shown,
+CASE p_partkey % 4 WHEN 0 THEN 'discount' WHEN 2 THEN 'discount' END AS kind, CASE p_partkey % 4 WHEN 0 THEN 'now' WHEN 2 THEN 'off' END AS wording FROM part""")
+def price_markers(spark, sf_dir):
+    k, now, old = F.col("p_partkey") % 4, F.concat(F.lit("$"), F.col("p_size").cast("string")), F.concat(F.lit("$"), (F.col("p_size") + 9).cast("string"))
+    words = F.when(k == 0, F.array(F.lit("far"), F.lit("was"), old, F.lit("now"), now, F.lit("today"))).when(k == 1, F.array(F.lit("MRP"), old, now)).when(k == 2, F.array(now, F.lit("off"), F.lit("list"), F.lit("price"))).otherwise(F.array(F.lit("x"), now, F.lit("y")))
+    at = F.when(k == 0, 5).when(k == 1, 3).when(k == 2, 1).otherwise(2)
+    near = table(spark, sf_dir, "part").select("p_partkey", marks.changed_window(words, at, at, marks.MARKER_RADIUS).alias("w")).withColumn("m", marks.nearest_marker("w"))
+    return near.select("p_partkey", F.col("w.text").alias("shown"), "m.kind", "m.wording")
+
+
+@query("""SELECT DISTINCT p_size AS page, p_brand AS section, CASE WHEN p_partkey % 2 = 0 THEN 't' || p_size END AS "table" FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 5 <> 0""")
+def priced_places(spark, sf_dir):
+    k = F.col("p_partkey")
+    units = table(spark, sf_dir, "part").select(F.col("p_size").alias("page"), F.when(k % 3 == 0, "link").otherwise("paragraph").alias("role"), F.when(k % 5 == 0, F.concat(F.lit("hrs "), k.cast("string"))).otherwise(F.concat(F.lit("from "), k.cast("string"), F.lit(" EUR"))).alias("text"), F.array(F.lit("top"), F.col("p_brand")).alias("section"), F.when(k % 2 == 0, F.concat(F.lit("t"), F.col("p_size").cast("string"))).alias("table"))
+    return marks.priced_places(units)
+
+
+def _report(spark, sf_dir, html):
+    key, gone = F.col("c_custkey"), F.col("c_custkey") % 5 == 0
+    c = table(spark, sf_dir, "customer")
+    feed = c.select(F.col("c_nationkey").alias("comparison_id"), key.alias("seq"), F.lit("Name <changed>").alias("change"), F.lit("text").alias("kind"), F.concat(F.lit("row "), key.cast("string")).alias("where_old"), F.lit("").alias("where_new"), F.col("c_name").alias("before"), F.when(~gone, F.concat("c_name", F.lit(" & Co"))).alias("after"), F.lit(None).cast("string").alias("difference"), F.col("c_mktsegment").alias("evidence_old"), F.lit(None).cast("string").alias("evidence_new"))
+    return exports.report_blocks(feed, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("comparison_id"), F.col("n_name").alias("title")), html)
+
+
+_ENDS = """WITH n AS (SELECT n_nationkey AS comparison_id, n_name AS t, count(c_custkey) || CASE WHEN count(c_custkey) = 1 THEN ' change' ELSE ' changes' END AS k FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY ALL) """
+
+
+@query(_ENDS + """SELECT comparison_id, 0::BIGINT AS seq, t || chr(10) || k AS block FROM n UNION ALL SELECT comparison_id, 9223372036854775807, '' FROM n UNION ALL
+SELECT c_nationkey, c_custkey, c_custkey || '. Name <changed> (text)' || chr(10) || '   Where (original): row ' || c_custkey || chr(10) || '   Before: ' || c_name || CASE WHEN c_custkey % 5 <> 0 THEN chr(10) || '   After: ' || c_name || ' & Co' ELSE '' END || chr(10) || '   Evidence (original): "' || c_mktsegment || '"' FROM customer""")
+def text_report(spark, sf_dir):
+    return _report(spark, sf_dir, False)
+
+
+@query(_ENDS + """SELECT comparison_id, 0::BIGINT AS seq, '<!doctype html><html lang="en"><meta charset="utf-8"><title>' || t || '</title><h1>' || t || '</h1><h2>' || k || '</h2>' AS block FROM n UNION ALL SELECT comparison_id, 9223372036854775807, '</html>' FROM n UNION ALL
+SELECT c_nationkey, c_custkey, '<article><h3>' || c_custkey || '. Name &lt;changed&gt; <small>text</small></h3><dl><dt>Where (original)</dt><dd>row ' || c_custkey || '</dd><dt>Before</dt><dd><del>' || c_name || '</del></dd>' || CASE WHEN c_custkey % 5 <> 0 THEN '<dt>After</dt><dd><ins>' || c_name || ' &amp; Co</ins></dd>' ELSE '' END || '<dt>Evidence (original)</dt><dd><q>' || c_mktsegment || '</q></dd></dl></article>' FROM customer""")
+def html_report(spark, sf_dir):
+    return _report(spark, sf_dir, True)

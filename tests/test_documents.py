@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import formats
-from palimpsest.operators import layout, structure
+from palimpsest.operators import exports, layout, marks, structure
 from palimpsest.plans import documents, registry  # noqa: F401
 from palimpsest.sources import office
 
@@ -102,3 +102,30 @@ def test_workbooks(spark):
     assert office.workbook_cells(made) == [("One & two", 0, "A1", "text", "a<b", "a<b", None), ("One & two", 0, "B1", "number", "1", "1", None), ("One & two", 0, "C1", "number", "2.5", "2.5", None), ("One & two", 0, "B2", "text", "x", "x", None)]
     with pytest.raises(office.Refused, match="missing_part"):
         office.workbook_cells(packed({"word/document.xml": ""}))
+
+
+def test_marker():
+    near = lambda text, word: marks.marker(text, text.index(word), text.index(word) + len(word))
+    assert near("Was $99, now $79", "$99") == ("original_price", "Was") and near("Was $99, now $79", "$79") == ("discount", "now")
+    assert near("MRP ₹2,999 ₹1,999", "₹1,999") is None and near("MRP ₹2,999 ₹1,999", "₹2,999") == ("original_price", "MRP")
+    assert near("know $5 offset", "$5") is None and near("12 USD sale price", "12 USD") == ("discount", "sale price")
+    assert near("Was now $5", "now") == ("original_price", "Was") and marks.marker("", 0, 0) is None
+
+
+def test_changed_window(spark):
+    cases = [(["a", "bb", "c", "d"], 2, 3, {"text": "a bb c d", "start": 2, "stop": 6}), (["a", "b"], None, None, {"text": "a b", "start": 0, "stop": 3}), ([], None, None, None), (None, 1, 1, None), (["a", "b", "c"], 3, 9, {"text": "b c", "start": 2, "stop": 3}), (["a"], 5, 6, None)]
+    df = spark.createDataFrame([(k, *c[:3]) for k, c in enumerate(cases)], "k int, w array<string>, a int, b int")
+    rows = df.select("k", marks.changed_window(F.col("w"), F.col("a"), F.col("b"), 1).alias("x")).withColumn("m", marks.nearest_marker("x")).sort("k").collect()
+    assert [r.x and r.x.asDict() for r in rows] == [{"text": "a bb c d", "start": 2, "stop": 6}, *(c[3] for c in cases[1:])]
+    assert all(r.m.kind is None for r in rows)
+
+
+def test_report_blocks(spark):
+    feed = "comparison_id int, seq int, change string, kind string, where_old string, where_new string, before string, after string, difference string, evidence_old string, evidence_new string, title string"
+    df = spark.createDataFrame([(1, 1, None, None, None, None, '<"&', None, "", None, "q", "clash")], feed)
+    names = spark.createDataFrame([(1, "A<B"), (2, None)], "comparison_id int, title string")
+    get = lambda html: [r.block for r in exports.report_blocks(df, names, html).sort("comparison_id", "seq").collect()]
+    assert get(False) == ["A<B\n1 change", '1.  ()\n   Before: <"&\n   Evidence (revised): "q"', "", "\n0 changes", ""]
+    page = get(True)
+    assert "<title>A&lt;B</title>" in page[0] and "<dd><del>&lt;&quot;&amp;</del></dd>" in page[1] and page[3].endswith("<h2>0 changes</h2>")
+    assert exports.report_blocks(df.where("seq = 5"), names).count() == 4
