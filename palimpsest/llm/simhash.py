@@ -27,6 +27,8 @@ from . import common
 
 SEED, LONG = 42, 512
 SKETCH, BYTES, LISTS, SLACK, TILE = 128, 4, 12, 12, 16_384  # positional bytes; of a key; keys of a text; tally below the mean; rows held
+BLOCK = 4096  # rows of a long list that are compared with as many others at once
+LINK, MEMBER = 0, 1
 MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -202,49 +204,121 @@ def heaviest_forest(x: np.ndarray, least: int) -> list[tuple[int, int]]:
         met = np.flatnonzero((x == x[lead]).sum(1) >= least)
         links += [(min(lead, k), max(lead, k)) for k in met.tolist() if k != lead]
         left = left[~np.isin(left, met)]
-    pairs = []
-    for k, a in enumerate(left[:-1]):
-        tally = (x[left[k + 1 :]] == x[a]).sum(1)
-        pairs += [(-tally[j], a, left[k + 1 + j]) for j in np.flatnonzero(tally >= least)]
-    tree = forest(len(x), iter([(np.array([a]), np.array([b])) for _, a, b in sorted(pairs)]))
-    return links + tree
+    i, j = left[tallied(x[left], least)]
+    return links + forest(len(x), iter([(i, j)]))
+
+
+def tallied(x: np.ndarray, least: int) -> np.ndarray:
+    """All index pairs of the rows of bytes x that share at least so many, in two rows, best pairs first."""
+    found = [np.zeros((3, 0), np.int64)]
+    for a in range(len(x) - 1):
+        tally = np.count_nonzero(x[a + 1 :] == x[a], axis=1)
+        b = np.flatnonzero(tally >= least)
+        found.append(np.array([-tally[b], np.full(len(b), a), a + 1 + b], np.int64))
+    pairs = np.concatenate(found, axis=1)
+    return pairs[1:, np.lexsort(pairs[::-1])]
 
 
 def similar_sketches(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a long, b long): pairs of reps of which the tally of shared sketch bytes says that they may have the similarity.
+    """(a long, b long, kind byte): pairs of reps of which the tally of shared sketch bytes says that they may have the similarity.
 
     nodes: (sketch binary, rep long). Posting lists are those of LISTS keys of BYTES positional bytes; pairs of similarity 0.8 miss
-    all lists in one case of 500. A list is read in tiles of TILE rows, of which LONG go over to the next tile.
+    all lists in one case of 500. LINK pairs connect a list as all its pairs do; they are tried first. As a try may fail, a list that
+    may have other pairs also gives their rows (MEMBER: rep, number of the list) for `crossing_sketches`. A list is read in tiles of TILE rows, of which LONG go over to the next tile.
     """
     n, least = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(SKETCH * similarity) - SLACK
     keys = F.array(*(F.struct(F.lit(k).cast("byte").alias("s"), F.expr(f"substring(sketch, {1 + k * BYTES}, {BYTES})").alias("key")) for k in range(LISTS)))
     rows = nodes.select(F.explode(keys).alias("x"), "sketch", "rep").select("x.s", "x.key", "sketch", "rep")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def pairs(rows: list[tuple[bytes, int]]) -> pa.RecordBatch:
-        x = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(-1, SKETCH)
-        found = heaviest_forest(x, least)
-        return pa.RecordBatch.from_pydict({"a": [rows[i][1] for i, _ in found], "b": [rows[j][1] for _, j in found]}, schema=schema)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("kind", pa.int8())])
+
+    def batch(a: np.ndarray, b: np.ndarray, kind: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"a": a, "b": b, "kind": np.full(len(a), kind, np.int8)}, schema=schema)
+
+    def pairs(rows: list[tuple[bytes, int]], known: int, ended: bool, name: tuple[int, bytes]) -> Iterator[pa.RecordBatch]:
+        if len(rows) < 2:
+            return
+        x, rep = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(-1, SKETCH), np.array([r[1] for r in rows], np.int64)
+        if ended and not known and len(rows) <= LONG:
+            every = tallied(x, least)
+            found = np.array(forest(len(x), iter([every])), np.int64).reshape(-1, 2)
+            own = np.unique(every) if every.shape[1] > len(found) else np.zeros(0, np.int64)
+        else:
+            found, own = np.array(heaviest_forest(x, least), np.int64).reshape(-1, 2), np.arange(known, len(rows))
+        yield batch(rep[found[:, 0]], rep[found[:, 1]], LINK)
+        number = xxhash.xxh64_intdigest(bytes([name[0]]) + name[1], SEED)
+        yield batch(rep[own], np.full(len(own), number - (number >> 63 << 64), np.int64), MEMBER)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            for s, key, own, rep in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (s, key) != now or len(held) == TILE:
-                    if len(held) > 1:
-                        yield pairs(held)
-                    now, held = (s, key), held[:LONG] if (s, key) == now else []
+        now, held, known = None, [], 0
+        for some in batches:
+            for s, key, own, rep in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                ended = (s, key) != now
+                if ended or len(held) == TILE:
+                    yield from pairs(held, known, ended, now)
+                    now, held = (s, key), [] if ended else held[:LONG]
+                    known = len(held)
                 held.append((own, rep))
-        if len(held) > 1:
-            yield pairs(held)
+        yield from pairs(held, known, True, now)
 
-    return rows.repartition(n, "s", "key").sortWithinPartitions("s", "key", "rep").mapInArrow(tally, "a long, b long")
+    return rows.repartition(n, "s", "key").sortWithinPartitions("s", "key", "rep").mapInArrow(tally, "a long, b long, kind byte")
+
+
+def crossing_sketches(members: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a long, b long): all pairs of a list of different components of which the tally says that they may have the similarity.
+
+    members: (list long, rep long, c long), c the component. Lists of one component have no such pair. The others are cut into tiles
+    of BLOCK rows at the mean, and each pair of tiles is compared by itself.
+    """
+    n, least = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(SKETCH * similarity) - SLACK
+    mixed = members.groupBy("list").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("t")).where("lo <> hi")
+    rows = members.join(mixed.select("list", "t"), "list").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("t")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    rows = rows.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "c", "rep")
+    rows = rows.join(nodes.select("rep", "sketch"), "rep").select("list", "i", "j", "left", "c", "rep", "sketch")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        left, c, rep = (np.array([r[k] for r in rows]) for k in range(3))
+        if len(rows) < 2 or (c == c[0]).all():
+            return
+        x, out, size = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, SKETCH), [], 0
+        one_tile = left.all()
+        place, firsts = np.arange(len(rows)), np.flatnonzero(left)
+        for a in firsts:
+            b = np.flatnonzero((c != c[a]) & (place > a if one_tile else ~left))
+            b = b[np.count_nonzero(x[b] == x[a], axis=1) >= least]
+            out.append((np.full(len(b), rep[a]), rep[b]))
+            size += len(b)
+            if size > 1 << 16 or a == firsts[-1]:
+                yield pa.RecordBatch.from_pydict({"a": np.concatenate([p for p, _ in out]), "b": np.concatenate([q for _, q in out])}, schema=schema)
+                out, size = [], 0
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for some in batches:
+            for number, i, j, *row in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                if (number, i, j) != now:
+                    if held:
+                        yield from compare(held)
+                    now, held = (number, i, j), []
+                held.append(row)
+        if held:
+            yield from compare(held)
+
+    return rows.repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(blocks, "a long, b long")
+
+
+def distinct_links(links: DataFrame) -> DataFrame:
+    """(a, b), a < b, each once, written down."""
+    return common.written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), common.shared_folder(links.sparkSession))
 
 
 def confirmed(links: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The links (a, b) whose texts share at least that part of their different shingles. Reads a text once for each link.
-    Each doc_id of docs once."""
-    t = docs.select("doc_id", "text")
+    Of rows of docs that repeat a doc_id, one."""
+    ends = links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).distinct()
+    own = common.texts(docs).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    t = common.written(own, common.shared_folder(docs.sparkSession)).select("doc_id", "text")
     both = links.join(t.toDF("a", "x"), "a").join(t.toDF("b", "y"), "b").select("a", "b", "x", "y")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -263,7 +337,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bit
     """(doc_id, fingerprint, component_id), a row for each row of docs; reads doc_id, text (null: empty).
 
     Links are pairs of texts that share at least that part of their different shingles (Jaccard), looked for among fingerprints at
-    most `bits` apart and among sketches, and confirmed on the texts. Equal fingerprint and sketch: one document. Texts without a
+    most `bits` apart and among sketches, and confirmed on the texts. First come links that would connect each posting list; then every
+    other pair of sketches that a list tallies and whose ends the confirmed ones leave apart, as a rejected link says nothing of them. Equal fingerprint and sketch: one document. Texts without a
     word are alike. Of rows that repeat a doc_id with another text, one text is confirmed.
     """
     spark = docs.sparkSession
@@ -278,11 +353,16 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bit
     nodes = common.written(fps.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep")), common.shared_folder(spark))
     heads = common.written(nodes.groupBy("fp").agg(F.min("rep").alias("rep")), common.shared_folder(spark))
     same = nodes.join(heads.toDF("fp", "head"), "fp").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
-    links = same.union(near_fingerprints(heads, bits)).union(similar_sketches(nodes, similarity))
-    links = common.written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), common.shared_folder(spark))
-    ends = links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).distinct()
-    own = common.texts(docs).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    found = common.components(common.written(confirmed(links, common.written(own, common.shared_folder(spark)), words, similarity), common.shared_folder(spark)))
+    alike = common.written(similar_sketches(nodes, similarity), common.shared_folder(spark))
+    links = distinct_links(same.union(near_fingerprints(heads, bits)).union(alike.where(f"kind = {LINK}").select("a", "b")))
+    first = common.written(confirmed(links, docs, words, similarity), common.shared_folder(spark))
+    found = common.components(first)
+    members = alike.where(f"kind = {MEMBER}").select(F.col("b").alias("list"), F.col("a").alias("rep"))
+    members = members.join(found.toDF("rep", "c"), "rep", "left").select("list", "rep", F.coalesce("c", "rep").alias("c"))
+    more = distinct_links(crossing_sketches(common.written(members, common.shared_folder(spark)), nodes, similarity))
+    second = common.written(confirmed(more, docs, words, similarity), common.shared_folder(spark))
+    if not second.isEmpty():
+        found = common.components(first.union(second))
     classes = nodes.join(found, nodes.rep == found.id, "left").select("fp", "sketch", F.coalesce("component_id", "rep").alias("component_id"))
     out = fps.join(classes, ["fp", "sketch"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

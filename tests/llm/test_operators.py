@@ -211,6 +211,20 @@ def test_similar(docs, none, spark):
     assert simhash.similar_groups(none).count() == 0
 
 
+def test_sketch_pairs_are_all_tried(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 100)
+    r = np.random.default_rng(6)
+    x = np.where(r.random((540, simhash.SKETCH)) < 0.2, r.integers(0, 256, (540, simhash.SKETCH)), 7).astype(np.uint8)
+    x[:, : simhash.BYTES] = 7
+    nodes = spark.createDataFrame([(bytes(b), i) for i, b in enumerate(x.tolist())], "sketch binary, rep long")
+    found = simhash.similar_sketches(nodes, 0.8).cache()
+    members = found.where(f"kind = {simhash.MEMBER}").select(F.col("b").alias("list"), F.col("a").alias("rep"), F.col("a").alias("c"))
+    got = {(min(p), max(p)) for p in map(tuple, simhash.crossing_sketches(members, nodes, 0.8).collect())}
+    want = {(i, j) for i in range(540) for j in range(i + 1, 540) if (x[i] == x[j]).sum() >= 90}
+    assert len(want) > 540 and got == want
+    assert simhash.crossing_sketches(members.withColumn("c", F.lit(0)), nodes, 0.8).count() == 0
+
+
 def test_long_sketch_lists(monkeypatch):
     monkeypatch.setattr(simhash, "LONG", 8)
     r = np.random.default_rng(5)
