@@ -61,6 +61,7 @@ GLYPHS = _wide() | dict.fromkeys(INVISIBLE, "")
 NON_ASCII = re.compile(r"[^\x00-\x7f]")
 SPELLED_RUN = re.compile(rf"(?<!\w)(?:{NAME})(?:[ ,.-]{{1,2}}(?:{NAME})){{{LEAST_SPELLED - 1},}}(?!\w)", re.IGNORECASE)
 SPELLED_ONE = re.compile(NAME, re.IGNORECASE)
+WORD = re.compile(r"\w+")
 AT_SHUT, DOT_SHUT = (rf"\s{{0,3}}[\[({{<]\s{{0,3}}{w}\s{{0,3}}[\])}}>]\s{{0,3}}" for w in ("(?:at|@)", r"(?:dot|\.)"))
 DOT = re.compile(rf"{DOT_SHUT}|(?<=[A-Za-z0-9])\s{{1,3}}dot\s{{1,3}}(?=[A-Za-z0-9])", re.IGNORECASE)
 AT = re.compile(AT_SHUT, re.IGNORECASE)
@@ -68,20 +69,14 @@ BARE_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]{1,63}
 
 
 def disguised(text: str) -> bool:
-    """Whether any transducer could change the text; cheap for the many texts where none can."""
+    """Whether any transducer could change the text, true wherever one does; cheap for the many texts where none can."""
     if not text.isascii() and not GLYPHS.keys().isdisjoint(NON_ASCII.findall(text)):
         return True
     lower = text.lower()
-    if "dot" in lower and DOT.search(text) or any(b in text for b in "[({<") and AT.search(text):
+    bracket = any(b in text for b in "[({<")
+    if (bracket or "dot" in lower) and DOT.search(text) or bracket and AT.search(text):
         return True
-    words, row = lower.replace(",", " ").replace(".", " ").replace("-", " ").split(), 0
-    if DIGIT_OF.keys().isdisjoint(words):
-        return False
-    for w in words:
-        row = row + 1 if w in DIGIT_OF else 0
-        if row == LEAST_SPELLED:
-            return True
-    return False
+    return not DIGIT_OF.keys().isdisjoint(WORD.findall(lower)) and SPELLED_RUN.search(text) is not None
 
 
 def luhn(digits: str) -> bool:

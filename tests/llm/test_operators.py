@@ -101,6 +101,12 @@ def test_pii(docs, none):
     assert pii.find_pii(docs).count() == len(TEXTS) and pii.find_pii(none).count() == 0
 
 
+def test_pii_gate():
+    for text in ("bob@example[.]com", "10.0.0[.]1", "bob@example{.}com", "bob@example(.)com", "bob@example < . >com", "(one two three four)", "\u201cone two three four\u201d", "plain (text) of one"):
+        assert pii.disguised(text) == pii.normalised(text).changed, text
+    assert pii.masked("bob@example[.]com, 10.0.0[.]1") == "[EMAIL], [IP]"
+
+
 def test_embeddings(spark):
     g = np.random.default_rng(1)
     base = g.standard_normal((60, 8))
