@@ -143,6 +143,11 @@ def test_quality(spark, docs, none):
     assert np.allclose(p.reshape(-1, kneser_ney.SIGNS).sum(1), 1, atol=1e-3)
 
 
+def test_all_trusted_text_counts(spark):
+    labels = spark.range(20_050).selectExpr("id doc_id", "1 quality", "0 toxic")
+    assert kneser_ney.trusted_ids(labels).count() == 20_050
+
+
 def test_bit_planes(spark, docs, none, tmp_path):
     t, at, want = tokens.library(tokens.vocabulary("word_bpe_49k.json")), 0, []
     for i, x in TEXTS:
