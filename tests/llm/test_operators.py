@@ -143,6 +143,11 @@ def test_quality(spark, docs, none):
     assert np.allclose(p.reshape(-1, kneser_ney.SIGNS).sum(1), 1, atol=1e-3)
 
 
+def test_quality_limit(spark):
+    scored = spark.createDataFrame([("en", x) for x in [4.8, 5.0, 5.0, 5.2, 6.3]], "lang string, perplexity double")
+    assert 5.2 < kneser_ney.limits(scored).first().upper < 6.3
+
+
 def test_all_trusted_text_counts(spark):
     labels = spark.range(20_050).selectExpr("id doc_id", "1 quality", "0 toxic")
     assert kneser_ney.trusted_ids(labels).count() == 20_050
