@@ -148,7 +148,7 @@ def normalised(text: str) -> Mapped:
 
 
 def all_spans(text: str, base: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, int]]:
-    """Base spans and, where they overlap none of them, those that only the normalised text shows."""
+    """Base spans and those of the normalised text that differ from all of them; these may hold a base span or a part of one."""
     base = base_spans(text) if base is None else base
     if not disguised(text):
         return base
@@ -156,10 +156,7 @@ def all_spans(text: str, base: list[tuple[int, int, int]] | None = None) -> list
     if not x.changed:
         return base
     found = [(k, x.first[a], x.last[b - 1]) for k, a, b in base_spans(x.text)]
-    taken = bytearray(len(text))
-    for _, a, b in base:
-        taken[a:b] = b"\1" * (b - a)
-    return sorted(base + [s for s in found if not any(taken[s[1] : s[2]])])
+    return sorted(base + [*set(found).difference(base)])
 
 
 def masked(text: str) -> str:

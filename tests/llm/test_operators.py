@@ -101,6 +101,13 @@ def test_pii(docs, none):
     assert pii.find_pii(docs).count() == len(TEXTS) and pii.find_pii(none).count() == 0
 
 
+def test_pii_parts():
+    """A base span that is a part of the address hides none of it."""
+    text = "j\u043ehn@example.com or john@mail.example dot com"
+    assert [text[a:b] for _, a, b in pii.all_spans(text)] == ["j\u043ehn@example.com", "hn@example.com", "john@mail.example", "john@mail.example dot com"]
+    assert pii.masked(text) == "[EMAIL] or [EMAIL]"
+
+
 def test_pii_gate():
     for text in ("bob@example[.]com", "10.0.0[.]1", "bob@example{.}com", "bob@example(.)com", "bob@example < . >com", "(one two three four)", "\u201cone two three four\u201d", "plain (text) of one"):
         assert pii.disguised(text) == pii.normalised(text).changed, text
