@@ -62,6 +62,8 @@ NON_ASCII = re.compile(r"[^\x00-\x7f]")
 SPELLED_RUN = re.compile(rf"(?<!\w)(?:{NAME})(?:[ ,.-]{{1,2}}(?:{NAME})){{{LEAST_SPELLED - 1},}}(?!\w)", re.IGNORECASE)
 SPELLED_ONE = re.compile(NAME, re.IGNORECASE)
 WORD = re.compile(r"\w+")
+PART = re.compile(rf"{NAME}|[0-9]+", re.IGNORECASE)
+MIXED_RUN = re.compile(rf"(?<!\w)(?:{NAME}|[0-9]{{1,19}})(?:[ ,.-]{{1,2}}(?:{NAME}|[0-9]{{1,19}}))+(?!\w)", re.IGNORECASE)
 AT_SHUT, DOT_SHUT = (rf"\s{{0,3}}[\[({{<]\s{{0,3}}{w}\s{{0,3}}[\])}}>]\s{{0,3}}" for w in ("(?:at|@)", r"(?:dot|\.)"))
 DOT = re.compile(rf"{DOT_SHUT}|(?<=[A-Za-z0-9])\s{{1,3}}dot\s{{1,3}}(?=[A-Za-z0-9])", re.IGNORECASE)
 AT = re.compile(AT_SHUT, re.IGNORECASE)
@@ -76,7 +78,7 @@ def disguised(text: str) -> bool:
     bracket = any(b in text for b in "[({<")
     if (bracket or "dot" in lower) and DOT.search(text) or bracket and AT.search(text):
         return True
-    return not DIGIT_OF.keys().isdisjoint(WORD.findall(lower)) and SPELLED_RUN.search(text) is not None
+    return not DIGIT_OF.keys().isdisjoint(WORD.findall(lower)) and any(_mixed(m) for m in MIXED_RUN.finditer(text))
 
 
 def luhn(digits: str) -> bool:
@@ -134,6 +136,39 @@ def _digits(m: re.Match) -> Iterator[tuple[int, int, str]]:
         at = d.end()
 
 
+def _mixed(m: re.Match) -> list[tuple[int, int, str]]:
+    """A run of names and figures of LEAST_SPELLED digits or more: each name its digit, the separators beside names nothing. Where
+    that gives an address, full stops stay."""
+    parts = [(*d.span(), DIGIT_OF.get(d[0].lower())) for d in PART.finditer(m.string, m.start(), m.end())]
+    if all(new is None for _, _, new in parts) or sum(1 if new else b - a for a, b, new in parts) < LEAST_SPELLED:
+        return []
+
+    def edits(stops: bool) -> Iterator[tuple[int, int, str]]:
+        at, spelled = m.start(), False
+        for a, b, new in parts:
+            if at < a and stops and "." in m.string[at:a]:
+                yield at, a, "."
+            elif at < a and (spelled or new):
+                yield at, a, ""
+            if new:
+                yield a, b, new
+            at, spelled = b, new is not None
+
+    with_stops, run = list(edits(True)), Mapped(m.string[m.start() : m.end()])
+    run.rewrite((a - m.start(), b - m.start(), new) for a, b, new in with_stops)
+    return with_stops if any(k == 1 for k, _, _ in base_spans(run.text)) else list(edits(False))
+
+
+def stopped(text: str) -> Mapped:
+    """The transducers with dots and at signs before the digits, whose runs then may hold figures and full stops."""
+    x = Mapped(text)
+    x.rewrite((*m.span(), GLYPHS[m[0]]) for m in NON_ASCII.finditer(text) if m[0] in GLYPHS)
+    x.rewrite((*m.span(), ".") for m in DOT.finditer(x.text))
+    x.rewrite((*m.span(), "@") for m in AT.finditer(x.text))
+    x.rewrite(e for m in MIXED_RUN.finditer(x.text) for e in _mixed(m))
+    return x
+
+
 def normalised(text: str) -> Mapped:
     """The transducers in a row: glyphs, spelled digits, dots, at signs."""
     x = Mapped(text)
@@ -152,11 +187,14 @@ def all_spans(text: str, base: list[tuple[int, int, int]] | None = None) -> list
     base = base_spans(text) if base is None else base
     if not disguised(text):
         return base
-    x = normalised(text)
-    if not x.changed:
-        return base
-    found = [(k, x.first[a], x.last[b - 1]) for k, a, b in base_spans(x.text)]
-    return sorted(base + [*set(found).difference(base)])
+    x, y = normalised(text), stopped(text)
+    found = {(k, x.first[a], x.last[b - 1]) for k, a, b in base_spans(x.text)} if x.changed else set()
+    for k, a, b in base_spans(y.text) if y.changed else ():
+        span = k, y.first[a], y.last[b - 1]
+        digits = sum(c.isdigit() for c in y.text[a:b])  # a lone name beside a whole number ("... 1373 Un") is a word
+        if not any(k == n and p < span[2] and span[1] < q and digits < 2 + sum(c.isdigit() for c in text[p:q]) for n, p, q in base):
+            found.add(span)
+    return sorted(base + [*found.difference(base)])
 
 
 def masked(text: str) -> str:

@@ -101,6 +101,15 @@ def test_pii(docs, none):
     assert pii.find_pii(docs).count() == len(TEXTS) and pii.find_pii(none).count() == 0
 
 
+def test_pii_spelled_with_figures():
+    for text in ("one nine two dot one six eight dot zero dot one", "one nine two.one six eight.zero.one", "192 dot one six eight.0.one"):
+        assert pii.all_spans("at " + text + " now") == [(1, 3, 3 + len(text))], text
+    card = "4111 one one 1 one 1111 one 11 one"
+    assert pii.all_spans("in May " + card) == [(2, 7, 7 + len(card))]
+    assert len(pii.all_spans("+1 (848) 555-1373 Un an")) == 1
+    assert pii.all_spans("one dot two") == [] and not pii.disguised("one of 2 in 2024")
+
+
 def test_pii_parts():
     """A base span that is a part of the address hides none of it."""
     text = "j\u043ehn@example.com or john@mail.example dot com"
