@@ -25,13 +25,27 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
 
 
+_folders: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the one the cluster names in spark.checkpoint.dir; where that is unset, as in tests, a local one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.palimpsest.scratch", None)
+    """A new folder in the one the cluster names in spark.checkpoint.dir. Where that is unset a session on one machine, as in tests, gets
+    a local one; on a cluster there is no folder that all executors reach, so it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.palimpsest.scratch", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='palimpsest-')}"
         spark.conf.set("spark.palimpsest.scratch", base)
-    return f"{base.rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
+    _folders.append(f"{base.rstrip('/')}/palimpsest-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+def drop_folders(spark: SparkSession, but: str | None = None) -> None:
+    """Drops the folders made so far, but one. What reads them must have run to its end."""
+    for path in [p for p in _folders if p != but]:
+        drop_folder(spark, path)
+        _folders.remove(path)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
@@ -45,6 +59,19 @@ def written(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """(doc_id, tie long, text) of texts(): tie is 0, but where rows of one doc_id differ in text it is a hash of the text."""
+    rows = texts(docs)
+    folder = shared_folder(docs.sparkSession)
+    repeated = written(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), folder)
+    if repeated.isEmpty():
+        drop_folder(docs.sparkSession, folder)
+        return rows.select("doc_id", F.lit(0).cast("long").alias("tie"), "text")
+    other = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.count_distinct("text").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("differ"))
+    tie = F.when(F.col("differ"), F.xxhash64("text")).otherwise(0)
+    return rows.join(other, "doc_id", "left").select("doc_id", tie.alias("tie"), "text")
+
+
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: pa.Schema, ddl: str) -> DataFrame:
     """rows: a dict of equally long columns for each Arrow batch."""
 

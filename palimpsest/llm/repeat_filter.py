@@ -1,15 +1,13 @@
-"""Two Bloom filters, of hashes seen once and of hashes seen twice, built over a whole table.
+"""Two Bloom filters, of hashes seen once and of hashes seen twice, dealt by ranges of hashes.
 
-Each task fills a pair of bitmaps of its rows. Pairs merge like saturating counters: once = a.once | b.once,
-twice = a.twice | b.twice | (a.once & b.once), so a hash that two tasks saw once each is in the merged second filter.
-The second filter misses no repeat; it also holds a few hashes seen once, which callers confirm exactly.
-The size follows the number of hashes up to MAX_BITS (32 MB a filter), so what is sent to tasks has a fixed bound; beyond it
-more hashes become suspects and results stay the same.
+Tasks send their different hashes, eight bytes each, and those that they saw again. A range's task fills its pair of filters in one
+pass: a hash that the first filter has already goes to the second. The second filter misses no repeat; it also holds a few
+hashes seen once, which callers confirm exactly. A range has about RANGE_KEYS hashes and BITS_PER_KEY bits for each, at every size of
+the input. Filters of SENT bytes together go to all tasks; more stay in the shared folder, and what is to be looked up is dealt to them by range.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,66 +15,148 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_BITS, MAX_BITS, BITS_PER_KEY, PROBES, SEGMENT, FAN_IN = 1 << 19, 1 << 28, 12, 3, 1 << 16, 64
+from . import common
 
+RANGE_KEYS, BITS_PER_KEY, PROBES, HELD, SENT = 1 << 20, 12, 3, 1 << 22, 64 << 20
+PACKED = pa.schema([("range", pa.int32()), ("once", pa.binary()), ("again", pa.binary())])
+FILTER = pa.schema([("range", pa.int32()), ("twice", pa.binary())])
 
-def bits_for(keys: int) -> int:
-    return min(MAX_BITS, max(MIN_BITS, 1 << int(keys * BITS_PER_KEY).bit_length()))
 
+def places(h: np.ndarray, bits: int, ranges: int) -> list[np.ndarray]:
+    """The bits of each hash in its range's filter."""
+    own = h // np.uint64(ranges)
+    step = (own >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    return [((own + np.uint64(i) * step) >> np.uint64(7)) % np.uint64(bits) for i in range(PROBES)]
 
-def probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    step = (h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
-    return [((h + np.uint64(i) * step) >> np.uint64(7)) & np.uint64(bits - 1) for i in range(PROBES)]
 
+def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
+    return (h % np.uint64(ranges)).astype(np.int32)
 
-def has(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    found = np.ones(len(h), bool)
-    for p in probes(h, bits):
-        found &= (bitmap[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    return found
 
+def _packed(h: np.ndarray, ranges: int) -> pa.RecordBatch:
+    h, n = np.unique(h, return_counts=True)
+    parts = []
+    for some in (h, h[n > 1]):
+        r = range_of(some, ranges)
+        order = np.argsort(r, kind="stable")
+        parts.append((some[order], np.searchsorted(r[order], np.arange(ranges + 1))))
+    used = np.flatnonzero(np.diff(parts[0][1]))
+    cols = [[x[cut[k] : cut[k + 1]].tobytes() for k in used] for x, cut in parts]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], schema=PACKED)
 
-def put(bitmap: np.ndarray, h: np.ndarray, bits: int) -> None:
-    for p in probes(h, bits):
-        np.bitwise_or.at(bitmap, p >> np.uint64(3), np.left_shift(np.uint8(1), (p & np.uint64(7)).astype(np.uint8)))
 
+class Twice:
+    """The second filters of a table: `ranges` of them, `bits` each, as rows (range, twice) in the shared folder."""
 
-def twice_seen(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], keys: int) -> tuple[np.ndarray, int]:
-    """The second filter and its bits. hashes: all hashes (uint64) of a batch, one for each occurrence that counts."""
-    bits = bits_for(keys)
-    schema = pa.schema([("seg", pa.int32()), ("part", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
-    ddl = "seg int, part int, once binary, twice binary"
+    def __init__(self, filters: DataFrame, folder: str, bits: int, ranges: int):
+        self.filters, self.folder, self.bits, self.ranges = filters, folder, bits, ranges
+        self.held = None
+        if ranges * bits // 8 <= SENT:
+            whole = np.zeros(ranges * bits // 8, np.uint8)
+            for k, twice in filters.collect():
+                whole[k * bits // 8 : (k + 1) * bits // 8] = np.frombuffer(twice, np.uint8)
+            self.held = filters.sparkSession.sparkContext.broadcast(whole.tobytes())
+
+    def tester(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Of hashes, which are suspected repeats; where the filters were sent. To be pickled with a task."""
+        held, bits, ranges = self.held, self.bits, self.ranges
+
+        def test(h: np.ndarray) -> np.ndarray:
+            whole, base = np.frombuffer(held.value, np.uint8), range_of(h, ranges).astype(np.uint64) * np.uint64(bits)
+            return _has(whole, [base + p for p in places(h, bits, ranges)])
+
+        return test
+
+    def suspected(self, rows: DataFrame) -> DataFrame:
+        """Those of the rows (range int, h long, sure boolean, ...) that are sure or whose h is a suspected repeat; columns after `sure`.
+
+        Rows are dealt to their range's filter. Callers mark hashes that a batch has twice as sure and give these any range, so no hash
+        brings its range more rows than there are batches."""
+        names = rows.columns
+        schema, bits, ranges = rows.schema, self.bits, self.ranges
+        out = pa.schema([(f.name, t) for f, t in zip(schema.fields[3:], _arrow(schema)[3:], strict=True)])
+        both = self.filters.select("range", F.lit(0).alias("kind"), "twice", *(F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[1:]))
+        both = both.union(rows.select("range", F.lit(1), F.lit(None).cast("binary"), *names[1:]))
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, twice = None, None
+            for b in batches:
+                r, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+                cuts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+                for a, e in zip(cuts, [*cuts[1:], len(r)], strict=True):
+                    if r[a] != now:
+                        now, twice = r[a], np.zeros(bits // 8, np.uint8)
+                    if kind[a] == 0:
+                        twice, a = np.frombuffer(b.column(2)[int(a)].as_py(), np.uint8), a + 1
+                    some = b.slice(a, e - a)
+                    if len(some):
+                        ok = some.column(4).to_numpy(zero_copy_only=False).astype(bool)
+                        rest = np.flatnonzero(~ok)
+                        ok[rest] = _has(twice, places(some.column(3).to_numpy()[rest].view(np.uint64), bits, ranges))
+                        yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in some.columns[5:]], schema=out)
+
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = both.repartition(n, "range").sortWithinPartitions("range", "kind")
+        return dealt.mapInArrow(probe, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields[3:]))
+
+    def drop(self) -> None:
+        common.drop_folder(self.filters.sparkSession, self.folder)
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+def _arrow(schema) -> list[pa.DataType]:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return [to_arrow_type(f.dataType) for f in schema.fields]
+
+
+def _has(bitmap: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
+    found = np.ones(len(at[0]), bool)
+    for p in at:
+        found &= (bitmap[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return found
+
+
+def twice_seen(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], keys: int) -> Twice:
+    """hashes: all hashes (uint64) of a batch, one for each occurrence that counts; keys: how many there are in all, about."""
+    spark = df.sparkSession
+    ranges = max(1, -(-keys // RANGE_KEYS))
+    bits = max(1 << 12, -(-keys * BITS_PER_KEY // ranges // 8) * 8)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            h, n = np.unique(hashes(batch), return_counts=True)
-            again = (n > 1) | has(once, h, bits)
-            put(twice, h[again], bits)
-            put(once, h, bits)
-        for s in range(0, len(once), SEGMENT):
-            if once[s : s + SEGMENT].any():
-                packed = [[zlib.compress(x[s : s + SEGMENT].tobytes(), 1)] for x in (once, twice)]
-                yield pa.RecordBatch.from_pydict({"seg": [s // SEGMENT], "part": [TaskContext.get().partitionId()], "once": packed[0], "twice": packed[1]}, schema=schema)
-
-    def merge(key, table):
-        once = twice = None
-        for a, b in zip(table.column("once"), table.column("twice"), strict=True):
-            o, t = (np.frombuffer(zlib.decompress(x.as_py()), np.uint8) for x in (a, b))
-            once, twice = (o.copy(), t.copy()) if once is None else (once | o, twice | t | (once & o))
-        return pa.Table.from_pydict({"seg": [key[0].as_py()], "part": [key[1].as_py()], "once": [zlib.compress(once.tobytes(), 1)], "twice": [zlib.compress(twice.tobytes(), 1)]}, schema=schema)
-
-    parts, tasks = df.mapInArrow(fill, ddl), df.rdd.getNumPartitions()
-    while True:  # a merge reads at most FAN_IN pairs of a segment
-        tasks = -(-tasks // FAN_IN)
-        parts = parts.select("seg", F.pmod("part", F.lit(tasks)).cast("int").alias("part"), "once", "twice")
-        parts = parts.groupBy("seg", "part").applyInArrow(merge, ddl)
-        if tasks == 1:
-            break
-    out = np.zeros(bits // 8, np.uint8)
-    for seg, twice in parts.select("seg", "twice").collect():
-        out[seg * SEGMENT : (seg + 1) * SEGMENT] = np.frombuffer(zlib.decompress(bytes(twice)), np.uint8)
-    return out, bits
+            held.append(hashes(batch))
+            size += len(held[-1])
+            if size >= HELD:
+                yield _packed(np.concatenate(held), ranges)
+                held, size = [], 0
+        if size:
+            yield _packed(np.concatenate(held), ranges)
 
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = once = twice = None
+        for batch in batches:
+            for r, new, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != now:
+                    if now is not None:
+                        yield _filter(now, twice)
+                    now, once, twice = r, np.zeros(bits, bool), np.zeros(bits, bool)
+                h = np.frombuffer(new, np.uint64)
+                at = places(h, bits, ranges)
+                seen = once[at[0]] & once[at[1]] & once[at[2]]
+                for p in at:
+                    twice[p[seen]] = True
+                    once[p] = True
+                for p in places(np.frombuffer(again, np.uint64), bits, ranges):
+                    twice[p] = True
+        if now is not None:
+            yield _filter(now, twice)
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = df.mapInArrow(send, "range int, once binary, again binary").repartition(n, "range").sortWithinPartitions("range")
+    folder = common.shared_folder(spark)
+    return Twice(common.written(sent.mapInArrow(fill, "range int, twice binary"), folder), folder, bits, ranges)
+
+
+def _filter(r: int, twice: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"range": [r], "twice": [np.packbits(twice, bitorder="little").tobytes()]}, schema=FILTER)
