@@ -1,8 +1,9 @@
 """Token-ID output (operator 7): blocks of ids, transposed into bit planes, each compressed with zstandard.
 
 File: MAGIC, then chunks, then the index, its length in eight bytes, MAGIC. A chunk holds BLOCK ids (the last one fewer):
-a byte for the planes present, then for each plane from the lowest bit its length in four bytes and its zstandard frame. The index (JSON,
-compressed) has the place, ids and first id of each chunk, and the documents' ids and lengths as planes of their own.
+a byte for the planes present, then for each plane from the lowest bit its length in four bytes and its zstandard frame. Among them
+stand chunks of up to BLOCK documents: planes of the low and of the high halves of their doc_ids, and of their lengths, each after its size in four
+bytes. The index (JSON, compressed) has the place, first id and ids of each chunk of ids, and the place and documents of the others.
 """
 
 from __future__ import annotations
@@ -43,11 +44,12 @@ def decode_planes(data: bytes, count: int) -> np.ndarray:
 
 
 class Writer:
-    """Ids of documents one after another; holds one block at most, beside what a document brings."""
+    """Ids of documents one after another; holds a block of ids and a block of documents at most, beside what a document brings."""
 
     def __init__(self, sink):
-        self.sink, self.at, self.ids, self.pending = sink, 0, 0, b""
+        self.sink, self.at, self.ids, self.docs, self.pending = sink, 0, 0, 0, b""
         self.chunks: list[tuple[int, int, int]] = []
+        self.groups: list[tuple[int, int]] = []
         self.doc_ids: list[int] = []
         self.lengths: list[int] = []
         self._write(MAGIC)
@@ -59,11 +61,15 @@ class Writer:
     def add(self, doc_id: int, ids: bytes) -> None:
         self.doc_ids.append(doc_id)
         self.lengths.append(len(ids) // 4)
+        self.docs += 1
+        if len(self.doc_ids) == BLOCK:
+            self._group()
         self.pending += ids
         whole = len(self.pending) // (4 * BLOCK) * 4 * BLOCK
         for at in range(0, whole, 4 * BLOCK):
             self._chunk(self.pending[at : at + 4 * BLOCK])
-        self.pending = self.pending[whole:]
+        if whole:
+            self.pending = self.pending[whole:]
 
     def _chunk(self, raw: bytes) -> None:
         data = encode_planes(np.frombuffer(raw, "<u4"))
@@ -71,10 +77,20 @@ class Writer:
         self._write(data)
         self.ids += len(raw) // 4
 
+    def _group(self) -> None:
+        halves = np.array(self.doc_ids, "<i8").view("<u4").reshape(-1, 2)
+        self.groups.append((self.at, len(self.doc_ids)))
+        for part in (halves[:, 0], halves[:, 1], np.array(self.lengths, "<u4")):
+            data = encode_planes(np.ascontiguousarray(part))
+            self._write(len(data).to_bytes(4, "little") + data)
+        self.doc_ids, self.lengths = [], []
+
     def close(self) -> None:
         if self.pending:
             self._chunk(self.pending)
-        index = {"chunks": self.chunks, "doc_ids": self.doc_ids, "lengths": self.lengths, "ids": self.ids}
+        if self.doc_ids:
+            self._group()
+        index = {"chunks": self.chunks, "groups": self.groups, "ids": self.ids, "docs": self.docs}
         packed = zstandard.ZstdCompressor(level=LEVEL).compress(json.dumps(index).encode())
         self._write(packed + len(packed).to_bytes(8, "little") + MAGIC)
 
@@ -87,26 +103,41 @@ def read_index(source, size: int) -> dict:
         raise ValueError("not a whole bit-plane file")
     n = int.from_bytes(tail[:8], "little")
     source.seek(size - 16 - n)
-    index = json.loads(zstandard.ZstdDecompressor().decompress(source.read(n)))
-    return index | {"end": size - 16 - n}
+    return json.loads(zstandard.ZstdDecompressor().decompress(source.read(n)))
+
+
+def read_chunk(source, chunk: tuple[int, int, int]) -> bytes:
+    """The ids of one chunk of the index."""
+    at, _, count = chunk
+    source.seek(at)
+    data = source.read(1)
+    for _ in range(data[0]):
+        size = source.read(4)
+        data += size + source.read(int.from_bytes(size, "little"))
+    return decode_planes(data, count).tobytes()
+
+
+def _listed(source, index: dict) -> Iterator[tuple[int, int]]:
+    """(doc_id, length), a block of documents in memory."""
+    for at, count in index["groups"]:
+        source.seek(at)
+        parts = [decode_planes(source.read(int.from_bytes(source.read(4), "little")), count) for _ in range(3)]
+        yield from zip(np.stack(parts[:2], 1).view("<i8").ravel().tolist(), parts[2].tolist(), strict=True)
 
 
 def read_documents(source, size: int) -> Iterator[tuple[int, int, bytes]]:
     """(doc_id, start in the file, ids); holds the chunks that one document lies in."""
     index = read_index(source, size)
-    chunks, held, k, start = index["chunks"], b"", 0, 0
-    for doc_id, length in zip(index["doc_ids"], index["lengths"], strict=True):
-        parts = [held]
-        have = len(held) // 4
-        while have < length:
-            at, _, count = chunks[k]
-            source.seek(at)
-            end = chunks[k + 1][0] if k + 1 < len(chunks) else index["end"]
-            parts.append(decode_planes(source.read(end - at), count).tobytes())
-            k, have = k + 1, have + count
-        held = b"".join(parts) if len(parts) > 1 else held
-        yield doc_id, start, held[: 4 * length]
-        held, start = held[4 * length :], start + length
+    held, at, k, start = b"", 0, 0, 0  # at: where in held the next document begins
+    for doc_id, length in _listed(source, index):
+        parts, have = [held[at:]], len(held) - at
+        while have < 4 * length:
+            parts.append(read_chunk(source, index["chunks"][k]))
+            k, have = k + 1, have + len(parts[-1])
+        if len(parts) > 1:
+            held, at = b"".join(parts), 0
+        yield doc_id, start, held[at : at + 4 * length]
+        at, start = at + 4 * length, start + length
 
 
 def write_ids(docs: DataFrame, folder: str, path: str | None = None, end: int = END) -> DataFrame:
@@ -131,7 +162,7 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end: int =
         coder, tail = tokens.white_space_free_coder(path), end.to_bytes(4, "little")
         writer = sink = None
         for batch in batches:
-            for i, ids in zip(batch.column(0).to_pylist(), coder(batch.column(1).to_pylist()), strict=True):
+            for i, ids in tokens.coded(coder, batch):
                 if writer is None:
                     store.create_dir(root, recursive=True)
                     sink = store.open_output_stream(own)
@@ -141,7 +172,7 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end: int =
             writer.close()
             sink.close()
             store.move(own, name)
-            yield pa.RecordBatch.from_pydict({"file": [os.path.basename(name)], "part": [part], "docs": [len(writer.doc_ids)], "ids": [writer.ids], "bytes": [writer.at]}, schema=schema)
+            yield pa.RecordBatch.from_pydict({"file": [os.path.basename(name)], "part": [part], "docs": [writer.docs], "ids": [writer.ids], "bytes": [writer.at]}, schema=schema)
 
     return ordered.mapInArrow(write, "file string, part int, docs long, ids long, bytes long")
 

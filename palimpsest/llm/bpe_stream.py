@@ -12,6 +12,7 @@ import hashlib
 import json
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 RUNS = [regex.compile(rf"{c}*") for c in (r"\p{L}", r"\p{N}", rf"[^{SPACE}\p{{L}}\p{{N}}]", rf"[{SPACE}]")]
 CHARS = 1 << 16  # of a text, split into pretokens at a time
-RUN = 1 << 12  # characters of one class, from which a pretoken goes to the transducer in parts
+RUN = 1 << 12  # characters; a pretoken known to be shorter is handed on whole, a longer one in parts
 
 
 class Bpe:
@@ -35,6 +36,7 @@ class Bpe:
         self.vocab, self.special = vocab, special
         self.rank = {pair: k for k, pair in reversed(list(enumerate(merges)))}
         self.bytes_of = {i: b for b, i in vocab.items()} | {i: s.encode() for s, i in special.items()}
+        self.pieces = pa.array([self.bytes_of.get(i) for i in range(max(self.bytes_of, default=-1) + 1)], pa.binary())
         self.lookahead = lookahead(merges)
 
     @classmethod
@@ -150,33 +152,34 @@ def _run_end(text: str, at: int, n: int) -> int:
     return end
 
 
-def encode(bpe: Bpe, text: str) -> Iterator[int]:
-    """Ids of a whole text: special tokens are cut out first, then pretokens, then merges."""
+def encode(bpe: Bpe, text: str, machine: Transducer | None = None) -> Iterator[int]:
+    """Ids of a whole text: special tokens are cut out first, then pretokens, whose bytes go through the transducer."""
+    machine = machine or Transducer(bpe)
     marks = regex.compile("(" + "|".join(map(regex.escape, bpe.special)) + ")") if bpe.special else None
     for k, part in enumerate(marks.splititer(text) if marks else [text]):
         if k % 2:
             yield bpe.special[part]
             continue
-        machine = None
         for piece, ends in pretokens(part):
-            if machine is None and ends and len(piece) < RUN:
-                yield from bpe.ids(piece.encode())
-                continue
-            machine = machine or Transducer(bpe)
             yield from machine.feed(piece.encode())
             if ends:
                 yield from machine.end()
-                machine = None
 
 
 class Decoder:
     """Ids in, text out: bytes of an unfinished character wait for the next id; damaged ones become U+FFFD."""
 
     def __init__(self, bpe: Bpe):
-        self.bytes_of, self.machine = bpe.bytes_of, codecs.getincrementaldecoder("utf-8")("replace")
+        self.pieces, self.machine = bpe.pieces, codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, ids) -> str:
-        return self.machine.decode(b"".join(map(self.bytes_of.__getitem__, ids)))
+    def feed(self, ids: np.ndarray) -> str:
+        if not len(ids):
+            return ""
+        found = self.pieces.take(pa.array(ids, pa.int64()))
+        if found.null_count:
+            raise ValueError("an id that the vocabulary lacks")
+        ends = np.frombuffer(found.buffers()[1], np.int32)
+        return self.machine.decode(memoryview(found.buffers()[2])[ends[0] : ends[len(found)]])
 
     def end(self) -> str:
         return self.machine.decode(b"", True)
@@ -192,53 +195,122 @@ def load(path: str) -> Bpe:
 
 
 def coder(path: str) -> tokens.Coder:
-    """Short pieces recur and are remembered; each is encoded by the transducer when first met."""
+    """Pretokens recur: each goes through the transducer when it is first met, and what came out is remembered (within bounds)."""
     bpe = load(path)
-    words = tokens.Words(lambda w: array("I", bpe.ids(w.encode())).tobytes())
+    machine = Transducer(bpe)
+
+    def pretoken(word: str) -> bytes:
+        out = array("I", machine.feed(word.encode()))
+        out.extend(machine.end())
+        return out.tobytes()
+
+    words = tokens.Words(pretoken)
 
     def many(pieces: list[str]) -> list[bytes]:
         words.trim()
-        return [b"".join(map(words.__getitem__, tokens.SPLIT.findall(p))) if tokens.SIMPLE.fullmatch(p) and "<|" not in p else array("I", encode(bpe, p)).tobytes() for p in pieces]
+        return [b"".join(map(words.__getitem__, tokens.SPLIT.findall(p))) if tokens.SIMPLE.fullmatch(p) and "<|" not in p else array("I", encode(bpe, p, machine)).tobytes() for p in pieces]
 
     return tokens.Coder(tokens.byte_level, tokens.byte_level_piece, many)
 
 
-DECODE = 1 << 15  # ids decoded at a time
+def stable_blocks(text: str, chars: int = CHARS) -> Iterator[tuple[str, bool]]:
+    """A text in blocks of at most so many characters, which end where a token starts whatever follows: before a single space between
+    others. A stretch without such a place is handed over whole and marked True, to be streamed."""
+    at, n = 0, len(text)
+    while n - at > chars:
+        end = text.rfind(" ", at + 1, at + chars)
+        while end > at and (text[end - 1].isspace() or text[end + 1].isspace()):
+            end = text.rfind(" ", at + 1, end)
+        if end <= at:
+            m = tokens.SAFE_CUT.search(text, at + chars - 1)
+            end = m.start() if m else n
+            yield text[at:end], True
+        else:
+            yield text[at:end], False
+        at = end
+    if at < n or not n:
+        yield text[at:], False
+
+
+PART = 1 << 15  # ids of a row of a streamed stretch
+PARTS = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("ids", pa.binary())])
+
+
+def _encoded(texts: list[str], bpe: Bpe, ids_of: tokens.Coder) -> Iterator[tuple[int, int, bytes]]:
+    """(number of the text, part, ids), in order; blocks of the texts are encoded together up to tokens.BATCH_BYTES."""
+    waiting: list[tuple[int, int, str]] = []
+    size, parts = 0, 0
+
+    def done() -> Iterator[tuple[int, int, bytes]]:
+        found = (x for some in ids_of(pa.array([b for _, _, b in waiting], pa.string())) for x in some.to_pylist())
+        yield from ((k, part, x) for (k, part, _), x in zip(waiting, found, strict=True))
+
+    for k, text in enumerate(texts):
+        parts = 0
+        for block, long in stable_blocks(text):
+            if long:
+                yield from done()
+                waiting, size, stream = [], 0, encode(bpe, block)
+                while some := array("I", islice(stream, PART)):
+                    yield k, parts, some.tobytes()
+                    parts += 1
+                continue
+            waiting.append((k, parts, block))
+            parts, size = parts + 1, size + len(block)
+            if size >= tokens.BATCH_BYTES:
+                yield from done()
+                waiting, size = [], 0
+    yield from done()
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids binary): each whole text (null: empty) as little-endian unsigned 32-bit ids."""
+    """(doc_id, part, ids binary): each whole text (null: empty) as little-endian unsigned 32-bit ids, in parts of bounded size.
+
+    The parts of a text are consecutive rows from part 0 up; a text of up to CHARS characters, the empty one too, has one."""
     path = path or tokens.vocabulary("byte_bpe_50k.json")
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = coder(path)
+        ids_of, bpe = coder(path), load(path)
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "ids": [*ids_of(batch.column(1).to_pylist())]}, schema=schema)
+            ids, found = batch.column(0).to_pylist(), _encoded(batch.column(1).to_pylist(), bpe, ids_of)
+            while some := list(islice(found, 4096)):
+                yield pa.RecordBatch.from_pydict({"doc_id": [ids[k] for k, _, _ in some], "part": [p for _, p, _ in some], "ids": [x for _, _, x in some]}, schema=PARTS)
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, ids binary")
+    return common.texts(docs).mapInArrow(run, "doc_id long, part int, ids binary")
 
 
-def decode_documents(ids: DataFrame, path: str | None = None) -> DataFrame:
-    """Of (doc_id, ids): (doc_id, n_tokens, ids_sha256, decoded_sha256); the decoded text passes through its digest in parts."""
+def decode_documents(parts: DataFrame, path: str | None = None) -> DataFrame:
+    """Of encode_documents' rows: (doc_id, n_tokens, ids_sha256, decoded_sha256); ids and text pass through their digests part by part.
+
+    The parts of a document must follow each other as they do there; a partition that begins in the middle of one is refused.
+    """
     path = path or tokens.vocabulary("byte_bpe_50k.json")
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe, now, rows = load(path), None, []
+
+        def close() -> None:
+            if now is not None:
+                now[4].update(now[2].end().encode())
+                rows.append((now[0], now[1], now[3].hexdigest(), now[4].hexdigest()))
+
         for batch in batches:
-            out = {n: [] for n in schema.names} | {"doc_id": batch.column(0)}
-            for raw in batch.column(1).to_pylist():
-                own, text, machine = np.frombuffer(raw, "<u4"), hashlib.sha256(), Decoder(bpe)
-                for k in range(0, len(own), DECODE):
-                    text.update(machine.feed(own[k : k + DECODE].tolist()).encode())
-                text.update(machine.end().encode())
-                out["n_tokens"].append(len(own))
-                out["ids_sha256"].append(hashlib.sha256(raw).hexdigest())
-                out["decoded_sha256"].append(text.hexdigest())
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for i, part, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part == 0:
+                    close()
+                    now = [i, 0, Decoder(bpe), hashlib.sha256(), hashlib.sha256()]
+                elif now is None or now[0] != i:
+                    raise ValueError("parts of a document are apart")
+                now[1] += len(raw) // 4
+                now[3].update(raw)
+                now[4].update(now[2].feed(np.frombuffer(raw, "<u4")).encode())
+            yield pa.RecordBatch.from_pydict({n: [r[k] for r in rows] for k, n in enumerate(schema.names)}, schema=schema)
+            rows.clear()
+        close()
+        yield pa.RecordBatch.from_pydict({n: [r[k] for r in rows] for k, n in enumerate(schema.names)}, schema=schema)
+
+    return parts.select("doc_id", "part", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ SEQUENCE, END = 1024, 0
 def shortest_pack_first(histogram: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], int]]:
     """Packing patterns (lengths in order of placing) and how often each is used.
 
-    Lengths go longest first. Those of one length join the packs with the least room that still fits them; a pattern of
+    Lengths go longest first. Those of one length join the shortest packs, which have the most room; a pattern of
     which only a part is used is split by its count. Each step ends a length or a pattern, so steps and
     patterns depend on the limit, not on how many documents there are.
     """
@@ -27,7 +27,7 @@ def shortest_pack_first(histogram: dict[int, int], limit: int) -> list[tuple[tup
     done: list[tuple[tuple[int, ...], int]] = []
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        for room in range(length, limit):
+        for room in range(limit - 1, length - 1, -1):
             while left and open_packs[room]:
                 pattern, n = open_packs[room].pop()
                 used = min(left, n)
@@ -78,7 +78,7 @@ def pieces(docs: DataFrame, path: str, limit: int = SEQUENCE) -> DataFrame:
         coder = tokens.byte_level_coder(path)
         for batch in batches:
             out = {n: [] for n in schema.names}
-            for i, ids in zip(batch.column(0).to_pylist(), coder(batch.column(1).to_pylist()), strict=True):
+            for i, ids in tokens.coded(coder, batch):
                 ids += END.to_bytes(4, "little")
                 for at in range(0, len(ids), 4 * limit):
                     cut = ids[at : at + 4 * limit]

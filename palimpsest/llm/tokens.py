@@ -1,9 +1,10 @@
 """Whole texts to ids as the tokenizers library gives them, by pieces that never share a token, each encoded once.
 
 A text is cut only where the tokenizer always starts a new token, so the ids of a text are those of its pieces in turn.
-Pieces recur, so a bounded memo of piece -> ids (as little-endian unsigned 32-bit integers) does most of the work. New
-pieces are encoded many at a time, with a special token between them: the library encodes what lies between special tokens as
-texts of their own.
+Pieces recur: Arrow cuts the texts and numbers the different pieces, Python sees each of these once, and Arrow lays their ids
+(little-endian unsigned 32-bit integers) out in the order of the texts. A bounded memo keeps what was encoded before. Pieces with
+signs beyond Latin-1 are encoded many at a time, with a special token between them: the library encodes what lies between special
+tokens as texts of their own.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MEMO_ENTRIES = 400_000
 LONG_PIECE = 256  # longer ones are encoded with their batch and not remembered
 TOGETHER = 20_000  # pieces, or
-BATCH_CHARS = 2_000_000  # characters of texts, handled at a time
+BATCH_BYTES = 16 << 20  # bytes of texts, handled at a time
 
 
 def vocabulary(name: str) -> str:
@@ -109,80 +112,93 @@ def model_encoder(path: str, split: re.Pattern, lower: bool) -> Callable[[list[s
     return encode
 
 
-#: White space beside a space, or beside a line end: cuts there aren't safe for byte-level tokenizers.
-UNSAFE = re.compile(r"[^\S\n ]|\n[ \n]| [ \n]|\A[ \n]|[ \n]\Z")
+#: White space other than single spaces and line ends between two other characters: cuts there aren't safe for byte-level tokenizers.
+#: With NUL, which marks a piece that has no space before it.
+UNSAFE = r"[\x00\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\n[ \n]| [ \n]|[ \n]$"
+SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
-def byte_level(text: str) -> list[str]:
-    """Byte-level BPE with the usual pattern: a space or line end between two other characters starts a token."""
-    if not text:
-        return []
-    if UNSAFE.search(text):
+def byte_level(texts: pa.Array) -> pa.ListArray:
+    """Byte-level BPE with the usual pattern: a space or line end between two other characters starts a token.
+
+    A piece has lost its space; NUL stands before one that had none, a line end stays."""
+    unsafe = pc.match_substring_regex(texts, UNSAFE)
+    marked = pc.binary_join_element_wise("\0", texts, "")
+    pieces = pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
+    if not pc.any(unsafe).as_py():
+        return pieces
+    own = iter([_byte_level(t) for t in texts.filter(unsafe).to_pylist()])
+    merged = [next(own) if bad else None for bad in unsafe.to_pylist()]
+    return pc.if_else(unsafe, pa.array(merged, pieces.type), pieces)
+
+
+def _byte_level(text: str) -> list[str]:
+    if "\0" in text:
         return ["\0" + text]
-    pieces = text.replace("\n", " \n").split(" ")
-    pieces[0] = "\0" + pieces[0]
-    return pieces
+    first, *others = SAFE_CUT.split(text)
+    return ["\0" + first, *(p[1:] if p[0] == " " else p for p in others)]
 
 
 def byte_level_piece(p: str) -> str:
-    """The text of a piece: a word has lost its space; NUL stands before what had none."""
+    """The text of a piece."""
     return p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p
 
 
-def white_space_free(text: str) -> list[str]:
+def white_space_free(texts: pa.Array) -> pa.ListArray:
     """For tokenizers that drop white space and never join tokens across it: ASCII white space parts the pieces."""
-    if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, not to tokenizers
-        return [x.decode() for x in text.encode().split()]
-    return text.split()
-
-
-def _unknown(ids: list) -> list[int]:
-    """Places of None."""
-    out, at = [], ids.index(None)
-    for _ in range(ids.count(None)):
-        at = ids.index(None, at)
-        out.append(at)
-        at += 1
-    return out
+    return pc.ascii_split_whitespace(texts)
 
 
 class Coder:
-    """texts -> ids of each. split: a text's pieces; whole: the text that a piece stands for; encode: ids of many pieces."""
+    """Texts to ids. cut: a list of pieces for each text; whole: the text that a piece stands for; encode: ids of many pieces."""
 
-    def __init__(self, split: Callable[[str], list[str]], whole: Callable[[str], str], encode: Callable[[list[str]], list[bytes]], entries: int = MEMO_ENTRIES):
-        self.split, self.whole, self.encode, self.entries = split, whole, encode, entries
+    def __init__(self, cut: Callable[[pa.Array], pa.ListArray], whole: Callable[[str], str], encode: Callable[[list[str]], list[bytes]], entries: int = MEMO_ENTRIES):
+        self.cut, self.whole, self.encode, self.entries = cut, whole, encode, entries
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+    def __call__(self, texts: pa.Array) -> Iterator[pa.BinaryArray]:
+        """The ids of consecutive texts (none null), in arrays of some of them."""
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
         a = 0
         while a < len(texts):
-            b, chars = a, 0
-            while b < len(texts) and (b == a or chars + len(texts[b]) <= BATCH_CHARS):
-                chars, b = chars + len(texts[b]), b + 1
-            yield from self._some(texts[a:b])
+            b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + BATCH_BYTES, "right")))
+            yield self._some(texts.slice(a, b - a))
             a = b
 
-    def _some(self, texts: list[str]) -> Iterator[bytes]:
+    def _some(self, texts: pa.Array) -> pa.BinaryArray:
+        pieces = self.cut(texts)
+        coded = pieces.flatten().dictionary_encode()
+        ids = pa.array(self._known(coded.dictionary.to_pylist()), pa.binary()).take(coded.indices)
+        ends = np.r_[0, np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False))]
+        if not len(ids):
+            return pa.array([b""] * len(texts), pa.binary())
+        at = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1][ends]
+        return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(at)), ids.buffers()[2]])
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
         if len(self.memo) > self.entries:  # what is asked for again comes back from the older half
             self.older, self.memo = self.memo, {}
-        known = self.memo.get
-        cut = [*map(self.split, texts)]
-        ids = [[*map(known, pieces)] for pieces in cut]
-        gaps = [(i, _unknown(own)) for i, own in enumerate(ids) if None in own]
-        missing = [*{cut[i][k] for i, at in gaps for k in at}]
-        older = self.older
-        new = {p: older[p] for p in missing if p in older}
-        missing = [p for p in missing if p not in new]
-        for k in range(0, len(missing), TOGETHER):
-            some = missing[k : k + TOGETHER]
-            new.update(zip(some, self.encode([*map(self.whole, some)]), strict=True))
-        for i, at in gaps:
-            own, pieces = ids[i], cut[i]
-            for k in at:
-                own[k] = new[pieces[k]]
-        self.memo.update(new if max(map(len, missing), default=0) <= LONG_PIECE else {p: x for p, x in new.items() if len(p) <= LONG_PIECE})
-        yield from map(b"".join, ids)
+        out = [*map(self.memo.get, pieces)]
+        gaps = [k for k, x in enumerate(out) if x is None]
+        found = [*map(self.older.get, map(pieces.__getitem__, gaps))]
+        missing = [k for k, x in zip(gaps, found, strict=True) if x is None]
+        for k, x in zip(gaps, found, strict=True):
+            out[k] = x
+        for a in range(0, len(missing), TOGETHER):
+            some = missing[a : a + TOGETHER]
+            for k, x in zip(some, self.encode([self.whole(pieces[k]) for k in some]), strict=True):
+                out[k] = x
+        self.memo.update((pieces[k], out[k]) for k in gaps if len(pieces[k]) <= LONG_PIECE)
+        return out
+
+
+def coded(coder: Coder, batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+    """(id, ids of its text) for a batch of (id, text)."""
+    at = 0
+    for ids in coder(batch.column(1)):
+        yield from zip(batch.column(0).slice(at, len(ids)).to_pylist(), ids.to_pylist(), strict=True)
+        at += len(ids)
 
 
 def byte_level_coder(path: str) -> Coder:
