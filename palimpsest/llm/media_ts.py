@@ -100,7 +100,12 @@ def mux(payload: bytes, unit: int = UNIT, gop: int = GOP) -> bytes:
 
 
 def demux(media: bytes) -> dict:
-    """payload, pts (of each access unit), random_access (its indexes), packets, continuity_errors, pmt_pid, es_pid, stream_type."""
+    """payload, pts (of each access unit), random_access (its indexes), packets, continuity_errors, pmt_pid, es_pid, stream_type.
+
+    The program is the first that the association table names (number 0 stands for network information). A packet that repeats the one
+    before it is left out, as the format allows one repetition; a jump of the counter that the discontinuity indicator announces is no error.
+    ValueError: lost sync, a table missing or damaged, or an elementary packet damaged.
+    """
     if not media or len(media) % PACKET:
         raise ValueError("not whole transport packets")
     p = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
@@ -111,7 +116,10 @@ def demux(media: bytes) -> dict:
     start = np.where(control & 2, 5 + p[:, 4].astype(np.int32), 4)
 
     def table(pid: int) -> bytes:
-        i = int(np.flatnonzero(pids == pid)[0])
+        found = np.flatnonzero((pids == pid) & (p[:, 1] & 0x40 > 0) & (control & 1 == 1))
+        if not len(found):
+            raise ValueError("no table")
+        i = int(found[0])
         b = p[i, start[i] :].tobytes()
         b = b[1 + b[0] :]
         b = b[: 3 + (int.from_bytes(b[1:3], "big") & 0xFFF)]
@@ -120,16 +128,23 @@ def demux(media: bytes) -> dict:
         return b
 
     pat = table(PAT_PID)
-    pmt_pid = int.from_bytes(pat[10:12], "big") & 0x1FFF
+    programs = [pat[k : k + 4] for k in range(8, len(pat) - 4, 4) if pat[k : k + 2] != b"\0\0"]
+    if not programs:
+        raise ValueError("no program")
+    pmt_pid = int.from_bytes(programs[0][2:], "big") & 0x1FFF
     pmt = table(pmt_pid)
     at = 12 + (int.from_bytes(pmt[10:12], "big") & 0xFFF)
     es_pid = int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF
     own = np.flatnonzero((pids == es_pid) & (control & 1 == 1))
+    again = np.zeros(len(own), bool)
+    again[1:] = (p[own[1:]] == p[own[:-1]]).all(1)
+    own = own[~again]
     counter = p[own, 3] & 15
-    errors = int(((counter[1:] - counter[:-1]) % 16 != 1).sum())
+    told = (control[own] & 2 > 0) & (p[own, 4] > 0) & (p[own, 5] & 0x80 > 0)
+    errors = int((((counter[1:] - counter[:-1]) % 16 != 1) & ~told[1:]).sum())
     begins = np.flatnonzero(p[own, 1] & 0x40)
     out, pts, access = [], [], []
-    for k, (a, b) in enumerate(zip(begins, [*begins[1:], len(own)], strict=True)):
+    for k, (a, b) in enumerate(zip(begins, [*begins[1:], len(own)][: len(begins)], strict=True)):
         rows = own[a:b]
         whole = [p[rows[0], start[rows[0]] :].tobytes()]
         if len(rows) > 2:
@@ -159,17 +174,26 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def from_media(media: DataFrame) -> DataFrame:
-    """Of (doc_id, n_bytes, media): payload, its stream's timestamps, random-access points and facts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("pts", pa.list_(pa.int64())), ("random_access", pa.list_(pa.int32()))])
-    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<int>"
+    """Of (doc_id, n_bytes, media): payload, its stream's timestamps, random-access points and facts.
+
+    A null or damaged stream gives a row with its error, media_bytes and media_sha256 where there are bytes, and null elsewhere."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("pts", pa.list_(pa.int64())), ("random_access", pa.list_(pa.int32())), ("error", pa.string())])
+    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<int>, error string"
 
     def rows(batch: pa.RecordBatch) -> dict:
         out = {n: [] for n in schema.names} | {"doc_id": batch.column(0), "n_bytes": batch.column(1)}
         for m in batch.column(2):
             m = m.as_py()
-            x = demux(m)
-            feature = f"packets={x['packets']};units={len(x['pts'])};random_access={len(x['random_access'])};last_pts={x['pts'][-1]};continuity_errors={x['continuity_errors']};type={x['stream_type']}"
-            for n, v in (("payload_bytes", len(x["payload"])), ("payload_sha256", hashlib.sha256(x["payload"]).hexdigest()), ("tail_crc32", zlib.crc32(x["payload"][-32:])), ("media_bytes", len(m)), ("media_sha256", hashlib.sha256(m).hexdigest()), ("feature", feature), ("pts", x["pts"]), ("random_access", x["random_access"])):
+            try:
+                x = demux(m or b"")
+            except (ValueError, IndexError) as e:
+                known = {"media_bytes": len(m), "media_sha256": hashlib.sha256(m).hexdigest()} if m is not None else {}
+                known["error"] = str(e) if isinstance(e, ValueError) else "cut short"
+                for n in schema.names[2:]:
+                    out[n].append(known.get(n))
+                continue
+            feature = f"packets={x['packets']};units={len(x['pts'])};random_access={len(x['random_access'])};last_pts={x['pts'][-1] if x['pts'] else None};continuity_errors={x['continuity_errors']};type={x['stream_type']}"
+            for n, v in (("payload_bytes", len(x["payload"])), ("payload_sha256", hashlib.sha256(x["payload"]).hexdigest()), ("tail_crc32", zlib.crc32(x["payload"][-32:])), ("media_bytes", len(m)), ("media_sha256", hashlib.sha256(m).hexdigest()), ("feature", feature), ("pts", x["pts"]), ("random_access", x["random_access"]), ("error", None)):
                 out[n].append(v)
         return out
 
@@ -177,5 +201,6 @@ def from_media(media: DataFrame) -> DataFrame:
 
 
 def op2_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pts, random_access."""
-    return from_media(to_media(common.documents(spark, sf_dir)))
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pts, random_access, error, of the stored
+    streams, which are written to the shared folder and read back."""
+    return from_media(common.written(to_media(common.documents(spark, sf_dir)), common.shared_folder(spark)))
