@@ -68,6 +68,11 @@ AT_SHUT, DOT_SHUT = (rf"\s{{0,3}}[\[({{<]\s{{0,3}}{w}\s{{0,3}}[\])}}>]\s{{0,3}}"
 DOT = re.compile(rf"{DOT_SHUT}|(?<=[A-Za-z0-9])\s{{1,3}}dot\s{{1,3}}(?=[A-Za-z0-9])", re.IGNORECASE)
 AT = re.compile(AT_SHUT, re.IGNORECASE)
 BARE_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,9})", re.IGNORECASE)
+#: A name, a plain "at" and a domain with a last label of letters, where nothing else is in disguise.
+NAMED_AT = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})\s{1,3}at\s{1,3}(?!www\.)(?=[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-]|\.[A-Za-z0-9]))", re.IGNORECASE)
+#: Words that stand before "at" in plain prose: a place on the web follows them, no address.
+NO_NAMES = frozenset("a all am an and any anyone are arrive arrived available be been being both but buy by call came check click come do done down each find for found get go good had has have he held her here him his hosted how i is it its join just keep laugh learn listed live located look looked looking made me meet met more most my news no not now of off on one online only or order ordered our out over page pages part people published read register registered sale see seen she shop sign sit site so sold some start started stay still stop store than that the their them then there these they this those to tried up us visit was watch we website were when where which while who with work worked works you your".split())
+PLUS = re.compile(rf"(?<!\w)plus[ ,-]{{1,2}}(?=(?:{NAME}|[0-9]{{1,19}})(?!\w))", re.IGNORECASE)
 
 
 def disguised(text: str) -> bool:
@@ -75,6 +80,8 @@ def disguised(text: str) -> bool:
     if not text.isascii() and not GLYPHS.keys().isdisjoint(NON_ASCII.findall(text)):
         return True
     lower = text.lower()
+    if "at" in lower and "." in text and any(True for _ in named_at(text)) or "plus" in lower and PLUS.search(text):
+        return True
     bracket = any(b in text for b in "[({<")
     if (bracket or "dot" in lower) and DOT.search(text) or bracket and AT.search(text):
         return True
@@ -159,25 +166,34 @@ def _mixed(m: re.Match) -> list[tuple[int, int, str]]:
     return with_stops if any(k == 1 for k, _, _ in base_spans(run.text)) else list(edits(False))
 
 
+def named_at(text: str) -> Iterator[tuple[int, int, str]]:
+    """Edits of plain "at" between a name and a domain."""
+    return ((m.end(1), m.end(), "@") for m in NAMED_AT.finditer(text) if m[1].lower().strip(".") not in NO_NAMES)
+
+
 def stopped(text: str) -> Mapped:
     """The transducers with dots and at signs before the digits, whose runs then may hold figures and full stops."""
     x = Mapped(text)
     x.rewrite((*m.span(), GLYPHS[m[0]]) for m in NON_ASCII.finditer(text) if m[0] in GLYPHS)
     x.rewrite((*m.span(), ".") for m in DOT.finditer(x.text))
     x.rewrite((*m.span(), "@") for m in AT.finditer(x.text))
+    x.rewrite(named_at(x.text))
+    x.rewrite((*m.span(), "+") for m in PLUS.finditer(x.text))
     x.rewrite(e for m in MIXED_RUN.finditer(x.text) for e in _mixed(m))
     return x
 
 
 def normalised(text: str) -> Mapped:
-    """The transducers in a row: glyphs, spelled digits, dots, at signs."""
+    """The transducers in a row: glyphs, spelled plus signs and digits, dots, at signs."""
     x = Mapped(text)
     x.rewrite((*m.span(), GLYPHS[m[0]]) for m in NON_ASCII.finditer(text) if m[0] in GLYPHS)
+    x.rewrite((*m.span(), "+") for m in PLUS.finditer(x.text))
     x.rewrite(e for m in SPELLED_RUN.finditer(x.text) for e in _digits(m))
     had_dot = x.text
     x.rewrite((*m.span(), ".") for m in DOT.finditer(x.text))
     if x.text != had_dot:  # a plain word "at" counts only where a dot was in disguise
         x.rewrite((*m.span(), "@") for m in BARE_AT.finditer(x.text))
+    x.rewrite(named_at(x.text))
     x.rewrite((*m.span(), "@") for m in AT.finditer(x.text))
     return x
 
