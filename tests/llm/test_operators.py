@@ -2,16 +2,19 @@
 
 import hashlib
 import io
+import math
 import random
+import re
 import zlib
 from array import array
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import bit_planes, bpe_stream, common, embedding_dedup, kneser_ney, line_dedup, media_ts, packing, pii, simhash, substring_dedup, tokens
+from palimpsest.llm import bit_planes, bpe_stream, common, embedding_dedup, kneser_ney, line_dedup, media_ts, packing, pii, repeat_filter, simhash, substring_dedup, tokens
 
 R = random.Random(4)
 WORDS = ["".join(R.choice("etaoinshrdlu") for _ in range(R.randint(2, 7))) for _ in range(80)]
@@ -44,23 +47,28 @@ def rows(df, *names):
 
 
 @pytest.mark.parametrize("first", [False, True])
-@pytest.mark.parametrize("few", [0, 500_000])
-def test_lines(docs, none, first, few):
+@pytest.mark.parametrize("few, sent, n", [(0, 0, 10), (500_000, 64 << 20, 10), (500_000, 0, 1)])
+def test_lines(docs, none, first, few, sent, n, monkeypatch):
+    monkeypatch.setattr(repeat_filter, "SENT", sent)
+    monkeypatch.setattr(repeat_filter, "RANGE_KEYS", 50)
+    key = lambda x: line_dedup.line_key(x.encode())
     seen = {}
     for i, t in TEXTS:
-        for k in {line_dedup.line_key(x) for x in t.split("\n")} - {""}:
+        for k in {key(x) for x in t.split("\n")} - {b""}:
             seen.setdefault(k, set()).add(i)
     want, done = [], set()
     for i, t in TEXTS:
         kept = []
         for x in t.split("\n"):
-            k = line_dedup.line_key(x)
-            if len(seen.get(k, ())) < 10 or first and k not in done:
+            k = key(x)
+            if len(seen.get(k, ())) < n or first and k not in done:
                 kept.append(x)
             done.add(k)
         want.append((i, len(t.split("\n")), "\n".join(kept)))
-    assert rows(line_dedup.dedup_lines(docs, keep_first=first, broadcast_rows=few), "doc_id", "n_lines", "kept_text") == want
+    assert rows(line_dedup.dedup_lines(docs, min_docs=n, keep_first=first, broadcast_rows=few), "doc_id", "n_lines", "kept_text") == want
     assert line_dedup.dedup_lines(none, broadcast_rows=few).count() == 0
+    clash = line_dedup.dedup_rows(docs.withColumns({"n_lines": F.lit("x"), "drop0": F.lit("y")}), min_docs=n, broadcast_rows=few)
+    assert clash.columns.count("n_lines") == 1 and {r.drop0 for r in clash.collect()} == {"y"}
 
 
 def test_media(docs, none):
@@ -71,7 +79,15 @@ def test_media(docs, none):
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
         assert "continuity_errors=0" in got[i].feature and got[i].random_access[0] == 0
     assert media_ts.from_media(media_ts.to_media(none)).count() == 0
-    media = bytearray(media_ts.mux(b"\1" * 20000))
+    spark = docs.sparkSession
+    bad = {r.doc_id: r for r in media_ts.from_media(spark.createDataFrame([(1, 0, None), (2, 0, bytearray(b"x" * 188)), (3, 0, bytearray(media_ts.mux(b"a" * 900)[: 188 * 3])), (4, 0, bytearray(media_ts.TABLES)), (5, 5, bytearray(media_ts.mux(b"b" * 900)))], "doc_id long, n_bytes long, media binary")).collect()}
+    assert [bad[k].error for k in range(1, 6)] == ["not whole transport packets", "lost sync", "damaged elementary packet", None, None] and bad[2].media_bytes == 188 and bad[4].payload_bytes == 0 and bad[5].payload_bytes == 900
+    payload = random.Random(2).randbytes(20000)
+    media = bytearray(media_ts.mux(payload))
+    twice = bytes(media[: 188 * 6] + media[188 * 5 :])
+    assert media_ts.demux(twice)["payload"] == payload and media_ts.demux(twice)["continuity_errors"] == 0
+    network = media_ts._table_packet(0, media_ts._section(0, 1, b"\0\0\xe0\x10\0\x01" + (0xE000 | media_ts.PMT_PID).to_bytes(2, "big")))
+    assert media_ts.demux(network + bytes(media[188:]))["payload"] == payload
     media[188 * 5 + 3] ^= 1
     assert media_ts.demux(bytes(media))["continuity_errors"] == 2
 
@@ -87,6 +103,7 @@ def test_packing(docs, none):
     for _, s in got.sort_values("offset").groupby("sequence_id"):
         assert (s.offset == s.length.cumsum() - s.length).all() and s.length.sum() <= 1024
     assert packing.pack_documents(none).count() == 0
+    assert packing.shortest_pack_first({700: 1, 500: 1, 300: 1}, 1024) == [((700,), 1), ((500, 300), 1)]
     patterns = packing.shortest_pack_first({1000: 3, 24: 2, 10: 5, 1024: 1}, 1024)
     assert sorted(x for p, n in patterns for x in p * n) == [10] * 5 + [24] * 2 + [1000] * 3 + [1024] and all(sum(p) <= 1024 for p, _ in patterns)
 
@@ -110,6 +127,40 @@ def test_pii_spelled_with_figures():
     assert pii.all_spans("one dot two") == [] and not pii.disguised("one of 2 in 2024")
 
 
+def plain_spans(text):
+    """The contract's patterns, as they stand."""
+    luhn = lambda d: sum(x if k % 2 == 0 else 2 * x - 9 * (x > 4) for k, x in enumerate(map(int, d[::-1]))) % 10 == 0
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    kinds = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda x: 13 <= len(digits(x)) <= 19 and luhn(digits(x))),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 9 <= len(digits(x)) <= 15),
+    ]
+    return [(k, *m.span()) for k, (pattern, ok) in enumerate(kinds) for m in re.finditer(pattern, text) if ok(m[0])]
+
+
+def test_pii_base_spans():
+    r = random.Random(8)
+    signs = ["a", "B", "@", ".", "-", "+", " ", "(", ")", "%", "1", "4", "2", "55", "10.0.0.1", "4111 1111 1111 1111", "x@y.z", "..", "é", "\n"]
+    found = 0
+    for _ in range(20_000):
+        text = "".join(r.choice(signs) for _ in range(r.randint(0, 30)))
+        assert pii.base_spans(text) == plain_spans(text), text
+        assert set(pii.base_spans(text)) <= set(pii.all_spans(text)), text
+        assert pii.disguised(text) or not (pii.normalised(text).changed or pii.stopped(text).changed), text
+        found += len(plain_spans(text))
+    assert found > 5000
+
+
+def test_pii_bare_at_and_plus():
+    for text, span in (("ask bob at example.com, or", (0, 4, 22)), ("plus four four two zero seven nine four six zero nine five eight", (3, 0, 64)), ("John.smіth@example.com", (0, 0, 22))):
+        assert span in pii.all_spans(text), text
+    assert pii.masked("John.smіth@example.com") == "[EMAIL]"
+    for text in ("look at example.com", "meet me at www.example.com", "three plus four", "sold at 3.50", "at home.The"):
+        assert pii.all_spans(text) == [], text
+
+
 def test_pii_parts():
     """A base span that is a part of the address hides none of it."""
     text = "j\u043ehn@example.com or john@mail.example dot com"
@@ -159,6 +210,50 @@ def test_quality(spark, docs, none):
     assert np.allclose(p.reshape(-1, kneser_ney.SIGNS).sum(1), 1, atol=1e-3)
 
 
+def plain_perplexities(trusted, texts):
+    """Interpolated modified Kneser-Ney from its definition, on strings; None for empty texts."""
+    signs, order, end = kneser_ney.SIGNS, kneser_ney.ORDER, "\n"
+    seen = Counter("".join(trusted))
+    known = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))][: signs - 1]
+    sign = lambda c: known.index(c) + 1 if c in known else 0
+    coded = lambda t: tuple(sign(c) for c in end * (order - 1) + t)
+    counts = Counter(x[k : k + order] for x in map(coded, trusted) for k in range(len(x) - order + 1))
+    tables = {}
+    for n in range(order, 0, -1):
+        t = Counter(c for c in counts.values() if c <= 4)
+        y = t[1] / max(1, t[1] + 2 * t[2])
+        d = [max(0.0, min(k, k - (k + 1) * y * t[k + 1] / t[k])) if t[k] else k / 2 for k in (1, 2, 3)]
+        total, off = Counter(), Counter()
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            off[g[:-1]] += d[min(c, 3) - 1]
+        tables[n] = (dict(counts), d, total, off)
+        counts = Counter(g[1:] for g in counts)
+
+    def p(g):
+        if not g:
+            return 1 / signs
+        own, d, total, off = tables[len(g)]
+        if g[:-1] not in total:
+            return p(g[1:])
+        c = own.get(g, 0)
+        return (c - d[min(c, 3) - 1] if c else 0) / total[g[:-1]] + off[g[:-1]] / total[g[:-1]] * p(g[1:])
+
+    def one(t):
+        x = coded(t)
+        return math.exp(-sum(math.log(p(x[k : k + order])) for k in range(len(t))) / len(t)) if t else None
+
+    return [*map(one, texts)]
+
+
+def test_quality_by_definition(spark, docs):
+    labels = spark.createDataFrame([(i, int(i < 40 or i == 103), 0) for i, _ in TEXTS], "doc_id long, quality int, toxic int")
+    got = dict(rows(kneser_ney.judged(docs.where("doc_id is not null").withColumns({"keep": F.lit("x"), "upper": F.lit("y")}), labels), "doc_id", "perplexity"))
+    want = plain_perplexities([t for i, t in TEXTS if i < 40 or i == 103], [t for _, t in TEXTS])
+    for (i, _), x in zip(TEXTS, want, strict=True):
+        assert got[i] is x is None or abs(got[i] / x - 1) < 1e-3, i
+
+
 def test_quality_limit(spark):
     scored = spark.createDataFrame([("en", x) for x in [4.8, 5.0, 5.0, 5.2, 6.3]], "lang string, perplexity double")
     assert 5.2 < kneser_ney.limits(scored).first().upper < 6.3
@@ -188,9 +283,11 @@ def test_bit_planes(spark, docs, none, tmp_path):
         bit_planes.read_index(io.BytesIO(b"x" * 40), 40)
 
 
-@pytest.mark.parametrize("hot", [3, 5000])
-def test_substrings(docs, none, hot, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
+@pytest.mark.parametrize("together, sent", [(3, 64 << 20), (5000, 64 << 20), (5000, 0)])
+def test_substrings(docs, none, together, sent, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "TOGETHER", together)
+    monkeypatch.setattr(repeat_filter, "SENT", sent)
+    monkeypatch.setattr(repeat_filter, "RANGE_KEYS", 500)
     seen, want = set(), []
     for i, t in TEXTS:
         b = t.encode()
@@ -206,6 +303,13 @@ def test_substrings(docs, none, hot, monkeypatch):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_substrings_of_repeated_ids(spark):
+    a, b = prose(80), prose(80)
+    df = spark.createDataFrame([(1, a), (1, b), (1, b), (2, a + b)], "doc_id long, text string")
+    got = {(r.doc_id, r.n_bytes): (r.n_removed, r.n_spans) for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == {(1, len(a)): (0, 0), (1, len(b)): (0, 0), (2, len(a + b)): (len(a + b), 1)}
+
+
 @pytest.mark.parametrize("bits", [0, 2, 3])
 def test_simhash(docs, none, bits):
     fp = [simhash.fingerprint(t) for _, t in TEXTS]
