@@ -41,9 +41,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _folders[-1]
 
 
-def drop_folders(spark: SparkSession, but: str | None = None) -> None:
-    """Drops the folders made so far, but one. What reads them must have run to its end."""
-    for path in [p for p in _folders if p != but]:
+def folders() -> list[str]:
+    """The folders made so far."""
+    return [*_folders]
+
+
+def drop_folders(spark: SparkSession, but: list[str]) -> None:
+    """Drops the folders made so far, but those. What reads them must have run to its end."""
+    for path in [p for p in _folders if p not in but]:
         drop_folder(spark, path)
         _folders.remove(path)
 
@@ -59,17 +64,26 @@ def written(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def told_apart(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie long, text) of texts(): tie is 0, but where rows of one doc_id differ in text it is a hash of the text."""
+def repeated_ids(docs: DataFrame) -> DataFrame | None:
+    """(doc_id, differ boolean), written down: the ids that several rows of texts() have, and whether their texts differ; None without any."""
     rows = texts(docs)
     folder = shared_folder(docs.sparkSession)
-    repeated = written(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), folder)
+    repeated = written(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), f"{folder}/ids")
     if repeated.isEmpty():
         drop_folder(docs.sparkSession, folder)
+        return None
+    h = F.xxhash64("text")
+    own = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg((F.min(h) != F.max(h)).alias("differ"))
+    return written(own, f"{folder}/differ")
+
+
+def told_apart(docs: DataFrame) -> DataFrame:
+    """(doc_id, tie long, text) of texts(): tie is 0, but where rows of one doc_id differ in text it is a hash of the text."""
+    rows, repeated = texts(docs), repeated_ids(docs)
+    if repeated is None:
         return rows.select("doc_id", F.lit(0).cast("long").alias("tie"), "text")
-    other = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.count_distinct("text").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("differ"))
     tie = F.when(F.col("differ"), F.xxhash64("text")).otherwise(0)
-    return rows.join(other, "doc_id", "left").select("doc_id", tie.alias("tie"), "text")
+    return rows.join(repeated, "doc_id", "left").select("doc_id", tie.alias("tie"), "text")
 
 
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: pa.Schema, ddl: str) -> DataFrame:

@@ -14,6 +14,7 @@ either way is confirmed on the texts.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,18 +39,26 @@ def shingles_of(text: str, words: int) -> list[bytes]:
     return [b" ".join(x) for x in zip(*(w[k:] for k in range(words)), strict=False)] if len(w) > words else [b" ".join(w)] if w else []
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """Of shingles of so many words, repeats included; a bit is 1 if over half of their hashes have it. No word: 0."""
-    shingles = shingles_of(text, words)
-    if not shingles:
-        return 0
-    count, votes, digest = len(shingles), np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for a in range(0, count, 1 << 16):
-        h = np.array([digest(s, SEED) for s in shingles[a : a + (1 << 16)]], "<u8")
+def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles in order, in arrays of bounded length."""
+    shingles, digest = shingles_of(text, words), xxhash.xxh64_intdigest
+    for a in range(0, len(shingles), 1 << 16):
+        yield np.array([digest(s, SEED) for s in shingles[a : a + (1 << 16)]], "<u8")
+
+
+def majority(hashes: list[np.ndarray]) -> int:
+    """The bits that over half of the hashes have; without hashes 0."""
+    count, votes = sum(map(len, hashes)), np.zeros(64, np.int64)
+    for h in hashes:
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(votes * 2 > count, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str, words: int = 3) -> int:
+    """Of shingles of so many words, repeats included; a bit is 1 if over half of their hashes have it. No word: 0."""
+    return majority([*shingle_hashes(text, words)])
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp long); fp has the 64 bits of the fingerprint."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -181,16 +190,22 @@ def groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sketch(text: str, words: int) -> bytes:
-    """SKETCH positional bytes; all 255 without a word."""
-    shingles = shingles_of(text, words)
+def sketch(hashes: np.ndarray) -> bytes:
+    """SKETCH positional bytes of a set of hashes; all 255 without one."""
     least = np.full(SKETCH, (1 << 64) - 1, np.uint64)
-    for a in range(0, len(shingles), 4096):
-        h = np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles[a : a + 4096]], np.uint64)
-        least = np.minimum(least, (h * MULTIPLIERS[:, None]).min(1))
+    for a in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[a : a + 4096] * MULTIPLIERS[:, None]).min(1))
     return (least & np.uint64(255)).astype(np.uint8).tobytes()
 
 
+def signature(text: str, words: int) -> tuple[int, bytes, bytes]:
+    """Fingerprint (signed), sketch, and a digest of 128 bits of the set of shingle hashes."""
+    hashes = [*shingle_hashes(text, words)]
+    own = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+    fp = majority(hashes)
+    return fp - (fp >> 63 << 64), sketch(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
 def heaviest_forest(x: np.ndarray, least: int) -> list[tuple[int, int]]:
     """Index pairs of the rows of bytes x that share at least so many, enough to connect as all such pairs do, best pairs first.
 
@@ -338,19 +353,19 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bit
 
     Links are pairs of texts that share at least that part of their different shingles (Jaccard), looked for among fingerprints at
     most `bits` apart and among sketches, and confirmed on the texts. First come links that would connect each posting list; then every
-    other pair of sketches that a list tallies and whose ends the confirmed ones leave apart, as a rejected link says nothing of them. Equal fingerprint and sketch: one document. Texts without a
-    word are alike. Of rows that repeat a doc_id with another text, one text is confirmed.
+    other pair of sketches that a list tallies and whose ends the confirmed ones leave apart, as a rejected link says nothing of them. Texts of the same
+    set of shingles are one node. Texts without a word are alike. doc_id names a text: rows that repeat one must have its text.
     """
     spark = docs.sparkSession
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary()), ("same", pa.binary())])
 
     def one(batch: pa.RecordBatch) -> dict:
-        texts = batch.column(1).to_pylist()
-        fp = [(x := fingerprint(t, words)) - (x >> 63 << 64) for t in texts]
-        return {"doc_id": batch.column(0), "fp": fp, "sketch": [sketch(t, words) for t in texts]}
+        found = [signature(t, words) for t in batch.column(1).to_pylist()]
+        return {"doc_id": batch.column(0)} | {n: [x[k] for x in found] for k, n in enumerate(schema.names[1:])}
 
-    fps = common.written(common.map_batches(common.texts(docs), one, schema, "doc_id long, fp long, sketch binary"), common.shared_folder(spark))
-    nodes = common.written(fps.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep")), common.shared_folder(spark))
+    fps = common.written(common.map_batches(common.texts(docs), one, schema, "doc_id long, fp long, sketch binary, same binary"), common.shared_folder(spark))
+    nodes = fps.groupBy("same").agg(F.min(F.struct("doc_id", "fp", "sketch")).alias("x"))
+    nodes = common.written(nodes.select("same", F.col("x.doc_id").alias("rep"), "x.fp", "x.sketch"), common.shared_folder(spark))
     heads = common.written(nodes.groupBy("fp").agg(F.min("rep").alias("rep")), common.shared_folder(spark))
     same = nodes.join(heads.toDF("fp", "head"), "fp").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
     alike = common.written(similar_sketches(nodes, similarity), common.shared_folder(spark))
@@ -363,8 +378,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bit
     second = common.written(confirmed(more, docs, words, similarity), common.shared_folder(spark))
     if not second.isEmpty():
         found = common.components(first.union(second))
-    classes = nodes.join(found, nodes.rep == found.id, "left").select("fp", "sketch", F.coalesce("component_id", "rep").alias("component_id"))
-    out = fps.join(classes, ["fp", "sketch"])
+    classes = nodes.join(found, nodes.rep == found.id, "left").select("same", F.coalesce("component_id", "rep").alias("component_id"))
+    out = fps.join(classes, "same")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

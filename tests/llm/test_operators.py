@@ -416,6 +416,16 @@ def test_bpe(docs, none):
     assert out + list(machine.end()) == bpe.ids(data) and most <= 2 * bpe.lookahead + 7
 
 
+def test_pipeline_tells_texts_of_one_id_apart(spark):
+    a, b = prose(90), prose(90)
+    data = [(1, a, "en", "s", 5), (1, a, "de", "s", 5), (2, b, "en", "s", 5), (2, prose(90), "en", "s", 5), (3, b, "fr", None, None), (4, None, None, None, None), (5, "", "en", "s", 0), (None, a, "en", "s", 5)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(corpus_pipeline.near_duplicates(spark, df, "").collect(), key=str)
+    assert len([r for r in got if r.doc_id == 2]) + len([r for r in got if r.doc_id == 3]) == 2 and [r.lang for r in got if r.doc_id == 1] == ["de"]
+    assert sum(r.text == b for r in got) == 1 and len([r for r in got if r.doc_id in (4, 5)]) == 1
+    assert corpus_pipeline.near_duplicates(spark, df.where("doc_id = -1"), "").count() == 0
+
+
 def test_pipeline(spark, docs, tmp_path):
     d = docs.select(*corpus_pipeline.COLUMNS)
     d.write.parquet(f"{tmp_path}/documents.parquet")
