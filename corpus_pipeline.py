@@ -27,10 +27,25 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that of the smallest doc_id. Rows that repeat a doc_id and text are one document."""
-    groups = simhash.similar_groups(docs, words=SHINGLE, similarity=SIMILARITY)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group, that of the smallest doc_id.
+
+    Rows that repeat a doc_id and text are one document, of which the row least by lang, source and n_chars stays. Rows that share a doc_id but not a
+    text are documents of their own, with an id made of both.
+    """
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *COLUMNS[1:])
+    repeated = common.repeated_ids(rows)
+    if repeated is None:
+        rows = rows.select("*", F.col("doc_id").alias("node"), F.lit(False).alias("again"))
+    else:
+        made = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+        rows = rows.join(repeated, "doc_id", "left").select(*COLUMNS, F.when(F.col("differ"), made).otherwise(F.col("doc_id")).alias("node"), F.col("differ").isNotNull().alias("again"))
+    groups = simhash.similar_groups(rows.select(F.col("node").alias("doc_id"), "text"), words=SHINGLE, similarity=SIMILARITY)
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("node")).distinct()
+    kept = rows.join(first, "node", "left_semi")
+    if repeated is None:
+        return kept.select(*COLUMNS)
+    one = kept.where("again").groupBy("node").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("x")).select("x.*")
+    return kept.where("not again").select(*COLUMNS).union(one.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,14 +63,17 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near duplicates", near_duplicates), ("personal data", personal_data), ("packing", pack)]
 
-#: The first stage's model and the last one's tokens are beyond SQL; tests hold each stage against a brute-force version.
+#: The first stage's model and the last one's tokens are beyond SQL. Tests hold the model, the lines, the groups, the base spans and the pieces against
+#: brute-force versions, and the stages in a row against these.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
+    """The last stage's rows; what the stages before it wrote on their way is removed as soon as it is read."""
+    docs, others = common.documents(spark, sf_dir), common.folders()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = common.written(docs, f"{common.shared_folder(spark)}")
+            docs = common.written(docs, folder := common.shared_folder(spark))
+            common.drop_folders(spark, but=[*others, folder])
     return docs
