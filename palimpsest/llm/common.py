@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +87,27 @@ def told_apart(docs: DataFrame) -> DataFrame:
     return rows.join(repeated, "doc_id", "left").select("doc_id", tie.alias("tie"), "text")
 
 
+SENT_IDS = 8 << 20  # ids that go to every task, eight bytes each; more are joined
+
+
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of (doc_id long, ...) whose doc_id is among ids (doc_id long, none twice, written down)."""
+    if ids.count() > SENT_IDS:
+        return rows.join(ids, "doc_id", "left_semi")
+    schema = pa.schema([("ids", pa.binary())])
+    packed = ids.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"ids": [b.column(0).to_numpy().tobytes()]}, schema=schema) for b in batches), "ids binary").collect()
+    held = ids.sparkSession.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(bytes(r[0]) for r in packed), np.int64)).tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(held.value, np.int64)
+        for b in batches:
+            own = b.column(0).to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+            yield b.filter(pa.array(known[at] == own if len(known) else np.zeros(len(own), bool)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: pa.Schema, ddl: str) -> DataFrame:
     """rows: a dict of equally long columns for each Arrow batch."""
 

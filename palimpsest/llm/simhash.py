@@ -28,7 +28,7 @@ from . import common
 
 SEED, LONG = 42, 512
 SKETCH, BYTES, LISTS, SLACK, TILE = 128, 4, 12, 12, 16_384  # positional bytes; of a key; keys of a text; tally below the mean; rows held
-BLOCK = 4096  # rows of a long list that are compared with as many others at once
+BLOCK = 1024  # rows of a long list that are compared with as many others at once
 LINK, MEMBER = 0, 1
 MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -198,10 +198,19 @@ def sketch(hashes: np.ndarray) -> bytes:
     return (least & np.uint64(255)).astype(np.uint8).tobytes()
 
 
+def _set(hashes: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+
+
+def hash_set(text: str, words: int) -> np.ndarray:
+    """The different shingle hashes of a text, sorted."""
+    return _set([*shingle_hashes(text, words)])
+
+
 def signature(text: str, words: int) -> tuple[int, bytes, bytes]:
     """Fingerprint (signed), sketch, and a digest of 128 bits of the set of shingle hashes."""
     hashes = [*shingle_hashes(text, words)]
-    own = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+    own = _set(hashes)
     fp = majority(hashes)
     return fp - (fp >> 63 << 64), sketch(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
@@ -239,7 +248,7 @@ def similar_sketches(nodes: DataFrame, similarity: float) -> DataFrame:
 
     nodes: (sketch binary, rep long). Posting lists are those of LISTS keys of BYTES positional bytes; pairs of similarity 0.8 miss
     all lists in one case of 500. LINK pairs connect a list as all its pairs do; they are tried first. As a try may fail, a list that
-    may have other pairs also gives their rows (MEMBER: rep, number of the list) for `crossing_sketches`. A list is read in tiles of TILE rows, of which LONG go over to the next tile.
+    may have other pairs also gives their rows (MEMBER: rep, number of the list) for `crossing_links`. A list is read in tiles of TILE rows, of which LONG go over to the next tile.
     """
     n, least = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(SKETCH * similarity) - SLACK
     keys = F.array(*(F.struct(F.lit(k).cast("byte").alias("s"), F.expr(f"substring(sketch, {1 + k * BYTES}, {BYTES})").alias("key")) for k in range(LISTS)))
@@ -278,47 +287,60 @@ def similar_sketches(nodes: DataFrame, similarity: float) -> DataFrame:
     return rows.repartition(n, "s", "key").sortWithinPartitions("s", "key", "rep").mapInArrow(tally, "a long, b long, kind byte")
 
 
-def crossing_sketches(members: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a long, b long): all pairs of a list of different components of which the tally says that they may have the similarity.
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets of hashes share at least that part of their different members."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def crossing_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a long, b long): links between different components of a list, enough to connect it as all its links do.
 
     members: (list long, rep long, c long), c the component. Lists of one component have no such pair. The others are cut into tiles
-    of BLOCK rows at the mean, and each pair of tiles is compared by itself.
+    of BLOCK rows at the mean, and each pair of tiles is compared by itself: pairs whose tally says that they may have the similarity
+    are checked on their shingle hashes in place, unless links found before join them already, so a task gives fewer links than it has rows.
     """
-    n, least = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(SKETCH * similarity) - SLACK
+    spark = nodes.sparkSession
+    n, least = int(spark.conf.get("spark.sql.shuffle.partitions")), int(SKETCH * similarity) - SLACK
     mixed = members.groupBy("list").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("t")).where("lo <> hi")
     rows = members.join(mixed.select("list", "t"), "list").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("t")).cast("int"))
+    rows = common.written(rows, common.shared_folder(spark))
+    reps = common.written(rows.select(F.col("rep").alias("doc_id")).distinct(), common.shared_folder(spark))
+    schema = pa.schema([("rep", pa.int64()), ("hashes", pa.binary())])
+    hashed = lambda b: {"rep": b.column(0), "hashes": [hash_set(t, words).tobytes() for t in b.column(1).to_pylist()]}
+    sets = common.map_batches(common.only(common.texts(docs), reps), hashed, schema, "rep long, hashes binary").dropDuplicates(["rep"])
+    sets = common.written(sets.join(nodes.select("rep", "sketch"), "rep"), common.shared_folder(spark))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
     rows = rows.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "c", "rep")
-    rows = rows.join(nodes.select("rep", "sketch"), "rep").select("list", "i", "j", "left", "c", "rep", "sketch")
+    rows = rows.join(sets, "rep").select("list", "i", "j", "left", "c", "rep", "sketch", "hashes")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def compare(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def compare(rows: list[tuple]) -> pa.RecordBatch:
         left, c, rep = (np.array([r[k] for r in rows]) for k in range(3))
-        if len(rows) < 2 or (c == c[0]).all():
-            return
-        x, out, size = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, SKETCH), [], 0
-        one_tile = left.all()
-        place, firsts = np.arange(len(rows)), np.flatnonzero(left)
-        for a in firsts:
-            b = np.flatnonzero((c != c[a]) & (place > a if one_tile else ~left))
-            b = b[np.count_nonzero(x[b] == x[a], axis=1) >= least]
-            out.append((np.full(len(b), rep[a]), rep[b]))
-            size += len(b)
-            if size > 1 << 16 or a == firsts[-1]:
-                yield pa.RecordBatch.from_pydict({"a": np.concatenate([p for p, _ in out]), "b": np.concatenate([q for _, q in out])}, schema=schema)
-                out, size = [], 0
+        out: list[tuple[int, int]] = []
+        if len(rows) > 1 and not (c == c[0]).all():
+            x = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, SKETCH)
+            one_tile, place = left.all(), np.arange(len(rows))
+            for a in np.flatnonzero(left):
+                b = np.flatnonzero((c != c[a]) & (place > a if one_tile else ~left))
+                for k in b[np.count_nonzero(x[b] == x[a], axis=1) >= least]:
+                    if c[k] != c[a] and alike(np.frombuffer(rows[a][4], np.uint64), np.frombuffer(rows[k][4], np.uint64), similarity):
+                        out.append((rep[a], rep[k]))
+                        c[c == c[k]] = c[a]
+        return pa.RecordBatch.from_pydict({"a": [p for p, _ in out], "b": [q for _, q in out]}, schema=schema)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for some in batches:
             for number, i, j, *row in zip(*(c.to_pylist() for c in some.columns), strict=True):
                 if (number, i, j) != now:
-                    if held:
-                        yield from compare(held)
+                    yield compare(held) if held else pa.RecordBatch.from_pydict({"a": [], "b": []}, schema=schema)
                     now, held = (number, i, j), []
                 held.append(row)
         if held:
-            yield from compare(held)
+            yield compare(held)
 
     return rows.repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(blocks, "a long, b long")
 
@@ -329,20 +351,17 @@ def distinct_links(links: DataFrame) -> DataFrame:
 
 
 def confirmed(links: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links (a, b) whose texts share at least that part of their different shingles. Reads a text once for each link.
+    """The links (a, b) whose texts share at least that part of their different shingles (of their 64-bit hashes). Reads a text once for each link.
     Of rows of docs that repeat a doc_id, one."""
-    ends = links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).distinct()
-    own = common.texts(docs).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    t = common.written(own, common.shared_folder(docs.sparkSession)).select("doc_id", "text")
+    spark = docs.sparkSession
+    ends = common.written(links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).distinct(), common.shared_folder(spark))
+    own = common.only(common.texts(docs), ends).dropDuplicates(["doc_id"])
+    t = common.written(own, common.shared_folder(spark)).select("doc_id", "text")
     both = links.join(t.toDF("a", "x"), "a").join(t.toDF("b", "y"), "b").select("a", "b", "x", "y")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def alike(x: str, y: str) -> bool:
-        p, q = set(shingles_of(x, words)), set(shingles_of(y, words))
-        return len(p & q) >= similarity * len(p | q) - 1e-9
-
     def check(b: pa.RecordBatch) -> dict:
-        ok = pa.array([alike(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+        ok = pa.array([alike(hash_set(x, words), hash_set(y, words), similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
         return {"a": b.column(0).filter(ok), "b": b.column(1).filter(ok)}
 
     return common.map_batches(both, check, schema, "a long, b long")
@@ -374,8 +393,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bit
     found = common.components(first)
     members = alike.where(f"kind = {MEMBER}").select(F.col("b").alias("list"), F.col("a").alias("rep"))
     members = members.join(found.toDF("rep", "c"), "rep", "left").select("list", "rep", F.coalesce("c", "rep").alias("c"))
-    more = distinct_links(crossing_sketches(common.written(members, common.shared_folder(spark)), nodes, similarity))
-    second = common.written(confirmed(more, docs, words, similarity), common.shared_folder(spark))
+    second = distinct_links(crossing_links(common.written(members, common.shared_folder(spark)), nodes, docs, words, similarity))
     if not second.isEmpty():
         found = common.components(first.union(second))
     classes = nodes.join(found, nodes.rep == found.id, "left").select("same", F.coalesce("component_id", "rep").alias("component_id"))

@@ -348,17 +348,41 @@ def test_similar(docs, none, spark):
 
 
 def test_sketch_pairs_are_all_tried(spark, monkeypatch):
+    """A long list of texts, of which only few pairs have the similarity, and none with the list's leader."""
     monkeypatch.setattr(simhash, "BLOCK", 100)
-    r = np.random.default_rng(6)
-    x = np.where(r.random((540, simhash.SKETCH)) < 0.2, r.integers(0, 256, (540, simhash.SKETCH)), 7).astype(np.uint8)
-    x[:, : simhash.BYTES] = 7
-    nodes = spark.createDataFrame([(bytes(b), i) for i, b in enumerate(x.tolist())], "sketch binary, rep long")
-    found = simhash.similar_sketches(nodes, 0.8).cache()
-    members = found.where(f"kind = {simhash.MEMBER}").select(F.col("b").alias("list"), F.col("a").alias("rep"), F.col("a").alias("c"))
-    got = {(min(p), max(p)) for p in map(tuple, simhash.crossing_sketches(members, nodes, 0.8).collect())}
-    want = {(i, j) for i in range(540) for j in range(i + 1, 540) if (x[i] == x[j]).sum() >= 90}
-    assert len(want) > 540 and got == want
-    assert simhash.crossing_sketches(members.withColumn("c", F.lit(0)), nodes, 0.8).count() == 0
+    r = random.Random(6)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(540):
+        w = list(base)
+        for at in r.sample(range(200), 9):
+            w[at] = f"x{r.random()}"
+        texts.append(" ".join(w))
+        if k % 60 == 0:
+            texts.append(" ".join(w[:-1]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [simhash.hash_set(t, 5) for t in texts]
+    nodes = spark.createDataFrame([(bytearray(simhash.sketch(x)), k) for k, x in enumerate(sets)], "sketch binary, rep long")
+    members = spark.createDataFrame([(1, k, k) for k in range(len(texts))], "list long, rep long, c long")
+    label = list(range(len(sets)))
+    for a, b in map(tuple, simhash.crossing_links(members, nodes, docs, 5, 0.8).collect()):
+        assert simhash.alike(sets[a], sets[b], 0.8)
+        label = [min(label[a], label[b]) if y in (label[a], label[b]) else y for y in label]
+    want = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if want[a] != want[b] and simhash.alike(sets[a], sets[b], 0.8):
+                want = [min(want[a], want[b]) if y in (want[a], want[b]) else y for y in want]
+    assert 9 <= len(set(range(len(sets)))) - len(set(want)) < 540 and label == want
+    assert simhash.crossing_links(members.withColumn("c", F.lit(0)), nodes, docs, 5, 0.8).count() == 0
+
+
+@pytest.mark.parametrize("sent", [0, 100])
+def test_only(spark, docs, sent, monkeypatch):
+    monkeypatch.setattr(common, "SENT_IDS", sent)
+    ids = spark.createDataFrame([(3,), (100,), (7777,)], "doc_id long")
+    assert {r.doc_id for r in common.only(common.texts(docs), ids).collect()} == {3, 100}
+    assert common.only(common.texts(docs), ids.where("doc_id < 0")).count() == 0
 
 
 def test_long_sketch_lists(monkeypatch):
