@@ -6,7 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Query parameters that only track.
-TRACKING = ["fbclid", "gclid", "dclid", "msclkid", "mc_cid", "mc_eid", "igshid", "ref", "ref_src", "yclid", "_ga", "_gl"]
+TRACKING = [
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "utm_source_platform", "utm_creative_format", "utm_marketing_tactic", "gclid", "gclsrc", "dclid",
+    "fbclid", "msclkid", "yclid", "igshid", "ttclid", "mc_cid", "mc_eid", "_hsenc", "_hsmi", "vero_id", "vero_conv", "wickedid", "oly_anon_id", "oly_enc_id", "s_kwcid", "twclid",
+]
+# Fixed value: the path of links whose fragment is an e-mail address in disguise, new on every load.
+MAIL_PATH = r"(?i)/cdn-cgi/l/email-protection/?$"
 # IPv4 ranges that aren't public.
 CLOSED = ["0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4"]
 
@@ -15,9 +20,11 @@ def strip_tracking(url: Column) -> Column:
     base, rest = F.substring_index(url, "?", 1), F.regexp_extract(url, r"\?([^#]*)", 1)
     fragment = F.regexp_extract(url, r"(#.*)$", 1)
     name = lambda p: F.lower(F.substring_index(p, "=", 1))
-    kept = F.filter(F.split(rest, "&"), lambda p: (p != "") & ~name(p).startswith("utm_") & ~name(p).isin(TRACKING))
+    kept = F.filter(F.split(rest, "&"), lambda p: (p != "") & ~name(p).isin(TRACKING))
     query = F.array_join(kept, "&")
-    return F.when(F.instr(url, "?") == 0, url).otherwise(F.concat(base, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), fragment))
+    before = F.substring_index(url, "#", 1)
+    clean = F.when(F.instr(before, "?") == 0, url).otherwise(F.concat(base, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), fragment))
+    return F.when(F.substring_index(before, "?", 1).rlike(MAIL_PATH), F.substring_index(clean, "#", 1)).otherwise(clean)
 
 
 def page_key(url: Column) -> Column:

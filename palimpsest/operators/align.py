@@ -12,16 +12,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 LEAST_RATIO, PAIR_CAP = 0.55, 10_000
 
 
-def ratio(a: list[str], b: list[str]) -> float:
+def ratio(a: str, b: str) -> float:
+    """Of the characters of two keys; keys of fewer than three are alike only if equal."""
     if not a or not b or min(len(a), len(b)) < 3:
         return float(bool(a) and a == b)
-    return SequenceMatcher(None, a, b, autojunk=False).ratio()
+    m = SequenceMatcher(None, a, b, autojunk=False)
+    return m.ratio() if min(m.real_quick_ratio(), m.quick_ratio()) >= LEAST_RATIO else 0.0  # bounds from above
 
 
-def best_first(old: list[list[str]], new: list[list[str]]) -> list[tuple[int, int, float]]:
+def best_first(old: list[str], new: list[str]) -> list[tuple[int, int, float]]:
     """Pairs one to one, the most alike first; ties by place."""
     if len(old) * len(new) > PAIR_CAP:
         scored = [(ratio(a, b), i, i) for i, (a, b) in enumerate(zip(old, new, strict=False))]
@@ -37,13 +41,13 @@ def best_first(old: list[list[str]], new: list[list[str]]) -> list[tuple[int, in
 
 
 def align_units(old: list[str], new: list[str]) -> list[tuple[str, int | None, int | None, float]]:
-    """(kind, place in old, place in new, ratio): equal, modified, moved, then removed and added."""
+    """(kind, place in old, place in new, ratio) of two lists of keys: equal, modified, moved, then removed and added."""
     out, gone, come = [], [], []
     for tag, a, b, c, d in SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
         if tag == "equal":
             out += [("equal", i, j, 1.0) for i, j in zip(range(a, b), range(c, d), strict=True)]
             continue
-        pairs = best_first([x.split() for x in old[a:b]], [x.split() for x in new[c:d]])
+        pairs = best_first(old[a:b], new[c:d])
         out += [("modified", a + i, c + j, r) for i, j, r in pairs]
         paired = ({i for i, _, _ in pairs}, {j for _, j, _ in pairs})
         gone += [i for i in range(a, b) if i - a not in paired[0]]
@@ -62,9 +66,14 @@ def word_segments(old: str, new: str) -> list[tuple[str, str]]:
     return [(" ".join(a[i:j]), " ".join(b[k:m])) for tag, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if tag != "equal"]
 
 
-def align(old: DataFrame, new: DataFrame, scope: str = "scope", place: str = "place", key: str = "key") -> DataFrame:
-    """(scope, kind, old_place, new_place, ratio, segments) of the comparisons that differ. old, new: (scope long, place, key)."""
-    new = new.select(*(F.col(c).alias(c) for c in (scope, place, key)))  # columns of its own, where both sides come from one table
+def align(old: DataFrame, new: DataFrame, scope: str = "scope", place: str = "place", key: str = "key", shown: str = "text") -> DataFrame:
+    """(scope, kind, old_place, new_place, ratio, segments) of the comparisons whose keys differ. old, new: (scope long, place, text).
+
+    Units are compared by their normalised keys and shown by their texts; where the input has a column key already, that one is taken.
+    """
+    old, new = (df if key in df.columns else df.withColumn(key, text.key(F.col(shown))) for df in (old, new))
+    old, new = (df if shown in df.columns else df.withColumn(shown, F.col(key)) for df in (old, new))
+    old, new = (df.select(*(F.col(c).alias(c) for c in (scope, place, key, shown))) for df in (old, new))  # columns of their own, where both come from one table
     mark = lambda df, n: df.groupBy(scope).agg(F.xxhash64(F.array_sort(F.collect_list(F.struct(place, key)))).alias(n))
     differ = mark(old, "a").join(mark(new, "b"), scope, "full_outer").where("not (a <=> b)").select(scope)
 
@@ -72,7 +81,8 @@ def align(old: DataFrame, new: DataFrame, scope: str = "scope", place: str = "pl
         a, b = a.sort_values(place), b.sort_values(place)
         sid = (a if len(a) else b)[scope].iloc[0]
         x, y, p, q = a[key].tolist(), b[key].tolist(), a[place].tolist(), b[place].tolist()
-        rows = [(sid, k, None if i is None else p[i], None if j is None else q[j], r, [{"old": s, "new": t} for s, t in word_segments(x[i], y[j])] if k == "modified" else []) for k, i, j, r in align_units(x, y)]
+        s_old, s_new = a[shown].tolist(), b[shown].tolist()
+        rows = [(sid, k, None if i is None else p[i], None if j is None else q[j], r, [{"old": s, "new": t} for s, t in word_segments(s_old[i], s_new[j])] if k == "modified" else []) for k, i, j, r in align_units(x, y)]
         return pd.DataFrame(rows, columns=["scope", "kind", "old_place", "new_place", "ratio", "segments"]).astype({"old_place": "Int64", "new_place": "Int64"})
 
     sides = [df.join(differ, scope, "left_semi").groupBy(scope) for df in (old, new)]

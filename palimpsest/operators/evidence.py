@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def verify(evidence: DataFrame, units: DataFrame) -> DataFrame:
-    """evidence (change_id, side, unit_id, excerpt) with issue: unknown_unit, not_quoted or null. units: (side, unit_id, text)."""
+    """evidence (change_id, side, unit_id, excerpt) with issue: unknown_unit, no_excerpt, not_quoted or null. units: (side, unit_id, text)."""
     both = evidence.join(units, ["side", "unit_id"], "left")
-    return both.withColumn("issue", F.when(F.col("text").isNull(), "unknown_unit").when(~F.col("text").contains(F.col("excerpt")) & ~F.col("excerpt").contains(F.col("text")), "not_quoted")).drop("text")
+    return both.withColumn("issue", F.when(F.col("text").isNull(), "unknown_unit").when(F.coalesce(F.trim("excerpt"), F.lit("")) == "", "no_excerpt").when(~F.col("text").contains(F.col("excerpt")) & ~F.col("excerpt").contains(F.col("text")), "not_quoted")).drop("text")
 
 
 def traceable(feed: DataFrame, checked: DataFrame) -> DataFrame:

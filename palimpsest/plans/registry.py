@@ -94,12 +94,12 @@ def moved_lines(spark, sf_dir):
     return diff.moves(old, new, "doc_id", "line", "place").groupBy("doc_id").agg(n("moved"), n("removed"), n("added"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split(lower(coalesce(text, '')), ' '), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split(lower(substr(coalesce(text, ''), 1, 400)), ' '), lambda x: x <> '')) AS b FROM documents)
+@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split(lower(coalesce(text, '')), ' '), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split(replace(lower(coalesce(text, '')), 'the', 'a'), ' '), lambda x: x <> '')) AS b FROM documents)
 SELECT doc_id, round(coalesce(len(list_intersect(a, b)) / nullif(len(a) + len(b) - len(list_intersect(a, b)), 0), 0.0), 6) AS jaccard FROM w""")
 def page_overlap(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     words = F.filter(F.split(F.lower("text"), " "), lambda x: x != "")
-    return diff.set_overlap(d, d.withColumn("text", F.substring("text", 1, 400)), "doc_id", words)
+    return diff.set_overlap(d, d.withColumn("text", F.replace(F.lower("text"), F.lit("the"), F.lit("a"))), "doc_id", words)
 
 
 @query("""WITH n AS (SELECT l_returnflag || l_linestatus AS bag, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL), t AS (SELECT bag, sum(n) AS t FROM n GROUP BY bag)
@@ -113,7 +113,7 @@ TRACKING = ", ".join(f"'{x}'" for x in urls.TRACKING)
 
 
 @query(f"""WITH u AS (SELECT page_id, url, string_split(regexp_extract(url, '\\?([^#]*)', 1), '&') AS q FROM pages),
-k AS (SELECT *, list_filter(q, lambda p: p <> '' AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_') AND lower(split_part(p, '=', 1)) NOT IN ({TRACKING})) AS kept FROM u)
+k AS (SELECT *, list_filter(q, lambda p: p <> '' AND lower(split_part(p, '=', 1)) NOT IN ({TRACKING})) AS kept FROM u)
 SELECT page_id, CASE WHEN instr(url, '?') = 0 THEN url ELSE split_part(url, '?', 1) || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END || regexp_extract(url, '(#.*)$', 1) END AS clean FROM k""")
 def clean_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.strip_tracking(F.col("url")).alias("clean"))
@@ -171,9 +171,13 @@ def dense_buckets(spark, sf_dir):
     return report.dense_buckets(table(spark, sf_dir, "events"), F.floor(F.col("value") / 10) + 1)
 
 
-@query("""SELECT doc_id, array_to_string(list_slice(string_split(text, ' '), greatest(1, 5 - 3), 5 + 3), ' ') AS around FROM documents WHERE text IS NOT NULL""")
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM w)
+SELECT doc_id, pos::INT AS pos, array_to_string(list_slice(w, greatest(1, pos - 3), pos + 3), ' ') AS around FROM p WHERE pos % 40 = 5""")
 def word_windows(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array_join(report.window_of(F.split("text", " "), F.lit(5), 3), " ").alias("around"))
+    """The words around every fortieth word of each whole text."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split("text", " ").alias("w"))
+    d = d.select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("pos")).where("pos % 40 = 5")
+    return d.select("doc_id", "pos", F.array_join(report.window_of(F.col("w"), F.col("pos"), 3), " ").alias("around"))
 
 
 @query("""WITH m AS (SELECT doc_id, n_chars AS size, unnest([0, n_chars // 4, n_chars // 3, n_chars // 2, n_chars]) AS c FROM documents), d AS (SELECT DISTINCT doc_id, c FROM m),
@@ -296,8 +300,8 @@ def ratchet(spark, sf_dir):
 @query()
 def aligned_lines(spark, sf_dir):
     """Sequence alignment of each document's lines with an edited version; tests hold it against the standard library."""
-    old = lines(spark, sf_dir).select(F.col("doc_id").alias("scope"), F.col("place").cast("long").alias("place"), F.col("line").alias("key"))
-    new = old.where("place % 11 <> 10").withColumn("key", F.when((F.col("place") + F.col("scope")) % 7 == 0, F.concat("key", F.lit(" indeed"))).otherwise(F.col("key")))
+    old = lines(spark, sf_dir).select(F.col("doc_id").alias("scope"), F.col("place").cast("long").alias("place"), F.col("line").alias("text"))
+    new = old.where("place % 11 <> 10").withColumn("text", F.when((F.col("place") + F.col("scope")) % 7 == 0, F.concat("text", F.lit(" indeed"))).otherwise(F.col("text")))
     return align.align(old, new)
 
 

@@ -7,13 +7,15 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import urls
 
 # Tags by what they do here.
 DROPPED = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "form", "button", "select"}
 CHROME = {"nav", "header", "footer", "aside"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-ROLES = {"p": "paragraph", "li": "list_item", "td": "table_cell", "th": "table_cell", "blockquote": "quote", "pre": "preformatted", "dt": "list_item", "dd": "list_item"} | {f"h{k}": "heading" for k in range(1, 7)}
-MOST_UNITS = 5000
+ROLES = {"p": "paragraph", "li": "list_item", "td": "table_cell", "th": "table_cell", "blockquote": "quote", "pre": "preformatted", "dt": "paragraph", "dd": "paragraph", "caption": "caption", "figcaption": "caption"} | {f"h{k}": "heading" for k in range(1, 7)}
 
 
 class Units(HTMLParser):
@@ -34,7 +36,7 @@ class Units(HTMLParser):
             if tag == self.skip[-1]:
                 self.skip.append(tag)
             return
-        hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or "").replace(" ", "")
+        hidden = "hidden" in a or a.get("aria-hidden") == "true" or any(x in (a.get("style") or "").replace(" ", "").lower() for x in ("display:none", "visibility:hidden"))
         if tag not in VOID and (tag in DROPPED or tag in CHROME or hidden):
             self.skip.append(tag)
         elif tag in ROLES:
@@ -74,23 +76,28 @@ class Units(HTMLParser):
         self.role, self.level, self.buffer = None, None, []
 
 
-def parse(html: str) -> list[tuple]:
+def parse(html: str, most: int | None = None) -> list[tuple]:
+    """All units of a page. With `most`, that many and, if there were more, a unit of role warning that says how many."""
     p = Units()
     p.feed(html)
     p.close()
     p.close_block()
-    return (p.units + [("link", None, [], text, href) for text, href in p.links if text])[:MOST_UNITS]
+    found = p.units + [("link", None, [], text, href) for text, href in p.links if text]
+    if most is None or len(found) <= most:
+        return found
+    return found[:most] + [("warning", None, [], f"{most} of {len(found)} units", None)]
 
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("idx", pa.int32()), ("role", pa.string()), ("level", pa.int32()), ("section_path", pa.list_(pa.string())), ("text", pa.string()), ("href", pa.string())])
 
 
-def units(pages: DataFrame) -> DataFrame:
-    """Of (page_id, html): a row for each unit. A page's units are bounded by MOST_UNITS."""
+def units(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """Of (page_id, html): a row for each unit, links last and without tracking parameters. most: as for parse()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, *u) for i, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, u in enumerate(parse(h or ""))]
+            rows = [(i, k, *u) for i, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, u in enumerate(parse(h or "", most))]
             yield pa.RecordBatch.from_pydict({n: [r[c] for r in rows] for c, n in enumerate(SCHEMA.names)}, schema=SCHEMA)
 
-    return pages.select("page_id", "html").mapInArrow(run, "page_id long, idx int, role string, level int, section_path array<string>, text string, href string")
+    found = pages.select("page_id", "html").mapInArrow(run, "page_id long, idx int, role string, level int, section_path array<string>, text string, href string")
+    return found.withColumn("href", urls.strip_tracking(F.col("href")))

@@ -48,8 +48,10 @@ def limited_stream(hits: DataFrame, rules: list[tuple[int, float]]) -> DataFrame
 
 
 def daily_budget(hits: DataFrame, time: str, order: str, most: int) -> DataFrame:
-    """The first `most` of each UTC day."""
-    w = Window.partitionBy(F.to_date(time)).orderBy(time, order)
+    """The first `most` of each UTC day; of times without a zone, of their own day."""
+    zoned = dict(hits.dtypes)[time] == "timestamp"
+    day = F.floor(F.unix_micros(time) / 86_400_000_000) if zoned else F.to_date(time)
+    w = Window.partitionBy(day).orderBy(time, order)
     return hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
 

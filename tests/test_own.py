@@ -1,6 +1,7 @@
 """The engine's own operators: every query against its SQL, and what SQL can't say against plain Python."""
 
 import os
+import itertools
 import random
 from difflib import SequenceMatcher
 
@@ -63,7 +64,8 @@ def test_values(spark):
 
 
 def test_urls(spark):
-    assert one(spark, urls.strip_tracking(F.col("v")), "https://a.b/c?utm_x=1&q=2&REF=3#f") == "https://a.b/c?q=2#f"
+    assert one(spark, urls.strip_tracking(F.col("v")), "https://a.b/c?utm_source=1&q=2&REF=3&TtClid=5#f") == "https://a.b/c?q=2&REF=3#f"
+    assert one(spark, urls.strip_tracking(F.col("v")), "https://a.b/cdn-cgi/l/email-protection#a1b2") == "https://a.b/cdn-cgi/l/email-protection"
     why = [one(spark, urls.problem(F.col("v")), x) for x in ("ftp://a", "http://u:p@a", "http://a:99/", "http://10.1.2.3/", "https://a.b/")]
     assert why == ["scheme", "credentials", "port", "address", None]
 
@@ -77,8 +79,10 @@ def test_alignment_holds_every_unit_once(spark):
         assert sorted(i for _, i, _, _ in got if i is not None) == [*range(len(old))]
         assert sorted(j for _, _, j, _ in got if j is not None) == [*range(len(new))]
         assert all(old[i] == new[j] for k, i, j, _ in got if k in ("equal", "moved"))
-    a, b = "one two three four".split(), "one three four five".split()
-    assert align.ratio(a, b) == SequenceMatcher(None, a, b, autojunk=False).ratio()
+    a, b = "price: 50 a month", "price: 75 a month"
+    assert align.ratio(a, b) == SequenceMatcher(None, a, b, autojunk=False).ratio() > 0.8
+    assert align.ratio("ab", "ab") == 1 and align.ratio("ab", "ac") == align.ratio("", "") == align.ratio("abcdef", "uvwxyz") == 0
+    assert align.align_units(["fee of 50 dollars"], ["fee of 75 dollars"])[0][0] == "modified"
     assert align.word_segments("a b c", "a x c") == [("b", "x")]
 
 
@@ -91,8 +95,15 @@ def test_alignment_query(spark):
 
 def test_pages_and_sheets():
     assert pages.longest_chain([0, 3, 1, 2]) == {0, 2, 3}
-    assert pages.needleman([[0.9, 0.1], [0.2, 0.8]]) == [(0, 0), (1, 1)]
-    assert pages.needleman([[0.1, 0.9], [0.8, 0.1]]) in ([(0, 1)], [(1, 0)])
+    r = random.Random(9)
+    for _ in range(300):
+        places = [(r.randint(0, 5), r.randint(0, 5), r.randint(1, 9) / 10) for _ in range(r.randint(0, 9))]
+        weight = lambda ks: sum(places[k][2] for k in ks)  # noqa: B023, E731
+        rises = lambda ks: all(places[a][0] < places[b][0] and places[a][1] < places[b][1] for a, b in zip(ks, ks[1:], strict=False))  # noqa: B023, E731
+        own = pages.heaviest_chain(places)
+        order = sorted(range(len(places)), key=lambda k: places[k])
+        every = [ks for n in range(len(places) + 1) for ks in itertools.combinations(order, n) if rises(ks)]
+        assert rises(own) and abs(weight(own) - max(map(weight, every))) < 1e-9
     assert sheets.moved_formula('A1+$A$1+"A1"+\'A1 x\'!B2', 1, 1) == 'B2+$A$1+"A1"+\'A1 x\'!C3'
     assert sheets.moved_formula("A1", -1, 0) == "#REF!"
 
@@ -101,6 +112,9 @@ def test_html():
     got = html.parse("<html><nav><p>no</p></nav><article><h1>T</h1><p>one <b>two<p>three<a href='https://x.y'>l</a></article><script>p</script>")
     assert [(u[0], u[3]) for u in got] == [("heading", "T"), ("paragraph", "one two"), ("paragraph", "threel"), ("link", "l")]
     assert got[1][2] == ["T"] and html.parse("") == []
+    long = "".join(f"<p>{k}</p>" for k in range(6000)) + "<dl><dt>a<dd>b</dl><p style='visibility: hidden'>c</p>"
+    assert len(html.parse(long)) == 6002 and html.parse(long)[-1][:1] == ("paragraph",)
+    assert html.parse(long, 10)[-1] == ("warning", None, [], "10 of 6002 units", None)
 
 
 def test_limiter_counts_accepted_hits_only(spark):
@@ -121,3 +135,29 @@ def test_segments(spark):
     marks = F.array(F.struct(F.lit(2).alias("start"), F.lit(5).alias("stop"), F.lit("a").alias("id")), F.struct(F.lit(4).alias("start"), F.lit(99).alias("stop"), F.lit("b").alias("id")))
     got = spark.range(1).select(report.segments(F.lit(8), marks).alias("s")).first().s
     assert [(x.start, x.stop, x.ids) for x in got] == [(0, 2, []), (2, 4, ["a"]), (4, 5, ["a", "b"]), (5, 8, ["b"])]
+
+
+def test_matched_pages(spark):
+    text = {k: f"alpha{k} beta{k} gamma{k} common" for k in range(6)}
+    old = spark.createDataFrame([(1, k, text[k]) for k in range(6)], "scope long, page int, text string")
+    new = spark.createDataFrame([(1, n, text[k]) for n, k in enumerate([0, 4, 1, 2, 5])], "scope long, page int, text string")
+    got = sorted((r.old_page, r.new_page, r.in_order) for r in pages.matched_pages(old, new, F.split("text", " ")).collect())
+    assert got == [(0, 0, True), (1, 2, True), (2, 3, True), (4, 1, False), (5, 4, True)]
+
+
+def test_daily_budget_is_of_utc_days(spark):
+    hits = spark.sql("select id, timestamp_micros(id * 3600000000) t from range(48)")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        assert [r.id for r in limits.daily_budget(hits, "t", "id", 2).orderBy("id").collect()] == [0, 1, 24, 25]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_evidence_without_an_excerpt(spark):
+    claims = spark.sql("select * from values (1, 'new', 5, 'b'), (2, 'new', 5, null), (3, 'new', 6, 'x'), (4, 'new', 5, 'z') t(change_id, side, unit_id, excerpt)")
+    units = spark.sql("select 'new' side, 5 unit_id, 'abc' text")
+    checked = evidence.verify(claims, units)
+    assert {r.change_id: r.issue for r in checked.collect()} == {1: None, 2: "no_excerpt", 3: "unknown_unit", 4: "not_quoted"}
+    assert [r.change_id for r in evidence.traceable(claims.select("change_id"), checked).collect()] == [1]
