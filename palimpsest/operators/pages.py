@@ -7,6 +7,7 @@ from bisect import bisect_left
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 
@@ -74,7 +75,7 @@ def matched_pages(old: DataFrame, new: DataFrame, words: Column, least: float =
         rest = pdf[~pdf["old_page"].isin(used["old_page"]) & ~pdf["new_page"].isin(used["new_page"])]
         return pd.concat([used, rest])
 
-    found = scored.groupBy("scope").applyInPandas(chain, scored.schema.add("in_order", "boolean"))
+    found = scored.groupBy("scope").applyInPandas(chain, T.StructType([*scored.schema.fields]).add("in_order", "boolean"))
     best = lambda page, other: F.row_number().over(Window.partitionBy("scope", page).orderBy(F.desc("score"), other))
     moved = found.where("not in_order").withColumns({"r": best("old_page", "new_page"), "s": best("new_page", "old_page")}).where("r = 1 and s = 1").drop("r", "s")
     return found.where("in_order").union(moved)

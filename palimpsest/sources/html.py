@@ -19,7 +19,9 @@ ROLES = {"p": "paragraph", "li": "list_item", "td": "table_cell", "th": "table_c
 
 
 class Units(HTMLParser):
-    """(role, level, section_path, text, href) in reading order; blocks end where another one begins or a container ends."""
+    """(role, level, section_path, text, href, place) in reading order; blocks end where another one begins or a container ends.
+
+    place: for a table cell the table's number on the page, its row and its column, from 0."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -29,6 +31,8 @@ class Units(HTMLParser):
         self.role, self.level, self.buffer = None, None, []
         self.headings: list[tuple[int, str]] = []
         self.href, self.link = None, []
+        self.tables: list[list[int]] = []  # number, row and next column of each open table
+        self.n_tables, self.place = 0, None
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
@@ -42,9 +46,19 @@ class Units(HTMLParser):
         elif tag in ROLES:
             self.close_block()
             self.role, self.level = ROLES[tag], int(tag[1]) if tag[0] == "h" and tag[1:].isdigit() else None
+            if tag in ("td", "th") and self.tables:
+                self.place = tuple(self.tables[-1])
+                self.tables[-1][2] += 1
         elif tag == "a" and (a.get("href") or "").startswith(("http://", "https://")):
             self.href, self.link = a["href"], []
-        elif tag in ("br", "tr", "table", "ul", "ol", "div", "section", "article", "main"):
+        elif tag == "table":
+            self.close_block()
+            self.tables.append([self.n_tables, -1, 0])
+            self.n_tables += 1
+        elif tag == "tr" and self.tables:
+            self.close_block()
+            self.tables[-1][1:] = [self.tables[-1][1] + 1, 0]
+        elif tag in ("br", "tr", "ul", "ol", "div", "section", "article", "main"):
             self.buffer.append(" ")
 
     def handle_endtag(self, tag):
@@ -54,6 +68,8 @@ class Units(HTMLParser):
             return
         if tag in ROLES or tag in ("div", "section", "article", "main", "table", "ul", "ol", "body"):
             self.close_block()
+            if tag == "table" and self.tables:
+                self.tables.pop()
         elif tag == "a" and self.href:
             self.links.append((" ".join("".join(self.link).split()), self.href))
             self.href = None
@@ -72,8 +88,8 @@ class Units(HTMLParser):
             path = [h[1] for h in self.headings]
             if self.role == "heading":
                 self.headings.append((self.level, text))
-            self.units.append((self.role, self.level, path, text, None))
-        self.role, self.level, self.buffer = None, None, []
+            self.units.append((self.role, self.level, path, text, None, self.place if self.role == "table_cell" else None))
+        self.role, self.level, self.buffer, self.place = None, None, [], None
 
 
 def parse(html: str, most: int | None = None) -> list[tuple]:
@@ -82,13 +98,13 @@ def parse(html: str, most: int | None = None) -> list[tuple]:
     p.feed(html)
     p.close()
     p.close_block()
-    found = p.units + [("link", None, [], text, href) for text, href in p.links if text]
+    found = p.units + [("link", None, [], text, href, None) for text, href in p.links if text]
     if most is None or len(found) <= most:
         return found
-    return found[:most] + [("warning", None, [], f"{most} of {len(found)} units", None)]
+    return found[:most] + [("warning", None, [], f"{most} of {len(found)} units", None, None)]
 
 
-SCHEMA = pa.schema([("page_id", pa.int64()), ("idx", pa.int32()), ("role", pa.string()), ("level", pa.int32()), ("section_path", pa.list_(pa.string())), ("text", pa.string()), ("href", pa.string())])
+SCHEMA = pa.schema([("page_id", pa.int64()), ("idx", pa.int32()), ("role", pa.string()), ("level", pa.int32()), ("section_path", pa.list_(pa.string())), ("text", pa.string()), ("href", pa.string()), ("place", pa.struct([("tbl", pa.int32()), ("row", pa.int32()), ("col", pa.int32())]))])
 
 
 def units(pages: DataFrame, most: int | None = None) -> DataFrame:
@@ -96,8 +112,8 @@ def units(pages: DataFrame, most: int | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, *u) for i, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, u in enumerate(parse(h or "", most))]
+            rows = [(i, k, *u[:5], u[5] and dict(zip(("tbl", "row", "col"), u[5], strict=True))) for i, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, u in enumerate(parse(h or "", most))]
             yield pa.RecordBatch.from_pydict({n: [r[c] for r in rows] for c, n in enumerate(SCHEMA.names)}, schema=SCHEMA)
 
-    found = pages.select("page_id", "html").mapInArrow(run, "page_id long, idx int, role string, level int, section_path array<string>, text string, href string")
+    found = pages.select("page_id", "html").mapInArrow(run, "page_id long, idx int, role string, level int, section_path array<string>, text string, href string, place struct<tbl:int,row:int,col:int>")
     return found.withColumn("href", urls.strip_tracking(F.col("href")))

@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text, urls, values
-from palimpsest.operators import align, evidence, pages, report, sheets
-from palimpsest.plans import registry
+from palimpsest.operators import align, evidence, pages, report, sheets, web, workbooks
+from palimpsest.plans import registry, web as web_queries, workbooks as workbook_queries  # noqa: F401  register their queries
 from palimpsest.sources import html
 from palimpsest.streaming import limits
 
@@ -112,9 +112,11 @@ def test_html():
     got = html.parse("<html><nav><p>no</p></nav><article><h1>T</h1><p>one <b>two<p>three<a href='https://x.y'>l</a></article><script>p</script>")
     assert [(u[0], u[3]) for u in got] == [("heading", "T"), ("paragraph", "one two"), ("paragraph", "threel"), ("link", "l")]
     assert got[1][2] == ["T"] and html.parse("") == []
+    cells = html.parse("<table><tr><th>a<th>b<tr><td><table><tr><td>x</table><td>y</table><table><td>z</table>")
+    assert [(u[3], u[5]) for u in cells] == [("a", (0, 0, 0)), ("b", (0, 0, 1)), ("x", (1, 0, 0)), ("y", (0, 1, 1)), ("z", (2, -1, 0))]
     long = "".join(f"<p>{k}</p>" for k in range(6000)) + "<dl><dt>a<dd>b</dl><p style='visibility: hidden'>c</p>"
     assert len(html.parse(long)) == 6002 and html.parse(long)[-1][:1] == ("paragraph",)
-    assert html.parse(long, 10)[-1] == ("warning", None, [], "10 of 6002 units", None)
+    assert html.parse(long, 10)[-1] == ("warning", None, [], "10 of 6002 units", None, None)
 
 
 def test_limiter_counts_accepted_hits_only(spark):
@@ -161,3 +163,37 @@ def test_evidence_without_an_excerpt(spark):
     checked = evidence.verify(claims, units)
     assert {r.change_id: r.issue for r in checked.collect()} == {1: None, 2: "no_excerpt", 3: "unknown_unit", 4: "not_quoted"}
     assert [r.change_id for r in evidence.traceable(claims.select("change_id"), checked).collect()] == [1]
+
+
+def test_workbook_changes(spark):
+    names = "book long, sheet string, sheet_index int, row int, col int, kind string, value string, formula string, link string"
+    cell = lambda s, i, r, c, k, v, f=None, a=None: (1, s, i, r, c, k, v, f, a)
+    grid = [[f"{x}{r}" for x in "abc"] for r in range(1, 7)]
+    old = [cell("S", 0, r, c, "text", v) for r, row in enumerate(grid, 1) for c, v in enumerate(row, 1)]
+    old += [cell("S", 0, 1, 4, "percent", "0.1"), cell("S", 0, 2, 4, "number", "5", "A2+1"), cell("S", 0, 3, 4, "date", "45000"), cell("S", 0, 4, 4, "number", "8", "A4+1"), cell("S", 0, 5, 4, "text", "t", None, "https://a.b"), cell("T", 1, 1, 1, "text", "x")]
+    # a row comes in on top, the third goes to the end; D has new values
+    order = [None, 1, 2, 4, 5, 6, 3]
+    new = [cell("S", 1, n, c, "text", (f"{x}{r}" if r else f"new{x}")) for n, r in enumerate(order, 1) for c, x in enumerate("abc", 1)]
+    new += [cell("S", 1, 2, 4, "percent", "0.125"), cell("S", 1, 3, 4, "number", "5", "A3+1"), cell("S", 1, 7, 4, "date", "45000"), cell("S", 1, 4, 4, "number", "10", "A4+2"), cell("S", 1, 5, 4, "text", "t", None, "https://a.c"), cell("T", 0, 1, 1, "text", "X")]
+    feed = workbooks.compare(spark.createDataFrame(old, names), spark.createDataFrame(new, names), ignore_case=True)
+    got = {(r.type, r.sheet, r.old_ref, r.new_ref, r.old_value, r.new_value, r.delta) for r in feed.collect()}
+    assert got == {
+        ("sheet_moved", "S", None, None, "0", "1", None),
+        ("row_added", "S", None, "A1:C1", None, "newa | newb | newc", None),
+        ("row_moved", "S", "A3:D3", "A7:D7", "a3 | b3 | c3 | 45000", "a3 | b3 | c3 | 45000", None),
+        ("cell_modified", "S", "D1", "D2", "0.1", "0.125", "+2.5 percentage points"),
+        ("formula_modified", "S", "D4", "D4", "A4+1", "A4+2", "+2 (+25%)"),
+        ("link_modified", "S", "D5", "D5", "https://a.b", "https://a.c", None),
+    }
+    assert [r.seq for r in feed.orderBy("seq").collect()] == [*range(1, 7)] and {r.group for r in feed.collect()} == {"structure", "values", "formulas", "links"}
+
+
+def test_web_changes(spark):
+    row = lambda *c: "<tr>" + "".join(f"<td>{x}</td>" for x in c) + "</tr>"
+    page = lambda title, h, price, href: f"<html><head><title>{title}</title></head><body><h2>{h}</h2><p>Some words that stay here.</p><h2>Plans</h2><table>{row('plan', 'fee')}{row('basic', '5')}{row('large', price)}</table><p><a href='{href}'>Guide</a></p></body></html>"
+    df = lambda x: spark.createDataFrame([(1, "https://a.b/c", x)], "page_id long, url string, html string")
+    old, new = page("T", "About us", "9", "https://g.h/1?utm_source=x"), page("U", "The company", "12", "https://g.h/2")
+    got = {(r.layer, r.kind, r.label, r.old_value, r.new_value) for r in web.compare(df(old), df(new)).collect()}
+    assert got == {("metadata", "modified", "title", "T", "U"), ("heading", "modified", "The company", "About us", "The company"), ("table", "modified", "large · fee", "9", "12"), ("link", "modified", "Guide", "https://g.h/1", "https://g.h/2")}
+    same = page("T", "About us", "9", "https://g.h/1")
+    assert web.compare(df(old), df(same)).count() == 0
