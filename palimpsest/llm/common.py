@@ -108,11 +108,18 @@ def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: pa.Schema, ddl: str) -> DataFrame:
-    """rows: a dict of equally long columns for each Arrow batch."""
+def slices(batches: Iterator[pa.RecordBatch], most: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that a worker holds Python objects of few texts at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, most):
+            yield batch.slice(k, most)
+
+
+def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: pa.Schema, ddl: str, most: int = 1000) -> DataFrame:
+    """rows: a dict of equally long columns for each part of an Arrow batch of at most so many rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, most):
             yield pa.RecordBatch.from_pydict(rows(batch), schema=schema)
 
     return df.mapInArrow(run, ddl)

@@ -123,7 +123,7 @@ def dedup_rows(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fir
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, at = held.value if few else {}, {n: k for k, n in enumerate(names)}
-        for batch in batches:
+        for batch in common.slices(batches):
             texts, n_lines, n_dropped = [], [], []
             gone = [None] * batch.num_rows if few else batch.column(len(names)).to_pylist()
             for i, t, drop in zip(batch.column(at["doc_id"]).to_pylist(), _raw(batch.column(at["text"])), gone, strict=True):

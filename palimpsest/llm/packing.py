@@ -120,7 +120,7 @@ def pack(cut: DataFrame, limit: int = SEQUENCE) -> DataFrame:
             sequence[own], offset[own] = start[j] + rank[own] - first[j], at[j]
         return out | {"sequence_id": sequence, "offset": offset}
 
-    return common.map_batches(ranked.select(*names, (F.col("rank") + F.col("base")).alias("rank")), place, schema, ", ".join(f"{n} long" for n in schema.names))
+    return common.map_batches(ranked.select(*names, (F.col("rank") + F.col("base")).alias("rank")), place, schema, ", ".join(f"{n} long" for n in schema.names), most=1 << 20)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, limit: int = SEQUENCE) -> DataFrame:

@@ -124,7 +124,7 @@ def twice_seen(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], ke
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
+        for batch in common.slices(batches):
             held.append(hashes(batch))
             size += len(held[-1])
             if size >= HELD:

@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 250_000
 LONG_PIECE = 256  # longer ones are encoded with their batch and not remembered
 TOGETHER = 20_000  # pieces, or
-BATCH_BYTES = 16 << 20  # bytes of texts, handled at a time
+BATCH_BYTES = 8 << 20  # bytes of texts, handled at a time
 
 
 def vocabulary(name: str) -> str:
