@@ -171,13 +171,13 @@ def dense_buckets(spark, sf_dir):
     return report.dense_buckets(table(spark, sf_dir, "events"), F.floor(F.col("value") / 10) + 1)
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM w)
-SELECT doc_id, pos::INT AS pos, array_to_string(list_slice(w, greatest(1, pos - 3), pos + 3), ' ') AS around FROM p WHERE pos % 40 = 5""")
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS pos FROM w)
+SELECT doc_id, pos::INT AS pos, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS around FROM p""")
 def word_windows(spark, sf_dir):
-    """The words around every fortieth word of each whole text."""
+    """The words around every word of each whole text."""
     d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split("text", " ").alias("w"))
-    d = d.select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("pos")).where("pos % 40 = 5")
-    return d.select("doc_id", "pos", F.array_join(report.window_of(F.col("w"), F.col("pos"), 3), " ").alias("around"))
+    around = F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.struct(k.alias("pos"), F.array_join(report.window_of(F.col("w"), k, 3), " ").alias("around")))
+    return d.select("doc_id", F.inline(around))
 
 
 @query("""WITH m AS (SELECT doc_id, n_chars AS size, unnest([0, n_chars // 4, n_chars // 3, n_chars // 2, n_chars]) AS c FROM documents), d AS (SELECT DISTINCT doc_id, c FROM m),
@@ -237,11 +237,15 @@ def noise_reasons(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", noise.reason(old, new, F.lit("modified")).alias("reason"))
 
 
-@query(f"""WITH {LINES}, p AS (SELECT doc_id, place // 5 AS page, trim(regexp_replace(lower(regexp_replace(trim(regexp_replace(line, '\\s+', ' ', 'g')), '[0-9]+', '#', 'g')), '\\s+', ' ', 'g')) AS template FROM lines WHERE regexp_matches(line, '^[ -~]*$')),
+SIGNS = f"'{(text.QUOTES + text.DASHES + text.NO_WIDTH)}', '{(text.PLAIN_QUOTES + '-' * len(text.DASHES)).replace(chr(39), chr(39) * 2)}'"
+SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query(f"""WITH {LINES}, p AS (SELECT doc_id, place // 5 AS page, regexp_replace(lower(trim(regexp_replace(translate(line, {SIGNS}), '{SPACE}', ' ', 'g'))), '[0-9]+', '#', 'g') AS template FROM lines),
 t AS (SELECT doc_id, count(DISTINCT page) AS pages FROM p GROUP BY doc_id), n AS (SELECT doc_id, template, count(DISTINCT page) AS n_pages FROM p WHERE template <> '' GROUP BY ALL)
 SELECT doc_id AS scope, template, n_pages FROM n JOIN t USING (doc_id) WHERE pages >= 3 AND n_pages >= greatest(3, floor(0.6 * pages))""")
 def running_heads(spark, sf_dir):
-    x = lines(spark, sf_dir).where(F.col("line").rlike("^[ -~]*$")).select(F.col("doc_id").alias("scope"), F.floor(F.col("place") / 5).alias("page"), F.col("line").alias("text"))
+    x = lines(spark, sf_dir).select(F.col("doc_id").alias("scope"), F.floor(F.col("place") / 5).alias("page"), F.col("line").alias("text"))
     return pages.running_heads(x)
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text, urls, values
-from palimpsest.operators import align, evidence, pages, report, sheets, web, workbooks
+from palimpsest.operators import align, evidence, feed, pages, report, sheets, web, workbooks
 from palimpsest.plans import registry, web as web_queries, workbooks as workbook_queries  # noqa: F401  register their queries
 from palimpsest.sources import html
 from palimpsest.streaming import limits
@@ -197,3 +197,22 @@ def test_web_changes(spark):
     assert got == {("metadata", "modified", "title", "T", "U"), ("heading", "modified", "The company", "About us", "The company"), ("table", "modified", "large · fee", "9", "12"), ("link", "modified", "Guide", "https://g.h/1", "https://g.h/2")}
     same = page("T", "About us", "9", "https://g.h/1")
     assert web.compare(df(old), df(same)).count() == 0
+
+
+def test_feed(spark):
+    rows = [(1, "a", 5, 2, 1, False, "x"), (1, "b", 4, None, 3, None, "y"), (1, "c", 3, None, None, True, "x"), (1, "d", 2, 1, 9, False, None), (2, "a", 1, 2, None, False, "zz")]
+    f = spark.createDataFrame(rows, "pair long, id string, seq long, new_page int, old_page int, noise boolean, kind string")
+    assert [r.id for r in feed.numbered(f, "pair", feed.reading_order()).where("pair = 1").orderBy("number").collect()] == ["d", "a", "b", "c"]
+    assert sorted(map(tuple, feed.counts(f, "pair").collect())) == [(1, 4, 3, 1), (2, 1, 1, 0)]
+    assert [tuple(r) for r in feed.counts_in_order(feed.shown(f), "kind", ["y", "none", "x"]).orderBy("place").collect()] == [(1, "y", 1), (2, "none", 0), (3, "x", 1), (4, "other", 1), (5, "zz", 1)]
+    assert sorted(map(tuple, feed.affected(f, "pair", pages="new_page").collect())) == [(1, 2), (2, 1)]
+    assert [(r.kind, r["rank"]) for r in feed.first_seen(f, "pair", "kind", "seq").where("pair = 1").orderBy("rank").collect()] == [("x", 1), ("y", 2)]
+    assert sorted((r.id, r.seq) for r in feed.renumbered(f, "pair", "seq", F.col("id") != "c").where("pair = 1").collect()) == [("a", 3), ("b", 2), ("d", 1)]
+    assert [r.id for r in feed.selected(f, "pair", F.col("kind") == "y", feed.reading_order(), 2).where("pair = 1").orderBy("place").collect()] == ["d", "b"]
+    notes = spark.createDataFrame([(1, "a"), (2, "a"), (3, "q"), (4, None)], "note int, id string")
+    assert {r.note: r.problem for r in feed.attached(notes, f, "id", ["note"]).collect()} == {1: None, 2: "duplicate", 3: "unknown_change", 4: "unknown_change"}
+    assert sorted((r.pair, r.id) for r in feed.anchored(f, f.where("id = 'a'"), ["pair", "new_page"], ["pair", "id"], F.col("new_page").isNotNull()).collect()) == [(1, "a"), (2, "a")]
+    assert [r.s for r in spark.createDataFrame([("a/b",), ("a/bc",), ("a/b/c",)], "s string").where(feed.within(F.col("s"), "a/b")).collect()] == ["a/b", "a/b/c"]
+    none = f.where("false")
+    assert feed.numbered(none, "pair", feed.reading_order()).count() == 0 and feed.counts(none, "pair").count() == 0
+    assert [tuple(r) for r in feed.withheld(f, "kind", used="seq").orderBy("reason").collect()] == [("given", 1, 2), ("x", 2, 8), ("y", 1, 4), ("zz", 1, 1)]
