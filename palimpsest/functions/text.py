@@ -54,6 +54,35 @@ def shorten(c: Column, most: int = 90) -> Column:
     return F.when(F.length(c) <= most, c).otherwise(F.concat(F.when(F.length(at) > 0.6 * most, at).otherwise(head), F.lit("…")))
 
 
+def rejoined(lines: Column) -> Column:
+    """An array of lines as one text; a word hyphenated at a line's end is joined if the next line starts in small letters."""
+    return F.trim(F.replace(F.regexp_replace(F.array_join(lines, "\n"), r"(?U)(\w)[-‐‑]\n(?=[a-zà-ÿ])", "$1"), F.lit("\n"), F.lit(" ")))
+
+
+def cited(words: Column, most: int = 240, tokens: int = 60) -> Column:
+    """struct(text, n_tokens): the leading words that fit into so many characters and tokens, so that what is quoted is what is cited."""
+    first = F.struct(F.lit("").alias("text"), F.lit(0).alias("n_tokens"), F.lit(True).alias("more"))
+
+    def add(acc: Column, word: Column) -> Column:
+        longer = F.when(acc["n_tokens"] == 0, word).otherwise(F.concat(acc["text"], F.lit(" "), word))
+        fits = acc["more"] & (F.length(longer) <= most)
+        return F.struct(F.when(fits, longer).otherwise(acc["text"]).alias("text"), (acc["n_tokens"] + fits.cast("int")).alias("n_tokens"), fits.alias("more"))
+
+    return F.aggregate(F.slice(words, 1, tokens), first, add, lambda acc: F.struct(acc["text"].alias("text"), acc["n_tokens"].alias("n_tokens")))
+
+
+def attribute_tokens(c: Column) -> Column:
+    """Words of a class or id, in small letters: split at signs and at capitals, and each group between spaces joined without signs."""
+    apart = F.split(F.lower(F.regexp_replace(c, "(?<=[a-z0-9])(?=[A-Z])", " ")), "[^a-z0-9]+")
+    joined = F.transform(F.split(F.lower(c), r"\s+"), lambda g: F.regexp_replace(g, "[^a-z0-9]+", ""))
+    return F.filter(F.array_union(apart, joined), lambda t: t != "")
+
+
+def first_token(c: Column, names: list[str]) -> Column:
+    """The least of the given names that is a token of a class or id, or null."""
+    return F.array_min(F.array_intersect(attribute_tokens(c), F.array(*map(F.lit, names))))
+
+
 def template(c: Column) -> Column:
     return F.regexp_replace(key(c), "[0-9]+", "#")
 

@@ -9,6 +9,13 @@ NUMBER = r"[0-9]{1,3}(?:,[0-9]{2,3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?"
 # Names of months.
 MONTHS = "january february march april may june july august september october november december".split()
 CURRENCY = r"\$|€|£|¥|₹|usd|eur|gbp|inr|jpy"
+_NAME = "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTHS)
+# Forms of a date, in the order in which they are tried.
+DATES = [
+    rf"(?i)\b([0-9]{{1,2}})(?:st|nd|rd|th)? ({_NAME}),? ([0-9]{{4}})\b", rf"(?i)\b({_NAME}) ([0-9]{{1,2}})(?:st|nd|rd|th)?,? ([0-9]{{4}})\b", r"\b([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})\b",
+    r"\b([0-9]{1,2})[/.]([0-9]{1,2})[/.]([0-9]{4}|[0-9]{2})\b",
+]
+EDGE = r"""[\s.,;:!?()\[\]{}"'“”‘’]+"""  # signs around a date that aren't part of it
 
 
 def _number(text: Column) -> Column:
@@ -28,8 +35,7 @@ def _made(y: Column, m: Column, d: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """struct(date, ambiguous): day month year, month day year, ISO, then numbers, which are ambiguous unless one exceeds 12."""
-    name = "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTHS)
-    dmy, mdy, iso, num = rf"(?i)\b([0-9]{{1,2}})(?:st|nd|rd|th)? ({name}),? ([0-9]{{4}})\b", rf"(?i)\b({name}) ([0-9]{{1,2}})(?:st|nd|rd|th)?,? ([0-9]{{4}})\b", r"\b([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})\b", r"\b([0-9]{1,2})[/.]([0-9]{1,2})[/.]([0-9]{4}|[0-9]{2})\b"
+    dmy, mdy, iso, num = DATES
     g = lambda p, k: F.regexp_extract(c, p, k)
     a, b, y = g(num, 1).try_cast("int"), g(num, 2).try_cast("int"), g(num, 3).try_cast("int")
     y = F.when(y < 100, y + 2000).otherwise(y)
@@ -40,6 +46,15 @@ def parse_date(c: Column) -> Column:
     return F.struct(date.alias("date"), (by_name.isNull() & by_iso.isNull() & (a <= 12) & (b <= 12) & (a != b)).alias("ambiguous"))
 
 
+def whole_date(c: Column) -> Column:
+    """The date of a text that is a date and nothing else, signs at its edges apart; null for any other text and for no real date."""
+    bare = F.regexp_replace(c, f"^{EDGE}|{EDGE}$", "")
+    whole = F.lit(False)
+    for form in DATES:
+        whole = whole | bare.rlike(f"^(?:{form})$")
+    return F.when(whole, parse_date(bare)["date"])
+
+
 def kind_of(c: Column) -> Column:
     """date, percent, money, identifier, year, number or text, in that order of trying."""
     money = rf"(?i)(?:{CURRENCY})\s?(?:{NUMBER})|(?:{NUMBER})\s?(?:{CURRENCY})"
@@ -69,6 +84,31 @@ def date_delta(old: Column, new: Column) -> Column:
     return F.when(days > 0, F.concat(days.cast("string"), F.lit(" days later"))).when(days < 0, F.concat((-days).cast("string"), F.lit(" days earlier")))
 
 
+def unit_of(c: Column) -> Column:
+    """What stands beside the first number of a text: its currency, percent sign or unit, in small letters."""
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, f"^(.*?)(?:{NUMBER})", "$1 "), r"\s+", " ")))
+
+
+def typed(c: Column) -> Column:
+    """struct(kind, date, ambiguous, number, unit) of a value given as text."""
+    date = parse_date(c)
+    return F.struct(kind_of(c).alias("kind"), date["date"].alias("date"), date["ambiguous"].alias("ambiguous"), _number(c).alias("number"), unit_of(c).alias("unit"))
+
+
+def value_delta(old: Column, new: Column) -> Column:
+    """The difference of two typed() values, or null where it means nothing. They should be columns already, as each is read many times.
+
+    Dates differ by days unless one is ambiguous. Numbers differ if both have the same unit and neither is an identifier; a percentage
+    follows but for years, percents and an old value of 0.
+    """
+    either = lambda *kinds: old["kind"].isin(*kinds) | new["kind"].isin(*kinds)
+    days = F.when(~old["ambiguous"] & ~new["ambiguous"], date_delta(old["date"], new["date"]))
+    delta = number_delta(old["number"], new["number"])
+    bare = F.regexp_replace(delta, r" \(.*\)$", "")
+    both_dates = (old["kind"] == "date") & (new["kind"] == "date")
+    return F.when(both_dates, days).when(either("date", "identifier", "text") | (old["unit"] != new["unit"]), None).when(either("year", "percent"), bare).otherwise(delta)
+
+
 def change_type(kind: Column, category: Column) -> Column:
     """Text and page take the kind, every other category is CHANGED."""
     return F.upper(F.when(category.isin("text", "page"), F.concat_ws("_", category, kind)).otherwise(F.concat(category, F.lit("_changed"))))

@@ -14,6 +14,21 @@ def verify(evidence: DataFrame, units: DataFrame) -> DataFrame:
     return both.withColumn("issue", F.when(F.col("text").isNull(), "unknown_unit").when(F.coalesce(F.trim("excerpt"), F.lit("")) == "", "no_excerpt").when(~F.col("text").contains(F.col("excerpt")) & ~F.col("excerpt").contains(F.col("text")), "not_quoted")).drop("text")
 
 
+def verify_cells(evidence: DataFrame, cells: DataFrame, sheets: DataFrame) -> DataFrame:
+    """evidence (change_id, side, sheet, ref, fingerprint, excerpt) with issue: other_document, unknown_sheet, empty_cell, not_quoted or null.
+
+    cells: (side, sheet, ref, text); sheets: (side, sheet, fingerprint of its workbook). A quote is a cell's whole text, or its beginning and "…".
+    """
+    both = evidence.join(sheets.select("side", "sheet", F.col("fingerprint").alias("_of")), ["side", "sheet"], "left").join(cells.select("side", "sheet", "ref", F.col("text").alias("_text")), ["side", "sheet", "ref"], "left")
+    quote, shown = F.col("excerpt"), F.col("_text")
+    begins = quote.endswith("…") & shown.startswith(F.regexp_replace(quote, "…$", "")) & (F.length(quote) > 1)
+    issue = (
+        F.when(F.col("_of").isNull(), "unknown_sheet").when(~F.col("fingerprint").eqNullSafe(F.col("_of")), "other_document")
+        .when(F.coalesce(F.trim(shown), F.lit("")) == "", "empty_cell").when(~F.coalesce((quote == shown) | begins, F.lit(False)), "not_quoted")
+    )
+    return both.withColumn("issue", issue).drop("_of", "_text")
+
+
 def traceable(feed: DataFrame, checked: DataFrame) -> DataFrame:
     """The changes of which every piece of evidence was found, and that have some."""
     bad = checked.where("issue is not null").select("change_id")

@@ -81,6 +81,37 @@ def matched_pages(old: DataFrame, new: DataFrame, words: Column, least: float =
     return found.where("in_order").union(moved)
 
 
+def page_links(old: DataFrame, new: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(scope, old_page, new_page, kind, comparable) of every page: matched, moved, removed or added.
+
+    old, new: (scope, page, has_text), pages numbered from 1 without gaps; pairs: (scope, old_page, new_page, in_order) by content. Pages
+    without text then follow their matched neighbours, if the page they lead to has no text either and is free: the pages after a matched one in
+    turn, the last of a run only if the next match agrees, or by the next match alone. What is left pairs in order of pages; only the surplus of a
+    side is removed or added. comparable: both pages have text.
+    """
+    place = Window.partitionBy("scope").orderBy("page")
+    known = pairs.select("scope", F.col("old_page").alias("page"), F.col("new_page").alias("to"), "in_order")
+    left = old.select("scope", "page", "has_text").join(known, ["scope", "page"], "left")
+    free = new.select("scope", "page", "has_text").join(pairs.select("scope", F.col("new_page").alias("page")), ["scope", "page"], "left_anti")
+    bare = F.col("to").isNull() & ~F.col("has_text")
+    fixed = F.when(~bare, F.struct("page", "to"))
+    near = left.withColumns({"bare": bare, "before": F.last(fixed, True).over(place), "after": F.first(fixed, True).over(place.rowsBetween(1, Window.unboundedFollowing))}).where("bare")
+    ahead, last = F.col("before.to") + F.col("page") - F.col("before.page"), F.col("after.page") == F.col("page") + 1
+    ends = F.when(last, F.col("after.to"))
+    to = F.when(F.col("before.to").isNull(), ends - 1).when(ends.isNull() | (ends == ahead + 1), ahead)
+    run = Window.partitionBy("scope", "before.page").orderBy("page")
+    led = near.withColumn("to", to).join(free.where("not has_text").select("scope", F.col("page").alias("to"), F.lit(1).alias("ok")), ["scope", "to"], "left")
+    led = led.withColumn("ok", F.when(F.col("before.to").isNull(), F.col("ok")).otherwise(F.min(F.coalesce("ok", F.lit(0))).over(run))).where("ok = 1")
+    led = led.withColumn("rn", F.row_number().over(Window.partitionBy("scope", "to").orderBy("page"))).where("rn = 1").select("scope", F.col("page").alias("old_page"), F.col("to").alias("new_page"))
+    found = pairs.select("scope", "old_page", "new_page", "in_order").unionByName(led.withColumn("in_order", F.lit(True)))
+    rest = lambda df, p: df.select("scope", F.col("page").alias(p)).join(found.select("scope", p), ["scope", p], "left_anti").withColumn("rn", F.row_number().over(Window.partitionBy("scope").orderBy(p)))
+    remaining = rest(old, "old_page").join(rest(new, "new_page"), ["scope", "rn"], "full_outer").select("scope", "old_page", "new_page", F.lit(True).alias("in_order"))
+    text_of = lambda df, p: df.select("scope", F.col("page").alias(p), F.col("has_text").alias(f"{p}_text"))
+    every = found.unionByName(remaining).join(text_of(old, "old_page"), ["scope", "old_page"], "left").join(text_of(new, "new_page"), ["scope", "new_page"], "left")
+    kind = F.when(F.col("new_page").isNull(), "removed").when(F.col("old_page").isNull(), "added").when(F.col("in_order"), "matched").otherwise("moved")
+    return every.select("scope", "old_page", "new_page", kind.alias("kind"), F.coalesce(F.col("old_page_text") & F.col("new_page_text"), F.lit(False)).alias("comparable"))
+
+
 def longest_chain(order: list[int]) -> set[int]:
     """Indexes of a longest increasing chain; what lies outside has moved."""
     tails, at, back = [], [], []

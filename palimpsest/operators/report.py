@@ -69,3 +69,33 @@ def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> Da
     both = left.select("*", F.lit(1).alias("_side"), F.lit(None).alias("_value")).unionByName(right.select(by, at, F.lit(0).alias("_side"), F.col(value).alias("_value")), allowMissingColumns=True)
     w = Window.partitionBy(by).orderBy(at, "_side", "_value").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(f"last_{value}", F.last("_value", ignorenulls=True).over(w)).where("_side = 1").drop("_side", "_value")
+
+
+def steps(feed: DataFrame, by: str, order: str) -> DataFrame:
+    """feed with previous and next (values of the order column), place and total long: where a reader stands in a comparison."""
+    w = Window.partitionBy(by).orderBy(order)
+    return feed.withColumns({"previous": F.lag(order).over(w), "next": F.lead(order).over(w), "place": F.row_number().over(w).cast("long"), "total": F.count("*").over(Window.partitionBy(by))})
+
+
+def highlights(cells: DataFrame, by: list[str], seq: str, value: str) -> DataFrame:
+    """(by..., seq, value): of the changes that name a cell, the first one marks it."""
+    return cells.groupBy(*by).agg(F.min(F.struct(seq, value)).alias("_first")).select(*by, f"_first.{seq}", f"_first.{value}")
+
+
+def page_groups(feed: DataFrame, by: list[str], seq: str, anchor: Column) -> DataFrame:
+    """feed with group: the first page record (anchor) of the same place and kind takes in the others; without one, each change is its own group."""
+    first = feed.where(anchor).groupBy(*by).agg(F.min(seq).alias("_anchor"))
+    return feed.join(first, by, "left").withColumn("group", F.coalesce("_anchor", seq)).drop("_anchor")
+
+
+def scrolled(positions: DataFrame, anchors: DataFrame, by: str) -> DataFrame:
+    """positions (by, y) with to double: where y lies on the other side, straight between the anchors around it, and as far from the outermost one
+    beyond them. anchors: (by, y, to), one for a y. Null without anchors."""
+    both = positions.select(by, F.col("y").cast("double").alias("y"), F.lit(None).cast("double").alias("to"), F.lit(1).alias("asked")).unionByName(anchors.select(by, F.col("y").cast("double").alias("y"), F.col("to").cast("double").alias("to"), F.lit(0).alias("asked")))
+    w = Window.partitionBy(by).orderBy("y", "asked")
+    at = F.when(F.col("asked") == 0, F.struct("y", "to"))
+    around = both.withColumns({"lo": F.last(at, True).over(w), "hi": F.first(at, True).over(w.rowsBetween(1, Window.unboundedFollowing))}).where("asked = 1")
+    lo, hi, y = F.col("lo"), F.col("hi"), F.col("y")
+    between = lo["to"] + (y - lo["y"]) / (hi["y"] - lo["y"]) * (hi["to"] - lo["to"])
+    to = F.when(lo.isNull(), hi["to"] + y - hi["y"]).when(hi.isNull(), lo["to"] + y - lo["y"]).otherwise(between)
+    return around.select(by, "y", to.alias("to"))

@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text, urls, values
-from palimpsest.operators import align, evidence, feed, pages, report, sheets, web, workbooks
-from palimpsest.plans import registry, web as web_queries, workbooks as workbook_queries  # noqa: F401  register their queries
+from palimpsest.operators import align, evidence, explain, feed, pages, report, sheets, web, workbooks
+from palimpsest.plans import reading, registry, web as web_queries, workbooks as workbook_queries  # noqa: F401  register their queries
 from palimpsest.sources import html
 from palimpsest.streaming import limits
 
@@ -216,3 +216,80 @@ def test_feed(spark):
     none = f.where("false")
     assert feed.numbered(none, "pair", feed.reading_order()).count() == 0 and feed.counts(none, "pair").count() == 0
     assert [tuple(r) for r in feed.withheld(f, "kind", used="seq").orderBy("reason").collect()] == [("given", 1, 2), ("x", 2, 8), ("y", 1, 4), ("zz", 1, 1)]
+
+
+def walked(old, new, pairs):
+    """Page links by walking the pages one after the other; what page_links says in windows."""
+    to, used = dict(pairs), {b for _, b in pairs}
+    for p in sorted(old):
+        if p in to or old[p]:
+            continue
+        before, after = to.get(p - 1), to.get(p + 1)
+        if before and after:
+            q = before + 1 if after == before + 2 else None
+        else:
+            q = before + 1 if before else after - 1 if after else None
+        if q in new and q not in used and not new[q]:
+            to[p] = q
+            used.add(q)
+    for p, q in zip([p for p in sorted(old) if p not in to], [q for q in sorted(new) if q not in used]):
+        to[p] = q
+        used.add(q)
+    return sorted([(p, to.get(p, 0)) for p in old] + [(0, q) for q in new if q not in used])
+
+
+def test_page_links_against_a_walk(spark):
+    rng = random.Random(5)
+    old, new, pairs, want = [], [], [], []
+    for scope in range(150):
+        a, b = ({p: rng.random() < 0.4 for p in range(1, rng.randint(1, 9))} for _ in range(2))
+        texts = [[p for p, t in side.items() if t] for side in (a, b)]
+        n = rng.randint(0, min(map(len, texts)))
+        own = list(zip(*(sorted(rng.sample(t, n)) for t in texts)))
+        old += [(scope, p, t) for p, t in a.items()]
+        new += [(scope, p, t) for p, t in b.items()]
+        pairs += [(scope, p, q, True) for p, q in own]
+        want += [(scope, p, q) for p, q in walked(a, b, own)]
+    side = "scope int, page int, has_text boolean"
+    got = pages.page_links(spark.createDataFrame(old, side), spark.createDataFrame(new, side), spark.createDataFrame(pairs, "scope int, old_page int, new_page int, in_order boolean"))
+    assert sorted((r.scope, r.old_page or 0, r.new_page or 0) for r in got.collect()) == sorted(want)
+
+
+def test_moved_pages_and_pages_of_one_side(spark):
+    side, pair = "scope int, page int, has_text boolean", "scope int, old_page int, new_page int, in_order boolean"
+    got = pages.page_links(spark.createDataFrame([(1, 1, True), (1, 2, False), (1, 3, True)], side), spark.createDataFrame([(1, 1, True), (1, 2, False)], side), spark.createDataFrame([(1, 1, 1, False)], pair))
+    assert sorted((r.old_page, r.new_page or 0, r.kind, r.comparable) for r in got.collect()) == [(1, 1, "moved", True), (2, 2, "matched", False), (3, 0, "removed", False)]
+    empty = spark.createDataFrame([], side)
+    assert pages.page_links(empty, empty, spark.createDataFrame([], pair)).count() == 0
+
+
+def test_value_delta(spark):
+    rows = [("$5", "$10"), ("5%", "10%"), ("$5", "€10"), ("10 days", "30 days"), ("10 days", "3 weeks"), ("3/4/2024", "5 May 2024"), ("AB-12", "AB-13"), (None, "$5"), ("0", "5"), ("2024-01-01", "2024-01-02")]
+    df = spark.createDataFrame(rows, "a string, b string").select(values.typed(F.col("a")).alias("a"), values.typed(F.col("b")).alias("b"))
+    assert [r[0] for r in df.select(values.value_delta(F.col("a"), F.col("b"))).collect()] == ["+5 (+100%)", "+5", None, None, None, None, None, None, "+5", "1 days later"]
+
+
+def test_quotes_and_tokens(spark):
+    v = F.col("v")
+    assert one(spark, text.rejoined(F.split(v, "[|]")), "an inter-|national well-|Known end-") == "an international well- Known end-"
+    assert one(spark, text.cited(F.split(v, " "), 10), "alpha beta gamma") == ("alpha beta", 2)
+    assert one(spark, text.cited(F.split(v, " "), 3), "alpha") == ("", 0)
+    assert one(spark, text.cited(F.split(v, " "), 10, 1), "a b") == ("a", 1)
+    assert sorted(one(spark, text.attribute_tokens(v), "cookie-Banner topNav")) == ["banner", "cookie", "cookiebanner", "nav", "top", "topnav"]
+    assert one(spark, text.first_token(v, ["nav", "ad"]), "topNav x_ad") == "ad" and one(spark, text.first_token(v, ["nav"]), "navigate") is None
+
+
+def test_cell_evidence_of_null_quotes(spark):
+    given = spark.createDataFrame([(1, "new", "S", "A1", "f", None), (2, "new", "S", "A1", "f", "…"), (3, "new", "S", "A1", None, "x"), (4, "new", "S", "A1", "f", "lo…")], "change_id int, side string, sheet string, ref string, fingerprint string, excerpt string")
+    cells = spark.createDataFrame([("new", "S", "A1", "long")], "side string, sheet string, ref string, text string")
+    sheets = spark.createDataFrame([("new", "S", "f")], "side string, sheet string, fingerprint string")
+    assert {r.change_id: r.issue for r in evidence.verify_cells(given, cells, sheets).collect()} == {1: "not_quoted", 2: "not_quoted", 3: "other_document", 4: None}
+
+
+def test_replies(spark):
+    said = [(1, '[{"change_id": 1, "statement": "A.", "refs": [1, 9]}, {"change_id": 2, "statement": " a. ", "refs": [2]}, {"change_id": 2, "statement": "A.", "refs": [2]}]'), (2, None), (3, "[]"), (4, '[{"change_id": 1, "statement": "x"}]')]
+    got = explain.statements(spark.createDataFrame(said, "batch int, reply string"), spark.createDataFrame([(1, 1), (1, 2), (4, 4)], "batch int, change_id long"))
+    assert sorted((r.batch, r.problem or "", r.change_id or 0) for r in got.collect()) == [(1, "", 1), (1, "", 2), (1, "", 2), (2, "unreadable", 0), (4, "unknown_change", 0)]
+    facts = spark.createDataFrame([(1, 1), (2, 2), (9, 2)], "ref long, change_id long")
+    checked = explain.references(got.where("problem is null").drop("problem"), facts)
+    assert sorted((r.change_id, r.place, r.problem or "") for r in checked.collect()) == [(1, 0, "foreign_reference"), (2, 1, ""), (2, 2, "duplicate")]
