@@ -10,6 +10,8 @@ TRACKING = [
     "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "utm_source_platform", "utm_creative_format", "utm_marketing_tactic", "gclid", "gclsrc", "dclid",
     "fbclid", "msclkid", "yclid", "igshid", "ttclid", "mc_cid", "mc_eid", "_hsenc", "_hsmi", "vero_id", "vero_conv", "wickedid", "oly_anon_id", "oly_enc_id", "s_kwcid", "twclid",
 ]
+# Query parameters that name a session, a moment or a copy in a cache.
+OPAQUE = ["sid", "sessid", "sessionid", "session_id", "phpsessid", "jsessionid", "cachebuster", "cb", "_", "ts", "timestamp", "nocache", "rand", "r", "v"]
 # Fixed value: the path of links whose fragment is an e-mail address in disguise, new on every load.
 MAIL_PATH = r"(?i)/cdn-cgi/l/email-protection/?$"
 # IPv4 ranges that aren't public.
@@ -27,6 +29,16 @@ def strip_tracking(url: Column) -> Column:
     return F.when(F.substring_index(before, "?", 1).rlike(MAIL_PATH), F.substring_index(clean, "#", 1)).otherwise(clean)
 
 
+def opaque_difference(old: Column, new: Column) -> Column:
+    """Whether two links lead to the same place and only their opaque parameters differ. Parameters count in any order, decoded."""
+    whole = lambda u: F.substring_index(u, "#", 1)
+    query = lambda u: F.regexp_extract(whole(u), r"\?(.*)$", 1)
+    named = lambda p: F.when(F.instr(p, "=") > 0, p).otherwise(F.concat(p, F.lit("=")))
+    meant = lambda u: F.array_sort(F.transform(F.filter(F.split(query(u), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(OPAQUE)), lambda p: F.coalesce(F.try_url_decode(named(p)), named(p))))
+    place = lambda u: F.substring_index(whole(u), "?", 1)
+    return F.coalesce((place(old) == place(new)) & (meant(old) == meant(new)) & (query(old) != query(new)), F.lit(False))
+
+
 def page_key(url: Column) -> Column:
     return F.regexp_replace(F.substring_index(url, "#", 1), "/+$", "")
 

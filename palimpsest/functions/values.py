@@ -109,6 +109,12 @@ def value_delta(old: Column, new: Column) -> Column:
     return F.when(both_dates, days).when(either("date", "identifier", "text") | (old["unit"] != new["unit"]), None).when(either("year", "percent"), bare).otherwise(delta)
 
 
+def label_before(line: Column, value: Column, most: int = 80) -> Column:
+    """What introduces a value on its line, without colons and dashes around it; null if there is nothing, or more than a label."""
+    label = F.regexp_replace(F.call_function("substring_index", line, value, F.lit(1)), r"^[ :–—\-\t]+|[ :–—\-\t]+$", "")
+    return F.when((F.instr(line, value) > 0) & F.length(label).between(1, most), label)
+
+
 def change_type(kind: Column, category: Column) -> Column:
     """Text and page take the kind, every other category is CHANGED."""
     return F.upper(F.when(category.isin("text", "page"), F.concat_ws("_", category, kind)).otherwise(F.concat(category, F.lit("_changed"))))

@@ -36,12 +36,14 @@ def _feed(df: DataFrame, layer, label: Column, reason: Column | None = None) ->
 
 
 def link_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Links pair by their text, first come, first served; their addresses are compared without tracking parameters."""
+    """Links pair by their text, first come, first served; their addresses are compared without tracking parameters.
+    One that only another session or cache makes different is noise."""
     w = Window.partitionBy("page_id", "key").orderBy("idx")
     side = lambda df, s: df.where("role = 'link'").select("page_id", "idx", "href", "text", text.key(F.col("text")).alias("key")).select("page_id", "key", F.row_number().over(w).alias("rn"), F.col("href").alias(f"{s}_value"), F.col("text").alias(f"{s}_text"))
     both = side(old, "old").join(side(new, "new"), ["page_id", "key", "rn"], "full_outer").where("not (old_value <=> new_value)")
     kind = F.when(F.col("old_text").isNull(), "added").when(F.col("new_text").isNull(), "removed").otherwise("modified")
-    return _feed(both.withColumn("kind", kind), "link", F.coalesce("new_text", "old_text"))
+    reason = F.when(urls.opaque_difference(F.col("old_value"), F.col("new_value")), "opaque_link")
+    return _feed(both.withColumn("kind", kind), "link", F.coalesce("new_text", "old_text"), reason)
 
 
 def table_changes(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text, values
+from ..functions import text, urls, values
 from ..operators import evidence, explain, pages, report
+from ..sources import html
 from .registry import query, table
 
 CHROME = ["box", "promo", "economybox"]
@@ -154,3 +155,31 @@ def explained_share(spark, sf_dir):
 SELECT event_id, before, CASE WHEN rn = 1 THEN 'first' WHEN before = event_type THEN 'unchanged' ELSE 'changed' END AS state FROM t""")
 def captures_since(spark, sf_dir):
     return explain.since_baseline(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type").select("event_id", "before", "state")
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id <> user_id WHEN 1 THEN event_id <> user_id AND event_id % 3 <> 0 WHEN 2 THEN false ELSE true END AS opaque FROM events""")
+def opaque_links(spark, sf_dir):
+    """Links with a session each; every fourth has another page behind it, every fourth its parameters in another order."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_id").cast("string").alias("a"), F.col("user_id").cast("string").alias("b"))
+    k, lit = F.col("event_id") % 4, F.lit
+    first = F.concat(lit("https://shop.example/list?q=1&SID="), "a")
+    page = F.when(F.col("event_id") % 3 == 0, "2").otherwise("1")
+    second = F.when(k == 0, F.concat(lit("https://shop.example/list?q=1&SID="), "b")).when(k == 1, F.concat(lit("https://shop.example/list?q="), page, lit("&SID="), "b")).when(k == 2, F.concat(lit("https://shop.example/item?q=1&SID="), "b")).otherwise(F.concat(lit("https://shop.example/list?SID="), "b", lit("&%71=1")))
+    return e.select("event_id", urls.opaque_difference(first, second).alias("opaque"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 4 = 0 OR length(l) > 12 THEN NULL ELSE l END AS label FROM (SELECT *, 'Due ' || repeat('x', (l_quantity::BIGINT % 12)::INT) AS r FROM lineitem), LATERAL (SELECT trim(r) AS l)""")
+def value_labels(spark, sf_dir):
+    name = F.concat(F.lit("Due "), F.repeat(F.lit("x"), (F.col("l_quantity").cast("long") % 12).cast("int")))
+    line = F.concat(F.when(F.col("l_partkey") % 4 == 0, F.lit(" – ")).otherwise(F.concat(F.lit(" "), name)), F.lit(": $5 or $5"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", values.label_before(line, F.lit("$5"), 12).alias("label"))
+
+
+@query(r"""WITH w AS (SELECT page_id, html, len(list_filter(string_split_regex(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+'), lambda x: x <> '')) AS n FROM pages)
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'needs_javascript' WHEN 1 THEN 'empty_page' ELSE CASE WHEN n >= 25 THEN NULL WHEN contains(html, '__NEXT_DATA__') THEN 'needs_javascript' WHEN n = 0 THEN 'empty_page' END END AS note FROM w""")
+def render_notes(spark, sf_dir):
+    """Pages, a third of them replaced by the shell of a script's page and a third by an empty one."""
+    k = F.col("page_id") % 3
+    shown = table(spark, sf_dir, "pages").select("page_id", F.when(k == 0, '<body><div class="x" id="root"> </div></body>').when(k == 1, "<html><body></body></html>").otherwise(F.col("html")).alias("html"))
+    words = F.size(F.filter(F.split(F.regexp_replace("html", "<[^>]*>", " "), r"\s+"), lambda w: w != ""))
+    return shown.select("page_id", html.render_note(F.col("html"), words).alias("note"))

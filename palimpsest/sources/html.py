@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
+from operator import or_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -17,6 +19,16 @@ CHROME = {"nav", "header", "footer", "aside"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 ROLES = {"p": "paragraph", "li": "list_item", "td": "table_cell", "th": "table_cell", "blockquote": "quote", "pre": "preformatted", "dt": "paragraph", "dd": "paragraph", "caption": "caption", "figcaption": "caption"} | {f"h{k}": "heading" for k in range(1, 7)}
 
+# Signs of pages that a script fills in the browser, and the ids of the elements it fills.
+SHELLS, SHELL_IDS = ["__NEXT_DATA__", "data-reactroot", "ng-app", "ng-version", "data-vue", "__NUXT__"], ["root", "app", "__next", "__nuxt", "application"]
+
+
+def render_note(html: Column, n_words: Column, least: int = 25) -> Column:
+    """needs_javascript for a page of less than so many words that has the signs of an empty shell, else empty_page for one of no word, else null."""
+    empty = html.rlike(rf"""(?is)<([a-z][a-z0-9-]*)\s[^>]*\bid\s*=\s*["']?(?:{"|".join(SHELL_IDS)})["'\s>](?:[^>]*>)?\s*</\1\s*>""")
+    shell = reduce(or_, (html.contains(s) for s in SHELLS)) | empty
+    return F.when(n_words >= least, None).when(F.coalesce(shell, F.lit(False)), "needs_javascript").when(n_words == 0, "empty_page")
+
 
 class Units(HTMLParser):
     """(role, level, section_path, text, href, place) in reading order; blocks end where another one begins or a container ends.

@@ -293,3 +293,14 @@ def test_replies(spark):
     facts = spark.createDataFrame([(1, 1), (2, 2), (9, 2)], "ref long, change_id long")
     checked = explain.references(got.where("problem is null").drop("problem"), facts)
     assert sorted((r.change_id, r.place, r.problem or "") for r in checked.collect()) == [(1, 0, "foreign_reference"), (2, 1, ""), (2, 2, "duplicate")]
+
+
+def test_opaque_links_labels_and_shells(spark):
+    pairs = [("http://a/x?s=1&sid=1", "http://a/x?sid=2&s=1#f", True), ("http://a/x?q=a%20b&v=1", "http://a/x?q=a b", True), ("http://a/x?q", "http://a/x?q=&cb=1", True), ("http://a/x?q=1", "http://a/x?q=2&v=1", False), ("http://a/x", "http://a/y?v=1", False), ("http://a/x?v=1", "http://a/x?v=1", False), (None, "http://a/x?v=1", False)]
+    df = spark.createDataFrame(pairs, "a string, b string, want boolean")
+    assert [r.got for r in df.select(urls.opaque_difference(F.col("a"), F.col("b")).alias("got")).collect()] == [p[2] for p in pairs]
+    v = F.col("v")
+    assert [one(spark, values.label_before(v, F.lit("$5")), x) for x in ("Total – $5 off $5", ": $5", "Total: $6", "x" * 81 + " $5")] == ["Total", None, None, None]
+    note = lambda page, n: one(spark, html.render_note(v, F.lit(n)), page)
+    assert note("<div id=app></div>", 3) == note("<p data-reactroot>a</p>", 1) == note("<main x='1' id='root' y>  </main>", 0) == "needs_javascript"
+    assert note("<div id=root>text</div>", 1) is None and note("<p></p>", 0) == "empty_page" and note("<div id=root></div>", 25) is None
