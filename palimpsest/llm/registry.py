@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bit_planes, bpe_stream, embedding_dedup, kneser_ney, line_dedup, media_ts, packing, pii, simhash, substring_dedup
+from . import bit_planes, bpe_stream, divergence, embedding_dedup, kneser_ney, line_dedup, media_ts, packing, pii, simhash, substring_dedup, vector_codes, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,5 +15,14 @@ QUERIES = {
     "op8_suffix_dedup": substring_dedup.op8_suffix_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_bpe_stream": bpe_stream.op10_bpe_stream,
+    "op11_warc": warc.op11_warc,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_source_audit": divergence.op13_source_audit,
+}
+ORACLE_SQL = {
+    "op1_line_dedup": line_dedup.SQL,
+    "op5_embedding_dedup": embedding_dedup.SQL,
+    "op11_warc": warc.SQL,
+    "op12_vector_codes": vector_codes.SQL,
+    "op13_source_audit": divergence.SQL,
 }
-ORACLE_SQL = {"op1_line_dedup": line_dedup.SQL, "op5_embedding_dedup": embedding_dedup.SQL}
