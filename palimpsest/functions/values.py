@@ -17,6 +17,9 @@ DATES = [
 ]
 EDGE = r"""[\s.,;:!?()\[\]{}"'“”‘’]+"""  # signs around a date that aren't part of it
 
+DATED = "(?i)(?:" + "|".join(form.removeprefix("(?i)") for form in DATES) + ")"  # any of them
+WHOLE = f"(?i)^{DATED[4:]}$"
+
 
 def _number(text: Column) -> Column:
     return F.replace(F.regexp_extract(text, f"({NUMBER})", 1), F.lit(","), F.lit("")).try_cast("decimal(38,10)")
@@ -42,17 +45,19 @@ def parse_date(c: Column) -> Column:
     by_name = F.when(g(dmy, 1) != "", _made(g(dmy, 3).try_cast("int"), _month(g(dmy, 2)), g(dmy, 1).try_cast("int"))).when(g(mdy, 1) != "", _made(g(mdy, 3).try_cast("int"), _month(g(mdy, 1)), g(mdy, 2).try_cast("int")))
     by_iso = F.when(g(iso, 1) != "", _made(g(iso, 1).try_cast("int"), g(iso, 2).try_cast("int"), g(iso, 3).try_cast("int")))
     by_number = F.when(a > 12, _made(y, b, a)).when(b > 12, _made(y, a, b)).when(a.isNotNull(), _made(y, b, a))
-    date = F.coalesce(by_name, by_iso, by_number)
-    return F.struct(date.alias("date"), (by_name.isNull() & by_iso.isNull() & (a <= 12) & (b <= 12) & (a != b)).alias("ambiguous"))
+    date, any_ = F.coalesce(by_name, by_iso, by_number), c.rlike(DATED)
+    return F.struct(F.when(any_, date).alias("date"), F.when(any_, by_name.isNull() & by_iso.isNull() & (a <= 12) & (b <= 12) & (a != b)).alias("ambiguous"))
 
 
 def whole_date(c: Column) -> Column:
     """The date of a text that is a date and nothing else, signs at its edges apart; null for any other text and for no real date."""
-    bare = F.regexp_replace(c, f"^{EDGE}|{EDGE}$", "")
-    whole = F.lit(False)
-    for form in DATES:
-        whole = whole | bare.rlike(f"^(?:{form})$")
-    return F.when(whole, parse_date(bare)["date"])
+    own = bare(c)
+    return F.when(own.rlike(WHOLE), parse_date(own)["date"])
+
+
+def bare(c: Column) -> Column:
+    """Without the signs around a date that aren't part of it."""
+    return F.regexp_replace(c, f"^{EDGE}|{EDGE}$", "")
 
 
 def kind_of(c: Column) -> Column:
@@ -64,6 +69,22 @@ def kind_of(c: Column) -> Column:
     )
 
 
+def value_in(c: Column, kind: Column) -> Column:
+    """The part of a text that is its value: the date, percentage or amount, the whole of an identifier, else its first number; null without any. kind: that of the text."""
+    date = F.lit(None).cast("string")
+    for form in DATES[::-1]:
+        own = F.regexp_extract(c, f"(?i)({form.removeprefix('(?i)')})", 1)
+        date = F.when((own != "") & parse_date(own)["date"].isNotNull(), own).otherwise(date)
+    part = lambda pattern: F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
+    number = part(rf"(?<![\w.])({NUMBER})(?!\w)")
+    return F.when(kind == "date", date).when(kind == "percent", part(rf"((?:{NUMBER})\s?%)")).when(kind == "money", part(rf"(?i)((?:{CURRENCY})\s?(?:{NUMBER})|(?:{NUMBER})\s?(?:{CURRENCY}))")).when(kind == "identifier", c).otherwise(number)
+
+
+def category_of(kind: Column) -> Column:
+    """number, date or identifier, as a feed names the kinds of values; null for others."""
+    return F.when(kind.isin("number", "money", "percent", "year"), "number").when(kind.isin("date", "identifier"), kind)
+
+
 def plain(d: Column) -> Column:
     """A decimal without trailing zeros."""
     s = d.cast("string")

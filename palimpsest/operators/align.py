@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 
@@ -61,19 +62,40 @@ def align_units(old: list[str], new: list[str]) -> list[tuple[str, int | None, i
     return out + [("removed", i, None, 0.0) for i in gone if i not in moved] + [("added", None, j, 0.0) for j in come if j not in taken]
 
 
+def word_runs(old: list[str], new: list[str]) -> list[tuple[int, int, int, int]]:
+    """(from, to, from, to) of the words that differ, capitals apart; an end is one past the last word."""
+    a, b = [w.lower() for w in old], [w.lower() for w in new]
+    return [runs for tag, *runs in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if tag != "equal"]
+
+
 def word_segments(old: str, new: str) -> list[tuple[str, str]]:
     a, b = old.split(), new.split()
-    return [(" ".join(a[i:j]), " ".join(b[k:m])) for tag, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if tag != "equal"]
+    return [(" ".join(a[i:j]), " ".join(b[k:m])) for i, j, k, m in word_runs(a, b)]
+
+
+SEGMENTS = "array<struct<old:string,new:string,old_from:int,old_to:int,new_from:int,new_to:int>>"
+
+
+def _segments(old: str | None, new: str | None) -> list[dict]:
+    a, b = (old or "").split(), (new or "").split()
+    return [{"old": " ".join(a[i:j]), "new": " ".join(b[k:m]), "old_from": i, "old_to": j, "new_from": k, "new_to": m} for i, j, k, m in word_runs(a, b)]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("old", "new")] + [T.StructField(n, T.IntegerType()) for n in ("old_from", "old_to", "new_from", "new_to")])))
+def segments(old: pd.Series, new: pd.Series) -> pd.Series:
+    """The runs of words in which two texts differ, with their places among the words of each; texts should be normalised. A null text has no words."""
+    return pd.Series([_segments(a, b) for a, b in zip(old, new, strict=True)])
 
 
 def align(old: DataFrame, new: DataFrame, scope: str = "scope", place: str = "place", key: str = "key", shown: str = "text") -> DataFrame:
-    """(scope, kind, old_place, new_place, ratio, segments) of the comparisons whose keys differ. old, new: (scope long, place, text).
+    """(scope, kind, old_place, new_place, ratio, segments) of the comparisons whose keys differ. old, new: (scope long, place, text). Segments are runs of words of
+    the normalised texts, as segments() gives them.
 
     Units are compared by their normalised keys and shown by their texts; where the input has a column key already, that one is taken.
     """
     old, new = (df if key in df.columns else df.withColumn(key, text.key(F.col(shown))) for df in (old, new))
     old, new = (df if shown in df.columns else df.withColumn(shown, F.col(key)) for df in (old, new))
-    old, new = (df.select(*(F.col(c).alias(c) for c in (scope, place, key, shown))) for df in (old, new))  # columns of their own, where both come from one table
+    old, new = (df.select(F.col(scope).alias(scope), F.col(place).alias(place), F.col(key).alias(key), text.normalize(F.col(shown)).alias(shown)) for df in (old, new))  # columns of their own, where both come from one table
     mark = lambda df, n: df.groupBy(scope).agg(F.xxhash64(F.array_sort(F.collect_list(F.struct(place, key)))).alias(n))
     differ = mark(old, "a").join(mark(new, "b"), scope, "full_outer").where("not (a <=> b)").select(scope)
 
@@ -82,8 +104,8 @@ def align(old: DataFrame, new: DataFrame, scope: str = "scope", place: str = "pl
         sid = (a if len(a) else b)[scope].iloc[0]
         x, y, p, q = a[key].tolist(), b[key].tolist(), a[place].tolist(), b[place].tolist()
         s_old, s_new = a[shown].tolist(), b[shown].tolist()
-        rows = [(sid, k, None if i is None else p[i], None if j is None else q[j], r, [{"old": s, "new": t} for s, t in word_segments(s_old[i], s_new[j])] if k == "modified" else []) for k, i, j, r in align_units(x, y)]
+        rows = [(sid, k, None if i is None else p[i], None if j is None else q[j], r, _segments(s_old[i], s_new[j]) if k == "modified" else []) for k, i, j, r in align_units(x, y)]
         return pd.DataFrame(rows, columns=["scope", "kind", "old_place", "new_place", "ratio", "segments"]).astype({"old_place": "Int64", "new_place": "Int64"})
 
     sides = [df.join(differ, scope, "left_semi").groupBy(scope) for df in (old, new)]
-    return sides[0].cogroup(sides[1]).applyInPandas(one, "scope long, kind string, old_place long, new_place long, ratio double, segments array<struct<old:string,new:string>>")
+    return sides[0].cogroup(sides[1]).applyInPandas(one, f"scope long, kind string, old_place long, new_place long, ratio double, segments {SEGMENTS}")

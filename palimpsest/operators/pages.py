@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import lineage
 from ..functions import text
+from . import pairing
 
 
 def running_heads(lines: DataFrame, share: float = 0.6, band: float | None = None) -> DataFrame:
@@ -50,21 +52,13 @@ def heaviest_chain(places: list[tuple[int, int, float]]) -> list[int]:
     return out[::-1]
 
 
-def matched_pages(old: DataFrame, new: DataFrame, words: Column, least: float = 0.35, rare: int = 50) -> DataFrame:
+def matched_pages(old: DataFrame, new: DataFrame, words: Column, least: float = 0.35, moved: float = 0.8) -> DataFrame:
     """(scope, old_page, new_page, score, in_order) of pages that share words: best pairs one to one in order, then what is left, out of order.
 
-    old, new: (scope, page, ...) with the column that words reads. Candidates come from an inverted index of each scope's words that at most
-    `rare` of its pages hold, and from equal place; their score is the Jaccard similarity of the pages' words. In order are the
-    pairs of the heaviest chain; of the rest, those that are the best of both their pages are moved pages.
+    old, new: (scope, page, ...) with the column that words reads. All pairs of a Jaccard similarity of `least` or more compete. In order are the
+    pairs of the heaviest chain; of the pages outside it, pairs of `moved` or more, best first, are moved pages.
     """
-    side = lambda df, p: df.select("scope", F.col("page").alias(p), F.array_distinct(words).alias(f"{p}_words"))
-    a, b = side(old, "old_page"), side(new, "new_page")
-    term = lambda df, p: df.select("scope", p, F.explode(f"{p}_words").alias("word"))
-    usual = term(a, "old_page").groupBy("scope", "word").count().where(F.col("count") <= rare).select("scope", "word")
-    pairs = term(a, "old_page").join(usual, ["scope", "word"]).join(term(b, "new_page"), ["scope", "word"]).select("scope", "old_page", "new_page")
-    pairs = pairs.union(a.select("scope", "old_page").join(b.select("scope", "new_page"), "scope").where("old_page = new_page")).distinct()
-    both, every = F.size(F.array_intersect("old_page_words", "new_page_words")), F.size(F.array_union("old_page_words", "new_page_words"))
-    scored = pairs.join(a, ["scope", "old_page"]).join(b, ["scope", "new_page"]).select("scope", "old_page", "new_page", F.when(every > 0, both / every).otherwise(0.0).alias("score")).where(F.col("score") >= least)
+    scored = pairing.alike_sets(old, new, "scope", "page", words, least)
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["old_page", "new_page"]).reset_index(drop=True)
@@ -72,13 +66,11 @@ def matched_pages(old: DataFrame, new: DataFrame, words: Column, least: float =
         pdf["in_order"] = False
         pdf.loc[own, "in_order"] = True
         used = pdf.loc[own]
-        rest = pdf[~pdf["old_page"].isin(used["old_page"]) & ~pdf["new_page"].isin(used["new_page"])]
+        rest = pdf[~pdf["old_page"].isin(used["old_page"]) & ~pdf["new_page"].isin(used["new_page"]) & (pdf["score"] >= moved)]
         return pd.concat([used, rest])
 
-    found = scored.groupBy("scope").applyInPandas(chain, T.StructType([*scored.schema.fields]).add("in_order", "boolean"))
-    best = lambda page, other: F.row_number().over(Window.partitionBy("scope", page).orderBy(F.desc("score"), other))
-    moved = found.where("not in_order").withColumns({"r": best("old_page", "new_page"), "s": best("new_page", "old_page")}).where("r = 1 and s = 1").drop("r", "s")
-    return found.where("in_order").union(moved)
+    found = lineage.written(scored.groupBy("scope").applyInPandas(chain, T.StructType([*scored.schema.fields]).add("in_order", "boolean")))
+    return found.where("in_order").union(pairing.one_to_one(found.where("not in_order"), ["scope"], "old_page", "new_page", [-F.col("score")]))
 
 
 def page_links(old: DataFrame, new: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import pairing
+
 # Least overlap of paired tables; blocks under a heading; bounds of a batch; numbers whose differences are allowed.
 TABLE_OVERLAP, MESSAGE_BLOCKS, BATCH_ITEMS, BATCH_CHARS, DIFFERENCES = 0.3, 3, 8, 60_000, 25
 
@@ -23,19 +24,8 @@ def table_overlaps(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def paired_tables(overlaps: DataFrame, least: float = TABLE_OVERLAP) -> DataFrame:
-    """One-to-one pairs of each scope, best overlap first, then nearest places. A scope is one comparison and its tables are few."""
-
-    def best(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.assign(far=(df.old - df.new).abs()).sort_values(["overlap", "far", "old", "new"], ascending=[False, True, True, True])
-        olds, news, kept = set(), set(), []
-        for k, i, j in zip(df.index, df.old, df.new, strict=True):
-            if i not in olds and j not in news:
-                olds.add(i)
-                news.add(j)
-                kept.append(k)
-        return df.loc[kept].drop(columns="far")
-
-    return overlaps.where(F.col("overlap") >= least).groupBy("scope").applyInPandas(best, overlaps.schema)
+    """One-to-one pairs of each scope, best overlap first, then nearest places."""
+    return pairing.one_to_one(overlaps.where(F.col("overlap") >= least), ["scope"], "old", "new", [-F.col("overlap"), F.abs(F.col("old") - F.col("new"))])
 
 
 def nearest_rows(rows: DataFrame) -> DataFrame:

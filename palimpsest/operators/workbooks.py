@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..lineage import cut
-from . import pages, sheets
+from . import pages, pairing, sheets
 
 LIKE_SHEET, LIKE_COLUMN, SAME_TOP, LIKE_ROW, PAIR_CAP, PREVIEW = 0.5, 0.34, 0.6, 0.5, 10_000, 8
 
@@ -30,7 +30,7 @@ def cell_key(kind: Column, value: Column, ignore_case: bool = False, ignore_spac
 
 
 def paired_sheets(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(book, old_sheet, new_sheet, old_index, new_index, how): by name, else the most alike first by bag overlap of their cells; null where unpaired.
+    """(book, old_sheet, new_sheet, old_index, new_index, how): by name, else the most alike first by bag overlap of their cells, then by distance of their places; null where unpaired.
 
     Empty sheets have no cells, so none arrive here. how: same, renamed, added or removed."""
     side = lambda df, s: df.select("book", F.col("sheet").alias(f"{s}_sheet"), F.col("sheet_index").alias(f"{s}_index")).distinct()
@@ -43,18 +43,8 @@ def paired_sheets(old: DataFrame, new: DataFrame) -> DataFrame:
     shared = x.join(y, ["book", "key"]).groupBy("book", "old_sheet", "new_sheet").agg(F.sum(F.least("old_n", "new_n")).alias("n"))
     scored = shared.join(total(x, "old"), ["book", "old_sheet"]).join(total(y, "new"), ["book", "new_sheet"])
     scored = scored.select("book", "old_sheet", "new_sheet", (F.col("n") / (F.col("old_total") + F.col("new_total") - F.col("n"))).alias("score")).where(F.col("score") >= LIKE_SHEET)
-
-    def best_first(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "old_sheet", "new_sheet"], ascending=[False, True, True])
-        taken, own = (set(), set()), []
-        for p, q in zip(pdf["old_sheet"], pdf["new_sheet"], strict=True):
-            own.append(p not in taken[0] and q not in taken[1])
-            if own[-1]:
-                taken[0].add(p)
-                taken[1].add(q)
-        return pdf[own]
-
-    renamed = scored.groupBy("book").applyInPandas(best_first, scored.schema).join(left_a, ["book", "old_sheet"]).join(left_b, ["book", "new_sheet"])
+    placed = scored.join(left_a, ["book", "old_sheet"]).join(left_b, ["book", "new_sheet"])
+    renamed = pairing.one_to_one(placed, ["book"], "old_sheet", "new_sheet", [-F.col("score"), F.abs(F.col("old_index") - F.col("new_index")), F.col("old_index"), F.col("new_index")])
     renamed = renamed.select("book", "old_sheet", "new_sheet", "old_index", "new_index", F.lit("renamed").alias("how"))
     paired = same.union(renamed)
     gone = a.join(paired.select("book", "old_sheet"), ["book", "old_sheet"], "left_anti").select("book", "old_sheet", F.lit(None).cast("string"), "old_index", F.lit(None).cast("int"), F.lit("removed"))

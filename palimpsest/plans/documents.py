@@ -82,9 +82,20 @@ def table_overlaps(spark, sf_dir):
     return structure.table_overlaps(*order_tables(spark, sf_dir)).withColumn("overlap", F.round("overlap", 9))
 
 
-@query()
+#: Pairs of each scope from the best down, one step of the recursion for each; used ends are kept in lists.
+PAIRED = """r AS (SELECT scope, old, new, overlap, row_number() OVER (PARTITION BY scope ORDER BY overlap DESC, abs(old - new), old, new) AS k FROM p),
+w(scope, k, a, b) AS (SELECT DISTINCT scope, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM r UNION ALL
+  SELECT w.scope, r.k, CASE WHEN free THEN list_append(a, old) ELSE a END, CASE WHEN free THEN list_append(b, new) ELSE b END
+  FROM w JOIN r ON r.scope = w.scope AND r.k = w.k + 1, LATERAL (SELECT NOT list_contains(a, old) AND NOT list_contains(b, new) AS free)),
+z AS (SELECT scope, unnest(a) AS old, unnest(b) AS new FROM (SELECT scope, max_by(a, k) AS a, max_by(b, k) AS b FROM w GROUP BY scope))"""
+
+
+@query(f"""WITH RECURSIVE {TABLES}, a AS (SELECT scope, tbl AS old, value, count(*) AS c FROM o GROUP BY ALL), b AS (SELECT scope, tbl AS new, value, count(*) AS c FROM n GROUP BY ALL),
+s AS (SELECT scope, old, new, sum(least(a.c, b.c)) AS x FROM a JOIN b USING (scope, value) GROUP BY ALL), m AS (SELECT scope, tbl AS old, count(*) AS y FROM o GROUP BY ALL), q AS (SELECT scope, tbl AS new, count(*) AS v FROM n GROUP BY ALL),
+p AS (SELECT scope, old, new, x / (y + v - x) AS overlap FROM s JOIN m USING (scope, old) JOIN q USING (scope, new) WHERE x / (y + v - x) >= 0.3), {PAIRED}
+SELECT scope, old, new, round(overlap, 9) AS overlap FROM z JOIN p USING (scope, old, new)""")
 def paired_tables(spark, sf_dir):
-    return structure.paired_tables(structure.table_overlaps(*order_tables(spark, sf_dir)))
+    return structure.paired_tables(structure.table_overlaps(*order_tables(spark, sf_dir))).withColumn("overlap", F.round("overlap", 9))
 
 
 @query("""SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_partkey % 3 = 0 THEN l_linenumber + 1 END, last_value(CASE WHEN l_partkey % 3 = 0 THEN l_linenumber + 1 END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, 1)::INT AS counterpart
