@@ -7,6 +7,7 @@ text counts as the empty text; an empty table gives an empty result with the sam
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -108,11 +109,22 @@ def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+def freed() -> None:
+    """Gives memory that this worker has freed back to the machine. Workers are kept from task to task, and what one stage took would stay with the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the usual library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], most: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in parts of so many rows, so that a worker holds Python objects of few texts at a time."""
     for batch in batches:
         for k in range(0, batch.num_rows, most):
             yield batch.slice(k, most)
+        del batch
+        freed()
 
 
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: pa.Schema, ddl: str, most: int = 1000) -> DataFrame:

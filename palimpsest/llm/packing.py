@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, path: str, limit: int = SEQUENCE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens.byte_level_coder(path)
-        for batch in batches:
+        for batch in common.slices(batches, 4000):
             out = {n: [] for n in schema.names}
             for i, ids in tokens.coded(coder, batch):
                 ids += END.to_bytes(4, "little")
@@ -85,6 +85,8 @@ def pieces(docs: DataFrame, path: str, limit: int = SEQUENCE) -> DataFrame:
                     for name, value in zip(out, (i, at // 4, len(cut) // 4, zlib.crc32(cut), len(ids) // 4), strict=True):
                         out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
+        del coder
+        common.freed()
 
     return common.texts(docs).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
