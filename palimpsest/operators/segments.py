@@ -38,6 +38,16 @@ def _consumed(x: Column, spans: Column) -> Column:
     return _within(x["old_from"], x["old_to"], spans, "old") & _within(x["new_from"], x["new_to"], spans, "new")
 
 
+def value_change(old: Column, new: Column) -> Column:
+    """struct(category, difference) of two texts that are values of one category, dates that could be read in two ways apart; null for others. In lambdas, for as
+    plain columns the rules are too long to be compiled."""
+    kinds = F.transform(F.array(old, new), lambda c: F.struct(F.coalesce(c, F.lit("")).alias("c"), values.kind_of(F.coalesce(c, F.lit(""))).alias("kind")))
+    of_one = F.filter(F.array(kinds), lambda p: F.coalesce(values.category_of(p[0]["kind"]) == values.category_of(p[1]["kind"]), F.lit(False)))
+    parsed = F.transform(of_one, lambda p: F.transform(p, lambda x: values.typed(x["c"])))
+    clear = F.filter(parsed, lambda p: ~((p[0]["kind"] == "date") & (p[0]["ambiguous"] | p[1]["ambiguous"])))
+    return F.get(F.transform(clear, lambda p: F.struct(values.category_of(p[0]["kind"]).alias("category"), values.value_delta(p[0], p[1]).alias("difference"))), F.lit(0))
+
+
 def typed(pairs: DataFrame, old: str = "old_text", new: str = "new_text", segments: str = "segments") -> DataFrame:
     """The rows of pairs, once for each change, with (nth, kind, category, old_value, new_value, difference, old_from, old_to, new_from, new_to).
 

@@ -45,3 +45,45 @@ def paired_rows(spark, sf_dir):
     new = old.where("(tbl + row) % 4 <> 0").withColumn("row", F.col("row") + 1)
     found = diff.keyed_or_positional(old, new, "tbl", "k", "row")
     return found.select("tbl", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("old_place", "new_place")))
+
+
+def edited_pages(spark, sf_dir):
+    """The pages with a sentence, a table and a link more, and a version in which these are edited by the page's number."""
+    own = table(spark, sf_dir, "pages").where("page_id is not null").select("page_id", "url", "html")
+    k, lit = F.col("page_id"), F.lit
+    s = lambda c: c.cast("string")
+    day = lambda more: F.date_format(F.date_add(lit("2024-01-01").cast("date"), (k % 700 + more).cast("int")), "d MMMM yyyy")
+    row = lambda *cells: F.concat(lit("<tr>"), *(x for c in cells for x in (lit("<td>"), c if not isinstance(c, str) else lit(c))))
+    head = lambda *names: lit("<tr>" + "".join(f"<th>{n}" for n in names))
+    said = lambda d: F.concat(lit("<p>The offer for all who read this stands until "), d, lit(" and no longer.</p>"))
+    fee = F.concat(lit("$"), s(10 + k % 90))
+    link = lambda words, v: F.concat(lit('<p><a href="https://g.example/'), s(k), lit(f"?v={v}"), lit('">'), lit(words), s(k), lit(" today</a></p>"))
+    old = F.concat(said(day(0)), lit("<table>"), head("Plan", "Fee", "Seats"), row("Basic", fee, "3"), row("Pro", "$90", "9"), lit("</table>"), link("Read guide ", 1))
+    later = F.when(k % 4 == 0, 0).when(k % 4 == 1, 5).when(k % 4 == 2, 40).otherwise(400)
+    new_fee = F.when(k % 3 == 0, F.concat(lit("$"), s(15 + k % 90))).otherwise(fee)
+    rows = (
+        F.when(k % 5 == 0, F.concat(head("Plan", "Fee", "Seats"), row("Basic", new_fee, "3"))).when(k % 5 == 1, F.concat(head("Plan", "Fee", "Seats"), row("Max", "$200", "20"), row("Basic", new_fee, "3"), row("Pro", "$90", "9")))
+        .when(k % 5 == 2, F.concat(head("Plan", "Seats", "Fee"), row("Basic", "3", new_fee), row("Pro", "9", "$90"))).when(k % 5 == 3, F.concat(head("Plan", "Fee", "Users"), row("Basic", new_fee, "3"), row("Pro", "$90", "9")))
+        .otherwise(F.concat(head("Plan", "Fee", "Seats"), row("Basic", new_fee, "3"), row("Pro", "$95", "9")))
+    )
+    links = F.when(k % 7 == 0, link("Read the guide ", 2)).when(k % 7 == 1, link("Read guide ", 2)).when(k % 7 == 2, F.concat(lit("<p>Read guide "), s(k), lit(" today</p>"))).otherwise(link("Read guide ", 1))
+    new = F.concat(said(day(later)), lit("<table>"), rows, lit("</table>"), links)
+    with_it = lambda more: own.select("page_id", "url", F.concat(F.col("html"), lit("</article>"), more).alias("html"))
+    return with_it(old), with_it(new)
+
+
+@query("""WITH t AS (SELECT page_id AS k, DATE '2024-01-01' + (page_id % 700)::INT AS d, [0, 5, 40, 400][1 + page_id % 4]::INT AS later, 10 + page_id % 90 AS fee FROM pages WHERE page_id IS NOT NULL),
+c AS (SELECT k, 'block' AS layer, 'modified' AS kind, 'date' AS category, NULL AS label, strftime(d, '%-d %B %Y') AS old_value, strftime(d + later, '%-d %B %Y') AS new_value, later || ' days later' AS difference FROM t WHERE later > 0
+UNION ALL SELECT k, 'block', 'added', 'text', NULL, NULL, 'the', NULL FROM t WHERE k % 7 = 0
+UNION ALL SELECT k, 'table', 'modified', 'number', 'Basic · Fee', '$' || fee, '$' || (fee + 5), '+5 (+' || regexp_replace(round(500.0 / fee, 2)::DECIMAL(18,2)::VARCHAR, '\.?0+$', '') || '%)' FROM t WHERE k % 3 = 0
+UNION ALL SELECT k, 'table', 'removed', 'table', 'Pro', 'Pro · $90 · 9', NULL, NULL FROM t WHERE k % 5 = 0
+UNION ALL SELECT k, 'table', 'added', 'table', 'Max', NULL, 'Max · $200 · 20', NULL FROM t WHERE k % 5 = 1
+UNION ALL SELECT k, 'table', 'modified', 'table', 'Plan', 'Seats', 'Users', NULL FROM t WHERE k % 5 = 3
+UNION ALL SELECT k, 'table', 'modified', 'number', 'Pro · Fee', '$90', '$95', '+5 (+5.56%)' FROM t WHERE k % 5 = 4
+UNION ALL SELECT k, 'link', 'modified', 'link', CASE k % 7 WHEN 0 THEN 'Read the guide ' ELSE 'Read guide ' END || k || ' today', 'https://g.example/' || k || '?v=1', 'https://g.example/' || k || '?v=2', NULL FROM t WHERE k % 7 < 2
+UNION ALL SELECT k, 'link', 'removed', 'link', 'Read guide ' || k || ' today', 'https://g.example/' || k || '?v=1', NULL, NULL FROM t WHERE k % 7 = 2)
+SELECT k AS page_id, layer, kind, category, label, old_value, new_value, difference FROM c""")
+def web_edits(spark, sf_dir):
+    """All changes of edited pages: dates, rows, columns, cells, links and their words. Labels of blocks, which are headings of the page, are left out."""
+    found = web.compare(*edited_pages(spark, sf_dir))
+    return found.select("page_id", "layer", "kind", "category", F.when(F.col("layer") != "block", F.col("label")).alias("label"), "old_value", "new_value", "difference")
