@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import align, pairing, segments
+from ..operators import align, pairing, segments, views
+from ..streaming import state
 from .registry import LINES, lines, query, table
 
 #: Old and new dates and fees of a document, by its number.
@@ -78,3 +79,76 @@ def similar_lines(spark, sf_dir):
     cut = F.slice("w", (F.col("page") % 3 + 1).cast("int"), F.greatest(F.lit(0), F.size("w")))
     new = old.where("page % 4 <> 3").select("scope", (F.col("page") + 1).alias("page"), cut.alias("w"))
     return pairing.alike_sets(old, new, "scope", "page", F.col("w"), 0.35).withColumn("score", F.round("score", 9))
+
+
+#: Lines as units, their words with running places in the normalised line.
+UNITS = r"""u AS (SELECT doc_id AS scope, place AS unit, trim(regexp_replace(translate(line, 'X' || chr(8203) || chr(8204) || chr(8205) || chr(8288) || chr(65279), 'X'), '[\s\x0B\x1c-\x1f\x85\p{Z}]+', ' ', 'g')) AS text FROM lines WHERE doc_id IS NOT NULL),
+s AS (SELECT scope, unit, text, string_split(text, ' ') AS w FROM u WHERE text <> ''), e AS (SELECT scope, unit, text, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS token FROM s),
+t AS (SELECT *, coalesce(sum(length(word) + 1) OVER (PARTITION BY scope, unit ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM e)"""
+
+
+def units(spark, sf_dir):
+    return lines(spark, sf_dir).where("doc_id is not null").select(F.col("doc_id").alias("scope"), F.col("place").cast("long").alias("unit"), text.normalize(F.col("line")).alias("text"))
+
+
+@query(f"""WITH {LINES}, {UNITS}, c AS (SELECT scope, unit, text, start, start + length(word) AS stop FROM t WHERE token % 5 < 2 OR token % 7 = 0
+UNION ALL SELECT scope, unit, text, start, start + length(word) + 4 FROM t WHERE token % 11 = 0 UNION ALL SELECT scope, unit, text, start + 1, start + 2 FROM t WHERE token % 11 = 0),
+r AS (SELECT *, max(stop) OVER (PARTITION BY scope, unit ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
+f AS (SELECT *, reach IS NULL OR (start > reach AND translate(substr(text, reach + 1, start - reach), '{views.BETWEEN.replace("'", "''")}', '') <> '') AS fresh FROM r),
+i AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY scope, unit ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM f)
+SELECT scope AS doc_id, unit, min(start)::INT AS start, max(stop)::INT AS stop FROM i GROUP BY scope, unit, island""")
+def merged_spans(spark, sf_dir):
+    """Words of each line, ranges that reach into the next words and ranges within words, as islands."""
+    own = units(spark, sf_dir)
+    t = views.tokens(own)
+    some = lambda where, a, b: t.where(where).select("scope", "unit", (F.col("start") + a).alias("start"), b.alias("stop"))
+    spans = some("token % 5 < 2 or token % 7 = 0", 0, F.col("stop")).union(some("token % 11 = 0", 0, F.col("stop") + 4)).union(some("token % 11 = 0", 1, F.col("start") + 2))
+    return views.merged(spans, own, ["scope", "unit"]).select(F.col("scope").alias("doc_id"), "unit", "start", "stop")
+
+
+@query(f"""WITH {LINES}, {UNITS}, n AS (SELECT scope, unit, text, len(w) AS n FROM s),
+c AS (SELECT scope, unit, n, text, k, CASE WHEN k = 2 THEN [] WHEN (scope + unit) % 9 = 0 THEN [0, n] ELSE [x FOR x IN range(n) IF x % 3 = k] END AS a FROM n, range(3) r(k)),
+x AS (SELECT scope, unit, k, text, unnest(a) AS token FROM c WHERE k < 2 AND NOT ((scope + unit) % 9 = 0)),
+p AS (SELECT x.scope, x.unit, k, x.text, start, start + length(word) AS stop FROM x JOIN t USING (scope, unit, token)),
+f AS (SELECT *, lag(stop) OVER v AS before FROM p WINDOW v AS (PARTITION BY scope, unit, k ORDER BY start)),
+i AS (SELECT *, sum(CASE WHEN before IS NULL OR translate(substr(text, before + 1, start - before), '{views.BETWEEN.replace("'", "''")}', '') <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY scope, unit, k ORDER BY start) AS island FROM f)
+SELECT scope AS doc_id, unit, k::BIGINT AS change, min(start)::INT AS start, max(stop)::INT AS stop FROM i GROUP BY scope, unit, k, island
+UNION ALL SELECT scope, unit, k, 0, length(text)::INT FROM c WHERE k = 2 OR (scope + unit) % 9 = 0""")
+def content_marks(spark, sf_dir):
+    """Evidence of three changes to each line: every third word, the words after these, and no words; in some lines with a word that isn't there."""
+    own = units(spark, sf_dir).where("text <> ''")
+    n = F.size(F.split("text", " "))
+    every = lambda k: F.filter(F.sequence(F.lit(0), n - 1), lambda x: x % 3 == k)
+    lost = (F.col("scope") + F.col("unit")) % 9 == 0
+    cited = lambda k, words: own.select("scope", F.lit(k).cast("long").alias("change"), "unit", words.alias("tokens"))
+    evidence = cited(0, F.when(lost, F.array(F.lit(0), n)).otherwise(every(0))).union(cited(1, F.when(lost, F.array(F.lit(0), n)).otherwise(every(1)))).union(cited(2, F.array().cast("array<int>")))
+    evidence = evidence.where("change = 2 or size(tokens) > 0")
+    return views.marks(evidence, own).select(F.col("scope").alias("doc_id"), "unit", "change", "start", "stop")
+
+
+@query(f"""WITH {LINES}, {UNITS}, n AS (SELECT scope, unit, len(w) AS n FROM s), c AS (SELECT scope, unit, n, k, [(scope * 7 + unit * 3 + k * 5) % n, n - 1] AS a FROM n, range(4) r(k))
+SELECT scope AS doc_id, unit, k::BIGINT AS change, CASE WHEN scope % 2 = 0 THEN least((scope * 7 + unit * 3 + k * 5) % n, n - 1) // 3 END::BIGINT AS link FROM c""")
+def cited_links(spark, sf_dir):
+    """Lines made of links of three words, of which lines of odd documents have other words too: the link in which the first cited word stands."""
+    own = units(spark, sf_dir).where("text <> ''")
+    words = F.split("text", " ")
+    n = F.size(words)
+    path = F.concat_ws(" > ", F.lit("body"), F.concat(F.lit("p"), F.col("unit").cast("string")))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 3).cast("int")), lambda k: F.array_join(F.slice(words, k * 3 + 1, 3), " "))
+    links = own.select("scope", "unit", path.alias("path"), F.posexplode(parts).alias("nth", "text"))
+    links = links.select("scope", F.concat_ws("-", F.col("unit").cast("string"), F.col("nth").cast("string")).alias("link"), (F.col("unit") * 100_000 + F.col("nth")).alias("place"), F.concat_ws(" > ", "path", F.lit("em"), F.concat(F.lit("a"), F.col("nth").cast("string"))).alias("path"), "text")
+    blocks = own.select("scope", F.col("unit").alias("block"), path.alias("path"), F.when(F.col("scope") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" and more"))).alias("text"))
+    cited = own.withColumn("change", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    cited = cited.select("scope", "change", F.col("unit").alias("block"), F.array(((F.col("scope") * 7 + F.col("unit") * 3 + F.col("change") * 5) % n).cast("int"), n - 1).alias("tokens"))
+    found = views.link_holding(cited, views.link_blocks(links, blocks))
+    return found.select(F.col("scope").alias("doc_id"), F.col("block").alias("unit"), "change", F.split_part("link", F.lit("-"), F.lit(2)).cast("long").alias("link"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS k, event_id AS id, epoch_us(ts) / 1e6 AS t FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), r(k, t) AS (
+SELECT k, min(t) FROM e GROUP BY k UNION ALL SELECT k, t FROM (SELECT r.k, min(e.t) AS t FROM r JOIN e ON e.k = r.k AND e.t - r.t > 21600.0 GROUP BY r.k, r.t)),
+f AS (SELECT k, t, min(id) AS id FROM e GROUP BY k, t)
+SELECT e.k AS user_id, e.id AS event_id, r.k IS NOT NULL AS load FROM e LEFT JOIN f ON f.k = e.k AND f.t = e.t AND f.id = e.id LEFT JOIN r ON r.k = f.k AND r.t = f.t""")
+def cache_loads(spark, sf_dir):
+    """Events as requests of a user's entry, which lasts six hours from when it was loaded."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    return state.cache_loads(e, 21600.0).select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "load")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import state
+
 
 def accept(times: list[float], rules: list[tuple[int, float]], history: list[float] = ()) -> tuple[list[bool], list[float]]:
     """Which hits pass rules of (most, seconds) over accepted hits only, and the accepted ones that can still matter."""
@@ -24,24 +26,24 @@ def accept(times: list[float], rules: list[tuple[int, float]], history: list[flo
 
 
 def limited(hits: DataFrame, rules: list[tuple[int, float]]) -> DataFrame:
-    """hits (key, id, t) with accepted, replayed in order of (t, id) for each key; state is bounded by the rules' counts."""
+    """hits (key, id, t) with accepted, replayed in order of (t, id) for each key; what is kept between batches of rows is bounded by the rules' counts."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "id"])
-        return pdf.assign(accepted=accept(pdf["t"].tolist(), rules)[0])
+    def step(some: pd.DataFrame, history: list[float] | None) -> tuple[pd.DataFrame, list[float]]:
+        ok, history = accept(some["t"].tolist(), rules, history or ())
+        return some.assign(accepted=ok), history
 
-    return hits.select("key", "id", "t").groupBy("key").applyInPandas(one, "key long, id long, t double, accepted boolean")
+    return state.in_order(hits.select("key", "id", "t"), step, "key long, id long, t double, accepted boolean")
 
 
 def limited_stream(hits: DataFrame, rules: list[tuple[int, float]]) -> DataFrame:
     """The same over a stream: the state of a key is its accepted hits of the widest window."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    def one(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        history = list(state.get[0]) if state.exists else []
+    def one(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        history = list(held.get[0]) if held.exists else []
         pdf = pd.concat(list(parts)).sort_values(["t", "id"])
         ok, history = accept(pdf["t"].tolist(), rules, history)
-        state.update((history,))
+        held.update((history,))
         yield pdf.assign(key=key[0], accepted=ok)[["key", "id", "t", "accepted"]]
 
     return hits.select("key", "id", "t").groupBy("key").applyInPandasWithState(one, "key long, id long, t double, accepted boolean", "accepted array<double>", "append", GroupStateTimeout.NoTimeout)
