@@ -2,7 +2,8 @@
 order of time.
 
 The streams keep one value for each key in a state store with a time to live, which needs the RocksDB provider (spark.sql.streaming.stateStore.providerClass). That time is of the clock and
-only clears keys that nothing was heard of for long; what a row gives depends on the times in the rows.
+only clears keys that nothing was heard of for long; what a row gives depends on the times in the rows. As time alone can change such state, a query with the trigger availableNow doesn't end
+by itself.
 """
 
 from __future__ import annotations
