@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import diff, web
+from ..operators import diff, regions, web
+from ..sources import html
 from .registry import query, table
 
 
@@ -87,3 +88,34 @@ def web_edits(spark, sf_dir):
     """All changes of edited pages: dates, rows, columns, cells, links and their words. Labels of blocks, which are headings of the page, are left out."""
     found = web.compare(*edited_pages(spark, sf_dir))
     return found.select("page_id", "layer", "kind", "category", F.when(F.col("layer") != "block", F.col("label")).alias("label"), "old_value", "new_value", "difference")
+
+
+#: The parts of a page's address that a made page holds: u, all of it, v, its host.
+MADE = """m AS (SELECT page_id, length(url) AS u, length(split_part(url, '/', 3)) AS v FROM pages WHERE page_id IS NOT NULL AND url NOT LIKE '% %'),
+e AS (SELECT page_id, 'body' AS tag, 'page' AS id, u + 1 + u + v + 3 + u AS n, u + u AS l, 1 AS p FROM m UNION ALL SELECT page_id, 'nav', 'top', u, u, 0 FROM m UNION ALL SELECT page_id, 'div', 'text', u + v + 3, 0, 1 FROM m
+UNION ALL SELECT page_id, 'div', 'links', u + 0, u + 0, 0 FROM m UNION ALL SELECT page_id, 'div', 'none', 0, 0, 0 FROM m)"""
+
+
+def made_pages(spark, sf_dir):
+    """A page for each of `pages`: its address as a link, in a paragraph with its host, and as a link that goes on within a word."""
+    own = table(spark, sf_dir, "pages").where("page_id is not null and url not like '% %'")
+    u, v, lit = F.col("url"), F.split_part("url", F.lit("/"), F.lit(3)), F.lit
+    parts = [lit('<html><head><title>no</title></head><body id="page"><nav id="top"><a href="/">'), u, lit('</a></nav>\n<div id="text"><script>var no</script><p>'), u, lit(" <b>a</b>b"), v, lit('</p></div><div id="links"><a>'), u, lit('</a></div><div id="none"> <br></div><div hidden>no</div></body></html>')]
+    return own.select("page_id", F.concat(*parts).alias("html"))
+
+
+@query(f"""WITH {MADE} SELECT page_id, id, tag, n::BIGINT AS text_length, l::BIGINT AS link_length, p::BIGINT AS paragraphs, round(CASE WHEN n = 0 THEN 0 ELSE n * (1 - least(l / n, 1.0)) + 40.0 * p END, 6) AS score FROM e""")
+def region_scores(spark, sf_dir):
+    """The score of each named element of made pages."""
+    found = regions.scores(html.elements(made_pages(spark, sf_dir)))
+    return found.where("id <> ''").select("page_id", "id", "tag", "text_length", "link_length", "paragraphs", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {MADE}, s AS (SELECT page_id, v + 3 + 40 + u AS best, (u + 1 + u + v + 3 + u) - (u + u) + 40 AS whole FROM m)
+SELECT page_id, CASE WHEN page_id % 3 = 1 THEN 'main' ELSE 'article' END AS tag, CASE WHEN page_id % 3 = 1 THEN 'main_element' ELSE 'article_element' END AS strategy FROM pages WHERE page_id % 3 < 2
+UNION ALL SELECT page_id, CASE WHEN best >= 0.6 * whole THEN 'div' ELSE 'body' END, CASE WHEN best >= 0.6 * whole THEN 'scored_region' ELSE 'body_fallback' END FROM s WHERE page_id % 3 = 2""")
+def main_regions(spark, sf_dir):
+    """Where the content of each page is: of every third page in its article, of every third, where that is named main, there, of the others, which are made pages, by score."""
+    own = table(spark, sf_dir, "pages").where("page_id % 3 < 2")
+    own = own.select("page_id", F.when(F.col("page_id") % 3 == 1, F.replace(F.replace("html", F.lit("<article"), F.lit("<main")), F.lit("</article>"), F.lit("</main>"))).otherwise(F.col("html")).alias("html"))
+    return regions.main_region(regions.scores(html.elements(own.union(made_pages(spark, sf_dir).where("page_id % 3 = 2"))))).select("page_id", "tag", "strategy")

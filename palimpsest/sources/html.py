@@ -60,6 +60,9 @@ class Units(HTMLParser):
         self.tables: list[list[int]] = []  # number, row and next column of each open table
         self.n_tables, self.heads = 0, set()
 
+    def unread(self, tag: str) -> bool:
+        return tag in DROPPED or tag in CHROME or tag in ("head", "title")
+
     def skipped(self) -> bool:
         return bool(self.open) and self.open[-1][1]
 
@@ -72,7 +75,7 @@ class Units(HTMLParser):
         if tag in HEADINGS and self.open and self.open[-1][0] in HEADINGS:
             self.pop()
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or any(x in (a.get("style") or "").replace(" ", "").lower() for x in ("display:none", "visibility:hidden"))
-        skip = self.skipped() or tag in DROPPED or tag in CHROME or tag in ("head", "title") or hidden
+        skip = self.skipped() or hidden or self.unread(tag)
         if tag in VOID:
             if not self.skipped():
                 self.space()
@@ -218,3 +221,71 @@ def units(pages: DataFrame, most: int | None = None, loose: bool = False) -> Dat
 
     found = pages.select("page_id", "html", url.alias("url")).mapInArrow(run, "page_id long, idx int, role string, level int, section_path array<string>, text string, href string, place struct<tbl:int,row:int,col:int,head:boolean>")
     return found.withColumn("href", urls.strip_tracking(F.col("href")))
+
+
+class Elements(Units):
+    """The elements and texts of a page as numbered nodes: [node, last, depth, tag, role, class, id, signs, starts, inside].
+
+    last: the last node within an element. Of a text: its signs that aren't white space, and the words that begin in it. inside: whether an element's first word began before it.
+    What is hidden or never read is no node; navigation and the like is."""
+
+    def __init__(self):
+        super().__init__()
+        self.nodes: list[list] = []
+        self.path: list[int | None] = []
+        self.waiting: list[int] = []  # elements that have no sign yet
+        self.in_word = False
+
+    def unread(self, tag: str) -> bool:
+        return tag in DROPPED or tag in ("head", "title")
+
+    def handle_starttag(self, tag, attrs):
+        super().handle_starttag(tag, attrs)
+        if tag in VOID:
+            return
+        own = None
+        if not self.skipped():
+            a = dict(attrs)
+            own = len(self.nodes)
+            self.nodes.append([own, own, sum(x is not None for x in self.path), tag, (a.get("role") or "").lower(), a.get("class") or "", a.get("id") or "", 0, 0, False])
+            self.waiting.append(own)
+        self.path.append(own)
+
+    def pop(self) -> None:
+        super().pop()
+        own = self.path.pop()
+        if own is not None:
+            self.nodes[own][1] = len(self.nodes) - 1
+            self.waiting = [k for k in self.waiting if k != own]
+
+    def handle_data(self, data):
+        if self.skipped() or not data:
+            return
+        words = data.split()
+        goes_on = bool(words) and not data[0].isspace() and self.in_word
+        if words:
+            for k in self.waiting:
+                self.nodes[k][9] = goes_on
+            self.waiting = []
+        own = len(self.nodes)
+        self.nodes.append([own, own, sum(x is not None for x in self.path), "#text", "", "", "", sum(map(len, words)), len(words) - goes_on, False])
+        self.in_word = not data[-1].isspace()
+
+
+NODES = pa.schema([("page_id", pa.int64()), ("node", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("role", pa.string()), ("class", pa.string()), ("id", pa.string()), ("signs", pa.int64()), ("starts", pa.int64()), ("inside", pa.bool_())])
+
+
+def elements(pages: DataFrame) -> DataFrame:
+    """Of (page_id, html): a row for each node of Elements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                p = Elements()
+                p.feed(h or "")
+                p.close()
+                rows += [(i, *n) for n in p.nodes]
+            yield pa.RecordBatch.from_pydict({n: [r[c] for r in rows] for c, n in enumerate(NODES.names)}, schema=NODES)
+
+    return pages.select("page_id", "html").mapInArrow(run, "page_id long, node int, last int, depth int, tag string, role string, class string, id string, signs long, starts long, inside boolean")
