@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import align, pairing, segments, views
+from ..operators import align, classify, pairing, segments, views
 from ..streaming import state
 from .registry import LINES, lines, query, table
 
@@ -152,3 +152,15 @@ def cache_loads(spark, sf_dir):
     """Events as requests of a user's entry, which lasts six hours from when it was loaded."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
     return state.cache_loads(e, 21600.0).select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "load")
+
+
+@query(f"""WITH {LINES}, l AS (SELECT doc_id, place, line, lower(line) AS low, CASE WHEN place % 3 = 0 THEN line WHEN place % 3 = 1 THEN 'Our privacy and Cookies' END AS heading FROM lines WHERE doc_id IS NOT NULL),
+r(topic, k, p) AS (VALUES {", ".join(f"('{topic}', {k}, '{p}')" for k, (topic, p) in enumerate(classify.TOPICS))}),
+h AS (SELECT doc_id, place, topic, regexp_extract(lower(heading), '\\b(' || p || ')\\b', 1) AS phrase FROM l JOIN r ON regexp_matches(lower(heading), '\\b(' || p || ')\\b')),
+x AS (SELECT doc_id, place, topic, regexp_extract(low, '\\b(' || p || ')\\b', 1) AS phrase FROM l JOIN r ON regexp_matches(low, '\\b(' || p || ')\\b'))
+SELECT doc_id, place::INT AS place, topic, 'heading' AS source, phrase, '2' AS rules_version FROM h UNION ALL SELECT doc_id, place::INT, topic, 'text', phrase, '2' FROM x WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = x.doc_id AND h.place = x.place AND h.topic = x.topic)""")
+def topic_signals(spark, sf_dir):
+    """Topics of lines under headings, some of which are the line itself: the phrase that says so, where it stands, and the version of the rules."""
+    p = F.col("place")
+    own = lines(spark, sf_dir).where("doc_id is not null").select("doc_id", "place", "line", F.when(p % 3 == 0, F.col("line")).when(p % 3 == 1, F.lit("Our privacy and Cookies")).alias("heading"))
+    return classify.topics(own, "line", "heading").select("doc_id", "place", "topic", "source", F.lower("phrase").alias("phrase"), "rules_version")
