@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import addresses
+
 # Query parameters that only track.
 TRACKING = [
     "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "utm_source_platform", "utm_creative_format", "utm_marketing_tactic", "gclid", "gclsrc", "dclid",
@@ -45,11 +47,11 @@ def page_key(url: Column) -> Column:
 
 def problem(url: Column) -> Column:
     """Why a URL may not be fetched, or null."""
-    host = F.lower(F.regexp_extract(url, r"^[a-z]+://(?:[^/@]*@)?([^/:?#]*)", 1))
+    host = F.lower(F.regexp_extract(url, r"^[a-z]+://(?:[^/@]*@)?(\[[^\]/?#]*\]|[^/:?#]*)", 1))
     port = F.regexp_extract(url, r"^[a-z]+://[^/?#]*:([0-9]+)(?:[/?#]|$)", 1)
     return (
         F.when(F.length(url) > 2048, "too long").when(~url.rlike("^https?://"), "scheme").when(url.rlike("^https?://[^/?#]*@"), "credentials").when(host == "", "no host")
-        .when((port != "") & ~port.isin("80", "443"), "port").when((host == "localhost") | host.endswith(".local") | host.endswith(".internal"), "host").when(closed_ipv4(host), "address")
+        .when((port != "") & ~port.isin("80", "443"), "port").when((host == "localhost") | host.endswith(".local") | host.endswith(".internal"), "host").when(addresses.closed(host, [*CLOSED, *addresses.CLOSED_V6]), "address")
     )
 
 

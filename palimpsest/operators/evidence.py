@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as text_functions
+
 
 def verify(evidence: DataFrame, units: DataFrame) -> DataFrame:
     """evidence (change_id, side, unit_id, excerpt) with issue: unknown_unit, no_excerpt, not_quoted or null. units: (side, unit_id, text)."""
@@ -55,3 +57,29 @@ def ratchet(before: DataFrame, now: DataFrame, key: str, metrics: list[str]) ->
     both = long(before, "was").join(long(now, "now"), [key, "metric"], "full_outer")
     verdict = F.when(F.col("now").isNull(), "missing").when(F.col("was").isNull(), "new").when(F.col("now") < F.col("was"), "worse").when(F.col("now") > F.col("was"), "better").otherwise("same")
     return both.select(key, "metric", verdict.alias("verdict"))
+
+
+def page_issues(evidence: DataFrame, documents: DataFrame, pages: DataFrame, words: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """(scope, change_id, nth, issue, word): what keeps evidence on pages from being traced, a row for each issue; evidence without issues has none.
+
+    other_document: the evidence has another fingerprint than its side's document, or there is none. no_page: the document has no such page; nothing else is then asked. no_word, with the word: it isn't
+    on that page. box_outside: the box reaches over the page by more than tolerance. not_quoted: neither the words that were found, in the order in which they are cited, nor the excerpt hold the
+    other; without words or excerpt nothing is quoted.
+    evidence: (scope, change_id, nth, side, fingerprint, page, words: array of names, box: struct x0 y0 x1 y1, excerpt); documents: (scope, side, fingerprint); pages: (scope, side, page, width, height);
+    words: (scope, side, page, word, text). Nulls among words are left out.
+    """
+    key = ["scope", "change_id", "nth"]
+    of = evidence.join(documents.select("scope", "side", F.col("fingerprint").alias("_of")), ["scope", "side"], "left").join(pages.select("scope", "side", "page", "width", "height"), ["scope", "side", "page"], "left")
+    of = of.withColumn("_there", F.col("width").isNotNull())
+    cited = of.where("_there").select(*key, "side", "page", F.posexplode("words").alias("_at", "word")).where("word is not null")
+    found = cited.join(words.select("scope", "side", "page", "word", F.col("text").alias("_text")), ["scope", "side", "page", "word"], "left")
+    quoted = found.where("_text is not null").groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_text"))), lambda w: w["_text"]), " ").alias("_quoted"))
+    plain = lambda c: text_functions.normalize(c)
+    said, shown = plain(F.coalesce("excerpt", F.lit(""))), plain(F.coalesce("_quoted", F.lit("")))
+    wide = F.greatest(-F.least("box.x0", "box.y0"), F.col("box.x1") - F.col("width"), F.col("box.y1") - F.col("height")) > tolerance
+    other = ~F.col("fingerprint").eqNullSafe(F.col("_of"))
+    mismatch = (said != "") & (shown != "") & ~said.contains(shown) & ~shown.contains(said)
+    kept = of.join(quoted, key, "left")
+    names = F.array_compact(F.array(F.when(other, F.lit("other_document")), F.when(~F.col("_there"), F.lit("no_page")), F.when(F.col("_there") & F.coalesce(wide, F.lit(False)), F.lit("box_outside")), F.when(F.col("_there") & mismatch, F.lit("not_quoted"))))
+    lost = found.where("_text is null").select(*key, F.lit("no_word").alias("issue"), "word")
+    return kept.select(*key, F.explode(names).alias("issue"), F.lit(None).cast("string").alias("word")).union(lost)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import align, classify, pairing, segments, views
+from ..functions import addresses, text
+from ..operators import align, classify, evidence, pairing, segments, views
 from ..streaming import state
 from .registry import LINES, lines, query, table
 
@@ -164,3 +164,47 @@ def topic_signals(spark, sf_dir):
     p = F.col("place")
     own = lines(spark, sf_dir).where("doc_id is not null").select("doc_id", "place", "line", F.when(p % 3 == 0, F.col("line")).when(p % 3 == 1, F.lit("Our privacy and Cookies")).alias("heading"))
     return classify.topics(own, "line", "heading").select("doc_id", "place", "topic", "source", F.lower("phrase").alias("phrase"), "rules_version")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS scope, l_linenumber AS page, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY ALL), e AS (SELECT *, (p + s) % 7 AS k FROM l),
+c AS (SELECT scope, page, 'other_document' AS issue, NULL AS word FROM e WHERE k = 1 UNION ALL SELECT scope, page, 'no_page', NULL FROM e WHERE k = 2 UNION ALL SELECT scope, page, 'no_word', 'w9' FROM e WHERE k = 3
+UNION ALL SELECT scope, page, 'box_outside', NULL FROM e WHERE k = 4 UNION ALL SELECT scope, page, 'not_quoted', NULL FROM e WHERE k = 5 OR (k = 6 AND p <> s))
+SELECT scope AS l_orderkey, page AS l_linenumber, issue, word FROM c""")
+def page_evidence(spark, sf_dir):
+    """Lines of an order as pages with four words, each cited by evidence that is right, or wrong in one way of six, by its numbers: the last cites two words the wrong way round."""
+    own = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("scope"), F.col("l_linenumber").alias("page")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    own = own.withColumn("k", (F.col("p") + F.col("s")) % 7)
+    k, p, s, lit = F.col("k"), F.col("p").cast("string"), F.col("s").cast("string"), F.lit
+    pages = own.select("scope", lit("new").alias("side"), "page", lit(600.0).alias("width"), lit(800.0).alias("height"))
+    each = F.array(*(F.struct(lit(f"w{n}").alias("word"), t.alias("text")) for n, t in enumerate((lit("part"), p, lit("of"), s))))
+    words = own.select("scope", lit("new").alias("side"), "page", F.explode(each).alias("w")).select("scope", "side", "page", "w.word", "w.text")
+    documents = own.select("scope", lit("new").alias("side"), F.concat(lit("f"), F.col("scope").cast("string")).alias("fingerprint")).distinct()
+    cited = F.when(k == 3, F.array(lit("w1"), lit("w9"))).when(k == 6, F.array(lit("w3"), lit("w1"))).otherwise(F.array(lit("w0"), lit("w1")))
+    quote = F.when(k == 3, p).when(k == 5, lit("something else")).when(k == 6, F.concat_ws(" ", p, s)).otherwise(F.concat(lit("  part "), p, lit(" and more")))
+    box = F.struct(lit(-1.0).alias("x0"), lit(0.0).alias("y0"), F.when(k == 4, 601.5).otherwise(601.0).alias("x1"), lit(10.0).alias("y1"))
+    claims = own.select("scope", F.col("page").cast("long").alias("change_id"), lit(0).alias("nth"), lit("new").alias("side"), F.concat(F.when(k == 1, "g").otherwise("f"), F.col("scope").cast("string")).alias("fingerprint"), F.when(k == 2, F.col("page") + 1000).otherwise(F.col("page")).alias("page"), cited.alias("words"), box.alias("box"), quote.alias("excerpt"))
+    found = evidence.page_issues(claims, documents, pages, words)
+    return found.select(F.col("scope").alias("l_orderkey"), F.col("change_id").cast(own.schema["page"].dataType).alias("l_linenumber"), "issue", "word")
+
+
+#: Networks by the first groups of an address, and what SQL compares: binary digits.
+NETS = [("2001:db8::/32", "doc"), ("2001:db8:8000::/33", "upper"), ("2001:db8:8000:5::/64", "net5"), ("10.0.0.0/8", "ten"), ("10.128.0.0/9", "ten upper"), ("10.0.0.7/32", "seven")]
+
+
+@query("""WITH e AS (SELECT event_id, user_id, (event_id % 65536)::INT AS h, (user_id % 65536)::INT AS u, event_id % 3 AS k FROM events WHERE event_id IS NOT NULL AND user_id IS NOT NULL),
+b AS (SELECT event_id, CASE WHEN k = 0 THEN lpad(bin(8193), 16, '0') || lpad(bin(3512), 16, '0') || lpad(bin(h), 16, '0') || lpad(bin(u % 8), 16, '0') || repeat('0', 48) || lpad(bin(u), 16, '0')
+  WHEN k = 1 THEN repeat('0', 80) || repeat('1', 16) || lpad(bin(10), 8, '0') || lpad(bin(h % 256), 8, '0') || lpad(bin(u % 2), 8, '0') || lpad(bin(u % 16), 8, '0')
+  ELSE repeat('0', 80) || repeat('1', 16) || lpad(bin(11), 8, '0') || repeat('0', 24) END AS bits FROM e),
+n(name, p) AS (VALUES ('doc', lpad(bin(8193), 16, '0') || lpad(bin(3512), 16, '0')), ('upper', lpad(bin(8193), 16, '0') || lpad(bin(3512), 16, '0') || '1'), ('net5', lpad(bin(8193), 16, '0') || lpad(bin(3512), 16, '0') || '1' || repeat('0', 15) || lpad(bin(5), 16, '0')),
+  ('ten', repeat('0', 80) || repeat('1', 16) || '00001010'), ('ten upper', repeat('0', 80) || repeat('1', 16) || '000010101'), ('seven', repeat('0', 80) || repeat('1', 16) || '00001010' || repeat('0', 16) || '00000111'))
+SELECT event_id, max_by(name, length(p)) AS name FROM b LEFT JOIN n ON starts_with(b.bits, n.p) GROUP BY event_id""")
+def longest_prefixes(spark, sf_dir):
+    """Addresses of both families made of each event, some IPv4 ones written as mapped, and the most exact network that holds each."""
+    e = table(spark, sf_dir, "events").where("event_id is not null and user_id is not null")
+    h, u, k = F.col("event_id") % 65536, F.col("user_id") % 65536, F.col("event_id") % 3
+    four = F.concat_ws(".", F.lit("10"), (h % 256).cast("string"), (u % 2).cast("string"), (u % 16).cast("string"))
+    shown = F.when(k == 0, F.concat(F.lit("[2001:DB8:"), F.hex(h), F.lit(":"), F.hex(u % 8), F.lit("::"), F.lower(F.hex(u)), F.lit("]"))).when(k == 1, F.when(u % 5 == 0, F.concat(F.lit("::ffff:"), four)).otherwise(four)).otherwise(F.lit("11.0.0.0"))
+    own = e.select("event_id", addresses.address(shown).alias("a")).select("event_id", "a.high", "a.low")
+    nets = addresses.networks(spark.createDataFrame(NETS, "network string, name string"))
+    found = addresses.longest_prefix(own, nets)
+    return found.join(nets.select("network", "name"), "network", "left").select("event_id", "name")
