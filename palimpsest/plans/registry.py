@@ -314,7 +314,11 @@ def html_units(spark, sf_dir):
     return html.units(table(spark, sf_dir, "pages"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL),
+r(key, n, id, t, accepted, kept) AS (SELECT DISTINCT key, 0::BIGINT, NULL::BIGINT, NULL::DOUBLE, false, []::DOUBLE[] FROM e UNION ALL
+  SELECT e.key, e.n, e.id, e.t, ok, CASE WHEN ok THEN list_append(kept, e.t) ELSE kept END FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1,
+  LATERAL (SELECT len(list_filter(kept, lambda x: x > e.t - 3600.0)) < 3 AND len(list_filter(kept, lambda x: x > e.t - 86400.0)) < 10 AS ok))
+SELECT key, id, t, accepted FROM r WHERE n > 0""")
 def accepted_hits(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
     return limits.limited(e, [(3, 3600.0), (10, 86400.0)])
