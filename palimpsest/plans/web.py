@@ -76,7 +76,7 @@ def edited_pages(spark, sf_dir):
 @query("""WITH t AS (SELECT page_id AS k, DATE '2024-01-01' + (page_id % 700)::INT AS d, [0, 5, 40, 400][1 + page_id % 4]::INT AS later, 10 + page_id % 90 AS fee FROM pages WHERE page_id IS NOT NULL),
 c AS (SELECT k, 'block' AS layer, 'modified' AS kind, 'date' AS category, NULL AS label, strftime(d, '%-d %B %Y') AS old_value, strftime(d + later, '%-d %B %Y') AS new_value, later || ' days later' AS difference FROM t WHERE later > 0
 UNION ALL SELECT k, 'block', 'added', 'text', NULL, NULL, 'the', NULL FROM t WHERE k % 7 = 0
-UNION ALL SELECT k, 'table', 'modified', 'number', 'Basic · Fee', '$' || fee, '$' || (fee + 5), '+5 (+' || regexp_replace(round(500.0 / fee, 2)::DECIMAL(18,2)::VARCHAR, '\.?0+$', '') || '%)' FROM t WHERE k % 3 = 0
+UNION ALL SELECT k, 'table', 'modified', 'number', 'Basic · Fee', '$' || fee, '$' || (fee + 5), '+5 (+' || regexp_replace(round(500.0 / fee, 2)::DECIMAL(18,2)::VARCHAR, '\\.?0+$', '') || '%)' FROM t WHERE k % 3 = 0
 UNION ALL SELECT k, 'table', 'removed', 'table', 'Pro', 'Pro · $90 · 9', NULL, NULL FROM t WHERE k % 5 = 0
 UNION ALL SELECT k, 'table', 'added', 'table', 'Max', NULL, 'Max · $200 · 20', NULL FROM t WHERE k % 5 = 1
 UNION ALL SELECT k, 'table', 'modified', 'table', 'Plan', 'Seats', 'Users', NULL FROM t WHERE k % 5 = 3
