@@ -26,6 +26,8 @@ W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 TRACKED = {f"{W}{t}" for t in "ins del moveFrom moveTo cellIns cellDel".split()}
+P = "{http://schemas.openxmlformats.org/officeDocument/2006/extended-properties}"
+OBJECTS = {f"{W}{t}" for t in "drawing pict object".split()}
 UNREAD = {f"{W}{t}" for t in "instrText delText footnoteReference endnoteReference pict drawing".split()}
 
 
@@ -179,6 +181,62 @@ def document_units(data: bytes) -> list[tuple]:
     return out
 
 
+def page_events(data: bytes) -> list[tuple]:
+    """(unit, kind, words, row, cell) of a Word file in reading order, as operators.paging takes them: a unit for each paragraph of the body and each cell of its tables.
+
+    words: how many begin in the text; a text that only goes on with a word is content without words (`object`). Hidden runs are not read. Rows are numbered through the file."""
+    package = Package(data)
+    body = package.xml("word/document.xml", needed=True).find(f"{W}body")
+    if body is None:
+        raise Refused("corrupt")
+    out: list[tuple] = []
+    on = lambda x: x is not None and x.get(f"{W}val") not in ("0", "false", "off")
+
+    def read(node: ET.Element, at: tuple, gap: bool) -> bool:
+        """Events of a node; gap: whether a word that comes next is a new one."""
+        unit, row, cell = at
+        if node.tag in OBJECTS:
+            out.append((unit, "object", 0, row, cell))
+        elif node.tag == f"{W}t":
+            text = node.text or ""
+            words = len(text.split()) - (not gap and not text[:1].isspace() and bool(text.strip()))
+            if text.strip():
+                out.append((unit, "text" if words else "object", words, row, cell))
+            return text[-1].isspace() if text else gap
+        elif node.tag == f"{W}lastRenderedPageBreak" or (node.tag == f"{W}br" and node.get(f"{W}type") == "page"):
+            out.append((unit, "hard" if node.tag == f"{W}br" else "rendered", 0, row, cell))
+            return gap or node.tag == f"{W}br"
+        elif node.tag in (f"{W}tab", f"{W}br", f"{W}cr"):
+            return True
+        elif node.tag not in UNREAD and node.tag != f"{W}pPr" and not (node.tag == f"{W}r" and on(node.find(f"{W}rPr/{W}vanish"))):
+            for child in node:
+                gap = read(child, at, gap)
+            return gap or node.tag == f"{W}p"
+        return gap
+
+    rows = 0
+    for k, node in enumerate(body):
+        if node.tag == f"{W}p":
+            if on(node.find(f"{W}pPr/{W}pageBreakBefore")):
+                out.append((f"{k}", "before", 0, None, None))
+            read(node, (f"{k}", None, None), True)
+        elif node.tag == f"{W}tbl":
+            for r, row in enumerate(node.findall(f"{W}tr")):
+                for c, cell in enumerate(row.findall(f"{W}tc")):
+                    read(cell, (f"{k}/{r}/{c}", rows, c), True)
+                rows += 1
+    if len({e[0] for e in out}) > UNITS:
+        raise Refused("too_large")
+    return out
+
+
+def document_statistics(data: bytes) -> list[tuple]:
+    """(stored_pages, stored_words) that the program which saved a Word file left in it; null where there are none."""
+    root = Package(data).xml("docProps/app.xml")
+    found = ((root.findtext(f"{P}{name}") if root is not None else None) or "" for name in ("Pages", "Words"))
+    return [tuple(int(x) if len(x) < 10 and x.isdecimal() else None for x in (x.strip() for x in found))]
+
+
 def workbook_cells(data: bytes) -> list[tuple]:
     """(sheet, sheet_place, ref, kind, value, display, formula) of a workbook: number, date, text, boolean or error; empty cells have no row."""
     package = Package(data)
@@ -249,6 +307,19 @@ def read_documents(files: DataFrame) -> DataFrame:
     return _read(files, document_units, [("role", s), ("level", i), ("section", pa.list_(s)), ("text", s), ("tbl", i), ("row", i), ("col", i)], "role string, level int, section array<string>, text string, tbl int, row int, col int")
 
 
+def read_page_events(files: DataFrame) -> DataFrame:
+    """Page breaks of Word files as operators.paging takes them (path as scope, place as pos), or the reason of refusal; files: path, content."""
+    i, s = pa.int32(), pa.string()
+    found = _read(files, page_events, [("unit", s), ("kind", s), ("words", i), ("row", i), ("cell", i)], "unit string, kind string, words int, row int, cell int")
+    return found.withColumnsRenamed({"path": "scope", "place": "pos"})
+
+
+def read_statistics(files: DataFrame) -> DataFrame:
+    """(scope, stored_pages, stored_words, error) of Word files; files: path, content."""
+    i = pa.int32()
+    return _read(files, document_statistics, [("stored_pages", i), ("stored_words", i)], "stored_pages int, stored_words int").drop("place").withColumnRenamed("path", "scope")
+
+
 def read_workbooks(files: DataFrame) -> DataFrame:
     """Cells of workbooks; files: path, content."""
     i, s = pa.int32(), pa.string()
