@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _paths: dict[int, str] = {}
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
     """A new folder in the one that the cluster names in spark.checkpoint.dir; a session on one machine without it gets a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.palimpsest.scratch", None)
     if not base:
@@ -23,7 +23,7 @@ def _folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """The rows, written as columns to the shared folder and read again; readers take only the columns that they need."""
-    path = _folder(df.sparkSession)
+    path = folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[id(out)] = path

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import lineage
 from ..operators import paging
+from ..sources import captures
 from .registry import query, table
 
 # A supplier's lines in order are a document's events; every third dozen of them is a table's row of three cells. The walk goes from event to event with page, content seen, hard break last,
@@ -53,3 +55,22 @@ def page_trust(spark, sf_dir):
     k, words = F.col("scope"), F.col("words")
     stored = extent.select("scope", F.when(k % 5 != 0, F.col("pages") + F.when(k % 5 == 1, 1).otherwise(0)).alias("stored_pages"), F.when(k % 11 == 0, 0).otherwise(words + k % 13 * 2 * F.floor(words / 100)).alias("stored_words"))
     return paging.trusted(extent, stored)
+
+
+# Each page's capture goes to a folder and comes back. Of every eleven lines one is torn halfway, one is of an older version, one lost its last node after it was signed; every third is a baseline.
+@query("""WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, len(string_split(coalesce(html, ''), chr(10))) AS n, page_id % 11 AS k FROM pages WHERE page_id IS NOT NULL),
+r AS (SELECT *, CASE WHEN k = 0 THEN 'not_json' WHEN k = 1 THEN 'old_version' WHEN url IS NULL THEN 'malformed' WHEN n - (k = 2)::INT > 5000 THEN 'too_many_nodes' WHEN k = 2 THEN 'altered' END AS reason FROM p)
+SELECT page_id, reason, CASE WHEN reason IS NULL THEN url END AS url, CASE WHEN reason IS NULL AND page_id % 3 = 0 THEN 'page ' || page_id END AS label, CASE WHEN reason IS NULL THEN n END AS n_nodes, CASE WHEN reason IS NULL THEN sha256(html) END AS sha256 FROM r""")
+def captures_kept(spark, sf_dir):
+    """What came back of the captures of all pages, and why what did not."""
+    captures.register(spark)
+    k, nodes, line = F.col("page_id") % 11, F.col("nodes"), F.col("line")
+    pages = table(spark, sf_dir, "pages").where("page_id is not null").select("page_id", "url", captures.nodes_of(F.coalesce("html", F.lit(""))).alias("nodes"))
+    kept = F.when(k == 2, F.slice(nodes, F.lit(1), F.size(nodes) - 1)).otherwise(nodes)
+    made = captures.line(F.col("url"), F.col("page_id").cast("string"), F.lit(None).cast("string"), kept, F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("page "), F.col("page_id").cast("string"))), captures.signed(nodes), F.when(k == 1, 0).otherwise(captures.VERSION))
+    lines = pages.select(k.alias("k"), made.alias("line")).select(F.when(F.col("k") == 0, F.left(line, F.floor(F.length(line) / 2).cast("int"))).otherwise(line).alias("line"))
+    folder = lineage.folder(spark)
+    lines.write.format("captures").mode("append").save(folder)
+    found = spark.read.format("captures").load(folder)
+    told = F.coalesce("captured_at", F.regexp_extract("raw", r'"captured_at":"(-?\d+)"', 1)).cast("long")
+    return found.select(told.alias("page_id"), "reason", "url", "label", F.when(F.col("reason").isNull(), F.size("nodes").cast("long")).alias("n_nodes"), F.sha2(F.array_join("nodes.text", "\n"), 256).alias("sha256"))
