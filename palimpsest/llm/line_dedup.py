@@ -65,7 +65,7 @@ def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
     if min_docs < 2:  # every line repeats
         found = common.map_batches(docs, lambda b: _places(*keyed(b), slice(None)), PLACES, PLACES_DDL)
     else:
-        twice = repeat_filter.twice_seen(docs.select("text"), hashes, lines)
+        twice = repeat_filter.twice_seen(docs.select("text"), hashes, lines, listed=True)
         if twice.held is not None:
             test = twice.tester()
 

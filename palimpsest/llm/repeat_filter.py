@@ -4,6 +4,9 @@ Tasks send their different hashes, eight bytes each, and those that they saw aga
 pass: a hash that the first filter has already goes to the second. The second filter misses no repeat; it also holds a few
 hashes seen once, which callers confirm exactly. A range has about RANGE_KEYS hashes and BITS_PER_KEY bits for each, at every size of
 the input. Filters of SENT bytes together go to all tasks; more stay in the shared folder, and what is to be looked up is dealt to them by range.
+
+Where few hashes are repeated, as with lines, a list of the suspected ones is far smaller than the filters that told them: a range's task tests the hashes that it was sent once more when its
+filters are full, and keeps those of the second. Then this list is what goes to all tasks, if SENT bytes hold it.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from . import common
 
 RANGE_KEYS, BITS_PER_KEY, PROBES, HELD, SENT = 1 << 20, 12, 3, 1 << 22, 64 << 20
 PACKED = pa.schema([("range", pa.int32()), ("once", pa.binary()), ("again", pa.binary())])
-FILTER = pa.schema([("range", pa.int32()), ("twice", pa.binary())])
+FILTER = pa.schema([("range", pa.int32()), ("twice", pa.binary()), ("listed", pa.binary())])
 
 
 def places(h: np.ndarray, bits: int, ranges: int) -> list[np.ndarray]:
@@ -46,14 +49,20 @@ def _packed(h: np.ndarray, ranges: int) -> pa.RecordBatch:
 
 
 class Twice:
-    """The second filters of a table: `ranges` of them, `bits` each, as rows (range, twice) in the shared folder."""
+    """The second filters of a table: `ranges` of them, `bits` each, as rows (range, twice, listed) in the shared folder; listed: the suspected hashes themselves, or null.
+
+    held: what goes to all tasks, or None where that is over SENT bytes."""
 
-    def __init__(self, filters: DataFrame, folder: str, bits: int, ranges: int):
-        self.filters, self.folder, self.bits, self.ranges = filters, folder, bits, ranges
+    def __init__(self, filters: DataFrame, folder: str, bits: int, ranges: int, listed: bool):
+        self.filters, self.folder, self.bits, self.ranges, self.listed = filters, folder, bits, ranges, listed
         self.held = None
-        if ranges * bits // 8 <= SENT:
+        if listed:
+            if (filters.agg(F.sum(F.octet_length("listed"))).first()[0] or 0) <= SENT:
+                found = np.frombuffer(b"".join(bytes(r[0]) for r in filters.select("listed").collect()), np.uint64)
+                self.held = filters.sparkSession.sparkContext.broadcast(np.sort(found).tobytes())
+        elif ranges * bits // 8 <= SENT:
             whole = np.zeros(ranges * bits // 8, np.uint8)
-            for k, twice in filters.collect():
+            for k, twice in filters.select("range", "twice").collect():
                 whole[k * bits // 8 : (k + 1) * bits // 8] = np.frombuffer(twice, np.uint8)
             self.held = filters.sparkSession.sparkContext.broadcast(whole.tobytes())
 
@@ -61,6 +70,13 @@ class Twice:
         """Of hashes, which are suspected repeats; where the filters were sent. To be pickled with a task."""
         held, bits, ranges = self.held, self.bits, self.ranges
 
+        def known(h: np.ndarray) -> np.ndarray:
+            all_known = np.frombuffer(held.value, np.uint64)
+            return all_known[np.minimum(np.searchsorted(all_known, h), len(all_known) - 1)] == h if len(all_known) else np.zeros(len(h), bool)
+
+        if self.listed:
+            return known
+
         def test(h: np.ndarray) -> np.ndarray:
             whole, base = np.frombuffer(held.value, np.uint8), range_of(h, ranges).astype(np.uint64) * np.uint64(bits)
             return _has(whole, [base + p for p in places(h, bits, ranges)])
@@ -116,8 +132,10 @@ def _has(bitmap: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
     return found
 
 
-def twice_seen(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], keys: int) -> Twice:
-    """hashes: all hashes (uint64) of a batch, one for each occurrence that counts; keys: how many there are in all, about."""
+def twice_seen(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], keys: int, listed: bool = False) -> Twice:
+    """hashes: all hashes (uint64) of a batch, one for each occurrence that counts; keys: how many there are in all, about; listed: whether to list the suspected ones.
+
+    For the list a range's task holds what it was sent, eight bytes for each hash and each batch that has it."""
     spark = df.sparkSession
     ranges = max(1, -(-keys // RANGE_KEYS))
     bits = max(1 << 12, -(-keys * BITS_PER_KEY // ranges // 8) * 8)
@@ -135,12 +153,22 @@ def twice_seen(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], ke
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = once = twice = None
+        sent: list[bytes] = []
+
+        def done() -> pa.RecordBatch:
+            found = np.frombuffer(b"".join(sent), np.uint64)
+            found = np.unique(found[np.logical_and.reduce([twice[p] for p in places(found, bits, ranges)])]).tobytes() if listed else None
+            return pa.RecordBatch.from_pydict({"range": [now], "twice": [np.packbits(twice, bitorder="little").tobytes()], "listed": [found]}, schema=FILTER)
+
         for batch in batches:
             for r, new, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if r != now:
                     if now is not None:
-                        yield _filter(now, twice)
+                        yield done()
                     now, once, twice = r, np.zeros(bits, bool), np.zeros(bits, bool)
+                    sent.clear()
+                if listed:
+                    sent.append(new)
                 h = np.frombuffer(new, np.uint64)
                 at = places(h, bits, ranges)
                 seen = once[at[0]] & once[at[1]] & once[at[2]]
@@ -150,13 +178,9 @@ def twice_seen(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], ke
                 for p in places(np.frombuffer(again, np.uint64), bits, ranges):
                     twice[p] = True
         if now is not None:
-            yield _filter(now, twice)
+            yield done()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = df.mapInArrow(send, "range int, once binary, again binary").repartition(n, "range").sortWithinPartitions("range")
+    dealt = df.mapInArrow(send, "range int, once binary, again binary").repartition(n, "range").sortWithinPartitions("range")
     folder = common.shared_folder(spark)
-    return Twice(common.written(sent.mapInArrow(fill, "range int, twice binary"), folder), folder, bits, ranges)
-
-
-def _filter(r: int, twice: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"range": [r], "twice": [np.packbits(twice, bitorder="little").tobytes()]}, schema=FILTER)
+    return Twice(common.written(dealt.mapInArrow(fill, "range int, twice binary, listed binary"), folder), folder, bits, ranges, listed)
