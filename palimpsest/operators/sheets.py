@@ -17,9 +17,12 @@ def column_number(letters: Column) -> Column:
 
 
 def column_letters(number: Column) -> Column:
+    """A, ..., Z, AA, ...: all letters of any whole number of an int, also past ZZZ, where no sheet has columns."""
     one = lambda n: F.when(n > 0, F.char((n - 1) % 26 + 65)).otherwise("")
-    up = lambda n: F.floor((n - 1) / 26).cast("int")
-    return F.concat(one(up(up(number))), one(up(number)), one(number))
+    places = [number]
+    for _ in range(6):
+        places.insert(0, F.floor((places[0] - 1) / 26).cast("int"))
+    return F.concat(*map(one, places))
 
 
 def serial_date(serial: Column, base_1904: bool = False) -> Column:

@@ -1,7 +1,9 @@
 """Queries against their SQL on tables that are larger, or odder, than those of the test data, and the steps that were made to grow with their input."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from palimpsest.operators import sheets
 from palimpsest.plans import blocks, documents, reading, registry, web  # noqa: F401  register their queries
 
 
@@ -21,3 +23,12 @@ def test_differences_below_zero_are_as_in_sql(spark, tmp_path):
     part = spark.createDataFrame([row(13, 9, 900.5), row(1_000_013, 40, 1000.0), row(26, 50, 1.25), row(1_000_026, 2, 2.25), row(7, 3, 5.0)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
     got, want = both(spark, tmp_path, "cell_changes", part=part)
     assert got == want and any("'+-31'" in r for r in got)
+
+
+def test_letters_past_three_places(spark, tmp_path):
+    n = [1, 26, 27, 702, 703, 16_384, 18_278, 18_279, 18_954, 18_955, 60_000, 140_000, 475_254, 475_255, 2_958_465, 2_958_466, 12_356_630]
+    df = spark.createDataFrame([(k,) for k in n], "s_suppkey long")
+    own = df.select("s_suppkey", sheets.column_letters(F.col("s_suppkey")).alias("l")).withColumn("back", sheets.column_number(F.col("l"))).collect()
+    assert [r.back for r in own] == n and {r.s_suppkey: r.l for r in own}[18_279] == "AAAA" and {r.s_suppkey: r.l for r in own}[475_254] == "ZZZZ"
+    got, want = both(spark, tmp_path, "sheet_references", supplier=df)
+    assert got == want
