@@ -1,17 +1,20 @@
 """Who is like whom: joins of units and of sets by their likeness, and pairs one to one, best first, in rounds of joins.
 
-No group holds a scope: candidates meet in joins on keys, and a pair is chosen when it is the best of both its ends, which gives what going through all pairs from the best down
+Units meet in joins on keys, sets of words in the row of their scope; a pair is chosen when it is the best of both its ends, which gives what going through all pairs from the best down
 would give.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import lineage
 from . import align
@@ -89,28 +92,53 @@ def paired_units(old: DataFrame, new: DataFrame, keys: list[str], least: float =
     return one_to_one(alike_units(*near, keys, least), keys, "old_place", "new_place", [-F.col("ratio")]).union(inline.select(*keys, "old_place", "new_place", "ratio"))
 
 
+def _alike(old: list[list[str]], new: list[list[str]], least: float) -> Iterator[tuple[int, int, float]]:
+    """Pairs of sets of words whose Jaccard similarity is `least` or more, above 0.
+
+    A pair shares ceil(least * n) words of its new set at least, so one among any n - ceil(least * n) + 1 of these: those that the fewest old sets hold are looked up.
+    """
+    sets, held = [set(x) for x in old], {}
+    for i, x in enumerate(sets):
+        for w in x:
+            held.setdefault(w, []).append(i)
+    for j, y in enumerate(map(set, new)):
+        m = len(y)
+        rare = sorted(y, key=lambda w: len(held.get(w, ())))[: max(0, m - max(1, math.ceil(least * m - 1e-9)) + 1)]
+        for i in set().union(*(held[w] for w in rare if w in held)):
+            n = len(sets[i])
+            if min(n, m) >= least * max(n, m) - 1e-9:
+                both = len(sets[i] & y)
+                if both and both / (n + m - both) >= least:
+                    yield i, j, both / (n + m - both)
+
+
 def alike_sets(old: DataFrame, new: DataFrame, scope: str, place: str, words: Column, least: float) -> DataFrame:
     """(scope, old_<place>, new_<place>, score): all pairs of a scope whose sets of words have a Jaccard similarity of `least` or more, above 0.
 
-    Sets that are so similar share a word among the first n - ceil(least * n) + 1 of each, in any order of words that both follow. The order here is by how many sets of the scope
-    hold a word, rare ones first, so common words join only where a set has no others. Of the pairs that meet, sizes and the place of the word that they share say how similar they can
-    be at most; the rest is counted. Null words and empty sets are like nothing.
+    Sets meet in the row of their scope, which one task holds; each set is shuffled once, its words never by themselves. Null words and empty sets are like nothing.
     """
-    side = lambda df, s: df.select(scope, F.col(place).alias(f"{s}_{place}"), F.array_compact(F.array_distinct(words)).alias(f"{s}_words")).where(F.size(f"{s}_words") > 0)
-    a, b = side(old, "old"), side(new, "new")
-    terms = lambda df, s: df.select(scope, f"{s}_{place}", F.size(f"{s}_words").alias(f"{s}_size"), F.explode(f"{s}_words").alias("_word"))
-    x, y = terms(a, "old"), terms(b, "new")
-    held = x.select(scope, "_word").union(y.select(scope, "_word")).groupBy(scope, "_word").agg(F.count("*").alias("_held"))
-
-    def prefix(df: DataFrame, s: str) -> DataFrame:
-        order = Window.partitionBy(scope, f"{s}_{place}").orderBy("_held", "_word")
-        size = F.col(f"{s}_size")
-        return df.join(held, [scope, "_word"]).withColumn(f"{s}_nth", F.row_number().over(order)).where(F.col(f"{s}_nth") <= size - F.ceil(least * size - 1e-9) + 1).drop("_held")
-
-    met = prefix(x, "old").join(prefix(y, "new"), [scope, "_word"])
-    n, m = F.col("old_size"), F.col("new_size")
-    most = F.least(n - F.col("old_nth"), m - F.col("new_nth")) + F.least("old_nth", "new_nth")
-    likely = met.where(F.least(n, m) >= least * F.greatest(n, m) - 1e-9).where(most >= least / (1 + least) * (n + m) - 1e-9).select(scope, f"old_{place}", f"new_{place}").distinct()
-    common = F.size(F.array_intersect("old_words", "new_words"))
-    score = common / (F.size("old_words") + F.size("new_words") - common)
-    return likely.join(a, [scope, f"old_{place}"]).join(b, [scope, f"new_{place}"]).select(scope, f"old_{place}", f"new_{place}", score.alias("score")).where(F.col("score") >= least)
+    sets = F.array_compact(F.array_distinct(words))
+    side = lambda df, s: df.where(F.col(scope).isNotNull()).select(scope, F.col(place).alias("_place"), sets.alias("_words")).where(F.size("_words") > 0).groupBy(scope).agg(F.collect_list(F.struct("_place", "_words")).alias(s))
+    both = side(old, "_old").join(side(new, "_new"), scope)
+    out = T.StructType([T.StructField(scope, old.schema[scope].dataType), T.StructField(f"old_{place}", old.schema[place].dataType), T.StructField(f"new_{place}", new.schema[place].dataType), T.StructField("score", T.DoubleType())])
+    schema = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+
+        def made() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            rows.clear()
+            return out
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                key, a, b = (c[at].as_py() for c in batch.columns)
+                for i, j, r in _alike([x["_words"] for x in a], [x["_words"] for x in b], least):
+                    rows.append((key, a[i]["_place"], b[j]["_place"], r))
+                    if len(rows) >= 20_000:
+                        yield made()
+        if rows:
+            yield made()
+
+    return both.mapInArrow(run, out)

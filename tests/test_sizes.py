@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from palimpsest.operators import sheets, views
+from palimpsest.operators import pairing, sheets, views
 from palimpsest.plans import blocks, documents, reading, registry, web  # noqa: F401  register their queries
 
 
@@ -51,3 +51,18 @@ def test_words_of_units_are_not_shuffled(spark):
         assert [tuple(r) for r in views.merged(spans, units, ["scope", "unit"]).collect()] == [(1, 1, 0, 9)] and exchanges(views.merged(spans, units, ["scope", "unit"])) <= 2
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", conf)
+
+
+def test_sets_of_words_are_shuffled_once(spark):
+    conf = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = [(1, p, [f"w{p % 5}", f"x{p % 3}", "the", None, "the"]) for p in range(40)] + [(2, 0, []), (None, 1, ["the"]), (2, 1, None)]
+        df = spark.createDataFrame(rows, "scope long, page long, w array<string>")
+        got = pairing.alike_sets(df, df, "scope", "page", F.col("w"), 0.5)
+        assert exchanges(got) <= 2
+        sets = {(s, p): {x for x in w if x} for s, p, w in rows if s and w}
+        want = [(a[0], a[1], b[1], len(x & y) / len(x | y)) for a, x in sets.items() for b, y in sets.items() if a[0] == b[0] and len(x & y) / len(x | y) >= 0.5]
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", conf)
