@@ -59,17 +59,19 @@ def rows_of(boxes: list[tuple[float, float, float]]) -> list[int]:
     return [rank[r] for r in found]
 
 
-def lines(words: DataFrame) -> DataFrame:
-    """(scope, page, column, line, text, x0, y0, size, bold) of words with `column`; a line has the median size of its words and is bold
-    if all of them are. Which row takes a word depends on the words before it, so a page's column is grouped in Python."""
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _rows(x0: pd.Series, y0: pd.Series, y1: pd.Series) -> pd.Series:
+    return pd.Series([rows_of(list(zip(*(c.tolist() for c in boxes), strict=True))) for boxes in zip(x0, y0, y1, strict=True)])
 
-    def group(df: pd.DataFrame) -> pd.DataFrame:
-        return df.assign(line=rows_of(list(zip(df.x0, df.y0, df.y1, strict=True))))
 
-    slim = words.select("scope", "page", "column", "word", "text", "x0", "y0", "y1", "size", "bold")
-    placed = slim.groupBy("scope", "page", "column").applyInPandas(group, T.StructType([*slim.schema, T.StructField("line", T.IntegerType())]))
+def lines(words: DataFrame) -> DataFrame:
+    """(scope, page, column, line, text, x0, y0, size, bold) of words with `column`; a line has the median size of its words and is bold
+    if all of them are. Which row takes a word depends on the words before it, so a page's column is one row, whose boxes alone go to Python."""
+    keys, own = ["scope", "page", "column"], ["x0", "word", "text", "y0", "y1", "size", "bold"]
+    listed = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*own))).alias("_w"))
+    placed = listed.select(*keys, F.inline(F.arrays_zip("_w", _rows(*(F.col(f"_w.{c}") for c in ("x0", "y0", "y1"))).alias("line")))).select(*keys, "line", "_w.*")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word", "text"))), lambda w: w["text"]), " ")
-    return placed.groupBy("scope", "page", "column", "line").agg(text.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.median("size").alias("size"), F.every("bold").alias("bold"))
+    return placed.groupBy(*keys, "line").agg(text.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.median("size").alias("size"), F.every("bold").alias("bold"))
 
 
 def spaced(page_lines: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from palimpsest.operators import pairing, sheets, views
+from palimpsest.operators import layout, pairing, sheets, views
 from palimpsest.plans import blocks, documents, reading, registry, web  # noqa: F401  register their queries
 
 
@@ -66,3 +66,10 @@ def test_sets_of_words_are_shuffled_once(spark):
         assert sorted(map(tuple, got.collect())) == sorted(want)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", conf)
+
+
+def test_pages_are_rows_and_no_groups_of_python(spark):
+    words = spark.createDataFrame([(1, 0, 0, k, f"t{k}", 10.0 * (9 - k), 12.0 * (k % 3), 12.0 * (k % 3) + 10, 10.0, k != 4) for k in range(9)], "scope long, page long, column int, word long, text string, x0 double, y0 double, y1 double, size double, bold boolean")
+    got = layout.lines(words)
+    assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.line, r.text, r.bold) for r in got.collect()) == [(0, "t6 t3 t0", True), (1, "t7 t4 t1", False), (2, "t8 t5 t2", True)]
