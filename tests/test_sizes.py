@@ -53,6 +53,33 @@ def test_words_of_units_are_not_shuffled(spark):
         spark.conf.set("spark.sql.adaptive.enabled", conf)
 
 
+def test_units_with_better_partners_are_not_measured(spark, monkeypatch):
+    """Equal texts pair by place without a measure, and of a large region only tiles meet; the choice is that of all pairs."""
+    rows = [(1, k, f"{'cold hot old new'.split()[k % 4]} plate {k // 3 * 7919}") for k in range(700)]
+    edited = [(s, k, t if k % 3 else f"{t} revised") for s, k, t in rows]
+    old, new = (spark.createDataFrame(x, "scope long, place long, text string") for x in (rows, edited))
+    tiles = pairing.alike_units(old, new, ["scope"], 0.9)
+    scored = [(a[1], b[1], pairing.align.ratio(a[2], b[2])) for a in rows[:60] for b in edited[:60]]
+    few = lambda df: df.where("place < 60")
+    assert sorted((r.old_place, r.new_place, r.ratio) for r in pairing.alike_units(few(old), few(new), ["scope"]).collect()) == sorted(x for x in scored if x[2] >= 0.55)
+    assert "Join" not in tiles._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    got, left, right = [], set(), set()
+    for i, j, r in sorted((x for x in scored if x[2] >= 0.55), key=lambda x: (-x[2], x[0], x[1])):
+        if i not in left and j not in right:
+            left.add(i), right.add(j), got.append((i, j, r))
+    assert sorted((r.old_place, r.new_place, r.ratio) for r in pairing.paired_units(few(old), few(new), ["scope"], most=None).collect()) == sorted(got)
+    asked = []
+    monkeypatch.setattr(pairing, "alike_units", lambda a, b, *x, own=pairing.alike_units: asked.append((a.count(), b.count())) or own(a, b, *x))
+    assert pairing.paired_units(old, new, ["scope"], most=None).count() == 700 and asked and all(a <= 234 and b <= 234 for a, b in asked)
+
+
+def test_long_and_odd_texts_are_bounded_from_above():
+    texts = ["", "ab", "a" * 70, "é日本語" * 30, "the quick brown fox " * 4, "the quick brown fox", "the brown quick fox!", "\ud800x y", "日本"]
+    for least in (0.55, 0.8):
+        want = [(i, j, pairing.align.ratio(a, b)) for i, a in enumerate(texts) for j, b in enumerate(texts) if pairing.align.ratio(a, b) >= least]
+        assert [x for x in pairing._met(texts, texts, least)] == want
+
+
 def test_links_and_blocks_are_shuffled_once(spark):
     """Beginnings of paths and words of texts are no rows; paths without a block keep their links, equal places end together."""
     conf = spark.conf.get("spark.sql.adaptive.enabled")
