@@ -1,43 +1,111 @@
-"""Order-preserving alignment of two versions of a sequence of units, one comparison in one group.
+"""Order-preserving alignment of two versions of a sequence of units, one comparison in one row.
 
-Opcodes and ratios are those of the standard library's matcher, which no built-in expression gives. Two shortcuts keep most comparisons
-out of Python: equal fingerprints never reach it, and regions above PAIR_CAP pairs are compared place by place.
+Opcodes and ratios are those of the standard library's matcher, which no built-in expression gives. Three shortcuts keep most comparisons
+out of Python: equal sequences never reach it, pairs that can't be chosen aren't measured, and regions above PAIR_CAP pairs are compared place by place.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text
 
 LEAST_RATIO, PAIR_CAP = 0.55, 10_000
 
 
+def matched(a: str, b: str) -> int:
+    """The signs in the blocks that the standard library's matcher finds: the longest run of both, of these the first in a, then in b; then so on both sides of it.
+
+    Runs are looked up with the search for strings, which is far faster than a step for each pair of equal signs."""
+    total, parts = 0, [(a, b)]
+    while parts:
+        a, b = parts.pop()
+        if not a or not b:
+            continue
+        size = at = i = 0
+        while i + size < len(a):
+            if a[i : i + size + 1] in b:
+                size, at = size + 1, i
+            else:
+                i += 1
+        if size:
+            j = b.find(a[at : at + size])
+            total += size
+            parts += [(a[:at], b[:j]), (a[at + size :], b[j + size :])]
+    return total
+
+
 def ratio(a: str, b: str) -> float:
     """Of the characters of two keys; keys of fewer than three are alike only if equal."""
     if not a or not b or min(len(a), len(b)) < 3:
         return float(bool(a) and a == b)
-    m = SequenceMatcher(None, a, b, autojunk=False)
-    return m.ratio() if min(m.real_quick_ratio(), m.quick_ratio()) >= LEAST_RATIO else 0.0  # bounds from above
+    least = 2.0 * min(len(a), len(b)) / (len(a) + len(b))
+    if least < LEAST_RATIO or a in b or b in a:
+        return least if least >= LEAST_RATIO else 0.0
+    if 2.0 * (Counter(a) & Counter(b)).total() / (len(a) + len(b)) < LEAST_RATIO:
+        return 0.0  # bounds from above
+    return 2.0 * matched(a, b) / (len(a) + len(b))
+
+
+def common(a: str, b: str) -> int:
+    """The length of the longest common subsequence, a bit for each sign of a."""
+    masks: dict[str, int] = {}
+    for k, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << k
+    every = (1 << len(a)) - 1
+    v = every
+    for c in b:
+        u = v & masks.get(c, 0)
+        if u:
+            v = (v + u | v - u) & every
+    return len(a) - v.bit_count()
+
+
+def _bounds(old: list[str], new: list[str]):
+    """Bounds of ratio(old[i], new[j]) from above, each closer and dearer than the one before; the last is the ratio."""
+    counted: tuple[dict[int, Counter], dict[int, Counter]] = ({}, {})
+
+    def signs(i: int, j: int) -> float:
+        x, y = (of[k] if k in of else of.setdefault(k, Counter(text)) for of, k, text in ((counted[0], i, old[i]), (counted[1], j, new[j])))
+        return 2.0 * sum(min(n, y[c]) for c, n in x.items() if c in y) / (len(old[i]) + len(new[j]))
+
+    def sizes(i: int, j: int) -> float:
+        n, m = len(old[i] or ""), len(new[j] or "")
+        return 2.0 * min(n, m) / (n + m) if n and m else 0.0
+
+    return [sizes, signs, lambda i, j: 2.0 * common(old[i], new[j]) / (len(old[i]) + len(new[j])), lambda i, j: ratio(old[i], new[j])]
 
 
 def best_first(old: list[str], new: list[str]) -> list[tuple[int, int, float]]:
-    """Pairs one to one, the most alike first; ties by place."""
+    """Pairs one to one, the most alike first; ties by place. A pair is measured when no other can be more alike, and not at all when one of its units is taken by then."""
     if len(old) * len(new) > PAIR_CAP:
-        scored = [(ratio(a, b), i, i) for i, (a, b) in enumerate(zip(old, new, strict=False))]
+        every = [(i, i) for i in range(min(len(old), len(new)))]
     else:
-        scored = [(ratio(a, b), i, j) for i, a in enumerate(old) for j, b in enumerate(new)]
+        every = [(i, j) for i in range(len(old)) for j in range(len(new))]
+    bounds = _bounds(old, new)
+    heap = [(-r, i, j, 0) for i, j in every if (r := bounds[0](i, j)) >= LEAST_RATIO]
+    heapify(heap)
     left, right, out = set(), set(), []
-    for r, i, j in sorted((x for x in scored if x[0] >= LEAST_RATIO), key=lambda x: (-x[0], x[1], x[2])):
-        if i not in left and j not in right:
+    while heap:
+        r, i, j, step = heappop(heap)
+        if i in left or j in right:
+            continue
+        if step == len(bounds) - 1:
             left.add(i)
             right.add(j)
-            out.append((i, j, r))
+            out.append((i, j, -r))
+        elif (closer := bounds[step + 1](i, j)) >= LEAST_RATIO:
+            heappush(heap, (-closer, i, j, step + 1))
     return out
 
 
@@ -73,7 +141,7 @@ def word_segments(old: str, new: str) -> list[tuple[str, str]]:
     return [(" ".join(a[i:j]), " ".join(b[k:m])) for i, j, k, m in word_runs(a, b)]
 
 
-SEGMENTS = "array<struct<old:string,new:string,old_from:int,old_to:int,new_from:int,new_to:int>>"
+_SEGMENTS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("old", "new")] + [T.StructField(n, T.IntegerType()) for n in ("old_from", "old_to", "new_from", "new_to")]))
 
 
 def _segments(old: str | None, new: str | None) -> list[dict]:
@@ -81,7 +149,7 @@ def _segments(old: str | None, new: str | None) -> list[dict]:
     return [{"old": " ".join(a[i:j]), "new": " ".join(b[k:m]), "old_from": i, "old_to": j, "new_from": k, "new_to": m} for i, j, k, m in word_runs(a, b)]
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("old", "new")] + [T.StructField(n, T.IntegerType()) for n in ("old_from", "old_to", "new_from", "new_to")])))
+@F.pandas_udf(_SEGMENTS)
 def segments(old: pd.Series, new: pd.Series) -> pd.Series:
     """The runs of words in which two texts differ, with their places among the words of each; texts should be normalised. A null text has no words."""
     return pd.Series([_segments(a, b) for a, b in zip(old, new, strict=True)])
@@ -93,19 +161,43 @@ def align(old: DataFrame, new: DataFrame, scope: str = "scope", place: str = "pl
 
     Units are compared by their normalised keys and shown by their texts; where the input has a column key already, that one is taken.
     """
-    old, new = (df if key in df.columns else df.withColumn(key, text.key(F.col(shown))) for df in (old, new))
-    old, new = (df if shown in df.columns else df.withColumn(shown, F.col(key)) for df in (old, new))
-    old, new = (df.select(F.col(scope).alias(scope), F.col(place).alias(place), F.col(key).alias(key), text.normalize(F.col(shown)).alias(shown)) for df in (old, new))  # columns of their own, where both come from one table
-    mark = lambda df, n: df.groupBy(scope).agg(F.xxhash64(F.array_sort(F.collect_list(F.struct(place, key)))).alias(n))
-    differ = mark(old, "a").join(mark(new, "b"), scope, "full_outer").where("not (a <=> b)").select(scope)
-
-    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values(place), b.sort_values(place)
-        sid = (a if len(a) else b)[scope].iloc[0]
-        x, y, p, q = a[key].tolist(), b[key].tolist(), a[place].tolist(), b[place].tolist()
-        s_old, s_new = a[shown].tolist(), b[shown].tolist()
-        rows = [(sid, k, None if i is None else p[i], None if j is None else q[j], r, _segments(s_old[i], s_new[j]) if k == "modified" else []) for k, i, j, r in align_units(x, y)]
-        return pd.DataFrame(rows, columns=["scope", "kind", "old_place", "new_place", "ratio", "segments"]).astype({"old_place": "Int64", "new_place": "Int64"})
-
-    sides = [df.join(differ, scope, "left_semi").groupBy(scope) for df in (old, new)]
-    return sides[0].cogroup(sides[1]).applyInPandas(one, f"scope long, kind string, old_place long, new_place long, ratio double, segments {SEGMENTS}")
+    def side(df: DataFrame, name: str) -> DataFrame:
+        """A row for each scope: its units in order, with their keys where these are not the texts in small letters."""
+        fields = [F.col(place).alias("p"), text.normalize(F.col(shown if shown in df.columns else key)).alias("t"), *([F.col(key).alias("k")] if key in df.columns else [])]
+        listed = df.select(F.col(scope).alias("scope"), F.struct(*fields).alias("_u")).where("scope is not null").groupBy("scope").agg(F.array_sort(F.collect_list("_u")).alias(name))
+        return listed.withColumn(f"{name}_keys", F.transform(name, lambda u: F.struct(u["p"].alias("p"), (u["k"] if key in df.columns else F.lower(u["t"])).alias("k"))))
+
+    both = side(old, "_old").join(side(new, "_new"), "scope", "full_outer").where("not (_old_keys <=> _new_keys)")
+    out = T.StructType([T.StructField("scope", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("old_place", T.LongType()), T.StructField("new_place", T.LongType()), T.StructField("ratio", T.DoubleType()), T.StructField("segments", _SEGMENTS)])
+    schema = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+
+        def made() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            rows.clear()
+            return out
+
+        for batch in batches:
+            for at, sid in enumerate(batch.column(0).to_pylist()):
+                units = []
+                for own, keys in ((1, 2), (3, 4)):
+                    held, named = (batch.column(c)[at].values for c in (own, keys))
+                    if held is None:
+                        units.append(([], [], []))
+                        continue
+                    p, k, t = named.field(0).to_pylist(), named.field(1).to_pylist(), held.field(1).to_pylist()
+                    if p[0] is None:  # units without a place come last
+                        order = sorted(range(len(p)), key=lambda x: p[x] is None)  # noqa: B023
+                        p, k, t = ([c[x] for x in order] for c in (p, k, t))
+                    units.append((p, k, t))
+                (p, x, s_old), (q, y, s_new) = units
+                for kind, i, j, r in align_units(x, y):
+                    rows.append((sid, kind, None if i is None else p[i], None if j is None else q[j], r, _segments(s_old[i], s_new[j]) if kind == "modified" else []))
+                    if len(rows) >= 20_000:
+                        yield made()
+        if rows:
+            yield made()
+
+    return both.select(F.col("scope").cast("long").alias("scope"), "_old", "_old_keys", "_new", "_new_keys").mapInArrow(run, out)

@@ -1,9 +1,12 @@
 """Queries against their SQL on tables that are larger, or odder, than those of the test data, and the steps that were made to grow with their input."""
 
+import difflib
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
-from palimpsest.operators import layout, pairing, sheets, views
+from palimpsest.operators import align, layout, pairing, sheets, views
 from palimpsest.plans import blocks, documents, reading, registry, web  # noqa: F401  register their queries
 
 
@@ -80,6 +83,30 @@ def test_long_and_odd_texts_are_bounded_from_above():
         assert [x for x in pairing._met(texts, texts, least)] == want
 
 
+def test_scopes_are_rows_and_only_likely_pairs_are_measured(spark, monkeypatch):
+    rows = [(s, k, f"line {k} of document {s}, {'long ' * (k % 5)}") for s in range(4) for k in range(40)]
+    edited = [(s, k, t if s == 3 else f"{t} indeed") for s, k, t in rows if k % 11 != 10 or s == 3]
+    old, new = (spark.createDataFrame(x, "scope long, place long, text string") for x in ([*rows, (None, 1, "x")], edited))
+    got = align.align(old, new)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 2
+    assert sorted((r.scope, r.old_place, r.new_place, r.kind) for r in got.collect() if r.old_place is not None and r.kind != "removed") == [(s, k, k, "modified") for s, k, _ in edited if s < 3]
+    asked = []
+    monkeypatch.setattr(align, "ratio", lambda a, b, own=align.ratio: asked.append(1) or own(a, b))
+    texts = [f"{'x y z w v'.split()[k % 5] * (k + 5)} {k}" for k in range(30)]
+    assert len(align.best_first(texts, [f"{t} indeed" for t in texts])) >= 25 and len(asked) < 100
+
+
+def test_ratios_are_those_of_the_standard_library():
+    r = random.Random(1)
+    for _ in range(2000):
+        a, b = ("".join(r.choices("ab cé日", k=r.randint(3, 40))) for _ in "ab")
+        want = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        assert align.matched(a, b) == sum(m.size for m in want.get_matching_blocks())
+        assert align.ratio(a, b) == (want.ratio() if min(want.real_quick_ratio(), want.quick_ratio()) >= 0.55 else 0.0)
+        assert align.common(a, b) >= align.matched(a, b)
+
+
 def test_links_and_blocks_are_shuffled_once(spark):
     """Beginnings of paths and words of texts are no rows; paths without a block keep their links, equal places end together."""
     conf = spark.conf.get("spark.sql.adaptive.enabled")
