@@ -66,20 +66,26 @@ def page_issues(evidence: DataFrame, documents: DataFrame, pages: DataFrame, wor
     on that page. box_outside: the box reaches over the page by more than tolerance. not_quoted: neither the words that were found, in the order in which they are cited, nor the excerpt hold the
     other; without words or excerpt nothing is quoted.
     evidence: (scope, change_id, nth, side, fingerprint, page, words: array of names, box: struct x0 y0 x1 y1, excerpt); documents: (scope, side, fingerprint); pages: (scope, side, page, width, height);
-    words: (scope, side, page, word, text). Nulls among words are left out.
+    words: (scope, side, page, word, text). Nulls among words are left out. The words of a page are one row, which evidence meets; neither cited words nor issues are shuffled.
     """
     key = ["scope", "change_id", "nth"]
-    of = evidence.join(documents.select("scope", "side", F.col("fingerprint").alias("_of")), ["scope", "side"], "left").join(pages.select("scope", "side", "page", "width", "height"), ["scope", "side", "page"], "left")
-    of = of.withColumn("_there", F.col("width").isNotNull())
-    cited = of.where("_there").select(*key, "side", "page", F.posexplode("words").alias("_at", "word")).where("word is not null")
-    found = cited.join(words.select("scope", "side", "page", "word", F.col("text").alias("_text")), ["scope", "side", "page", "word"], "left")
-    quoted = found.where("_text is not null").groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_text"))), lambda w: w["_text"]), " ").alias("_quoted"))
+    listed = words.where("word is not null").groupBy("scope", "side", "page").agg(F.collect_list(F.struct("word", "text")).alias("_words"))
+    paged = pages.select("scope", "side", "page", "width", "height").join(listed, ["scope", "side", "page"], "left")
+    of = evidence.join(documents.select("scope", "side", F.col("fingerprint").alias("_of")), ["scope", "side"], "left").join(paged, ["scope", "side", "page"], "left")
+    there = F.col("width").isNotNull()
+    known = F.coalesce("_words", F.array().cast(listed.schema["_words"].dataType))
+    named = F.filter("words", lambda w: w.isNotNull())
+    texts = F.transform(named, lambda w: F.struct(w.alias("word"), F.transform(F.filter(known, lambda x: x["word"] == w), lambda x: x["text"]).alias("texts")))
+    of = of.withColumn("_found", F.when(there, texts))
+    quoted = F.array_join(F.flatten(F.transform("_found", lambda x: F.array_sort(F.filter(x["texts"], lambda t: t.isNotNull())))), " ")
+    lost = F.flatten(F.transform("_found", lambda x: F.transform(F.when(F.size(x["texts"]) == 0, F.array(F.lit(None).cast("string"))).otherwise(F.filter(x["texts"], lambda t: t.isNull())), lambda _: x["word"])))
     plain = lambda c: text_functions.normalize(c)
-    said, shown = plain(F.coalesce("excerpt", F.lit(""))), plain(F.coalesce("_quoted", F.lit("")))
+    of = of.withColumns({"_said": plain(F.coalesce("excerpt", F.lit(""))), "_shown": plain(F.coalesce(quoted, F.lit(""))), "_lost": F.coalesce(lost, F.array().cast("array<string>"))})
+    said, shown = F.col("_said"), F.col("_shown")
     wide = F.greatest(-F.least("box.x0", "box.y0"), F.col("box.x1") - F.col("width"), F.col("box.y1") - F.col("height")) > tolerance
     other = ~F.col("fingerprint").eqNullSafe(F.col("_of"))
     mismatch = (said != "") & (shown != "") & ~said.contains(shown) & ~shown.contains(said)
-    kept = of.join(quoted, key, "left")
-    names = F.array_compact(F.array(F.when(other, F.lit("other_document")), F.when(~F.col("_there"), F.lit("no_page")), F.when(F.col("_there") & F.coalesce(wide, F.lit(False)), F.lit("box_outside")), F.when(F.col("_there") & mismatch, F.lit("not_quoted"))))
-    lost = found.where("_text is null").select(*key, F.lit("no_word").alias("issue"), "word")
-    return kept.select(*key, F.explode(names).alias("issue"), F.lit(None).cast("string").alias("word")).union(lost)
+    names = F.array_compact(F.array(F.when(other, F.lit("other_document")), F.when(~there, F.lit("no_page")), F.when(there & F.coalesce(wide, F.lit(False)), F.lit("box_outside")), F.when(there & mismatch, F.lit("not_quoted"))))
+    issue = lambda name, word: F.struct(name.alias("issue"), word.alias("word"))
+    every = F.concat(F.transform(names, lambda n: issue(n, F.lit(None).cast("string"))), F.transform("_lost", lambda w: issue(F.lit("no_word"), w)))
+    return of.select(*key, F.explode(every).alias("_i")).select(*key, "_i.issue", "_i.word")

@@ -6,7 +6,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from palimpsest.operators import align, layout, pairing, sheets, views
+from palimpsest.operators import align, evidence, layout, pairing, sheets, views
 from palimpsest.plans import blocks, documents, reading, registry, web  # noqa: F401  register their queries
 
 
@@ -107,6 +107,22 @@ def test_ratios_are_those_of_the_standard_library():
         assert align.common(a, b) >= align.matched(a, b)
 
 
+def test_evidence_meets_the_words_of_its_page_in_one_row(spark):
+    conf = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        documents = spark.createDataFrame([(1, "new", "f")], "scope long, side string, fingerprint string")
+        pages = spark.createDataFrame([(1, "new", 1, 60.0, 80.0)], "scope long, side string, page int, width double, height double")
+        words = spark.createDataFrame([(1, "new", 1, "w0", "one"), (1, "new", 1, "w1", "two"), (1, "new", 1, "w2", None), (1, "new", 1, None, "x")], "scope long, side string, page int, word string, text string")
+        rows = [(1, n, 0, "new", "f", 1 if n < 4 else 2, w, None, "one  two") for n, w in enumerate([["w0", None, "w1"], ["w1", "w0"], ["w2", "w9", "w0"], None, ["w7"]])]
+        cited = spark.createDataFrame(rows, "scope long, change_id long, nth int, side string, fingerprint string, page int, words array<string>, box struct<x0: double, y0: double, x1: double, y1: double>, excerpt string")
+        found = evidence.page_issues(cited, documents, pages, words)
+        assert exchanges(found) <= 6
+        assert sorted((r.change_id, r.issue, r.word or "") for r in found.collect()) == [(1, "not_quoted", ""), (2, "no_word", "w2"), (2, "no_word", "w9"), (4, "no_page", "")]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", conf)
+
+
 def test_links_and_blocks_are_shuffled_once(spark):
     """Beginnings of paths and words of texts are no rows; paths without a block keep their links, equal places end together."""
     conf = spark.conf.get("spark.sql.adaptive.enabled")
