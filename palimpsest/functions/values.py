@@ -21,32 +21,46 @@ DATED = "(?i)(?:" + "|".join(form.removeprefix("(?i)") for form in DATES) + ")"
 WHOLE = f"(?i)^{DATED[4:]}$"
 
 
+def once(c: Column, of) -> Column:
+    """of(c), with c computed once, however often it is read."""
+    return F.get(F.transform(F.array(c), of), F.lit(0))
+
+
 def _number(text: Column) -> Column:
     return F.replace(F.regexp_extract(text, f"({NUMBER})", 1), F.lit(","), F.lit("")).try_cast("decimal(38,10)")
 
 
 def _month(word: Column) -> Column:
-    out = F.lit(None).cast("int")
-    for k, name in enumerate(MONTHS, 1):
-        out = F.when(F.lower(F.substring(word, 1, 3)) == name[:3], k).otherwise(out)
-    return out
+    names = F.array(*(F.lit(m[:3]) for m in MONTHS))
+    return F.nullif(F.array_position(names, F.lower(F.substring(word, 1, 3))), F.lit(0)).cast("int")
 
 
 def _made(y: Column, m: Column, d: Column) -> Column:
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", y.cast("int"), m.cast("int"), d.cast("int")), "yyyy-MM-dd")
+    two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
+    return F.concat_ws("-", F.lpad(y.cast("int").cast("string"), 4, "0"), two(m), two(d)).try_cast("date")
 
 
 def parse_date(c: Column) -> Column:
-    """struct(date, ambiguous): day month year, month day year, ISO, then numbers, which are ambiguous unless one exceeds 12."""
+    """struct(date, ambiguous): day month year, month day year, ISO, then numbers, which are ambiguous unless one exceeds 12.
+
+    What a form finds is taken apart at its separators, so that each form is looked for once."""
     dmy, mdy, iso, num = DATES
-    g = lambda p, k: F.regexp_extract(c, p, k)
-    a, b, y = g(num, 1).try_cast("int"), g(num, 2).try_cast("int"), g(num, 3).try_cast("int")
-    y = F.when(y < 100, y + 2000).otherwise(y)
-    by_name = F.when(g(dmy, 1) != "", _made(g(dmy, 3).try_cast("int"), _month(g(dmy, 2)), g(dmy, 1).try_cast("int"))).when(g(mdy, 1) != "", _made(g(mdy, 3).try_cast("int"), _month(g(mdy, 1)), g(mdy, 2).try_cast("int")))
-    by_iso = F.when(g(iso, 1) != "", _made(g(iso, 1).try_cast("int"), g(iso, 2).try_cast("int"), g(iso, 3).try_cast("int")))
-    by_number = F.when(a > 12, _made(y, b, a)).when(b > 12, _made(y, a, b)).when(a.isNotNull(), _made(y, b, a))
-    date, any_ = F.coalesce(by_name, by_iso, by_number), c.rlike(DATED)
-    return F.struct(F.when(any_, date).alias("date"), F.when(any_, by_name.isNull() & by_iso.isNull() & (a <= 12) & (b <= 12) & (a != b)).alias("ambiguous"))
+    found = lambda form, parts, made: once(F.split(F.regexp_extract(c, form, 0), parts), lambda x: F.when(F.size(x) == 3, made(*(F.get(x, F.lit(k)) for k in range(3)))))
+    digits = lambda word: F.translate(word, "stndrhSTNDRH,", "").try_cast("int")
+    as_int = lambda word: word.try_cast("int")
+    # A form's struct is null where it isn't found; its date is null if there is no such day.
+    named = lambda form, made: found(form, " ", lambda *p: F.struct(made(*p).alias("date")))
+    by_name = once(named(dmy, lambda d, m, y: _made(as_int(y), _month(m), digits(d))), lambda x: F.when(x.isNotNull(), x["date"]).otherwise(named(mdy, lambda m, d, y: _made(as_int(y), _month(m), digits(d)))["date"]))
+    by_iso = found(iso, "-", lambda y, m, d: _made(as_int(y), as_int(m), as_int(d)))
+
+    def numbers(p: Column) -> Column:
+        a, b, y = p["a"], p["b"], F.when(p["y"] < 100, p["y"] + 2000).otherwise(p["y"])
+        return F.struct(F.when(a > 12, _made(y, b, a)).when(b > 12, _made(y, a, b)).when(a.isNotNull(), _made(y, b, a)).alias("date"), ((a <= 12) & (b <= 12) & (a != b)).alias("ambiguous"))
+
+    by_number = once(found(num, "[/.]", lambda a, b, y: F.struct(as_int(a).alias("a"), as_int(b).alias("b"), as_int(y).alias("y"))), numbers)
+    clear = once(F.coalesce(by_name, by_iso), lambda d: F.when(d.isNotNull(), F.struct(d.alias("date"), F.lit(False).alias("ambiguous"))).otherwise(by_number))
+    none = F.struct(F.lit(None).cast("date").alias("date"), F.lit(None).cast("boolean").alias("ambiguous"))
+    return F.when(c.rlike(DATED), clear).otherwise(none)
 
 
 def whole_date(c: Column) -> Column:
@@ -60,11 +74,12 @@ def bare(c: Column) -> Column:
     return F.regexp_replace(c, f"^{EDGE}|{EDGE}$", "")
 
 
-def kind_of(c: Column) -> Column:
-    """date, percent, money, identifier, year, number or text, in that order of trying."""
+def kind_of(c: Column, date: Column | None = None) -> Column:
+    """date, percent, money, identifier, year, number or text, in that order of trying. date: that of parse_date, where it is known already."""
+    date = parse_date(c)["date"] if date is None else date
     money = rf"(?i)(?:{CURRENCY})\s?(?:{NUMBER})|(?:{NUMBER})\s?(?:{CURRENCY})"
     return (
-        F.when(parse_date(c)["date"].isNotNull(), "date").when(c.rlike(rf"(?:{NUMBER})\s?%"), "percent").when(c.rlike(money), "money")
+        F.when(date.isNotNull(), "date").when(c.rlike(rf"(?:{NUMBER})\s?%"), "percent").when(c.rlike(money), "money")
         .when(c.rlike(r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]+(?:[-/][A-Za-z0-9]+)*$"), "identifier").when(c.rlike(r"^(?:18|19|20|21)[0-9]{2}$"), "year").when(c.rlike(rf"^[-+]?(?:{NUMBER})$"), "number").otherwise("text")
     )
 
@@ -87,17 +102,16 @@ def category_of(kind: Column) -> Column:
 
 def plain(d: Column) -> Column:
     """A decimal without trailing zeros."""
-    s = d.cast("string")
-    return F.when(s.contains("."), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
+    return once(d.cast("string"), lambda s: F.when(s.contains("."), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s))
 
 
 def number_delta(old: Column, new: Column) -> Column:
     """'+25 (+50%)': signed difference, and percent of the old number rounded half to even; null without a difference."""
-    old, new = old.cast("decimal(28,4)"), new.cast("decimal(28,4)")
-    diff = new - old
-    share = F.bround((diff * 100).cast("double") / F.when(old != 0, F.abs(old)).cast("double"), 2).cast("decimal(28,2)")
-    sign = lambda x: F.when(x > 0, F.lit("+")).otherwise(F.lit(""))
-    return F.when(diff != 0, F.concat(sign(diff), plain(diff), F.coalesce(F.concat(F.lit(" ("), sign(share), plain(share), F.lit("%)")), F.lit(""))))
+    both = F.struct(old.cast("decimal(28,4)").alias("old"), new.cast("decimal(28,4)").alias("new"))
+    signed = lambda c: once(c, lambda x: F.concat(F.when(x > 0, F.lit("+")).otherwise(F.lit("")), plain(x)))
+    share = lambda diff, old: F.bround((diff * 100).cast("double") / F.when(old != 0, F.abs(old)).cast("double"), 2).cast("decimal(28,2)")
+    shown = lambda p: once(p["new"] - p["old"], lambda diff: F.when(diff != 0, F.concat(signed(diff), F.coalesce(F.concat(F.lit(" ("), signed(share(diff, p["old"])), F.lit("%)")), F.lit("")))))
+    return once(both, shown)
 
 
 def date_delta(old: Column, new: Column) -> Column:
@@ -112,8 +126,8 @@ def unit_of(c: Column) -> Column:
 
 def typed(c: Column) -> Column:
     """struct(kind, date, ambiguous, number, unit) of a value given as text."""
-    date = parse_date(c)
-    return F.struct(kind_of(c).alias("kind"), date["date"].alias("date"), date["ambiguous"].alias("ambiguous"), _number(c).alias("number"), unit_of(c).alias("unit"))
+    own = lambda x, d: F.struct(kind_of(x, d["date"]).alias("kind"), d["date"].alias("date"), d["ambiguous"].alias("ambiguous"), _number(x).alias("number"), unit_of(x).alias("unit"))
+    return once(c, lambda x: once(parse_date(x), lambda d: own(x, d)))
 
 
 def value_delta(old: Column, new: Column) -> Column:
@@ -122,12 +136,16 @@ def value_delta(old: Column, new: Column) -> Column:
     Dates differ by days unless one is ambiguous. Numbers differ if both have the same unit and neither is an identifier; a percentage
     follows but for years, percents and an old value of 0.
     """
-    either = lambda *kinds: old["kind"].isin(*kinds) | new["kind"].isin(*kinds)
-    days = F.when(~old["ambiguous"] & ~new["ambiguous"], date_delta(old["date"], new["date"]))
-    delta = number_delta(old["number"], new["number"])
-    bare = F.regexp_replace(delta, r" \(.*\)$", "")
-    both_dates = (old["kind"] == "date") & (new["kind"] == "date")
-    return F.when(both_dates, days).when(either("date", "identifier", "text") | (old["unit"] != new["unit"]), None).when(either("year", "percent"), bare).otherwise(delta)
+    def shown(p: Column) -> Column:
+        old, new = p["old"], p["new"]
+        either = lambda *kinds: old["kind"].isin(*kinds) | new["kind"].isin(*kinds)
+        days = F.when(~old["ambiguous"] & ~new["ambiguous"], date_delta(old["date"], new["date"]))
+        delta = number_delta(old["number"], new["number"])
+        bare = F.regexp_replace(delta, r" \(.*\)$", "")
+        both_dates = (old["kind"] == "date") & (new["kind"] == "date")
+        return F.when(both_dates, days).when(either("date", "identifier", "text") | (old["unit"] != new["unit"]), None).when(either("year", "percent"), bare).otherwise(delta)
+
+    return once(F.struct(old.alias("old"), new.alias("new")), shown)  # in a lambda, for as plain columns it is too long to be compiled
 
 
 def label_before(line: Column, value: Column, most: int = 80) -> Column:

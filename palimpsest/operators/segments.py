@@ -75,8 +75,8 @@ def typed(pairs: DataFrame, old: str = "old_text", new: str = "new_text", segmen
     every = df.select(*names, F.posexplode(F.concat(dates, rest)).alias("nth", "_c"))
     both = F.transform(F.array("_c.a", "_c.b"), lambda x: F.struct(x.alias("c"), F.when(x.rlike("[0-9]"), values.kind_of(x)).alias("kind")))
     every = every.withColumn("_v", F.transform(both, lambda x: F.when(x["kind"].isNotNull(), values.value_in(x["c"], x["kind"]))))
-    kind = lambda v: F.when(v.rlike(r"^(?:18|19|20|21)[0-9]{2}$"), "year").otherwise(values.kind_of(v))
-    every = every.withColumn("_t", F.transform("_v", lambda v: F.when(v.isNotNull(), F.struct(values.category_of(kind(v)).alias("category"), values.typed(v).alias("t")))))
+    kind = lambda v, t: F.when(v.rlike(r"^(?:18|19|20|21)[0-9]{2}$"), "year").otherwise(t["kind"])
+    every = every.withColumn("_t", F.transform("_v", lambda v: F.when(v.isNotNull(), values.once(values.typed(v), lambda t: F.struct(values.category_of(kind(v, t)).alias("category"), t.alias("t"))))))
     a, b = F.col("_t")[0], F.col("_t")[1]
     same = a["category"]
     clear = ~((same == "date") & (a["t"]["ambiguous"] | b["t"]["ambiguous"]))

@@ -32,7 +32,8 @@ def value_differences(spark, sf_dir):
     day = F.lit("2024-01-01").cast("date")
     old = F.when(k == 0, F.concat(F.lit("$"), s)).when(k == 1, F.concat(F.lit("$"), s)).when(k == 2, F.concat(s, F.lit("%"))).when(k == 3, (q + 1900).cast("string")).otherwise(F.lit("1 January 2024"))
     new = F.when(k == 0, F.concat(F.lit("$"), more)).when(k == 1, F.concat(F.lit("€"), more)).when(k == 2, F.concat(more, F.lit("%"))).when(k == 3, F.lit("1900")).otherwise(F.date_add(day, q.cast("int")).cast("string"))
-    both = t.select("*", values.typed(old).alias("old"), values.typed(new).alias("new"))
+    shown = t.withColumns({"old": old, "new": new})  # columns, for values are read many times
+    both = shown.withColumns({"old": values.typed(F.col("old")), "new": values.typed(F.col("new"))})
     return both.select("l_orderkey", "l_linenumber", "l_partkey", "q", values.value_delta(F.col("old"), F.col("new")).alias("difference"))
 
 

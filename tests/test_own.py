@@ -269,6 +269,17 @@ def test_value_delta(spark):
     assert [r[0] for r in df.select(values.value_delta(F.col("a"), F.col("b"))).collect()] == ["+5 (+100%)", "+5", None, None, None, None, None, None, "+5", "1 days later"]
 
 
+def test_values_are_parsed_once(spark):
+    """Each form of a date is looked for once, and a difference is computed once: no pattern stands in the plan again and again."""
+    df = spark.createDataFrame([("3rd March 2024", "$5")], "a string, b string")
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().analyzed().toString().lower()
+    assert plan(values.parse_date(F.col("a"))).count("regexp_extract") == 4
+    assert plan(values.number_delta(F.length("a"), F.length("b"))).count("bround") == 1
+    days = ["1 Sept 2024", "31 February 2024", "5 MAY 0050", "May 5th, 2024", "13/1/24", "1.13.1999", "1/2/2024", "2/2/0004", "2024-13-01", "2024-1-31 or 3 May 2020", "45 May 2024 2024-01-02"]
+    got = spark.createDataFrame([(x,) for x in days], "v string").select(values.parse_date(F.col("v")).alias("d")).select(F.col("d.date").cast("string"), "d.ambiguous").collect()
+    assert [tuple(r) for r in got] == [(None, None), (None, None), ("0050-05-05", False), ("2024-05-05", False), ("2024-01-13", False), ("1999-01-13", False), ("2024-02-01", True), ("2004-02-02", False), (None, None), ("2020-05-03", False), ("2024-01-02", False)]
+
+
 def test_quotes_and_tokens(spark):
     v = F.col("v")
     assert one(spark, text.rejoined(F.split(v, "[|]")), "an inter-|national well-|Known end-") == "an international well- Known end-"
