@@ -13,6 +13,9 @@ from ..functions import text, values
 
 DATE_WORDS, DATE_SIGNS = 7, 60  # words, and signs, that a date has at most
 DATE = f"(?i)^(?:{values.EDGE})?(?:{values.WHOLE[4:].strip('^$')})(?:{values.EDGE})?$"
+# A date's first word begins, signs at its edge apart, with a digit or a month, its last one ends with a digit; words of such signs alone may stand around it.
+BEGIN = f"(?i)^(?:{values.EDGE})?(?:[0-9]|{'|'.join(m[:3] for m in values.MONTHS)}|$)"
+END = f"(?:^|[0-9])(?:{values.EDGE})?$"
 SPAN = "old_from int, old_to int, new_from int, new_to int, old_date string, new_date string, difference string"
 
 
@@ -21,7 +24,9 @@ def date_span(words: Column, first: Column, last: Column) -> Column:
 
     Of equally long dates the one that begins, then ends, first; null where there is none, or no word from first to last. The places in the result are negative: -first, -last.
     """
-    runs = F.flatten(F.transform(F.sequence(F.greatest(F.lit(0), first - (DATE_WORDS - 1)), last - 1), lambda s: F.transform(F.sequence(F.greatest(s, first) + 1, F.least(s + DATE_WORDS, F.size(words))), lambda e: F.struct((-s).alias("first"), (-e).alias("last"), F.array_join(F.slice(words, s + 1, e - s), " ").alias("run")))))
+    starts = F.filter(F.sequence(F.greatest(F.lit(0), first - (DATE_WORDS - 1)), last - 1), lambda s: F.get(words, s).rlike(BEGIN))
+    ends = lambda s: F.filter(F.sequence(F.greatest(s, first) + 1, F.least(s + DATE_WORDS, F.size(words))), lambda e: F.get(words, e - 1).rlike(END))
+    runs = F.flatten(F.transform(starts, lambda s: F.transform(ends(s), lambda e: F.struct((-s).alias("first"), (-e).alias("last"), F.array_join(F.slice(words, s + 1, e - s), " ").alias("run")))))
     likely = F.filter(runs, lambda x: (F.length(x["run"]) <= DATE_SIGNS) & x["run"].rlike(DATE))
     bare = F.transform(likely, lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), values.bare(x["run"]).alias("text")))
     sized = F.transform(bare, lambda x: F.struct(F.length(x["text"]).alias("size"), x["first"].alias("first"), x["last"].alias("last"), x["text"].alias("text"), values.parse_date(x["text"]).alias("parsed")))

@@ -51,6 +51,16 @@ def test_dates_come_first_and_take_their_words(spark):
     ]
 
 
+def test_dates_only_of_words_that_can_hold_them(spark):
+    """Words that can't begin or end a date are sifted out before runs of words are joined; signs alone may stand at both edges."""
+    df = spark.createDataFrame([(1, "paid on ( 3rd March 2024 ) . then"), (2, "until “May 5, 2024”, or so"), (3, "a - 2024-01-31; b"), (4, "3 March then 2024"), (5, "( 1/2/2024 )")], "id int, t string")
+    span = segments.date_span(F.split("t", " "), F.lit(0), F.size(F.split("t", " ")))
+    got = df.select("id", span.alias("s")).orderBy("id").select("s.first", "s.last", "s.text").collect()
+    assert [tuple(r) for r in got] == [(-2, -6, "3rd March 2024"), (-1, -4, "May 5, 2024"), (-2, -3, "2024-01-31"), (None, None, None), (0, -2, "1/2/2024")]
+    plan = df.select(span.alias("s"))._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.index("rlike") < plan.index("array_join")
+
+
 def test_typed_of_nothing(spark):
     assert typed(spark) == []
 
