@@ -146,5 +146,5 @@ def compare(old: DataFrame, new: DataFrame) -> DataFrame:
     pages = page_changes(old, new)
     shared = old.select("page_id").join(new.select("page_id"), "page_id", "left_semi").distinct()
     old, new = (df.select("page_id", "url", "html").join(shared, "page_id", "left_semi") for df in (old, new))
-    a, b = (cut(html.units(df, loose=True)) for df in (old, new))
+    a, b = (cut(html.units(df.repartition("page_id"), loose=True)) for df in (old, new))  # a table may be one file, and reading pages is work for many
     return reduce(DataFrame.union, [pages, metadata_changes(old, new), block_changes(a, b), link_changes(a, b), table_changes(a, b)])

@@ -98,3 +98,12 @@ def test_pages_of_one_side(spark):
     assert feed(spark, None, "<p>x") == [("page", "added", "text", "https://a.b/c", None, "https://a.b/c", None, None)]
     assert feed(spark, None, None) == []
     assert feed(spark, None, "") == [("page", "added", "text", "https://a.b/c", None, "https://a.b/c", None, None)]
+
+
+def test_pages_are_dealt_to_all_tasks(spark, monkeypatch):
+    """A table may be one file: its pages are dealt out by number before they are read."""
+    seen, own = [], web.html.units
+    monkeypatch.setattr(web.html, "units", lambda df, **how: seen.append(df) or own(df, **how))
+    side = lambda words: spark.createDataFrame([(k, "https://a.example/", f"<article><p>{words} {k}</p></article>") for k in range(3)], "page_id long, url string, html string").coalesce(1)
+    assert web.compare(side("one small page"), side("one large page")).count() == 3
+    assert len(seen) == 2 and all("RepartitionByExpression [page_id" in df._jdf.queryExecution().analyzed().toString() for df in seen)
