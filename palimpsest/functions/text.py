@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 QUOTES, PLAIN_QUOTES = "‘’‚‛“”„‟«»", "''''\"\"\"\"\"\""
 DASHES = "‐‑‒–—―−"
 NO_WIDTH = "​‌‍⁠﻿"
+NOT_PLAIN = r"[^ -~\u00BC-\u167F\u3001-\uFEFE]"  # all of these signs and white space but for the space, and some more
 
 
 def normalize(c: Column) -> Column:
@@ -21,6 +22,12 @@ def normalize(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def as_normalized(c: Column) -> Column:
+    """normalize() of a column that is cheap to read, such as a lambda's: most texts have nothing to unify and are only looked through."""
+    odd = c.rlike(NOT_PLAIN) | c.contains("  ") | c.startswith(" ") | c.endswith(" ")
+    return F.when(odd, normalize(c)).otherwise(c)
+
+
 def key(c: Column, ignore_case: bool = True, ignore_punctuation: bool = False) -> Column:
     c = normalize(c)
     c = F.lower(c) if ignore_case else c

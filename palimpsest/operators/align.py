@@ -1,7 +1,7 @@
 """Order-preserving alignment of two versions of a sequence of units, one comparison in one row.
 
 Opcodes and ratios are those of the standard library's matcher, which no built-in expression gives. Three shortcuts keep most comparisons
-out of Python: equal sequences never reach it, pairs that can't be chosen aren't measured, and regions above PAIR_CAP pairs are compared place by place.
+out of Python: equal sequences never reach it (of changes(), nor do equal ends), pairs that can't be chosen aren't measured, and regions above PAIR_CAP pairs are compared place by place.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from heapq import heapify, heappop, heappush
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions import text
+from ..functions import text, values
 
 LEAST_RATIO, PAIR_CAP = 0.55, 10_000
 
@@ -93,6 +93,9 @@ def best_first(old: list[str], new: list[str]) -> list[tuple[int, int, float]]:
     else:
         every = [(i, j) for i in range(len(old)) for j in range(len(new))]
     bounds = _bounds(old, new)
+    if len(every) == 1:  # there is nothing else that bounds could spare
+        r = bounds[0](0, 0) and bounds[-1](0, 0)
+        return [(0, 0, r)] if r >= LEAST_RATIO else []
     heap = [(-r, i, j, 0) for i, j in every if (r := bounds[0](i, j)) >= LEAST_RATIO]
     heapify(heap)
     left, right, out = set(), set(), []
@@ -155,20 +158,10 @@ def segments(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([_segments(a, b) for a, b in zip(old, new, strict=True)])
 
 
-def align(old: DataFrame, new: DataFrame, scope: str = "scope", place: str = "place", key: str = "key", shown: str = "text") -> DataFrame:
-    """(scope, kind, old_place, new_place, ratio, segments) of the comparisons whose keys differ. old, new: (scope long, place, text). Segments are runs of words of
-    the normalised texts, as segments() gives them.
-
-    Units are compared by their normalised keys and shown by their texts; where the input has a column key already, that one is taken.
-    """
-    def side(df: DataFrame, name: str) -> DataFrame:
-        """A row for each scope: its units in order, with their keys where these are not the texts in small letters."""
-        fields = [F.col(place).alias("p"), text.normalize(F.col(shown if shown in df.columns else key)).alias("t"), *([F.col(key).alias("k")] if key in df.columns else [])]
-        listed = df.select(F.col(scope).alias("scope"), F.struct(*fields).alias("_u")).where("scope is not null").groupBy("scope").agg(F.array_sort(F.collect_list("_u")).alias(name))
-        return listed.withColumn(f"{name}_keys", F.transform(name, lambda u: F.struct(u["p"].alias("p"), (u["k"] if key in df.columns else F.lower(u["t"])).alias("k"))))
-
-    both = side(old, "_old").join(side(new, "_new"), "scope", "full_outer").where("not (_old_keys <=> _new_keys)")
-    out = T.StructType([T.StructField("scope", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("old_place", T.LongType()), T.StructField("new_place", T.LongType()), T.StructField("ratio", T.DoubleType()), T.StructField("segments", _SEGMENTS)])
+def _aligned(both: DataFrame, changed: bool) -> DataFrame:
+    """The comparisons of both: (scope, _old, _new), each side a scope's units in order, structs of place p, normalised text t and key k. changed: without what is equal, with the texts of a pair."""
+    texts = [T.StructField(n, T.StringType()) for n in ("old_text", "new_text")] if changed else []
+    out = T.StructType([T.StructField("scope", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("old_place", T.LongType()), T.StructField("new_place", T.LongType()), T.StructField("ratio", T.DoubleType()), T.StructField("segments", _SEGMENTS), *texts])
     schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,22 +175,81 @@ def align(old: DataFrame, new: DataFrame, scope: str = "scope", place: str = "pl
         for batch in batches:
             for at, sid in enumerate(batch.column(0).to_pylist()):
                 units = []
-                for own, keys in ((1, 2), (3, 4)):
-                    held, named = (batch.column(c)[at].values for c in (own, keys))
-                    if held is None:
+                for c in (1, 2):
+                    held = batch.column(c)[at].values
+                    if held is None or len(held) == 0:
                         units.append(([], [], []))
                         continue
-                    p, k, t = named.field(0).to_pylist(), named.field(1).to_pylist(), held.field(1).to_pylist()
+                    p, t, k = (held.field(f).to_pylist() for f in range(3))
                     if p[0] is None:  # units without a place come last
                         order = sorted(range(len(p)), key=lambda x: p[x] is None)  # noqa: B023
-                        p, k, t = ([c[x] for x in order] for c in (p, k, t))
-                    units.append((p, k, t))
-                (p, x, s_old), (q, y, s_new) = units
+                        p, t, k = ([c[x] for x in order] for c in (p, t, k))
+                    units.append((p, t, k))
+                (p, s_old, x), (q, s_new, y) = units
                 for kind, i, j, r in align_units(x, y):
-                    rows.append((sid, kind, None if i is None else p[i], None if j is None else q[j], r, _segments(s_old[i], s_new[j]) if kind == "modified" else []))
+                    if changed and kind == "equal":
+                        continue
+                    row = (sid, kind, None if i is None else p[i], None if j is None else q[j], r, _segments(s_old[i], s_new[j]) if kind == "modified" else [])
+                    rows.append((*row, None if i is None else s_old[i], None if j is None else s_new[j]) if changed else row)
                     if len(rows) >= 20_000:
                         yield made()
         if rows:
             yield made()
 
-    return both.select(F.col("scope").cast("long").alias("scope"), "_old", "_old_keys", "_new", "_new_keys").mapInArrow(run, out)
+    return both.select(F.col("scope").cast("long").alias("scope"), "_old", "_new").mapInArrow(run, out)
+
+
+def align(old: DataFrame, new: DataFrame, scope: str = "scope", place: str = "place", key: str = "key", shown: str = "text") -> DataFrame:
+    """(scope, kind, old_place, new_place, ratio, segments) of the comparisons whose keys differ. old, new: (scope long, place, text). Segments are runs of words of
+    the normalised texts, as segments() gives them.
+
+    Units are compared by their normalised keys and shown by their texts; where the input has a column key already, that one is taken.
+    """
+    def side(df: DataFrame, name: str) -> DataFrame:
+        """A row for each scope: its units in order, with their keys where these are not the texts in small letters."""
+        fields = [F.col(place).alias("p"), text.normalize(F.col(shown if shown in df.columns else key)).alias("t"), *([F.col(key).alias("k")] if key in df.columns else [])]
+        listed = df.select(F.col(scope).alias("scope"), F.struct(*fields).alias("_u")).where("scope is not null").groupBy("scope").agg(F.sort_array(F.collect_list("_u")).alias(name))
+        return listed if key in df.columns else listed.withColumn(name, F.transform(name, lambda u: F.struct(u["p"].alias("p"), u["t"].alias("t"), F.lower(u["t"]).alias("k"))))
+
+    both = side(old, "_old").join(side(new, "_new"), "scope", "full_outer")
+    return _aligned(both.where("not (_old.p <=> _new.p and _old.k <=> _new.k)"), changed=False)
+
+
+def _common(a: Column, b: Column) -> Column:
+    """How many texts two arrays have in common from the first on."""
+    least = F.least(F.size(a), F.size(b))
+    return values.once(F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int"), lambda at: F.when(at == 0, least).otherwise(F.least(least, at - 1)))
+
+
+def _between(x: Column) -> Column:
+    """struct(old, new) with the units, keyed, between the first and the last texts that are the same in both; with all units where the rest could be aligned with these.
+
+    It can't if no key of the rest is one of theirs, or of the other side's rest: then the matcher, too, takes the first and last ones as they are. If one side has no rest, units
+    of both ends could be one run there, which must not be longer than the first ones."""
+    old, new = x["old"], x["new"]
+    keyed = lambda units: F.transform(units, lambda u: values.once(text.as_normalized(u["t"]), lambda t: F.struct(u["p"].alias("p"), t.alias("t"), F.lower(t).alias("k"))))
+    own = lambda units, e: F.slice(units, e["head"] + 1, F.size(units) - e["head"] - e["tail"])
+
+    def chosen(e: Column, y: Column) -> Column:
+        ends = F.concat(F.slice(old["t"], F.lit(1), e["head"]), F.slice(old["t"], F.size(old) - e["tail"] + 1, e["tail"]))
+        theirs = F.transform(ends, lambda t: F.lower(text.as_normalized(t)))
+        apart = lambda a, b: ~F.coalesce(F.arrays_overlap(a, b), F.lit(True))
+        a, b = y["old"]["k"], y["new"]["k"]
+        two = (F.size(a) > 0) & (F.size(b) > 0) | (e["head"] >= e["tail"])
+        alone = values.once(theirs, lambda t: apart(a, t) & apart(b, t)) & apart(a, b)
+        return F.when((F.size(a) == 0) & (F.size(b) == 0) | two & alone, y).otherwise(F.struct(keyed(old).alias("old"), keyed(new).alias("new")))
+
+    head = F.struct(_common(old["t"], new["t"]).alias("head"), _common(F.reverse(old["t"]), F.reverse(new["t"])).alias("tail"))
+    ends = values.once(head, lambda e: F.struct(e["head"].alias("head"), F.least(e["tail"], F.least(F.size(old), F.size(new)) - e["head"]).alias("tail")))
+    return values.once(ends, lambda e: values.once(F.struct(keyed(own(old, e)).alias("old"), keyed(own(new, e)).alias("new")), lambda y: chosen(e, y)))
+
+
+def changes(both: DataFrame) -> DataFrame:
+    """What align() gives but for equal units, with old_text and new_text, the normalised texts of a row's units, so that these need not be joined to it.
+
+    both: (scope long, old, new), one row for each scope, with its units in order as arrays of struct(p long, t string), place and text. Only what lies between the
+    texts that both begin and end with is aligned, where that makes no difference.
+    """
+    side = lambda c: F.coalesce(c, F.array().cast("array<struct<p:bigint,t:string>>")).alias(c)
+    cut = both.where("scope is not null").select("scope", values.once(F.struct(side("old"), side("new")), _between).alias("_b"))
+    return _aligned(cut.select("scope", F.col("_b.old").alias("_old"), F.col("_b.new").alias("_new")), changed=True)

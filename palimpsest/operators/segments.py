@@ -78,7 +78,7 @@ def typed(pairs: DataFrame, old: str = "old_text", new: str = "new_text", segmen
     rest = F.transform(left, lambda x: F.struct(F.lit(False).alias("date"), F.when(x["old_from"] < x["old_to"], x["old"]).alias("a"), F.when(x["new_from"] < x["new_to"], x["new"]).alias("b"), F.lit(None).cast("string").alias("difference"), x["old_from"].alias("old_from"), x["old_to"].alias("old_to"), x["new_from"].alias("new_from"), x["new_to"].alias("new_to")))
     names = [c for c in pairs.columns if c != segments]
     every = df.select(*names, F.posexplode(F.concat(dates, rest)).alias("nth", "_c"))
-    both = F.transform(F.array("_c.a", "_c.b"), lambda x: F.struct(x.alias("c"), F.when(x.rlike("[0-9]"), values.kind_of(x)).alias("kind")))
+    both = F.transform(F.array("_c.a", "_c.b"), lambda x: F.struct(x.alias("c"), F.when(~F.col("_c.date") & x.rlike("[0-9]"), values.kind_of(x)).alias("kind")))  # of a date all is known
     every = every.withColumn("_v", F.transform(both, lambda x: F.when(x["kind"].isNotNull(), values.value_in(x["c"], x["kind"]))))
     kind = lambda v, t: F.when(v.rlike(r"^(?:18|19|20|21)[0-9]{2}$"), "year").otherwise(t["kind"])
     every = every.withColumn("_t", F.transform("_v", lambda v: F.when(v.isNotNull(), values.once(values.typed(v), lambda t: F.struct(values.category_of(kind(v, t)).alias("category"), t.alias("t"))))))

@@ -6,6 +6,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text
 from palimpsest.operators import align, evidence, layout, pairing, sheets, views
 from palimpsest.plans import blocks, documents, reading, registry, web  # noqa: F401  register their queries
 
@@ -162,3 +163,64 @@ def test_pages_are_rows_and_no_groups_of_python(spark):
     got = layout.lines(words)
     assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.line, r.text, r.bold) for r in got.collect()) == [(0, "t6 t3 t0", True), (1, "t7 t4 t1", False), (2, "t8 t5 t2", True)]
+
+
+def test_dated_lines_shuffles_whole_texts_once(spark, tmp_path):
+    """Both versions are one row, pairs bring their texts; rows that share a number, or have none or no text, as in SQL."""
+    rows = [(k, f"one {k}\n two\n\n two\nthree", "en") for k in range(24)] + [(5, "another\ntext", "en"), (5, "another\ntext", "en"), (6, None, "en"), (100, None, "en"), (101, "", "en"), (None, "x", "en")]
+    got, want = both(spark, tmp_path, "dated_lines", documents=spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert got == want and got
+    conf = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = registry.QUERIES["dated_lines"](spark, str(tmp_path))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert exchanges(found) == 1 and "Join" not in plan
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", conf)
+
+
+def test_equal_ends_are_not_aligned(spark, monkeypatch):
+    """What is left out of the alignment makes no difference to it, whatever repeats; only what lies between equal ends reaches Python."""
+    r = random.Random(5)
+    rows = []
+    for s in range(1500):
+        pool = [*"abcdefghijklmnop"][: r.choice([2, 3, 5, 16])] + r.choice([[], [" a", "A", "a b", "‘b’", None]])
+        old = r.choices(pool, k=r.randint(0, 7))
+        new = list(old)
+        for _ in range(r.randint(0, 2)):
+            at = r.randint(0, len(new))
+            new[at : at + r.randint(0, 2)] = r.choices([*pool, "new", "other"], k=r.randint(0, 2))
+        rows.append((s, old, new))
+    rows += [(9000, [*(f"line {k}" for k in range(50)), "it costs 5 now", "last"], [*(f"line {k}" for k in range(50)), "it costs 7 now", "last"]), (9001, None, ["a"]), (9002, ["a"], None), (9003, None, None), (None, ["a"], ["b"])]
+    held = []
+    monkeypatch.setattr(align, "_aligned", lambda df, changed, own=align._aligned: held.append(df) or own(df, changed))
+    df = spark.createDataFrame(rows, "scope long, old array<string>, new array<string>")
+    units = lambda c: F.transform(c, lambda t, n: F.struct((n * 10).cast("long").alias("p"), t.alias("t"))).alias(c)
+    got = sorted(map(repr, ((x.scope, x.kind, x.old_place, x.new_place, x.ratio, x.old_text, x.new_text, [tuple(s)[:2] for s in x.segments]) for x in align.changes(df.select("scope", units("old"), units("new"))).collect())))
+    plain = lambda t: None if t is None else " ".join(t.translate(str.maketrans("‘’", "''")).split())
+    want = []
+    for s, old, new in rows:
+        a, b = ([plain(t) for t in side or []] for side in (old, new))
+        for kind, i, j, ratio in align.align_units(*([None if t is None else t.lower() for t in side] for side in (a, b))) if s is not None else []:
+            if kind != "equal":
+                want.append((s, kind, None if i is None else i * 10, None if j is None else j * 10, ratio, None if i is None else a[i], None if j is None else b[j], align.word_segments(a[i], b[j]) if kind == "modified" else []))
+    assert got == sorted(map(repr, want)) and len(want) > 500
+    assert [tuple(x) for x in held[0].where("scope = 9000").select(F.size("_old"), F.size("_new"), F.col("_old.p")).collect()] == [(1, 1, [500])]
+    cut = {x.scope: x.n for x in held[0].select("scope", F.size("_old").alias("n")).collect()}
+    assert sum(cut[s] < len(old) for s, old, _ in rows[:1500]) > 500 and any(cut[s] == len(old) > 0 and old != new for s, old, new in rows[:1500])
+
+
+def test_one_pair_is_measured_at_once(monkeypatch):
+    asked = []
+    monkeypatch.setattr(align, "common", lambda a, b, own=align.common: asked.append(1) or own(a, b))
+    assert align.best_first(["it costs 5 now"], ["it costs 7 now"]) == [(0, 0, align.ratio("it costs 5 now", "it costs 7 now"))] and not asked
+    assert [align.best_first([a], [b]) for a, b in ((None, None), (None, "abc"), ("", ""), ("abc", "xyz"), ("ab", "ab"))] == [[], [], [], [], [(0, 0, 1.0)]]
+
+
+def test_texts_with_nothing_to_unify_are_normal(spark):
+    odd = [" a", "a ", "a  b", "", " ", "\ta", None, "😀", "a b"]
+    signs = spark.range(0x10000).where("id not between 55296 and 57343").select(F.concat(F.lit("a"), F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE"), F.lit("b")).alias("t"))
+    every = signs.union(spark.createDataFrame([(t,) for t in odd], "t string"))
+    assert every.where(~text.as_normalized(F.col("t")).eqNullSafe(text.normalize(F.col("t")))).count() == 0
+    assert every.where(~F.col("t").rlike(text.NOT_PLAIN)).count() > 50_000
