@@ -1,16 +1,18 @@
 """Order-preserving alignment of two versions of a sequence of units, one comparison in one row.
 
 Opcodes and ratios are those of the standard library's matcher, which no built-in expression gives. Three shortcuts keep most comparisons
-out of Python: equal sequences never reach it (of changes(), nor do equal ends), pairs that can't be chosen aren't measured, and regions above PAIR_CAP pairs are compared place by place.
+out of Python: equal sequences never reach it (of changes(), nor do equal ends), pairs that can't be chosen aren't measured, and of regions above PAIR_CAP pairs no pairs are held but a few for each text.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from bisect import insort
+from collections import Counter, deque
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text, values
 
-LEAST_RATIO, PAIR_CAP = 0.55, 10_000
+LEAST_RATIO, PAIR_CAP, AHEAD = 0.55, 10_000, 8
 
 
 def matched(a: str, b: str) -> int:
@@ -89,9 +91,8 @@ def _bounds(old: list[str], new: list[str]):
 def best_first(old: list[str], new: list[str]) -> list[tuple[int, int, float]]:
     """Pairs one to one, the most alike first; ties by place. A pair is measured when no other can be more alike, and not at all when one of its units is taken by then."""
     if len(old) * len(new) > PAIR_CAP:
-        every = [(i, i) for i in range(min(len(old), len(new)))]
-    else:
-        every = [(i, j) for i in range(len(old)) for j in range(len(new))]
+        return _best_by_text(old, new)
+    every = [(i, j) for i in range(len(old)) for j in range(len(new))]
     bounds = _bounds(old, new)
     if len(every) == 1:  # there is nothing else that bounds could spare
         r = bounds[0](0, 0) and bounds[-1](0, 0)
@@ -112,6 +113,76 @@ def best_first(old: list[str], new: list[str]) -> list[tuple[int, int, float]]:
     return out
 
 
+def _best_by_text(old: list[str], new: list[str]) -> list[tuple[int, int, float]]:
+    """best_first() of a large region in memory that goes with its units, not with their pairs: an old text knows its AHEAD best new texts at most, and looks through all anew when the
+    units of these are taken. Equal texts are looked through once."""
+    left, right = {}, {}
+    for side, texts in ((left, old), (right, new)):
+        for k, t in enumerate(texts):
+            if t:
+                side.setdefault(t, deque()).append(k)
+    names, sizes = list(right), np.array([len(t) for t in right], np.int64)
+    places = list(right.values())
+    counted: dict[str, tuple[list[int], list[int]]] = {}
+    for b, t in enumerate(names):
+        for c, n in Counter(t).items():
+            js, ns = counted.setdefault(c, ([], []))
+            js.append(b)
+            ns.append(n)
+    counted = {c: (np.array(js), np.array(ns)) for c, (js, ns) in counted.items()}
+    first = np.array([p[0] for p in places], np.int64)  # a new text's first unit not taken
+    taken = np.iinfo(np.int64).max
+    ahead: dict[str, tuple[list[tuple[float, int]], tuple[float, int] | None]] = {}  # a text's best ones, and what none of the others comes before
+
+    def look(t: str, most: int) -> None:
+        shared = np.zeros(len(names), np.int64)
+        for c, n in Counter(t).items():
+            if c in counted:
+                js, ns = counted[c]
+                shared[js] += np.minimum(ns, n)
+        bound = np.where(first < taken, 2.0 * shared / (len(t) + sizes), 0.0)
+        likely = np.flatnonzero(bound >= LEAST_RATIO)
+        likely = likely[np.lexsort((first[likely], -bound[likely]))]
+        best: list[tuple[float, int, int]] = []
+        for b in likely.tolist():
+            full = len(best) == most
+            if full and (-bound[b], first[b]) > best[-1][:2]:
+                break
+            least = -best[-1][0] if full else LEAST_RATIO
+            if 2.0 * common(t, names[b]) / (len(t) + len(names[b])) >= least and (r := ratio(t, names[b])) >= least:
+                insort(best, (-r, int(first[b]), b))
+                del best[most:]
+        ahead[t] = ([(r, b) for r, _, b in best], best[-1][:2] if len(best) == most else None)
+
+    def head(t: str) -> tuple[float, int, int] | None:
+        """The best pair's ratio, negative, its new place and text."""
+        for most in (0, AHEAD):
+            if most:
+                look(t, most)
+            known, edge = ahead[t]
+            best = min(((r, int(first[b]), b) for r, b in known if first[b] < taken), default=None)
+            if edge is None or best is not None and best[:2] <= edge:
+                return best
+        return best
+
+    heap, out = [], []
+
+    def push(t: str) -> None:
+        if left[t] and (best := head(t)):
+            heappush(heap, (best[0], left[t][0], best[1], best[2], t))
+
+    for t in left:
+        look(t, 1)
+        push(t)
+    while heap:
+        r, i, j, b, t = heappop(heap)
+        if first[b] == j:
+            out.append((left[t].popleft(), places[b].popleft(), -r))
+            first[b] = places[b][0] if places[b] else taken
+        push(t)
+    return out
+
+
 def align_units(old: list[str], new: list[str]) -> list[tuple[str, int | None, int | None, float]]:
     """(kind, place in old, place in new, ratio) of two lists of keys: equal, modified, moved, then removed and added."""
     out, gone, come = [], [], []

@@ -224,3 +224,18 @@ def test_texts_with_nothing_to_unify_are_normal(spark):
     every = signs.union(spark.createDataFrame([(t,) for t in odd], "t string"))
     assert every.where(~text.as_normalized(F.col("t")).eqNullSafe(text.normalize(F.col("t")))).count() == 0
     assert every.where(~F.col("t").rlike(text.NOT_PLAIN)).count() > 50_000
+
+
+def test_large_regions_pair_as_small_ones_do(monkeypatch):
+    """A region of over 10,000 pairs whose units change places: each finds its partner, wherever that stands; ties, repeats and short texts as in small regions."""
+    old = [f"{'red green blue'.split()[k % 3]} plate number {k * 7919}" for k in range(110)]
+    new = [f"{t} revised" for t in reversed(old)]
+    assert {(kind, i, j) for kind, i, j, _ in align.align_units(old, new)} == {("modified", k, 109 - k) for k in range(110)}
+    r = random.Random(4)
+    sides = []
+    for _ in range(150):
+        pool = ["".join(r.choices("abc é", k=r.randint(0, 9))) for _ in range(r.choice([3, 10, 40]))] + [None, "ab", "abc"]
+        sides.append((r.choices(pool, k=r.randint(2, 40)), r.choices([*pool, "cab bac", "ba"], k=r.randint(2, 40))))
+    want = [align.best_first(*x) for x in sides]
+    monkeypatch.setattr(align, "PAIR_CAP", 0)
+    assert [align.best_first(*x) for x in sides] == want
