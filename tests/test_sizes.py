@@ -239,3 +239,23 @@ def test_large_regions_pair_as_small_ones_do(monkeypatch):
     want = [align.best_first(*x) for x in sides]
     monkeypatch.setattr(align, "PAIR_CAP", 0)
     assert [align.best_first(*x) for x in sides] == want
+
+
+def test_pages_of_words_are_never_shuffled(spark, tmp_path):
+    """Lines and blocks come from pages that are rows; only documents that share a number are put together. Odd boxes, sizes and weights as in the forms on lines."""
+    r = random.Random(8)
+    rows = [(s, p, k, r.choice(["a", "b c", "", None]), x := r.choice([0.0, 50.0, 60.0, 200.0, 201.5]), x + r.choice([0.0, 40.0, 60.0]), y := r.choice([0.0, 3.0, 6.0, 12.0, 30.0, 61.0]), y + r.choice([0.0, 10.0, 14.0]), r.choice([10.0, 14.0, 0.0, None]), r.choice([True, False, None])) for s in range(30) for p in range(2) for k in range(r.choice([1, 5, 12, 40]))]
+    words = spark.createDataFrame(rows, "scope long, page long, word long, text string, x0 double, x1 double, y0 double, y1 double, size double, bold boolean")
+    pages = words.groupBy("scope", "page").agg(F.collect_list(F.struct("word", "text", "x0", "x1", "y0", "y1", "size", "bold")).alias("words"))
+    found = layout.page_lines(pages)
+    assert {x.column for x in found.collect()} == {0, 1}
+    want = sorted(map(repr, map(tuple, layout.block_rows(layout.blocks(found)).select("scope", "page", "block", "n_lines", "n_words", "_size", "_bold").collect())))
+    assert sorted(map(repr, map(tuple, layout.page_blocks(pages).collect()))) == want
+    assert sorted(map(tuple, layout.body_sizes(pages).collect())) == sorted(map(tuple, words.where("size > 0").groupBy("scope").agg(F.median("size")).collect()))
+    text = " ".join(f"w{k}" for k in range(500))
+    once = [(k, text) for k in range(40)] + [(40, None), (41, ""), (None, "x y")]
+    for n, docs in enumerate((once, [*once, (5, "one two"), (None, "z")])):
+        spark.createDataFrame(docs, "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+    assert exchanges(documents.page_lines(spark, f"{tmp_path}/0")) == 0
+    got = {(x.scope, x.page, x.line): x.text for x in documents.page_lines(spark, f"{tmp_path}/1").where("column = 0").collect()}
+    assert got[5, 0, 0] == "one w0 two w1 w2" and got[6, 0, 0] == "w0 w1 w2" and got[None, 0, 0] == "x z y" and len({s for s, _, _ in got}) == 41
