@@ -3,7 +3,10 @@
 Unit vectors with cosine >= c are at most sqrt(2 - 2c) apart. After a rotation, coordinates are split into blocks; a pair within
 that distance is, in one block at least, within the block's share of the squared distance. Each block is joined by range: a grid
 over its leading coordinates, with cells as wide as the block's radius, finds the pairs of neighbouring cells, which are then filtered
-by their distance in the block and by a bound on the whole cosine. The union of all blocks' candidates is verified exactly.
+by their distance in the block and by bounds on the whole cosine. What the bounds leave open is verified exactly.
+
+Vectors are shuffled as bytes, in tiles: each tile meets each other one once, and a task joins all blocks of two tiles. So what is shuffled is TILES copies of these bytes
+for each vector, whatever the cells hold, up to TILES * TILE vectors; a task tells how many links its vectors have and what is linked to what, not the links one by one.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-COSINE, BLOCKS, LEADING, TILE = 0.9, 4, 2, 4096
+COSINE, BLOCKS, LEADING, TILES, TILE = 0.9, 4, 2, 8, 1 << 19
 SLACK = 1e-6  # what rounding of the rotation may add to a distance
 
 
@@ -35,22 +38,22 @@ def radii(dims: int, cosine: float, blocks: int) -> tuple[list[np.ndarray], list
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding array<double>) of vectors that can link: no null or non-finite component, not zero."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
     return v.where("vec_id is not null").where(fine)
 
 
-def cells(reps: DataFrame, cosine: float, blocks: int) -> DataFrame:
-    """Rows of the range joins: (dims, block, cell, tile, home, rep, scale, rest, code): a vector in its cell and in the cells before it.
+def coded(reps: DataFrame, tiles: int) -> DataFrame:
+    """(dims, tile, rep, copies, scale, rest, code): the vectors of a part of the rows and a tile, packed end to end.
 
-    code: the rotated unit vector in bytes, rest: how far it is from what code and scale say, so bounds stay exact.
+    code: the rotated unit vectors in bytes, rest: how far one is from what code and scale say, so bounds stay exact.
     """
-    schema = pa.schema([("dims", pa.int32()), ("block", pa.int32()), ("cell", pa.string()), ("home", pa.bool_()), ("rep", pa.int64()), ("scale", pa.float64()), ("rest", pa.float64()), ("code", pa.binary())])
-    ddl = "dims int, block int, cell string, home boolean, rep long, scale double, rest double, code binary"
+    names = ("rep", "copies", "scale", "rest", "code")
+    schema = pa.schema([("dims", pa.int32()), ("tile", pa.int32()), *((n, pa.binary()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, raw = batch.column(0).to_numpy(), batch.column(1)
+            ids, copies, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             sizes = np.diff(raw.offsets.to_numpy())
             flat, at = raw.flatten().to_numpy(), np.r_[0, np.cumsum(sizes)]
             for dims in np.unique(sizes):
@@ -58,67 +61,103 @@ def cells(reps: DataFrame, cosine: float, blocks: int) -> DataFrame:
                 x = np.stack([flat[at[i] : at[i + 1]] for i in own])
                 x /= np.abs(x).max(1, keepdims=True)
                 y = x / np.linalg.norm(x, axis=1, keepdims=True) @ rotation(dims)
-                scale = np.abs(y).max(1) / 127
-                code = np.rint(y / scale[:, None]).astype(np.int8)
-                rest = np.linalg.norm(y - code * scale[:, None], axis=1) + 1e-9
-                parts, radius = radii(dims, cosine, blocks)
-                for b, (part, r) in enumerate(zip(parts, radius, strict=True)):
-                    lead = np.floor(y[:, part[:LEADING]] / r).astype(np.int64)
-                    for step in product((-1, 0, 1), repeat=lead.shape[1]):
-                        if step > (0,) * lead.shape[1]:
-                            continue
-                        names = [",".join(map(str, c)) for c in (lead + np.array(step)).tolist()]
-                        n = len(own)
-                        yield pa.RecordBatch.from_pydict({"dims": [int(dims)] * n, "block": [b] * n, "cell": names, "home": [not any(step)] * n, "rep": ids[own], "scale": scale, "rest": rest, "code": [c.tobytes() for c in code]}, schema=schema)
-
-    return reps.select("rep", "embedding").mapInArrow(run, ddl)
-
-
-def tiled(rows: DataFrame) -> DataFrame:
-    """A cell with more rows than TILE is compared as pairs of tiles, so that no task holds more than two tiles.
-
-    Home rows of tile i meet rows of tile j; each row goes to the pairs its tile is part of."""
-    size = rows.groupBy("dims", "block", "cell").agg(F.count("*").alias("n"))
-    rows = rows.join(size, ["dims", "block", "cell"]).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-    rows = rows.where("n > 1").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    left = rows.where("home").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("*", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("first"))
-    right = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("*", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("first"))
-    return left.union(right).select("dims", "block", "cell", "i", "j", "first", "home", "rep", "scale", "rest", "code")
+                scale = (np.abs(y).max(1) / 127).astype(np.float32)
+                code = np.clip(np.rint(y / scale[:, None]), -127, 127).astype(np.int8)
+                rest = (np.linalg.norm(y - code * scale[:, None].astype(np.float64), axis=1) * (1 + 1e-6) + 1e-7).astype(np.float32)
+                tile = batch.column(3).to_numpy()[own]
+                for t in np.unique(tile):
+                    k = np.flatnonzero(tile == t)
+                    parts = (ids[own[k]].astype("<i8"), copies[own[k]].astype("<i8"), scale[k].astype("<f4"), rest[k].astype("<f4"), code[k])
+                    yield pa.RecordBatch.from_pydict({"dims": [int(dims)], "tile": [int(t)]} | {n: [v.tobytes()] for n, v in zip(names, parts, strict=True)}, schema=schema)
+
+    rows = reps.select("rep", "copies", F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64("rep"), F.lit(tiles)).cast("int").alias("tile"))
+    return rows.mapInArrow(run, "dims int, tile int, rep binary, copies binary, scale binary, rest binary, code binary")
+
+
+def near(x: np.ndarray, y: np.ndarray, width: float, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of rows of x and y that are at most about `radius` apart, none left out, in parts: rows of neighbouring cells of a grid of that width over the leading coordinates."""
+    if not len(x) or not len(y):
+        return
+    grid = [np.floor(z[:, :LEADING] / width).astype(np.int64) for z in (x, y)]
+    held = []
+    for cell in grid:
+        order = np.lexsort(cell.T)
+        starts = np.r_[0, np.flatnonzero((np.diff(cell[order], axis=0) != 0).any(1)) + 1, len(order)]
+        held.append({tuple(cell[order[a]].tolist()): order[a:b] for a, b in zip(starts, starts[1:], strict=False)})
+    half = [(z.astype(np.float32) ** 2).sum(1, keepdims=True) / 2 for z in (x, y)]
+    one = np.float32(1)
+    x, y = np.hstack([x, -half[0], np.full_like(half[0], one)]).astype(np.float32), np.hstack([y, np.full_like(half[1], one), -half[1]]).astype(np.float32)
+    least = np.float32(-(radius**2) / 2 - 1e-5)  # of x * y less half of both squares, which is half the squared distance below zero
+    for cell, own in held[0].items():
+        there = [held[1][c] for step in product((-1, 0, 1), repeat=len(cell)) if (c := tuple(a + b for a, b in zip(cell, step, strict=True))) in held[1]]
+        others = np.concatenate(there) if there else own[:0]
+        for b in range(0, len(others), 4096):
+            part = others[b : b + 4096]
+            z = y[part].T.copy()
+            for a in range(0, len(own), 256):
+                i, j = np.divmod(np.flatnonzero((x[own[a : a + 256]] @ z).ravel() >= least), len(part))
+                if len(i):
+                    yield own[a + i], part[j]
+
+
+def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Links i to j in label, which holds for each row one of its component, its own for the first of it."""
+    while True:
+        while not np.array_equal(up := label[label], label):
+            label[:] = up
+        p, q = label[i], label[j]
+        apart = p != q
+        if not apart.any():
+            return
+        i, j, p, q = i[apart], j[apart], p[apart], q[apart]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
 
 
 def candidates(reps: DataFrame, cosine: float, blocks: int) -> DataFrame:
-    """(a, b), a < b: pairs that some block joins and whose bound on the cosine reaches `cosine`."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """(a, b, n). Without n, a < b: a pair that may reach `cosine`, as its bounds leave open. With n: b is linked to a, or a itself, and n is how many vectors of another tile, or
+    of its own, copies counted, are linked to a for certain."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def compare(key, t):
-        dims, block = key[0].as_py(), key[1].as_py()
+        dims, i, j = (k.as_py() for k in key)
         parts, radius = radii(dims, cosine, blocks)
-        part, r = parts[block], radius[block]
-        first, home = t.column("first").to_numpy(), t.column("home").to_numpy()
-        rep, rest = t.column("rep").to_numpy(), t.column("rest").to_numpy()
-        y = np.frombuffer(b"".join(t.column("code").to_pylist()), np.int8).reshape(-1, dims) * t.column("scale").to_numpy()[:, None]
-        left, right = np.flatnonzero(first), np.flatnonzero(~first)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        other = y[right][:, part]
-        norm = (other**2).sum(1)
-        for k in range(0, len(left), 512):
-            own = left[k : k + 512]
-            mine = y[own][:, part]
-            d = (mine**2).sum(1)[:, None] + norm - 2 * mine @ other.T
-            near = d <= (r + rest[own][:, None] + rest[right]) ** 2 + SLACK
-            i, j = np.nonzero(near)
-            i, j = own[i], right[j]
-            ok = ~home[j] | (rep[i] < rep[j])
-            i, j = i[ok], j[ok]
-            for a in range(0, len(i), 1 << 18):
-                p, q = i[a : a + (1 << 18)], j[a : a + (1 << 18)]
-                bound = (y[p] * y[q]).sum(1) + rest[p] + rest[q] + rest[p] * rest[q]
-                ok = bound >= cosine - SLACK
-                out.append((rep[p[ok]], rep[q[ok]]))
-        a, b = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.Table.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=schema)
-
-    return tiled(cells(reps, cosine, blocks)).groupBy("dims", "block", "cell", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        tile = t.column("tile").to_numpy()
+        rows = np.r_[np.flatnonzero(tile == i), np.flatnonzero(tile != i)]
+        read = lambda c, kind, at: np.frombuffer(b"".join(t.column(c)[int(k)].as_py() for k in at), kind)
+        rep, copies, scale, rest = (read(c, kind, rows) for c, kind in (("rep", "<i8"), ("copies", "<i8"), ("scale", "<f4"), ("rest", "<f4")))
+        code = read("code", np.int8, rows).reshape(-1, dims)
+        first = len(read("rep", "<i8", np.flatnonzero(tile == i)))
+        left, right = slice(0, first), slice(0 if i == j else first, len(rep))
+        label, links, open_pairs = np.arange(len(rep)), np.zeros(len(rep), np.int64), []
+        most = 2 * float(rest.max()) if len(rest) else 0.0
+        for b, (part, r) in enumerate(zip(parts, radius, strict=True)):
+            value = code[:, part] * scale[:, None]
+            reach = float(np.sqrt((r + most) ** 2 + SLACK)) * (1 + 1e-6)
+            for p, q in near(value[left], value[right], reach, reach):
+                q = q + right.start
+                if i == j:
+                    p, q = p[rep[p] < rep[q]], q[rep[p] < rep[q]]
+                for k in range(0, len(p), 1 << 16):
+                    u, v = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
+                    x, y = (code[w] * scale[w, None].astype(np.float64) for w in (u, v))
+                    off = rest[u].astype(np.float64) + rest[v]
+                    within = [((x[:, c] - y[:, c]) ** 2).sum(1) <= (radius[n] + off) ** 2 + SLACK for n, c in enumerate(parts[: b + 1])]
+                    fresh = within[-1] & ~np.logical_or.reduce([*within[:-1], np.zeros(len(u), bool)])  # each pair in the first block that joins it
+                    dot, off = (x * y).sum(1), off + rest[u].astype(np.float64) * rest[v]
+                    sure, maybe = fresh & (dot - off >= cosine + SLACK), fresh & (dot - off < cosine + SLACK) & (dot + off >= cosine - SLACK)
+                    open_pairs.append(np.stack([rep[u[maybe]], rep[v[maybe]]]))
+                    np.add.at(links, u[sure], copies[v[sure]])
+                    np.add.at(links, v[sure], copies[u[sure]])
+                    joined(label, u[sure], v[sure])
+        pairs = np.concatenate([np.zeros((2, 0), np.int64), *open_pairs], axis=1)
+        own = np.flatnonzero(links)
+        a, b = (np.r_[z, w] for z, w in ((pairs.min(0), rep[own]), (pairs.max(0), rep[label[own]])))
+        return pa.Table.from_pydict({"a": a, "b": b, "n": pa.array(np.r_[np.zeros(pairs.shape[1], np.int64), links[own]], pa.int64(), mask=np.arange(len(a)) < pairs.shape[1])}, schema=schema)
+
+    tiles = max(TILES, -(-reps.count() // TILE))
+    both = coded(reps, tiles).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    both = both.select("*", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).drop("other")
+    return both.groupBy("dims", "i", "j").applyInArrow(compare, "a long, b long, n long")
 
 
 def verified(pairs: DataFrame, reps: DataFrame, cosine: float) -> DataFrame:
@@ -126,7 +165,7 @@ def verified(pairs: DataFrame, reps: DataFrame, cosine: float) -> DataFrame:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     most = F.array_max(F.transform("embedding", F.abs))
     even = F.when(most.between(1e-100, 1e100), F.col("embedding")).otherwise(F.transform("embedding", lambda x: x / most))  # squares neither vanish nor overflow
-    norm = reps.select("rep", even.alias("embedding")).select("rep", "embedding", F.sqrt(dot("embedding", "embedding")).alias("norm"))
+    norm = reps.select("rep", F.col("embedding").cast("array<double>").alias("embedding")).select("rep", even.alias("embedding")).select("rep", "embedding", F.sqrt(dot("embedding", "embedding")).alias("norm"))
     one, two = (norm.select(F.col("rep").alias(k), F.col("embedding").alias(f"e{k}"), F.col("norm").alias(f"n{k}")) for k in "ab")
     both = pairs.join(one, "a").join(two, "b")
     return both.where(dot("ea", "eb") / (F.col("na") * F.col("nb")) >= cosine).select("a", "b")
@@ -142,13 +181,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCK
     spark = vectors.sparkSession
     root = common.shared_folder(spark)
     fine = usable(vectors)
-    keyed = fine.select("vec_id", "embedding", F.sha2(F.to_json("embedding"), 256).alias("key"))
+    keyed = fine.select("vec_id", "embedding", F.unhex(F.sha2(F.to_json("embedding"), 256)).alias("key"))
     classes = common.written(keyed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), f"{root}/classes")
-    reps = common.written(classes.join(keyed.select(F.col("vec_id").alias("rep"), "embedding"), "rep").select("rep", "embedding").dropDuplicates(["rep"]), f"{root}/reps")
-    pairs = common.written(verified(candidates(reps, cosine, blocks), reps, cosine), f"{root}/pairs")
+    reps = keyed.join(classes.select("rep", F.col("key").alias("same"), "copies"), (F.col("vec_id") == F.col("rep")) & (F.col("key") == F.col("same")))
+    reps = common.written(reps.select("rep", "copies", "embedding").dropDuplicates(["rep"]), f"{root}/reps")
+    found = common.written(candidates(reps, cosine, blocks), f"{root}/found")
+    pairs = common.written(verified(found.where("n is null").select("a", "b"), reps, cosine), f"{root}/pairs")
     both = pairs.union(pairs.select("b", "a"))
-    other = both.join(classes.select(F.col("rep").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    found = common.components(pairs)
+    counted = both.join(classes.select(F.col("rep").alias("b"), "copies"), "b").select("a", "copies").union(found.where("n is not null").select("a", "n"))
+    other = counted.groupBy("a").agg(F.sum("copies").alias("others"))
+    found = common.components(pairs.union(found.where("n is not null").select("a", "b")))
     node = classes.join(other, classes.rep == other.a, "left").join(found, classes.rep == found.id, "left")
     node = node.select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     linked = keyed.select("vec_id", "key").join(node, "key").select("vec_id", "n_links", "component_id")

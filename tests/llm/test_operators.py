@@ -482,3 +482,29 @@ def test_pipeline(spark, docs, tmp_path):
         now = out
     assert {r.doc_id for r in now.collect()} == kept
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_embeddings_are_shuffled_as_tiles(spark, monkeypatch):
+    """Each vector's bytes meet each tile once, whatever the cells hold; sure links are counted where they are found and are no rows."""
+    g = np.random.default_rng(4)
+    middle = g.standard_normal((4, 16))
+    v = np.concatenate([middle[k] + s * g.standard_normal((90, 16)) for k, s in enumerate((0.05, 0.1, 0.3, 0.9))])
+    df = spark.createDataFrame([(k, [float(y) for y in x]) for k, x in enumerate(v)] + [(1000, [float(y) for y in v[0]])], "vec_id long, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    links = u @ u.T >= 0.9
+    reps = spark.createDataFrame([(k, 1 + (k == 0), [float(y) for y in x]) for k, x in enumerate(v)], "rep long, copies long, embedding array<double>")
+    sent = embedding_dedup.coded(reps.coalesce(1), 8)
+    assert sent.count() == 8 and sum(len(r.code) for r in sent.collect()) == v.size
+    found = embedding_dedup.candidates(reps, 0.9, 4).collect()
+    assert len(found) < links.sum() / 4
+    for tile in (1 << 19, 30):  # of 30: more tiles than TILES
+        monkeypatch.setattr(embedding_dedup, "TILE", tile)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df).collect()}
+        label = np.arange(len(v))
+        while True:
+            after = np.array([label[row].min() for row in links])
+            if (after == label).all():
+                break
+            label = after
+        n = links.sum(1) - 1 + links[:, 0]
+        assert got == {k: (int(n[k]), int(label[k])) for k in range(len(v))} | {1000: (int(n[0]), 0)}
