@@ -508,3 +508,24 @@ def test_embeddings_are_shuffled_as_tiles(spark, monkeypatch):
             label = after
         n = links.sum(1) - 1 + links[:, 0]
         assert got == {k: (int(n[k]), int(label[k])) for k in range(len(v))} | {1000: (int(n[0]), 0)}
+
+
+def test_every_character_is_a_sign(spark, monkeypatch):
+    """More characters than SIGNS: each of them counts, in texts that differ by the rarest alone too; a model that tasks can't hold is joined to, one whose codes are too long as well."""
+    many = "".join(chr(0x4E00 + k) for k in range(90))
+    trusted = [many, "one two three " * 3, "two one " + many[:50], many[85:] * 2 + "\n", "three"]
+    others = ["", many[80:], many[80:84] + many[88:84:-1], "two one \U0001f600", None]
+    docs = spark.createDataFrame([(k, t, "zh") for k, t in enumerate(trusted + others)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(len(trusted))], "doc_id long, quality int, toxic int")
+    with monkeypatch.context() as m:
+        m.setattr(kneser_ney, "SIGNS", len(set("".join(trusted))) + 1)
+        want = plain_perplexities(trusted, [t or "" for t in trusted + others])
+    assert abs(want[6] / want[7] - 1) > 0.1
+    for name, most in ((None, None), ("HELD", 0), ("PACKED", 0)):
+        with monkeypatch.context() as m:
+            if name:
+                m.setattr(kneser_ney, name, most)
+            scorer = kneser_ney.train(docs, labels)
+            assert type(scorer) is (kneser_ney.Joined if name else kneser_ney.Scorer)
+            got = dict(rows(kneser_ney.perplexities(docs.select("doc_id", "text"), scorer), "doc_id", "perplexity"))
+            assert all(got[k] is x is None or abs(got[k] / x - 1) < 1e-4 for k, x in enumerate(want)), name
